@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash
+from . import bpe, exact_dedup, language_id, mixing, ngram_lm, quality, simhash, topk
 from .common import read_table
 
 
@@ -15,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_scores(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.QUERY_EVERY == 0)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(language_id.fit_sample(docs)))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_by_own_model(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_simhash_near_dedup, op6_bpe_roundtrip, op7_exact_dedup, op8_quality_classifier)
+    f.__name__: f for f in (
+        op1_mix_sources, op2_topk_search, op3_simhash_near_dedup, op6_bpe_roundtrip, op7_exact_dedup, op8_quality_classifier, op9_language_id, op10_lm_scoring,
+    )
 }
-SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
