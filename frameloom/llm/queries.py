@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, ngram_lm, quality, simhash, topk
+from . import bpe, exact_dedup, language_id, licenses, mixing, ngram_lm, quality, simhash, substrings, topk
 from .common import read_table
 
 
@@ -24,6 +24,17 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory for every fifty of a source, the first of which is its licence file."""
+    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 50").cast("string"), name)
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"), path, ["doc_id"])
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -49,7 +60,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mix_sources, op2_topk_search, op3_simhash_near_dedup, op6_bpe_roundtrip, op7_exact_dedup, op8_quality_classifier, op9_language_id, op10_lm_scoring,
+        op1_mix_sources, op2_topk_search, op3_simhash_near_dedup, op4_suffix_dedup, op5_license_scan, op6_bpe_roundtrip, op7_exact_dedup, op8_quality_classifier, op9_language_id, op10_lm_scoring,
     )
 }
 SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
