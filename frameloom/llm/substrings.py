@@ -37,6 +37,8 @@ WIDTH, SEED = 50, 18
 WINDOW = WIDTH - SEED + 1
 #: Anchors per bucket, about, with one anchor in every WINDOW / 2 bytes.
 BUCKET_ANCHORS = 1_000_000
+#: Parts of a bucket once segments carry their bytes: what a task then holds is some tens of megabytes.
+PARTS = 8
 BATCH_BYTES, PIECE = 4 << 20, 1 << 20
 LAST = (1 << 63) - 1
 HASH_SEED = 42
@@ -321,7 +323,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     repeated = _packed_anchors(base, buckets).groupBy("bucket").applyInArrow(_repeated, "ord long, th long, place long")
     places = materialize(repeated.groupBy("ord", "th").agg(F.collect_list("place").alias("places")), "anchor-places")
     joined = _packed_texts(base).select("ord", "th", "body").join(places, ["ord", "th"])
-    spans = _contexts(joined, buckets).groupBy("bucket").applyInArrow(_spans, "ord long, th long, lo long, hi long")
+    spans = _contexts(joined, buckets * PARTS).groupBy("bucket").applyInArrow(_spans, "ord long, th long, lo long, hi long")
     digests = base.select("ord", F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     firsts = digests.groupBy("sha").agg(F.min("ord").alias("least"))
     copies = digests.filter(F.col("n") >= WIDTH).join(firsts, "sha").filter("ord > least").select("ord", "th", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")).distinct()
