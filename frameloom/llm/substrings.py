@@ -185,19 +185,28 @@ def _repeated(group: pa.Table) -> pa.Table:
 def _contexts(texts: DataFrame, buckets: int) -> DataFrame:
     """For rows (ord, th, body, places): the bytes of the segments at anchors that repeat."""
 
+    names = ["bucket", "anchor", "ord", "th", "lo", "off", "cut"]
+
+    def flush(found: list[tuple], cuts: list[bytes]) -> pa.RecordBatch:
+        anchor, order, th, lo, off = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(anchor % buckets), *map(pa.array, (anchor, order, th, lo, off)), pa.array(cuts, pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack, found, cuts = zstandard.ZstdDecompressor(), [], []
         for batch in batches:
             for order, th, body, places in zip(*(batch.column(c).to_pylist() for c in ("ord", "th", "body", "places")), strict=True):
                 data = unpack.decompress(body)
                 anchor, place, lo, hi = segments(np.frombuffer(data, np.uint8))
-                use = np.flatnonzero(np.isin(anchor, anchor[np.isin(place, places)]))
-                cut = [data[a : b + WIDTH] for a, b in zip(lo[use].tolist(), hi[use].tolist(), strict=True)]
-                a = anchor[use].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a % buckets), pa.array(a), pa.array(np.full(len(use), order)), pa.array(np.full(len(use), th)), pa.array(lo[use]), pa.array(place[use] - lo[use]), pa.array(cut, pa.binary())],
-                    names=["bucket", "anchor", "ord", "th", "lo", "off", "cut"],
-                )
+                anchor = anchor.astype(np.int64)
+                wanted = np.sort(anchor[np.searchsorted(place, places)])  # places rise with the text
+                use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor)
+                found.append((anchor[use], np.full(len(use), order), np.full(len(use), th), lo[use], place[use] - lo[use]))
+                cuts += [data[a : b + WIDTH] for a, b in zip(lo[use].tolist(), hi[use].tolist(), strict=True)]
+                if len(cuts) >= 10_000:
+                    yield flush(found, cuts)
+                    found, cuts = [], []
+        if cuts:
+            yield flush(found, cuts)
 
     return texts.mapInArrow(run, "bucket long, anchor long, ord long, th long, lo long, off long, cut binary")
 
@@ -208,6 +217,13 @@ class Suffixes:
     def __init__(self, data: np.ndarray):
         self.data, self.hash, self.inverse = data, prefix_hashes(data), _room(len(data))[1]
 
+    def repeated(self, at: np.ndarray) -> np.ndarray:
+        """Which of the suffixes share the hash of their first WIDTH bytes with another."""
+        h = (self.hash[at + WIDTH] - self.hash[at]) * self.inverse[at]
+        by = np.argsort(h)
+        same = h[by][1:] == h[by][:-1]
+        return np.sort(by[np.r_[False, same] | np.r_[same, False]])
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common start of suffixes at a and b, WIDTH at most."""
         lo, step = np.zeros(len(a), np.int64), 1 << (WIDTH.bit_length() - 1)
@@ -292,14 +308,17 @@ def _spans(group: pa.Table) -> pa.Table:
         seg = np.repeat(np.arange(len(use)), starts)
         nth = np.arange(len(seg)) - np.repeat(np.cumsum(starts) - starts, starts)
         at = (np.cumsum(part) - part)[seg] + nth
-        key = np.stack([anchor[first[use]][seg], off[first[use]][seg] - nth], 1)
-        by = np.lexsort((key[:, 1], key[:, 0]))
-        group_no = np.cumsum(np.r_[True, (key[by][1:] != key[by][:-1]).any(1)]) - 1
-        sorted_, run = _equal_runs(Suffixes(data), at[by], group_no)
-        smallest = np.full(run.max() + 1, LAST)
-        np.minimum.at(smallest, run, least[use][seg[by][sorted_]])
-        lowest = np.empty(len(seg), np.int64)
-        lowest[by[sorted_]] = smallest[run]
+        lowest = least[use][seg]
+        suffixes = Suffixes(data)
+        maybe = suffixes.repeated(at)  # the others are equal to none
+        if len(maybe):
+            key = np.stack([anchor[first[use]][seg[maybe]], off[first[use]][seg[maybe]] - nth[maybe]], 1)
+            by = np.lexsort((key[:, 1], key[:, 0]))
+            group_no = np.cumsum(np.r_[True, (key[by][1:] != key[by][:-1]).any(1)]) - 1
+            sorted_, run = _equal_runs(suffixes, at[maybe[by]], group_no)
+            smallest = np.full(run.max() + 1, LAST)
+            np.minimum.at(smallest, run, least[use][seg[maybe[by]][sorted_]])
+            lowest[maybe[by[sorted_]]] = smallest[run]
         # Every occurrence that is not removed whole asks for its segment's starts.
         place = np.full(len(numbers), -1)
         place[use] = np.arange(len(use))
