@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words kept per worker, longer ones are never kept.
-MEMO_WORDS, MEMO_CHARS = 600_000, 40
+MEMO_WORDS, MEMO_CHARS = 150_000, 40
 #: Words of up to so many symbols are merged as rows of one matrix.
 ROW_SYMBOLS = 64
 NONE = np.int64(1) << 60
