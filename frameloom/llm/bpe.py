@@ -21,14 +21,15 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words kept per worker, longer ones are never kept.
-MEMO_WORDS, MEMO_CHARS = 150_000, 40
+#: Words kept per worker, the first it meets, among which the frequent ones are; longer ones are never kept.
+MEMO_WORDS, MEMO_CHARS = 40_000, 40
 #: Words of up to so many symbols are merged as rows of one matrix.
 ROW_SYMBOLS = 64
 NONE = np.int64(1) << 60
@@ -203,15 +204,14 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
         """For each text its words as (number of ids, ids as text, tokens as text)."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
         if not self.memo:
             self.memo = {t: (1, str(i), t) for t, i in self.special.items()}
         parts = [self.pieces(t) for t in texts]
         met = set().union(*parts) if parts else set()
         new = self._learn(met - self.memo.keys())
-        self.memo |= {w: x for w, x in new.items() if len(w) <= MEMO_CHARS}
-        known = self.memo | {w: x for w, x in new.items() if len(w) > MEMO_CHARS} if any(len(w) > MEMO_CHARS for w in new) else self.memo
+        known = self.memo | new
+        if (room := MEMO_WORDS - len(self.memo)) > 0:
+            self.memo |= dict(islice(((w, x) for w, x in new.items() if len(w) <= MEMO_CHARS), room))
         for words in parts:
             yield [known[w] for w in words]
 
