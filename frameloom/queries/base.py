@@ -53,14 +53,14 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("image"), nth.cast("long").alias("ord"), (F.col("l_partkey") % N_CLASSES).cast("int").alias("class_id"),
         B.box(F.col("l_quantity") / 51, F.col("l_discount") * 5, F.col("l_tax") + 0.02, (F.col("l_linenumber") + 1) / F.lit(20.0)).alias("box"),
-        F.col("l_returnflag").alias("side"), F.round(F.col("l_extendedprice") / 200000, 4).alias("conf"),
+        F.col("l_returnflag").alias("side"), (F.floor(F.col("l_extendedprice") / 20) / 10000).alias("conf"),
         F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("split"),
         F.concat(F.lit("s"), (F.col("l_orderkey") % 7).cast("string")).alias("source"),
     )
 
 
 BOXES = """boxes AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, CAST(l_partkey % 23 AS INT) AS class_id,
- l_quantity / 51 AS cx, l_discount * 5 AS cy, l_tax + 0.02::DOUBLE AS w, (l_linenumber + 1) / 20.0::DOUBLE AS h, l_returnflag AS side, round(l_extendedprice / 200000, 4) AS conf,
+ l_quantity / 51 AS cx, l_discount * 5 AS cy, l_tax + 0.02::DOUBLE AS w, (l_linenumber + 1) / 20.0::DOUBLE AS h, l_returnflag AS side, floor(l_extendedprice / 20) / 10000 AS conf,
  ['train', 'val', 'test'][CAST(l_orderkey % 3 + 1 AS INT)] AS split, 's' || (l_orderkey % 7) AS source FROM lineitem)"""
 
 

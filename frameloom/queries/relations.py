@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import boxes as B
 from ..functions import hashes as H
 from ..functions import names as N
 from ..operators import dedup, gates, labels, matching, merging, policies, splits, verification
@@ -258,12 +257,12 @@ _CLASS = "CASE class_id " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerat
 @query(f"""WITH {BOXES}, c AS (SELECT image, {_CLASS} AS name, conf FROM boxes WHERE side = 'N' AND image % 5 <> 0),
  g AS (SELECT image, round(sum(CASE WHEN name IN {PRIORITY} THEN 2 ELSE 1 END * conf), 6) AS gain FROM c GROUP BY image), r AS (SELECT *, (row_number() OVER (ORDER BY gain DESC, image) - 1) // 40 AS b FROM g)
 SELECT printf('vb%03d_model', b + 3) AS batch_id, count(DISTINCT r.image) AS n_images, md5(string_agg(DISTINCT r.image, ',' ORDER BY r.image)) AS images, string_agg(DISTINCT name, ',' ORDER BY name) AS classes,
- (SELECT round(sum(gain), 3) FROM r s WHERE s.b = r.b) AS expected_gain FROM r JOIN c ON c.image = r.image GROUP BY b""")
+ (SELECT round(sum(gain), 4) FROM r s WHERE s.b = r.b) AS expected_gain FROM r JOIN c ON c.image = r.image GROUP BY b""")
 def plan_batches(spark, sf_dir):
     c = _side(spark, sf_dir, "N").join(F.broadcast(taxonomy(spark)), "class_id").select("image", "class_name", "conf")
     claimed = c.filter("image % 5 = 0").select("image").distinct()
     b = verification.plan_batches(c, F.col("class_name").isin(*PRIORITY), 40, claimed, first_number=3)
-    return b.select("batch_id", "n_images", F.md5(F.array_join(F.col("images").cast("array<string>"), ",")).alias("images"), F.array_join("target_classes", ",").alias("classes"), F.round("expected_gain", 3).alias("expected_gain"))
+    return b.select("batch_id", "n_images", F.md5(F.array_join(F.col("images").cast("array<string>"), ",")).alias("images"), F.array_join("target_classes", ",").alias("classes"), F.round("expected_gain", 4).alias("expected_gain"))
 
 
 @query("WITH b AS (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS l FROM part GROUP BY 1), k AS (SELECT p_brand, l, least(greatest(1, round_even(len(l) * 0.1, 0)::INT), len(l)) AS n FROM b) SELECT p_brand, array_to_string(list_transform(range(n), lambda i: l[1 + floor(i * (len(l) / n))::INT]), ',') AS sample FROM k")
@@ -411,5 +410,3 @@ def tile_plan(spark, sf_dir):
 def image_class_index(spark, sf_dir):
     return boxes(spark, sf_dir).filter("class_id < 4").groupBy("image", "class_id").agg(F.count("*").alias("n"), F.round(F.avg("box.cx"), 6).alias("cx"))
 
-
-__all__ = ["B"]

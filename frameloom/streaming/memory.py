@@ -120,7 +120,7 @@ def queued(alerts: DataFrame, size: int = 10) -> DataFrame:
 def rolling(frames: DataFrame, ms: str, n: int = 30) -> DataFrame:
     """frames with rolling_ms and rolling_fps: the mean of the last n latencies."""
     mean = F.avg(ms).over(_upto(n))
-    return frames.withColumns({"rolling_ms": F.round(mean, 4), "rolling_fps": F.round(F.when(mean > 0, 1000 / mean).otherwise(F.lit(0.0)), 4)})
+    return frames.withColumns({"rolling_ms": F.round(mean, 6), "rolling_fps": F.round(F.when(mean > 0, 1000 / mean).otherwise(F.lit(0.0)), 6)})
 
 
 def every_nth_with_detections(frames: DataFrame, n: int = 5) -> DataFrame:
