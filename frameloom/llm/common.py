@@ -64,3 +64,15 @@ def join_dimension(rows: DataFrame, dim: DataFrame, key: str, n_dim: int, spread
     other = other.withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = rows[key].eqNullSafe(other["__dim_key"]) & (rows["__salt"] == other["__dim_salt"])
     return rows.join(other, on, "left").drop("__dim_key", "__dim_salt", "__salt")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of rows to a written table of their groups, of which n counts the rows.
+
+    Groups of more than a thousandth of all rows are fewer than a thousand, whatever the input: these are broadcast, so that a
+    group of a third of the rows stays where its rows are. The other rows are shuffled.
+    """
+    most = (groups.agg(F.sum(n)).first()[0] or 0) / 1000
+    large, small = groups.filter(F.col(n) > most), groups.filter(F.col(n) <= most)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys)
+    return rows.join(F.broadcast(large), keys).unionByName(rest)

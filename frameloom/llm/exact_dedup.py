@@ -19,7 +19,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, materialize
+from .common import SPACE_RUN, join_groups, materialize
 
 BLOCK_CHARS = 8192
 
@@ -78,8 +78,8 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     named = materialize(identities(docs, block_chars), "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    groups = named.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
-    return named.join(groups, ["level", "name"]).select(
+    groups = materialize(named.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size")), "text-groups")
+    return join_groups(named, groups, ["level", "name"], "group_size").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256"
     )
 
