@@ -39,6 +39,8 @@ WINDOW = WIDTH - SEED + 1
 BUCKET_ANCHORS = 1_000_000
 #: Parts of a bucket once segments carry their bytes: what a task then holds is some tens of megabytes.
 PARTS = 8
+#: Segments of a batch in which equal ones are folded before the shuffle.
+FOLD_SEGMENTS = 40_000
 BATCH_BYTES, PIECE = 4 << 20, 1 << 20
 LAST = (1 << 63) - 1
 HASH_SEED = 42
@@ -183,13 +185,23 @@ def _repeated(group: pa.Table) -> pa.Table:
 
 
 def _contexts(texts: DataFrame, buckets: int) -> DataFrame:
-    """For rows (ord, th, body, places): the bytes of the segments at anchors that repeat."""
+    """For rows (ord, th, body, places): the bytes of the segments at anchors that repeat.
+
+    Equal segments of a batch are folded here: those of a larger ord than the least are removed whole whatever else there is. They
+    carry no bytes, have their size as off, and go to other buckets, spread evenly; so a passage of a third of all documents
+    sends few segments to its anchor's bucket.
+    """
 
     names = ["bucket", "anchor", "ord", "th", "lo", "off", "cut"]
 
     def flush(found: list[tuple], cuts: list[bytes]) -> pa.RecordBatch:
         anchor, order, th, lo, off = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(anchor % buckets), *map(pa.array, (anchor, order, th, lo, off)), pa.array(cuts, pa.binary())], names=names)
+        which, least = _folded(anchor, order, off, cuts)
+        whole = order > least[which]
+        size = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        bucket = np.where(whole, buckets + (order ^ lo) % buckets, anchor % buckets)
+        cut = pa.array([None if w else c for w, c in zip(whole.tolist(), cuts, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket), *map(pa.array, (anchor, order, th, lo, np.where(whole, size, off))), cut], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, found, cuts = zstandard.ZstdDecompressor(), [], []
@@ -202,7 +214,7 @@ def _contexts(texts: DataFrame, buckets: int) -> DataFrame:
                 use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor)
                 found.append((anchor[use], np.full(len(use), order), np.full(len(use), th), lo[use], place[use] - lo[use]))
                 cuts += [data[a : b + WIDTH] for a, b in zip(lo[use].tolist(), hi[use].tolist(), strict=True)]
-                if len(cuts) >= 10_000:
+                if len(cuts) >= FOLD_SEGMENTS:
                     yield flush(found, cuts)
                     found, cuts = [], []
         if cuts:
@@ -211,6 +223,15 @@ def _contexts(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket long, anchor long, ord long, th long, lo long, off long, cut binary")
 
 
+def _folded(anchor: np.ndarray, order: np.ndarray, off: np.ndarray, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each segment's class of equal ones, least ord of each class)."""
+    numbers: dict[tuple, int] = {}
+    which = np.array([numbers.setdefault(x, len(numbers)) for x in zip(anchor.tolist(), off.tolist(), cuts, strict=True)], np.int64)
+    least = np.full(len(numbers), LAST)
+    np.minimum.at(least, which, order)
+    return which, least
+
+
 class Suffixes:
     """Suffixes of joined bytes, compared over WIDTH bytes by binary search over prefix hashes."""
 
@@ -284,15 +305,14 @@ def _equal_runs(suffixes: Suffixes, at: np.ndarray, group: np.ndarray) -> tuple[
 def _spans(group: pa.Table) -> pa.Table:
     """A bucket's removed ranges of string starts, as (ord, th, lo, hi) in bytes."""
     anchor, order, th, lo, off = (group[c].to_numpy() for c in ("anchor", "ord", "th", "lo", "off"))
+    if group["cut"].null_count:  # a bucket of segments that are removed whole
+        return pa.table({"ord": order, "th": th, "lo": lo, "hi": lo + off})
     cuts = group["cut"].to_pylist()
     size = np.fromiter(map(len, cuts), np.int64, len(cuts))
     # Equal segments are one, that of the smallest document; in any other one's document every start is removed.
-    numbers: dict[tuple, int] = {}
-    which = np.array([numbers.setdefault(x, len(numbers)) for x in zip(anchor.tolist(), off.tolist(), cuts, strict=True)])
-    least = np.full(len(numbers), LAST)
-    np.minimum.at(least, which, order)
+    which, least = _folded(anchor, order, off, cuts)
     whole = order > least[which]
-    first = np.zeros(len(numbers), np.int64)
+    first = np.zeros(len(least), np.int64)
     first[which[::-1]] = np.arange(len(which))[::-1]
     by_anchor = np.argsort(anchor[first], kind="stable")
     alone = np.ones(len(first), bool)
@@ -320,7 +340,7 @@ def _spans(group: pa.Table) -> pa.Table:
             np.minimum.at(smallest, run, least[use][seg[maybe[by]][sorted_]])
             lowest[maybe[by[sorted_]]] = smallest[run]
         # Every occurrence that is not removed whole asks for its segment's starts.
-        place = np.full(len(numbers), -1)
+        place = np.full(len(least), -1)
         place[use] = np.arange(len(use))
         ask = np.flatnonzero(~whole & (place[which] >= 0))
         p = place[which[ask]]
