@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import map_texts
+
 #: Words kept per worker, the first it meets, among which the frequent ones are; longer ones are never kept.
 MEMO_WORDS, MEMO_CHARS = 40_000, 40
 #: Words of up to so many symbols are merged as rows of one matrix.
@@ -269,4 +271,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                     columns, names = [*columns, pa.array(full, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

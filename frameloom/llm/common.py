@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 SALTS = 64
 
+#: Bytes of an Arrow batch of texts. Spark's own bound is 64 MB, which each task holds twice outside the heap and once more in Python.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset (tests)."""
@@ -37,6 +41,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_texts(texts: DataFrame, run: Callable, schema) -> DataFrame:
+    """texts.mapInArrow(run, schema) over batches of about BATCH_BYTES, a longer text alone. The bound is a setting of the session and stays; a smaller number of bytes is kept."""
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = conf.get(name).lower().removesuffix("b")
+    if not (known.isdigit() and int(known) <= BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return texts.mapInArrow(run, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder
+from .common import doc_remainder, map_texts
 
 SAMPLE_ROWS = 5000
 SAMPLE_CHARS = 8000
@@ -142,7 +142,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch, 1, measure))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
     return scored.select("doc_id", (doc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -156,4 +156,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch, at, measure) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import materialize
+from .common import map_texts, materialize
 from .components import components
 
 #: The contract of op3: words of a shingle, seed of its hash, and bits that may differ.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
 def _key_rows(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
