@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, exact_dedup, mixing, quality, simhash
+from frameloom.llm import bpe, exact_dedup, jaccard, mixing, quality
 from frameloom.llm.common import materialize, read_table
 
 #: The stages learn from labels and hash with seeds that DuckDB lacks; tests hold them against brute force.
@@ -28,8 +28,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of linked texts, the row with the smallest doc_id."""
-    return simhash.drop_near_copies(docs)
+    """Near copies, as operator 3 but at a share of 0.8 or more of five-word shingles: of linked texts, the row with the smallest doc_id."""
+    return jaccard.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from .components import components
 
 #: The contract of op3: words of a shingle, seed of its hash, and bits that may differ.
 SHINGLE, SEED, MOST = 4, 42, 4
-#: Near copies in a pipeline: shingles of five words. Of two texts a share of 0.8 of shingles in common flips few bits.
+#: Words of a shingle in the pipeline, whose near copies are found by jaccard: at a share of 0.8 about ten of 64 bits differ, too many for these keys.
 PIPELINE_SHINGLE = 5
 #: Segments as (lowest bit, bits).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -128,13 +128,3 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, seed:
 def near_copies(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint (16 hex digits), component_id."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = PIPELINE_SHINGLE, most: int = MOST) -> DataFrame:
-    """docs without the rows that have a near copy of smaller doc_id; its columns as they are.
-
-    Texts without a word resemble nothing, so those rows stay; of rows that share the smallest id of a component, all stay.
-    """
-    groups = near_groups(docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle, most)
-    dropped = groups.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
