@@ -7,7 +7,7 @@ licence. Licence files also speak for their directory: a file without a licence
 deepest directory above it that has one. Only DataFrame operations are used; templates and their words are a fixed, small table.
 
 Defined results: a null or empty text has no licence of its own and may inherit; a null path inherits nothing; equal scores go to the
-first licence by name, several licence files of a directory to the best score, then the first path; rows that repeat a path
+first licence by name, a line that reserves all rights counts only beside no other licence, several licence files of a directory to the best score, then the first path; rows that repeat a path
 are scanned one by one; empty tables give empty results; further columns pass through `keep`.
 """
 
@@ -24,6 +24,8 @@ from .common import join_dimension, materialize
 
 THRESHOLD = 0.55
 CUE = r"(?i)licen[sc]e|copyright|permission|redistribut|warrant|spdx"
+#: Reserves all rights, and does not license anything: counts where a file has no other licence, and is not replaced by an inherited one.
+RESERVED, RESERVED_NAME, RESERVED_LINE = r"(?i)\ball\s+rights\s+(are\s+)?reserved\b", "LicenseRef-Proprietary", "All rights reserved."
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 
 #: Statements and header openings as they stand in files under these licences, by SPDX identifier.
@@ -46,6 +48,7 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    RESERVED_NAME: (RESERVED_LINE,),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
@@ -87,7 +90,7 @@ def _own(files: DataFrame, threshold: float) -> DataFrame:
     norms = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(templates), "word").groupBy("file", "unit", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["file", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= threshold)
-    best = scored.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("best"))
+    best = scored.groupBy("file").agg(F.min(F.struct((F.col("license") == RESERVED_NAME).alias("reserved"), (-F.col("score")).alias("less"), "license")).alias("best"))
     return best.select("file", F.col("best.license").alias("license"), (-F.col("best.less")).alias("score"))
 
 
@@ -97,12 +100,13 @@ def scan_licenses(files: DataFrame, path: Column, keep: list[str] | None = None,
     source = files.select(path.alias("path"), "text", *[F.col(c).alias(f"keep_{c}") for c in keep])
     #: A licence is looked for in these columns only: the cue lines, and whole texts of licence files; so texts are read once and shuffled nowhere.
     units = F.when(F.col("path").rlike(LICENSE_FILE), F.col("text")).alias("whole")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)).alias("lines")
+    reserved = F.when(F.col("text").rlike(RESERVED), F.array(F.lit(RESERVED_LINE))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)), reserved).alias("lines")
     rows = materialize(source.select(F.monotonically_increasing_id().alias("file"), "path", lines, units, *[f"keep_{c}" for c in keep]), "license-files")
     own = materialize(_own(rows, threshold), "licenses")
     named = rows.drop("lines", "whole").join(own, "file", "left")
     folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
-    first = F.min(F.struct((-F.col("score")).alias("less"), "path", "license"))
+    first = F.min(F.struct((F.col("license") == RESERVED_NAME).alias("reserved"), (-F.col("score")).alias("less"), "path", "license"))
     folders = named.filter(F.col("path").rlike(LICENSE_FILE) & F.col("license").isNotNull()).groupBy(folder(F.col("path")).alias("directory")).agg(first.alias("best"))
     folders = materialize(folders.select("directory", F.col("best.license").alias("theirs"), (-F.col("best.less")).alias("their_score")), "license-folders")
     parts = F.split("path", "/")
