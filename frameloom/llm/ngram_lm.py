@@ -1,14 +1,18 @@
 """Language-model scores: an interpolated modified Kneser-Ney bigram model, counted in Spark.
 
 Words are counted first; their 64-bit hashes, sorted, are the vocabulary, and a word's place there is its id. Pairs of ids
-are then counted, dealt by the first word, so that all that follows a word is in one shard and its totals are final
-there. Every shard is written to the shared folder as sorted arrays (keys, counts, totals by context). Scoring tasks map
-these files into memory and look up the sorted distinct keys of a batch by binary search: what a worker touches is paged
-in, nothing is loaded whole, and nothing passes through the driver but a row per shard and a dozen sums.
+are then counted, dealt to shards by a hash of the whole pair, so that what follows a frequent word is spread like
+everything else. Every shard is written to the shared folder as arrays sorted by that hash. What the shards know of a word (the
+totals of the pairs it begins, the number of different pairs that end in it) is summed up in a second aggregation, and written as
+arrays by id. Scoring tasks map these files into memory and look up the distinct keys of a batch by binary search: what a
+worker touches is paged in, nothing is loaded whole, and nothing passes through the driver but a row per shard and a dozen sums.
 
 p(w | v) = max(c(v, w) - D(c), 0) / c(v) + g(v) * p(w), where p(w) does the same with the number of different words that w
 follows, above 1 / (V + 1) for each word, known or not. After an unknown word p(w) alone counts.
 
+Counts are of 64 bits, files as narrow as their largest count allows; ids may be as many as hashes. A pair's key is a hash of 64 bits:
+of 10^12 pairs some tens of thousands share a key with another and count together.
+
 Defined results: null and empty texts are one end token; a null doc_id hashes as the empty text; rows that repeat are counted and
 scored as often as they come; with no training text every token has probability 1; other columns are not looked at.
 """
@@ -17,7 +21,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -34,8 +38,8 @@ from .common import doc_remainder, materialize, scratch_path
 FOLD, FOLDS = 1, 5
 #: Bytes of text that a task works on at a time.
 BATCH_BYTES = 4 << 20
-#: Words in a shard of the vocabulary and tokens for a shard of pairs, the latter within bounds.
-VOCABULARY_SHARD, PAIR_SHARD, PAIR_SHARDS = 1 << 22, 1_500_000, (4, 256)
+#: Words in a shard of the vocabulary, tokens for a shard of pairs, and the least number of the latter.
+VOCABULARY_SHARD, PAIR_SHARD, LEAST_SHARDS = 1 << 20, 1_500_000, 32
 #: The end of a text; no word has a space.
 END = np.uint64(xxhash.xxh64_intdigest(b" end")).view(np.int64)
 
@@ -117,19 +121,19 @@ class Vocabulary:
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of sorted ids; 0 for -1."""
-        return _gather(self.root, "count", self.starts, ids, "i8")
+        return _gather(self.root, "count", self.starts, ids, ["i8"] * len(self.starts))
 
 
-def _gather(root: str, name: str, starts: Iterable[int], ids: np.ndarray, dtype: str) -> np.ndarray:
+def _gather(root: str, name: str, starts: Iterable[int], ids: np.ndarray, kinds: Sequence[str]) -> np.ndarray:
     out, starts = np.zeros(len(ids), np.int64), np.array(list(starts), np.int64)
     shard = np.searchsorted(starts, ids, side="right") - 1
     for k in np.unique(shard[ids >= 0]).tolist():
         own = (shard == k) & (ids >= 0)
-        out[own] = _mapped(f"{root}/{name}-{k}", dtype)[ids[own] - starts[k]]
+        out[own] = _mapped(f"{root}/{name}-{k}", kinds[k])[ids[own] - starts[k]]
     return out
 
 
-@lru_cache(maxsize=2048)
+@lru_cache(maxsize=4096)
 def _mapped(uri: str, dtype: str) -> np.ndarray:
     return map_array(uri, dtype)
 
@@ -201,46 +205,71 @@ def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
 
+def pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """64 hash bits of each pair, without a sign."""
+    out = np.zeros(len(ids), np.uint64)
+    for part in (before, ids):
+        out += part.astype(np.uint64) + np.uint64(1)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _narrow(n: np.ndarray) -> str:
+    """The narrowest kind of number that holds all counts."""
+    most = int(n.max(initial=0))
+    return next(kind for kind, bits in (("u1", 8), ("u2", 16), ("u4", 32), ("u8", 64)) if most < 1 << bits)
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: Vocabulary
     root: str
     shards: int
-    follow_shards: tuple[int, ...] = ()
+    kinds: tuple[str, ...] = ()  # of the shards' counts, empty for a shard without pairs
+    word_shards: tuple[int, ...] = ()  # first ids
+    word_kinds: dict[str, tuple[str, ...]] = field(default_factory=dict)
     pair_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     word_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     pairs: int = 0  # distinct ones
     word_rest: float = 1.0  # what the words' discounts leave to unknown ones
-    extra: dict = field(default_factory=dict)
+
+    def _of_words(self, name: str, ids: np.ndarray) -> np.ndarray:
+        return _gather(self.root, name, self.word_shards, ids, self.word_kinds.get(name, ()))
 
     def word_p(self, ids: np.ndarray) -> np.ndarray:
         """p(w) of sorted ids."""
         rest = self.word_rest / (self.vocabulary.size + 1)
         if not self.pairs:
             return np.full(len(ids), rest)
-        after = _gather(self.root, "follows", self.follow_shards, ids, "i8")
+        after = self._of_words("follows", ids)
         return _discounted(after, self.word_discounts) / self.pairs + rest
 
     def pair_parts(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """max(c - D, 0) / c(v) and g(v) of pairs that are sorted by key; 0 and 1 after an unknown word."""
-        own, rest = np.zeros(len(ids)), np.ones(len(ids))
-        key, shard = before << 32 | np.maximum(ids, 0), np.where(before >= 0, before % self.shards, -1)
+        """max(c - D, 0) / c(v) and g(v) of pairs sorted by their first word; 0 and 1 after an unknown word."""
+        totals = [self._of_words(name, before) for name in ("total", "once", "twice", "more")]
+        total, d = np.maximum(totals[0], 1), self.pair_discounts
+        rest = np.where(totals[0] > 0, (d[0] * totals[1] + d[1] * totals[2] + d[2] * totals[3]) / total, 1.0)
+        c, both = np.zeros(len(ids), np.int64), np.flatnonzero((before >= 0) & (ids >= 0))
+        key = pair_keys(before[both], ids[both])
+        order = np.argsort(key)
+        key, both = key[order], both[order]
+        shard = (key % np.uint64(self.shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self.shards + 1)).tolist()
-        d = self.pair_discounts
-        for k in range(self.shards):
+        for k in np.unique(shard).tolist():
             at = order[bounds[k] : bounds[k + 1]]
-            if not len(at):
-                continue
-            place = _places(_mapped(f"{self.root}/context-{k}", "i8"), before[at])
-            at, place = at[place >= 0], place[place >= 0]
-            total, once, twice, more = _mapped(f"{self.root}/totals-{k}", "i8").reshape(-1, 4)[place].T
-            rest[at] = (d[0] * once + d[1] * twice + d[2] * more) / total
-            found = _places(_mapped(f"{self.root}/pair-{k}", "i8"), key[at])
-            found = np.where(ids[at] >= 0, found, -1)
-            c = np.where(found >= 0, _mapped(f"{self.root}/paircount-{k}", "i4")[np.maximum(found, 0)], 0)
-            own[at] = _discounted(c, d) / total
-        return own, rest
+            if self.kinds[k]:
+                place = _places(_mapped(f"{self.root}/pair-{k}", "u8"), key[at])
+                c[both[at]] = np.where(place >= 0, _mapped(f"{self.root}/paircount-{k}", self.kinds[k])[np.maximum(place, 0)], 0)
+        return np.where(totals[0] > 0, _discounted(c, d) / total, 0.0), rest
+
+
+#: Rows of what the shards know: a word's sums; or, under ids below 0, counts of counts and the kind of a shard's counts.
+_SUMS = ("total", "once", "twice", "more", "follows")
+_OF_COUNTS, _OF_SHARDS = -2, -10
 
 
 def build_model(texts: DataFrame) -> Model:
@@ -249,72 +278,90 @@ def build_model(texts: DataFrame) -> Model:
     vocabulary = build_vocabulary(texts, root)
     if not vocabulary.size:
         return Model(vocabulary, root, 1)
-    shards = int(np.clip(vocabulary.tokens // PAIR_SHARD, *PAIR_SHARDS))
+    shards = max(LEAST_SHARDS, vocabulary.tokens // PAIR_SHARD)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, hashes, sizes in _batches(batch, 0):
                 before, ids = _pairs(vocabulary, hashes, sizes)
-                yield _chunk_counts(before << 32 | ids, "pair")
+                order = np.lexsort((ids, before))
+                before, ids = before[order], ids[order]
+                start = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (ids[1:] != ids[:-1])])
+                n, before, ids = np.diff(np.r_[start, len(ids)]), before[start], ids[start]
+                shard = (pair_keys(before, ids) % np.uint64(shards)).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (shard, before, ids, n)], names=["shard", "v", "w", "n"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (id, n, kind): kind 0, n pairs end in the word; kind k > 0, n pairs came k times."""
-        names = ["id", "n", "kind"]
-        for k, keys, n in _by_shard(batches):
-            before = keys >> 32
-            start = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
-            sums = [np.add.reduceat(x, start) for x in (n, n == 1, n == 2, n >= 3)]
-            write_array(f"{root}/pair-{k}", keys)
-            write_array(f"{root}/paircount-{k}", np.minimum(n, 2**31 - 1).astype(np.int32))
-            write_array(f"{root}/context-{k}", before[start])
-            write_array(f"{root}/totals-{k}", np.stack(sums, 1).astype(np.int64))
-            word, follows = np.unique(keys & 0xFFFFFFFF, return_counts=True)
-            for a in range(0, len(word), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(word[a : a + 500_000]), pa.array(follows[a : a + 500_000]), pa.array(np.zeros(len(word[a : a + 500_000]), np.int32))], names=names)
-            few = np.bincount(n[n <= 4], minlength=5)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(4, np.int64)), pa.array(few), pa.array(np.arange(1, 5, dtype=np.int32))], names=names)
-
-    shard = (F.shiftright("pair", 32) % shards).cast("int").alias("shard")
-    counted = texts.select("text").mapInArrow(count, "pair long, n long").select(shard, "pair", "n").repartition(shards, "shard")
-    counted = counted.groupBy("shard", "pair").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "pair")
-    sums = materialize(counted.mapInArrow(write, "id long, n long, kind int"), "lm-sums")
-    few = {r["kind"]: r["n"] for r in sums.filter("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    follows = materialize(sums.filter("kind = 0").groupBy("id").agg(F.sum("n").alias("n")), "lm-follows")
-    stats = follows.agg(F.sum("n"), *(F.count_if(F.col("n") == k) for k in range(1, 5)), F.count_if(F.col("n") >= 3)).first()
+        """Rows (id, and _SUMS) of each shard."""
+        names = ["id", *_SUMS]
+        rows = lambda ids, *sums: pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (ids, *sums)], names=names)
+        for k, v, w, n in _by_shard(batches):
+            key = pair_keys(v, w)
+            order = np.argsort(key)
+            kind = _narrow(n)
+            write_array(f"{root}/pair-{k}", key[order])
+            write_array(f"{root}/paircount-{k}", n[order].astype(kind))
+            order = np.argsort(v, kind="stable")
+            v, sorted_n = v[order], n[order]
+            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            sums = [np.add.reduceat(x.astype(np.int64), start) for x in (sorted_n, sorted_n == 1, sorted_n == 2, sorted_n >= 3)]
+            word, follows = np.unique(w, return_counts=True)
+            ids = np.union1d(v[start], word)
+            columns = np.zeros((5, len(ids)), np.int64)
+            columns[:4, np.searchsorted(ids, v[start])] = sums
+            columns[4, np.searchsorted(ids, word)] = follows
+            for a in range(0, len(ids), 500_000):
+                yield rows(ids[a : a + 500_000], *columns[:, a : a + 500_000])
+            few, none = np.bincount(n[n <= 4], minlength=5)[1:], np.zeros(4, np.int64)
+            yield rows(_OF_COUNTS - np.arange(4), few, none, none, none, none)
+            yield rows([_OF_SHARDS - k], [int(kind[1])], *[[0]] * 4)
+
+    counted = texts.select("text").mapInArrow(count, "shard int, v long, w long, n long").repartition(shards, "shard")
+    counted = counted.groupBy("shard", "v", "w").agg(F.sum("n").alias("n")).sortWithinPartitions("shard")
+    sums = counted.mapInArrow(write, ", ".join(f"{c} long" for c in ("id", *_SUMS))).groupBy("id").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    sums = materialize(sums, "lm-sums")
+    marks = dict(sums.filter("id < 0").select("id", "total").collect())  # a row per shard, and four
+    kinds = tuple(f"u{marks[_OF_SHARDS - k]}" if _OF_SHARDS - k in marks else "" for k in range(shards))
+    f = F.col("follows")
+    stats = sums.filter("id >= 0").agg(F.sum(f), *(F.count_if(f == k) for k in range(1, 5)), F.count_if(f >= 3)).first()
     d = _discounts(list(stats[1:5]))
 
-    def write_follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, ids, n in _by_shard(batches):
-            dense = np.zeros(int(ids[-1]) % VOCABULARY_SHARD + 1, np.int64)
-            dense[ids % VOCABULARY_SHARD] = n
-            write_array(f"{root}/follows-{k}", dense)
-            yield pa.RecordBatch.from_arrays([pa.array([k])], names=["k"])
-
-    block = F.shiftright("id", VOCABULARY_SHARD.bit_length() - 1).cast("int").alias("shard")
-    blocks = -(-vocabulary.size // VOCABULARY_SHARD)
-    done = follows.select(block, "id", "n").repartition(blocks, "shard").sortWithinPartitions("shard", "id").mapInArrow(write_follows, "k long").count()
-    assert done == blocks
+    def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, ids, *columns in _by_shard(batches):
+            kinds = [_narrow(c) for c in columns]
+            for name, values, kind in zip(_SUMS, columns, kinds, strict=True):
+                dense = np.zeros(int(ids.max()) % VOCABULARY_SHARD + 1, kind)
+                dense[ids % VOCABULARY_SHARD] = values
+                write_array(f"{root}/{name}-{k}", dense)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (k, *kinds)], names=["k", *_SUMS])
+
+    block = F.shiftright("id", VOCABULARY_SHARD.bit_length() - 1).alias("shard")
+    blocks = vocabulary.size // VOCABULARY_SHARD + 1  # the start of a text has an id of its own, after all words
+    done = sums.filter("id >= 0").select(block, "id", *_SUMS).repartition(blocks, "shard").sortWithinPartitions("shard").mapInArrow(write_words, ", ".join(["k long", *(f"{c} string" for c in _SUMS)]))
+    done = sorted(map(tuple, done.collect()))  # a row per million words
+    if len(done) != blocks:
+        raise RuntimeError(f"{len(done)} of {blocks} blocks of words were written")
     return Model(
-        vocabulary, root, shards, tuple(k * VOCABULARY_SHARD for k in range(blocks)), _discounts([few.get(k, 0) for k in range(1, 5)]), d,
+        vocabulary, root, shards, kinds, tuple(k * VOCABULARY_SHARD for k in range(blocks)), {c: tuple(r[i + 1] for r in done) for i, c in enumerate(_SUMS)}, _discounts([marks.get(_OF_COUNTS - k, 0) for k in range(4)]), d,
         int(stats[0]), (d[0] * stats[1] + d[1] * stats[2] + d[2] * stats[5]) / stats[0],
     )
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, n) of batches (shard, key, n) sorted by shard and key."""
-    shard, keys, counts = None, [], []
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(shard, column, ...) of batches sorted by shard, their first column."""
+    shard, parts = None, []
     for batch in batches:
-        s, key, n = (c.to_numpy() for c in batch.columns)
+        s, *columns = (c.to_numpy() for c in batch.columns)
         cut = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)] if len(s) else [0]
         for a, b in zip(cut, cut[1:], strict=False):
-            if keys and s[a] != shard:
-                yield int(shard), np.concatenate(keys), np.concatenate(counts)
-                keys, counts = [], []
+            if parts and s[a] != shard:
+                yield int(shard), *map(np.concatenate, zip(*parts, strict=True))
+                parts = []
             shard = s[a]
-            keys.append(key[a:b])
-            counts.append(n[a:b])
-    if keys:
-        yield int(shard), np.concatenate(keys), np.concatenate(counts)
+            parts.append([c[a:b] for c in columns])
+    if parts:
+        yield int(shard), *map(np.concatenate, zip(*parts, strict=True))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -329,8 +376,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 distinct, back = np.unique(ids, return_inverse=True)
                 c, p = words.counts(distinct), model.word_p(distinct)
                 base = np.log10((c + 0.5) / (words.tokens + 0.5 * (words.size + 1)))
-                key, which = np.unique(before + 1 << 32 | ids + 1, return_inverse=True)
-                own, rest = model.pair_parts((key >> 32) - 1, (key & 0xFFFFFFFF) - 1)
+                order = np.lexsort((ids, before))
+                new = np.r_[True, (before[order][1:] != before[order][:-1]) | (ids[order][1:] != ids[order][:-1])]
+                which = np.empty(len(order), np.int64)
+                which[order] = np.cumsum(new) - 1
+                own, rest = model.pair_parts(before[order][new], ids[order][new])
                 score = np.log10(own[which] + rest[which] * p[back])
                 start = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
