@@ -3,16 +3,19 @@
 A vector is cut into LISTS slices; a pair's score is the sum of its slices' scores, and each slice has a local score list per
 query. Phase 1 takes every list's local best and resolves them exactly: the (k+1)-th best of these is a safe cutoff t, for so
 many pairs reach it. Phase 2 sends t to every list, which answers with its entries of t / LISTS and more: a pair that
-reaches t must be among them in one list at least. Phase 3 adds up what came; where a list is silent its entry is below
-t / LISTS, which rules most pairs out, and the slices of the rest are looked up.
+reaches t must be among them in one list at least. Phase 3 resolves the pairs that answered exactly, and keeps those that reach t.
+
+Lists are computed in cells of a bounded number of queries and candidates, each a task's matrix products. All lists of a block of
+candidates stand in one cell, so what phases 1 and 2 gather is summed there, before any shuffle: phase 1 sends k+1 rows
+a query and cell at most, and phase 2 only pairs whose whole score reaches the cutoff, k+1 a query and its ties, whatever the number of
+candidates. The products themselves grow with queries times candidates, as the stated query set has it.
 
 Equal vectors are one candidate that carries its k+1 smallest ids, and one query, so a vector that makes up a third of the table
-is compared once. Lists are computed in blocks of a bounded number of queries and candidates, each a task's matrix product;
-the query set is stated, a share of the table, so this work grows with both.
+is compared once.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; vectors of another
-length than the query's are no candidates of it; ties go to smaller ids, equal ids among them by place; repeated rows are
-candidates each; no candidates, no rows; other columns are not looked at.
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; components whose scaled floor
+leaves 64 bits are held at its ends; vectors of another length than the query's are no candidates of it; ties go to smaller ids,
+equal ids among them by place; repeated rows are candidates each; no candidates, no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from .common import materialize
 
 TOP, LISTS, SCALE, QUERY_EVERY = 5, 2, 256, 50
 #: Rows of a block's matrix, and its columns.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 
 
 def quantized(vector: Column, scale: int = SCALE) -> Column:
@@ -52,45 +55,50 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _cells(queries: DataFrame, candidates: DataFrame, n_queries: int, n_candidates: int, lists: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides dealt to cells of (dim, list, query block, candidate block), each with its slice of the vector."""
+def _slices(size: int, lists: int) -> list[slice]:
+    return [slice(i * size // lists, (i + 1) * size // lists) for i in range(lists)]
+
+
+def _cells(queries: DataFrame, candidates: DataFrame, n_queries: int, n_candidates: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt to cells of (dim, query block, candidate block)."""
     qs, cs = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_candidates // CANDIDATE_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = F.expr(f"slice(q, int(list * size(q) div {lists}) + 1, int((list + 1) * size(q) div {lists}) - int(list * size(q) div {lists})) as part")
-    left = queries.withColumn("list", every(lists)).withColumn("qb", block(qs)).withColumn("cb", every(cs))
-    right = candidates.withColumn("list", every(lists)).withColumn("cb", block(cs)).withColumn("qb", every(qs))
-    keys = ["dim", "list", "qb", "cb"]
-    return left.select(*keys, F.col("cid").alias("query"), "cutoff", part), right.select(*keys, "cid", part), keys
+    left = queries.withColumn("qb", block(qs)).withColumn("cb", every(cs))
+    right = candidates.withColumn("cb", block(cs)).withColumn("qb", every(qs))
+    keys = ["dim", "qb", "cb"]
+    return left.select(*keys, F.col("cid").alias("query"), "cutoff", "q"), right.select(*keys, "cid", "q"), keys
 
 
 def _answers(queries: DataFrame, candidates: DataFrame, n_queries: int, n_candidates: int, lists: int, best: int | None) -> DataFrame:
-    """(query, cid, list, partial): each list's `best` entries of a cell, or those that reach the query's cutoff / lists."""
+    """(query, cid, score): of each cell the `best` resolved pairs of a query among its lists' `best` entries; or all that reach the query's cutoff."""
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = {"query": np.int64, "cid": np.int64, "list": np.int32, "partial": np.int64}
         if not len(left) or not len(right):
-            return pd.DataFrame({c: np.empty(0, t) for c, t in names.items()})
-        scores = _products(_matrix(left["part"]), _matrix(right["part"]))
-        if best is not None:
-            if scores.shape[1] > best:
-                column = np.argpartition(-scores, best - 1, axis=1)[:, :best].ravel()
-                row = np.repeat(np.arange(len(scores)), best)
-            else:
-                row, column = (x.ravel() for x in np.indices(scores.shape))
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query", "cid", "score")})
+        a, b = _matrix(left["q"]), _matrix(right["q"])
+        parts = [_products(a[:, s], b[:, s]) for s in _slices(a.shape[1], lists)]
+        whole = sum(parts[1:], parts[0])
+        if best is None:
+            cutoff = left["cutoff"].to_numpy(np.int64)[:, None]
+            named = np.zeros(whole.shape, bool)
+            for part in parts:  # a list answers with what is at its share of the cutoff
+                named |= part >= -(-cutoff // lists)
+            row, column = np.nonzero(named & (whole >= cutoff))
         else:
-            row, column = np.nonzero(scores * lists >= left["cutoff"].to_numpy(np.int64)[:, None])
-        return pd.DataFrame({"query": left["query"].to_numpy()[row], "cid": right["cid"].to_numpy()[column], "list": np.full(len(row), left["list"].iloc[0], np.int32), "partial": scores[row, column]})
+            named = np.concatenate([np.argpartition(-part, best - 1, axis=1)[:, :best] if part.shape[1] > best else np.tile(np.arange(part.shape[1]), (len(part), 1)) for part in parts], 1)
+            named.sort(1)
+            twice = np.zeros(named.shape, bool)
+            twice[:, 1:] = named[:, 1:] == named[:, :-1]
+            resolved = np.where(twice, np.iinfo(np.int64).min, np.take_along_axis(whole, named, 1))
+            order = np.argsort(-resolved.astype(np.float64), axis=1, kind="stable")[:, :best]
+            row = np.repeat(np.arange(len(whole)), order.shape[1])
+            column, fresh = np.take_along_axis(named, order, 1).ravel(), ~np.take_along_axis(twice, order, 1).ravel()
+            row, column = row[fresh], column[fresh]
+        return pd.DataFrame({"query": left["query"].to_numpy()[row], "cid": right["cid"].to_numpy()[column], "score": whole[row, column]})
 
-    left, right, keys = _cells(queries, candidates, n_queries, n_candidates, lists)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query long, cid long, list int, partial long")
-
-
-def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs (query, cid) with the score of their whole vectors."""
-    a, b = vectors.select(F.col("cid").alias("query"), F.col("q").alias("qa")), vectors.select("cid", F.col("q").alias("qb"))
-    dot = F.aggregate(F.zip_with("qa", "qb", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    return pairs.join(a, "query").join(b, "cid").select("query", "cid", dot.alias("score"))
+    left, right, keys = _cells(queries, candidates, n_queries, n_candidates)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query long, cid long, score long")
 
 
 def top_scores(rows: DataFrame, is_query: Column, k: int = TOP, lists: int = LISTS, scale: int = SCALE) -> DataFrame:
@@ -105,20 +113,12 @@ def top_scores(rows: DataFrame, is_query: Column, k: int = TOP, lists: int = LIS
     n_queries, n_candidates = queries.count(), classes.count()
 
     bare = queries.withColumn("cutoff", F.lit(0).cast("long"))
-    first = _answers(bare, classes, n_queries, n_candidates, lists, k + 1)
-    best = F.row_number().over(W.partitionBy("query", "list").orderBy(F.desc("partial"), "cid"))
-    tried = _exact(first.withColumn("n", best).filter(F.col("n") <= k + 1).select("query", "cid").distinct(), classes)
+    tried = _answers(bare, classes, n_queries, n_candidates, lists, k + 1)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "cid"))
     safe = tried.withColumn("n", place).filter(F.col("n") == k + 1).select(F.col("query").alias("cid"), F.col("score").alias("cutoff"))
     lowest = F.lit(-(1 << 61))  # fewer candidates than asked for: all of them
     bounded = materialize(queries.join(safe, "cid", "left").withColumn("cutoff", F.coalesce("cutoff", lowest)), "cutoffs")
-
-    seen = _answers(bounded, classes, n_queries, n_candidates, lists, None).groupBy("query", "cid").agg(F.sum("partial").alias("sum"), F.count("*").alias("n"))
-    cutoff = bounded.select(F.col("cid").alias("query"), "cutoff")
-    below = F.ceil(F.col("cutoff") / lists) - 1  # the most that a silent list's entry can be
-    alive = materialize(seen.join(cutoff, "query").filter(F.col("sum") + (lists - F.col("n")) * below >= F.col("cutoff")), "alive")
-    whole = alive.filter(F.col("n") == lists).select("query", "cid", F.col("sum").alias("score"))
-    resolved = whole.union(_exact(alive.filter(F.col("n") < lists).select("query", "cid"), classes))
+    resolved = _answers(bounded, classes, n_queries, n_candidates, lists, None)
 
     ranked = resolved.withColumn("n", F.dense_rank().over(W.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("n") <= k + 1)
     entries = ranked.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
