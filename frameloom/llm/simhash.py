@@ -8,8 +8,9 @@ the 64 bits are cut into segments of 22, 21 and 21 bits, and 4 errors leave one
 * Each has one at least, so two have exactly 1 each. There one side's nearest codeword is among the other's keys. Key: those of
   both segments (24 bits, three pairs); rows come in two kinds and only unlike kinds meet.
 
-Distinct fingerprints alone are joined, on these keys, and each meeting is checked by counting bits inside the join. The
-links then go through distributed components. Copies never meet as pairs: they share a fingerprint.
+Distinct fingerprints alone are joined, on these keys, and each meeting is checked by counting bits inside the join. For groups
+a star of each key comes first and pairs only where stars leave a key in several parts; keys that many fingerprints share are
+joined by broadcast. The links then go through distributed components. Copies never meet as pairs: they share a fingerprint.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a null doc_id takes part, and is a
 component's id only where all of its ids are null; repeated rows get one result each; empty tables give empty results;
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import map_texts, materialize
+from .common import discard, join_groups, materialize
 from .components import components
 
 #: The contract of op3: words of a shingle, seed of its hash, and bits that may differ.
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _key_rows(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -115,14 +116,40 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return same.union(unlike).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
+def group_links(fps: DataFrame, most: int = MOST) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints within `most` bits, enough of them to connect all that such pairs connect.
+
+    First each fingerprint is compared with the smallest one of each of its keys only, which links most of a large group without its pairs. Then
+    those that share a key but are not connected yet are compared with each other; those of a key's largest component only with the others.
+    """
+    if most > MOST:
+        raise ValueError(f"keys are safe up to {MOST} bits")
+    keyed = materialize(fuzzy_keys(fps), "golay-keys")
+    shared = materialize(keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "golay-hubs")
+    members = materialize(join_groups(keyed, shared, ["key"], "n"), "golay-members")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+    stars = materialize(members.filter(F.col("fp") != F.col("hub")).filter(near("fp", "hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "golay-stars")
+    roots = components(stars)
+    named = materialize(members.select("fp", "key", "kind").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "key", "kind", F.coalesce("root", "fp").alias("root")), "golay-named")
+    counted = named.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = materialize(counted.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.max_by("root", "c").alias("main")).filter("roots > 1"), "golay-mixed")
+    rest = materialize(join_groups(named, mixed, ["key"], "n"), "golay-rest")
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp")))
+    meet &= ((F.col("a.kind") == 0) | (F.col("a.kind") != F.col("b.kind"))) & near("a.fp", "b.fp")
+    more = materialize(rest.filter("root <> main").alias("a").join(rest.alias("b"), meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "golay-links")
+    discard(keyed, shared, members, named, mixed, rest)
+    return stars.union(more)
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """Per row of docs: doc_id, fp, component_id (smallest doc_id reachable by links)."""
     marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct, most))
-    placed = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    roots = components(group_links(distinct, most))
+    placed = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    sizes = materialize(placed.join(least, "root").select("fp", "component_id", "n"), "component-ids")
+    return join_groups(marked, sizes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
