@@ -1,15 +1,17 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
-Texts (white-space runs replaced by one space) are cut into blocks of fixed size. The distinct blocks are sorted and numbered,
-so that a block's name is an integer; then adjacent names are paired and the distinct pairs numbered again, until each document
-has one name. Equal names mean equal texts, and nothing else does.
+Texts (white-space runs replaced by one space) are cut into blocks of fixed size. The distinct blocks are sorted by their keys and
+numbered, so that a block's name is its rank, whatever the number of partitions; then adjacent names are paired and the
+distinct pairs sorted and numbered again, until each document has one name. Equal names mean equal texts, and nothing else does.
 
 The blocks themselves are shuffled once, deduplicated before the shuffle, to find the distinct ones. Rows refer to a block by
-128 hash bits, which is safe only while no two distinct blocks share them: that is counted on every run over all the
-blocks, and the hash is drawn again with another salt should it ever happen, so identities stay free of collisions.
+its key of 128 hash bits, which is safe only while no two distinct blocks share one: that is counted on every run over all the
+blocks, and the hash is drawn again with another salt should it ever happen, so identities stay free of collisions. Blocks,
+pairs and texts that make up over a thousandth of all rows are joined by broadcast, so that none of them is a hot key.
 
 Defined results: null and empty texts are equal; rows repeating both doc_id and text are copies of which one stays; a null
-doc_id is last among the candidates to stay; empty tables give empty results; other columns are not looked at.
+doc_id is last among the candidates to stay; empty tables give empty results; other columns are not looked at, and
+drop_exact_copies passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, join_groups, materialize
+from .common import SPACE_RUN, join_groups, materialize, numbered
 
 BLOCK_CHARS = 8192
 
@@ -37,26 +39,21 @@ def _keys(block: Column, salt: int) -> list[Column]:
     return [F.xxhash64(F.lit(2 * salt), block), F.xxhash64(F.lit(2 * salt + 1), block)]
 
 
-def _named(distinct: DataFrame, *by: str) -> DataFrame:
-    """Distinct rows, sorted, with integer names; written, so that names do not change when a task is run again."""
-    return materialize(distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "block-names")
-
-
 def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: uid, doc_id, text_sha256 (of the normalised text), level, name. Texts are equal when level and name are."""
     text = docs.select("doc_id", normalized(F.col("text")).alias("text"))
     for salt in count():
         blocks = text.select(F.explode(_blocks(F.col("text"), block_chars)).alias("block"))
         a, b = _keys(F.col("block"), salt)
-        distinct = blocks.groupBy("block").agg(F.first(a).alias("a"), F.first(b).alias("b"))
-        names = _named(distinct.groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b")
+        distinct = blocks.groupBy("block").agg(F.first(a).alias("a"), F.first(b).alias("b"), F.count("*").alias("rows"))
+        names = numbered(distinct.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")), "a", "b", tag="block-names")
         if names.filter("n > 1").isEmpty():
             break
     keys = F.transform(_blocks(F.col("text"), block_chars), lambda x: F.struct(*[k.alias(c) for k, c in zip(_keys(x, salt), "ab", strict=True)]))
     rows = materialize(text.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2("text", 256).alias("text_sha256"), keys.alias("keys")), "block-keys")
 
     at = rows.select("uid", F.size("keys").alias("n"), F.posexplode("keys").alias("i", "key")).select("uid", "n", "i", F.col("key.a"), F.col("key.b"))
-    level, named = 0, materialize(at.join(names.drop("n"), ["a", "b"]).select("uid", "n", "i", "name"), "block-level")
+    level, named = 0, materialize(join_groups(at, names.drop("n"), ["a", "b"], "rows").select("uid", "n", "i", "name"), "block-level")
     done = []
     while True:
         done.append(named.filter("n = 1").select("uid", F.lit(level).alias("level"), "name"))
@@ -66,8 +63,8 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             F.expr("int((max(n) + 1) div 2)").alias("n"), F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
         )
         pairs = materialize(pairs, "block-pairs")
-        names = _named(pairs.select("left", "right").distinct(), "left", "right")
-        level, named = level + 1, materialize(pairs.join(names, ["left", "right"]).select("uid", "n", "i", "name"), "block-level")
+        names = numbered(pairs.groupBy("left", "right").agg(F.count("*").alias("rows")), "left", "right", tag="pair-names")
+        level, named = level + 1, materialize(join_groups(pairs, names, ["left", "right"], "rows").select("uid", "n", "i", "name"), "block-level")
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
