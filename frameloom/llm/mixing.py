@@ -14,10 +14,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_dimension, materialize, word_count
+from .common import join_dimension, materialize, numbered, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -28,25 +27,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     """One row per source of (source, source_size) with its target and rate.
 
     Weights repeat along the sources in code-point order, null last. Targets share the total by weight and stop at cap times
-    the source's size; what that frees goes to the others by weight until none is above. With sources in ascending order of
-    cap * size / weight the capped ones are a prefix, so running sums give the final water level at once. The windows see one
-    row per source, after aggregation.
+    the source's size; what that frees goes to the others by weight until none is above. Each round is one aggregation over the
+    sources: the level that is left for those not stopped yet; it only rises, and a round that stops none is the last. Sources may be as many as
+    sites: they are numbered by ranges, and no task sees all of them.
     """
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("nth", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))).select(
-        "source", "source_size", weight.alias("weight"), (F.lit(float(cap)) * F.col("source_size")).alias("most")
-    )
-    every, before = W.partitionBy(), W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    levels = ranked.select(
-        "*",
-        ((F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))).alias("level"),
-    )
-    held = F.col("level") * F.col("weight") <= F.col("most")
-    water = F.max(F.when(held, F.col("level"))).over(every)
-    target = F.least(F.col("most"), F.coalesce(water, F.lit(float("inf"))) * F.col("weight"))
-    return levels.select("source", "source_size", target.alias("target")).withColumn(
-        "rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    )
+    order = F.struct(F.col("source").isNull().alias("none"), "source")
+    ranked = numbered(sizes.withColumn("__by", order), "__by", tag="mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("name") % len(weights) + 1).cast("int"))
+    most = F.lit(float(cap)) * F.col("source_size")
+    known = materialize(ranked.select("source", "source_size", weight.alias("weight"), most.alias("most")), "mix-weights")
+    level, before = 0.0, -1
+    while True:
+        held = F.col("most") < level * F.col("weight")
+        total, stopped, rest, n = known.agg(F.sum("source_size"), F.sum(F.when(held, F.col("most")).otherwise(0.0)), F.sum(F.when(held, 0.0).otherwise(F.col("weight"))), F.count_if(held)).first()
+        if n == before or not rest:
+            break
+        level, before = (total - stopped) / rest, n
+    target = F.least("most", F.lit(level) * F.col("weight"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
+    return known.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
