@@ -1,16 +1,17 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from labelled text, one good, one bad. A text is compressed with each; the difference of
-the two sizes over the text's own size tells which it resembles, and a logistic curve over it and the compressed share of
-the text, fitted on labelled texts that were held back from the dictionaries, turns it into a score between 0 and 1.
-
-The model is fitted on the driver from a bounded sample: at most SAMPLE_ROWS labelled rows, those of the lowest hash of
-their id, of which the middle SAMPLE_CHARS of each text are looked at; DICT_TEXTS of each label go to its dictionary. The corpus itself is scored whole,
-in one pass without a shuffle.
-
-Defined results: null and empty texts have a score too (the curve at 0); a null label is no label; rows that
-repeat a doc_id are scored one by one; with under six labelled texts of either class every score is the share of label 1 (0.5 if there are
-none); an empty table gives an empty result; other columns are not looked at.
+Two zstandard dictionaries are built from labelled text, one good, one bad. A text is cut into blocks of BLOCK bytes over its whole
+length, and each block is compressed with either; the difference of the two sums over the text's own size tells which it
+resembles, whatever its length. A logistic curve over it and the compressed share of the text, fitted on labelled texts that
+were held back from the dictionaries, turns it into a score between 0 and 1.
+
+The model is fitted on the driver from a bounded sample of labelled rows: at most SAMPLE_ROWS of them, those of the lowest hash of
+their id, one row of an id, whole texts. The corpus itself is scored whole, in one pass without a shuffle.
+
+Defined results: null and empty texts have a score too (the curve at 0); a null label or id is no label; of rows that repeat a
+sampled id the smallest text is learned from, and all of them are scored one by one; with under six labelled texts of either class
+every score is the share of label 1 (0.5 if there are none); an empty table gives an empty result; other columns are not looked
+at, and keep_good passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, map_texts
+from .common import doc_remainder
 
+#: The bound on labelled rows that are learned from.
 SAMPLE_ROWS = 5000
-SAMPLE_CHARS = 8000
-DICT_TEXTS = 1000
 DICT_BYTES = 64 << 10
+BLOCK = 8 << 10
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -66,25 +67,29 @@ class Measure:
     @staticmethod
     def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if data:
+            data.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
     def __call__(self, texts: Iterable) -> np.ndarray:
         """For buffers of texts; None stands for the empty one."""
         out = []
         for t in texts:
-            n = len(t) if t is not None else 0
-            good, bad = (len(self.good.compress(t)), len(self.bad.compress(t))) if n else (0, 0)
+            n, good, bad = len(t) if t is not None else 0, 0, 0
+            for at in range(0, n, BLOCK):
+                part = t[at : at + BLOCK] if n > BLOCK else t
+                good, bad = good + len(self.good.compress(part)), bad + len(self.bad.compress(part))
             out.append(((bad - good) / (n + 100), good / (n + 20)))
         return np.array(out).reshape(-1, 2)
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts' own end where there are too few to train on."""
+    """A trained dictionary, or the texts themselves where there are too few to train on."""
     parts = [t[a : a + 2000] for t in texts for a in range(0, len(t), 2000)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(parts)[-DICT_BYTES:]
+        return b"\n".join(parts)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> Curve:
@@ -109,23 +114,23 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if len(good) < 6 or len(bad) < 6:
         share = min(max(sum(y for _, y in texts) / len(texts), 1e-6), 1 - 1e-6) if texts else 0.5
         return Model(b"", b"", Curve(0.0, 0.0, float(np.log(share / (1 - share)))))
-    train = lambda x: _dictionary([t for i, t in enumerate(x) if i % 3][:DICT_TEXTS])
+    train = lambda x: _dictionary([t for i, t in enumerate(x) if i % 3])
     model = Model(train(good), train(bad), Curve(0.0, 0.0, 0.0))
     x = Measure(model)(good[::3] + bad[::3])
     return Model(model.good, model.bad, fit_curve(x, np.repeat([1.0, 0.0], [len(good[::3]), len(bad[::3])])))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """The bounded sample of labelled training rows. Its ids are chosen from the labels alone; they are few, so the texts are found without a shuffle."""
+def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
+    """The bounded sample of labelled training rows. Its ids are chosen from the labels alone; they are few, so the texts are found without a shuffle of all."""
     own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__label"))
-    own = own.filter("__id is not null and __label in (0, 1)").filter(doc_remainder(F.col("__id"), 5) != 0).dropDuplicates(["__id"])
+    own = own.filter("__id is not null and __label in (0, 1)").filter(doc_remainder(F.col("__id"), 5) != 0)
+    own = own.groupBy("__id").agg(F.min("__label").cast("int").alias("__label"))
     ids = [tuple(r) for r in own.orderBy(F.xxhash64("__id"), "__id").limit(rows).collect()]
     if not ids:
         return []
     few = docs.sparkSession.createDataFrame(ids, "__id long, __label int")
-    middle = F.expr(f"substring(text, int(greatest(1, (length(text) - {chars}) div 2)), {chars})")
-    found = docs.join(F.broadcast(few), docs["doc_id"] == few["__id"]).select("__id", middle.alias("text"), "__label")
-    seen = {i: (t, y) for i, t, y in sorted(found.collect(), key=lambda r: (r[0], r[1] or ""))}
+    found = docs.join(F.broadcast(few), docs["doc_id"] == few["__id"]).select("__id", F.coalesce(docs["text"], F.lit("")).alias("__text"), "__label")
+    seen = {i: (t, y) for i, y, t in found.groupBy("__id", "__label").agg(F.min("__text")).collect()}
     return [seen[i] for i, _ in ids if i in seen]
 
 
@@ -142,7 +147,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch, 1, measure))], names=["doc_id", "score"])
 
-    scored = map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", (doc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -156,4 +161,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch, at, measure) >= threshold))
 
-    return map_texts(docs, run, schema)
+    return docs.mapInArrow(run, schema)
