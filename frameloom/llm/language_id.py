@@ -4,8 +4,9 @@ Each word has features: the word itself (a lexicon entry), its first and last by
 into one table of weights per language. Learned transitions tie neighbouring words, so that forward-backward labels every
 word of a text, of mixed languages too; a document's language is the one with the largest share of its words.
 
-The field is fitted on the driver from a bounded sample, PER_LANGUAGE documents of each language, those of the lowest hash
-of their id, of which the middle SAMPLE_CHARS are looked at. The corpus is then labelled whole, in one pass without a shuffle.
+The field is fitted on the driver from a bounded sample of whole texts: PER_LANGUAGE documents of each language, those of the lowest
+hash of their id, and SAMPLE_ROWS in all (beyond that languages share evenly, one row each of up to SAMPLE_ROWS languages). The
+corpus is then labelled whole, in one pass without a shuffle.
 Forward-backward runs over all chunks of a batch's texts at a time: the chunks' transfer matrices first, then the texts'
 chunk ends, then the words within; long texts cost no more per word than short ones.
 
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from .common import doc_remainder
 
 FOLD, FOLDS = 1, 3
-PER_LANGUAGE, MOST_LANGUAGES, SAMPLE_CHARS = 150, 200, 5000
+#: The bound on labelled rows that are learned from: so many of a language, and in all.
+PER_LANGUAGE, SAMPLE_ROWS = 150, 30_000
 TABLE_BITS = 16
 EPOCHS, RATE, RIDGE = 25, 0.15, 1e-4
+#: Fitting ends early where an epoch improves the mean log posterior of the words' languages by less.
+LEAST_GAIN = 5e-4
 CHUNK = 64
 BATCH_CHARS = 1 << 20
 UND = "und"
@@ -195,10 +199,14 @@ def fit(rows: list[tuple[str, str]]) -> Field | None:
     slots, values, first = features = word_features(words.words)
     owner = np.repeat(np.arange(len(words.words)), np.diff(np.r_[first, len(slots)]))
     stays = np.diag(np.bincount(gold, minlength=n) - np.bincount([y for _, y in kept], minlength=n)).astype(float)
-    total, params = len(tokens), [weights, moves]
+    total, params, before = len(tokens), [weights, moves], -np.inf
     one, two = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for epoch in range(1, EPOCHS + 1):
         post, expected = forward_backward(_exp(_scores(weights, features))[tokens], sizes, np.exp(moves))
+        now = float(np.log(np.maximum(post[np.arange(total), gold], 1e-12)).mean())
+        if epoch > 5 and now - before < LEAST_GAIN:
+            break
+        before = now
         post[np.arange(total), gold] -= 1
         by_word = np.stack([np.bincount(tokens, post[:, k], len(words.words)) for k in range(n)], 1)
         by_word[0] = 0
@@ -210,19 +218,18 @@ def fit(rows: list[tuple[str, str]]) -> Field | None:
     return Field(languages, weights.astype(np.float32), moves)
 
 
-def fit_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """The bounded training sample: ids first, from the narrow columns, then their texts without a shuffle."""
+def fit_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """The bounded training sample: ids first, from the narrow columns, then their whole texts without a shuffle of all. Of rows that repeat an id and language the smallest text counts."""
     narrow = docs.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).filter("__id is not null and __lang is not null")
     narrow = narrow.filter(doc_remainder(F.col("__id"), FOLDS) != FOLD).withColumn("__h", F.xxhash64("__id"))
-    nth = F.row_number().over(W.partitionBy("__lang").orderBy("__h", "__id"))
-    drawn = narrow.withColumn("__n", nth).filter(F.col("__n") <= per_language).orderBy("__n", "__lang").limit(per_language * MOST_LANGUAGES)
+    nth = F.dense_rank().over(W.partitionBy("__lang").orderBy("__h", "__id"))
+    drawn = narrow.withColumn("__n", nth).filter(F.col("__n") <= per_language).distinct().orderBy("__n", "__lang").limit(rows)
     ids = sorted({(r["__id"], r["__lang"]) for r in drawn.collect()})
     if not ids:
         return []
     few = docs.sparkSession.createDataFrame(ids, "__id long, __lang string")
-    middle = F.expr(f"substring(text, int(greatest(1, (length(text) - {chars}) div 2)), {chars})")
-    found = docs.join(F.broadcast(few), (docs["doc_id"] == few["__id"]) & (docs["lang"] == few["__lang"])).select("__id", middle.alias("text"), "__lang")
-    return [(t or "", lang) for _, t, lang in sorted(map(tuple, found.collect()), key=str)]
+    found = docs.join(F.broadcast(few), (docs["doc_id"] == few["__id"]) & (docs["lang"] == few["__lang"])).select("__id", F.coalesce(docs["text"], F.lit("")).alias("__text"), "__lang")
+    return [(t, lang) for _, lang, t in sorted(map(tuple, found.groupBy("__id", "__lang").agg(F.min("__text")).collect()))]
 
 
 def label_words(field: Field, text: str) -> list[tuple[str, str, float]]:
