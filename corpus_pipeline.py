@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, exact_dedup, jaccard, mixing, quality
-from frameloom.llm.common import materialize, read_table
+from frameloom.llm.common import bound_batches, discard, materialize, read_table
 
 #: The stages learn from labels and hash with seeds that DuckDB lacks; tests hold them against brute force.
 ORACLE_SQL = None
@@ -18,6 +18,7 @@ ORACLE_SQL = None
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the documents that the compression classifier does not reject."""
+    bound_batches(spark)
     model = quality.fit(quality.fit_sample(docs, read_table(spark, sf_dir, "labels")))
     return quality.keep_good(docs, model)
 
@@ -29,6 +30,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies, as operator 3 but at a share of 0.8 or more of five-word shingles: of linked texts, the row with the smallest doc_id."""
+    bound_batches(spark)
     return jaccard.drop_near_copies(docs)
 
 
@@ -39,6 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: token ids of every document, and digests of ids and decoded text."""
+    bound_batches(spark)
     return bpe.encode_documents(docs, bpe.default_path(), with_ids=True)
 
 
@@ -52,7 +55,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir).withColumn("ids", F.concat_ws(" ", F.col("ids").cast("array<string>")))

@@ -6,12 +6,16 @@ the sample bears on speed alone. So equal sets are folded to one node, nodes mee
 is checked by the exact share in a join.
 
 First each node is checked against one node only, the smallest of one of its shingles; that links most of a large group without
-its pairs. Then nodes that share a first shingle but are not linked yet are checked pair by pair. No meeting is left out.
+its pairs. Then nodes that share a first shingle but are not linked yet are checked pair by pair. No meeting is left out; those
+whose first shingles alone rule the share out are not fetched whole.
 
 SimHash's links within 4 bits, found by Golay keys as in operator 3, count as well, whatever the share of such a pair.
 
-Defined results: texts without a word resemble nothing, so those rows stay; a text shorter than a shingle is one shingle; a null doc_id
-links others and is never dropped; of rows that share the smallest id of a component, all stay.
+Rows are told apart by doc_id and 128 hash bits of their text, so rows that repeat an id have each their own fate.
+
+Defined results: texts without a word (null, empty) resemble nothing, so those rows stay; a text shorter than a shingle is one
+shingle; of a group the row of smallest doc_id stays, null ids last, and of equal ids the text of the smaller hash; rows that
+repeat both id and text are one; an empty table gives an empty result; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, map_texts, materialize
+from .common import discard, join_groups, materialize
 from .components import components
-from .simhash import _BYTE_BITS, PIPELINE_SHINGLE, SEED, links
+from .simhash import _BYTE_BITS, PIPELINE_SHINGLE, SEED, group_links
 
 #: Two sets are linked where common shingles are at least SHARE[0] / SHARE[1] of all of both.
 SHARE = (4, 5)
@@ -79,7 +83,7 @@ def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *_sets(batch, shingle)]), pa.int64())], names=["token"])
 
-    counted = map_texts(some.select("text"), run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
+    counted = some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
     rows = sorted((r["token"], r["n"]) for r in counted.orderBy(F.desc("n"), "token").limit(FREQUENT).collect())
     return np.array([t for t, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
@@ -93,9 +97,18 @@ def first_shingles(found: np.ndarray, known: np.ndarray, times: np.ndarray) -> n
     return found[np.argsort(count, kind="stable")[: len(found) - -(-SHARE[0] * len(found) // SHARE[1]) + 1]]
 
 
+#: A row's identity beside doc_id.
+_TEXT = ("__ta", "__tb")
+
+
+def _with_hashes(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({c: F.xxhash64(F.lit(k), F.col("text")) for k, c in enumerate(_TEXT)})
+
+
 def _mark(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row of docs: doc_id, fp, node (hash of its set), size, firsts."""
+    """Per row of docs (doc_id, text, text hashes): doc_id, text hashes, fp, node (hash of its set), size, firsts."""
     known, times = frequent(docs, shingle)
+    passed = ("doc_id", *_TEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +116,10 @@ def _mark(docs: DataFrame, shingle: int) -> DataFrame:
             fps, found = pa.array([fingerprint(h) for h in every], pa.int64()), [np.unique(h) for h in every]
             firsts = _lists([first_shingles(s, known, times) for s in found])
             nodes, sizes = pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, nodes, sizes, firsts], names=["doc_id", "fp", "node", "size", "firsts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), fps, nodes, sizes, firsts], names=[*passed, "fp", "node", "size", "firsts"])
 
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, node long, size int, firsts array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(*passed, "text").mapInArrow(run, f"doc_id {kind}, {_TEXT[0]} long, {_TEXT[1]} long, fp long, node long, size int, firsts array<long>")
 
 
 def _enough(common: Column, a: Column, b: Column) -> Column:
@@ -117,17 +131,35 @@ def _checked(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: in
     """The pairs (u, v) of nodes whose sets have SHARE in common. Sets are made anew, for nodes in pairs only."""
     pairs = materialize(pairs, "near-pairs")
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(distinct.select("node", "least"), "node")
-    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["least"])).select("node", "text")
+    one = needed.select("node", F.col("least.doc_id").alias("__id"), *[F.col(f"least.{c}").alias(f"{c}x") for c in _TEXT])
+    same = docs["doc_id"].eqNullSafe(one["__id"])
+    for c in _TEXT:
+        same &= docs[c] == one[f"{c}x"]
+    texts = docs.join(one, same).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(n, s) for n, s in zip(batch.column("node").to_pylist(), _sets(batch, shingle), strict=True) if _node(s) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), _lists([s for _, s in found])], names=["node", "set"])
 
-    sets = materialize(map_texts(texts, run, "node long, set array<long>"), "near-sets")
+    sets = materialize(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
     a, b = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     enough = _enough(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"))
-    return materialize(pairs.join(a, "u").join(b, "v").filter(enough).select("u", "v"), "near-links")
+    out = materialize(pairs.join(a, "u").join(b, "v").filter(enough).select("u", "v"), "near-links")
+    discard(pairs, sets)
+    return out
+
+
+def _likely(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs (u, v) that can have SHARE in common by what their first shingles tell.
+
+    Read in the common order, a shingle of both sets is either among the first ones of both, or after those of the set whose first ones end
+    earlier; so no more are common than first ones are, and the rest of the longer set.
+    """
+    side = lambda name, tag: distinct.select(F.col("node").alias(name), F.col("size").alias(f"s{tag}"), F.col("firsts").alias(f"f{tag}"))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    most = F.size(F.array_intersect("fa", "fb")) + F.greatest(F.col("sa") - F.size("fa"), F.col("sb") - F.size("fb"))
+    return both.filter(_enough(F.least(most, "sa", "sb"), F.col("sa"), F.col("sb"))).select("u", "v")
 
 
 def near_links(distinct: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -136,21 +168,25 @@ def near_links(distinct: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "near-tokens")
     members = materialize(join_groups(tokens, shared, ["token"], "n"), "near-members")
     hubs = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")).groupBy("node").agg(F.max_by("hub", "common").alias("hub"))
-    stars = _checked(hubs.select(F.col("node").alias("u"), F.col("hub").alias("v")), distinct, docs, shingle)
+    stars = _checked(_likely(hubs.select(F.col("node").alias("u"), F.col("hub").alias("v")), distinct), distinct, docs, shingle)
 
     roots = components(stars)
     named = members.select("token", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "near-named")
+    discard(shared, members)
     counted = named.groupBy("token", "root").agg(F.count("*").alias("c"))
     mixed = materialize(counted.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.max_by("root", "c").alias("main")).filter("roots > 1"), "near-mixed")
     rest = materialize(join_groups(named, mixed, ["token"], "n"), "near-rest")
+    discard(named, mixed)
     #: Pairs inside a token's largest component need no check: one side is always of another.
     left, right = rest.filter("root <> main").alias("a"), rest.alias("b")
     after = lambda side: F.col(f"{side}.size") - F.col(f"{side}.pos")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     meet &= _enough(F.least(after("a"), after("b")), F.col("a.size"), F.col("b.size"))
     pairs = left.join(right, meet).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    return stars.union(_checked(pairs, distinct, docs, shingle))
+    more = _checked(_likely(pairs, distinct), distinct, docs, shingle)
+    discard(rest)
+    return stars.union(more)
 
 
 def bit_links(marked: DataFrame) -> DataFrame:
@@ -158,18 +194,31 @@ def bit_links(marked: DataFrame) -> DataFrame:
     known = marked.select("node", "fp").distinct()
     first = materialize(known.groupBy("fp").agg(F.min("node").alias("rep")), "near-fingerprints")
     same = known.join(first, "fp").select(F.col("node").alias("u"), F.col("rep").alias("v")).filter("u <> v")
-    near, a, b = links(first.select("fp")), first.toDF("u", "a"), first.toDF("v", "b")
+    near, a, b = group_links(first.select("fp")), first.toDF("u", "a"), first.toDF("v", "b")
     return same.union(near.distinct().join(a, "u").join(b, "v").select("a", "b"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = PIPELINE_SHINGLE) -> DataFrame:
-    """docs without the rows that have a near copy of smaller doc_id; its columns as they are."""
-    worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    marked = materialize(_mark(worded, shingle), "near-marked")
-    distinct = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("firsts").alias("firsts")), "near-distinct")
+    """docs without the rows that have a near copy which goes before them; its columns as they are."""
+    own = _with_hashes(docs)
+    worded = own.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", *_TEXT)
+    whole = materialize(_mark(worded, shingle), "near-marked")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *_TEXT)
+    distinct = materialize(whole.groupBy("node").agg(F.min(row).alias("least"), F.first("size").alias("size"), F.first("firsts").alias("firsts"), F.count("*").alias("n")), "near-distinct")
+    marked = materialize(whole.drop("size", "firsts"), "near-rows")
+    discard(whole)
     roots = components(near_links(distinct, worded, shingle).union(bit_links(marked)))
-    placed = materialize(distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = marked.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node")
-    dropped = groups.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    placed = materialize(distinct.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+    best = placed.groupBy("root").agg(F.min("least").alias("best"))
+    groups = materialize(placed.join(best, "root").select("node", "best", "n"), "near-groups")
+    discard(distinct, placed)
+    placed_rows = join_groups(marked.select("doc_id", *_TEXT, "node"), groups, ["node"], "n").select(row.alias("row"), "best")
+    dropped = placed_rows.filter("row <> best").select(F.col("row.doc_id").alias("__id"), *[F.col(f"row.{c}").alias(f"{c}x") for c in _TEXT]).distinct()
+    same = own["doc_id"].eqNullSafe(dropped["__id"])
+    for c in _TEXT:
+        same &= own[c] == dropped[f"{c}x"]
+    out = own.join(dropped, same, "left_anti")
+    if not marked.groupBy("doc_id", *_TEXT).count().filter("count > 1").isEmpty():
+        bare = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+        out = out.filter(bare).unionByName(out.filter(~bare).dropDuplicates(["doc_id", *_TEXT]))
+    return out.drop(*_TEXT)
