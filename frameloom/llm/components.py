@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_groups, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,17 +18,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large star hangs each node's greater neighbours on its smallest neighbour, a small star the smaller ones and itself;
     the two alternate until nothing changes, when every node hangs on its root. Minima are aggregated before the
-    shuffle; each round is a written table, so lineage stays one round long. Null ends and loops are left out.
+    shuffle, nodes with a thousandth of all edges are joined by broadcast; each round is a written table, so lineage stays one
+    round long, and the table before it is deleted. Null ends and loops are left out.
     """
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     edges, before = materialize(both, "edges"), None
     while (now := _state(edges)) != before:
-        before = now
+        before, old = now, edges
         around = edges.union(edges.select("v", "u"))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = materialize(around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(least, "u")
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        hung = join_groups(around.filter("v > u"), least, ["u"], "n", 2 * now[0])
+        edges = materialize(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
+        discard(old)
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hung = join_groups(edges, least, ["u"], "n", now[0]).select("u", "v", "m")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(hung.select("u", F.col("m").alias("v")))
-        edges = materialize(small.filter("u > v").distinct(), "small-star")
+        old, edges = edges, materialize(small.filter("u > v").distinct(), "small-star")
+        discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

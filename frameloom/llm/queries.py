@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, language_id, licenses, mixing, ngram_lm, quality, simhash, substrings, topk
-from .common import read_table
+from .common import bound_batches
+from .common import read_table as read
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The queries are an application: they bound the session's Arrow batches before texts go to Python."""
+    bound_batches(spark)
+    return read(spark, sf_dir, name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
