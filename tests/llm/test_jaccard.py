@@ -72,5 +72,13 @@ def test_null_ids_and_repeated_rows(spark):
     text = " ".join(str(k) for k in range(100))
     rows = [(None, text), (7, text + " x"), (7, text + " x"), (9, text + " y"), (8, "other words here")]
     got = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 7), (False, 7), (False, 8), (True, 0)]
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(7, text + " x"), (8, "other words here")]
     assert jaccard.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_that_repeat_an_id_have_each_their_own_fate(spark):
+    base = " ".join(str(k) for k in range(100))
+    rows = [(1, base), (5, base + " more"), (5, "nothing like it at all in any way"), (5, ""), (5, None), (None, base + " end"), (None, "a null id of its own kind and words"), (None, "")]
+    got = jaccard.drop_near_copies(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, node int, least int, row int"))
+    assert got.columns == ["doc_id", "text", "node", "least", "row"]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, (rows[0], *rows[2:5], *rows[6:])))

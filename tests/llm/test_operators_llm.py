@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from frameloom.llm import bpe, exact_dedup, golay, language_id, licenses, mixing, ngram_lm, quality, simhash, substrings, topk
+from frameloom.llm import bpe, exact_dedup, golay, jaccard, language_id, licenses, mixing, ngram_lm, quality, simhash, substrings, topk
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,8 +87,14 @@ def test_op1_targets(spark, rows):
 
 def test_op1_takes_near_target(docs):
     plan = mixing.mixing_plan(docs)
-    for r in plan.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
-        assert r["over"] <= 0 and abs(r["t"] - r["want"]) < 0.6 * r["want"] + 3000
+    by = defaultdict(list)
+    for r in plan.collect():
+        by[r["source"]].append(r)
+    for held in by.values():
+        want, rate = held[0]["target"], held[0]["target"] / held[0]["source_size"]
+        spread = math.sqrt(sum(r["size"] ** 2 for r in held) * (rate % 1) * (1 - rate % 1))  # of the draws
+        assert abs(sum(r["taken"] for r in held) - want) <= 4 * spread + 1e-6 * want
+        assert all(r["taken"] in (math.floor(rate + 1e-12) * r["size"], (math.floor(rate + 1e-12) + 1) * r["size"]) and r["taken"] <= 3 * r["size"] for r in held)
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == plan.agg(F.sum("copies")).first()[0]
 
@@ -138,6 +144,16 @@ def test_op3(docs, rows):
     assert got == {i: (f"{fp[i]:016x}", find(i)) for i in fp}
 
 
+def connected(nodes, edges):
+    part = {v: {v} for v in nodes}
+    for a, b in edges:
+        if part[a] is not part[b]:
+            part[a] |= part[b]
+            for v in part[b]:
+                part[v] = part[a]
+    return part.values()
+
+
 def test_op3_finds_every_link(spark):
     rng = random.Random(4)
     values = set()
@@ -145,7 +161,11 @@ def test_op3_finds_every_link(spark):
         x = rng.getrandbits(64)
         values |= {x} | {x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for _ in range(8)}
     signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
-    got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.links(spark.createDataFrame([(s,) for s in signed.values()], "fp long")).collect()}
+    fps = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
+    few = {(r["u"], r["v"]) for r in simhash.group_links(fps).collect()}
+    parts = lambda edges: {frozenset(x) for x in connected(signed.values(), edges)}
+    got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.links(fps).collect()}
+    assert parts(few) == parts(got) and few <= got | {(b, a) for a, b in got}
     v = sorted(values)
     assert got == {tuple(sorted((signed[a], signed[b]))) for n, a in enumerate(v) for b in v[n + 1 :] if (a ^ b).bit_count() <= 4}
 
@@ -245,6 +265,24 @@ def test_op9_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got) > 100
 
 
+def test_op9_labels_the_words_of_code_switched_text(spark):
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    field = language_id.fit(language_id.fit_sample(d))
+    held = defaultdict(list)
+    for r in d.filter("lang is not null and text is not null").orderBy("doc_id").collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and len(r["text"].split()) > 60:
+            held[r["lang"]].append(r["text"].split()[10:22])
+    right = n = 0
+    for k in range(8):
+        parts = [(lang, texts[k % len(texts)]) for lang, texts in sorted(held.items())]
+        labels = language_id.label_words(field, " ".join(" ".join(p) for _, p in parts))
+        want = [lang for lang, p in parts for w in " ".join(p).lower().split()]
+        letters = [any(map(str.isalpha, w)) for w, _, _ in labels]
+        right += sum(x[1] == y for x, y, a in zip(labels, want, letters, strict=True) if a)
+        n += sum(letters)
+    assert len(held) >= 4 and right > 0.9 * n
+
+
 def test_op9_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     n, psi, moves = 3, rng.uniform(0.1, 1, (5, 3)), rng.uniform(0.1, 1, (3, 3))
@@ -272,6 +310,47 @@ def test_op10(docs, rows):
     assert per("score") > per("base_score")
 
 
+class BruteBigrams:
+    """Interpolated modified Kneser-Ney in plain dictionaries; texts are lists of words with their end."""
+
+    def __init__(self, texts):
+        self.pair, self.word = Counter(), Counter()
+        for t in texts:
+            self.pair.update(zip(["<start>", *t], t, strict=False))
+            self.word.update(t)
+        self.after, self.total, self.kinds = Counter(w for _, w in self.pair), Counter(), defaultdict(lambda: [0, 0, 0])
+        for (v, _), n in self.pair.items():
+            self.total[v] += n
+            self.kinds[v][min(n, 3) - 1] += 1
+        self.d, self.e = self.discounts(self.pair.values()), self.discounts(self.after.values())
+
+    @staticmethod
+    def discounts(counts):
+        n = [max(1, sum(c == k for c in counts)) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05 * k), 0.95 * k) for k in (1, 2, 3)]
+
+    def p(self, v, w):
+        low = max(self.after[w] - self.e[min(self.after[w], 3)], 0) / len(self.pair)
+        low += sum(self.e[min(c, 3)] for c in self.after.values()) / len(self.pair) / (len(self.word) + 1)
+        if not self.total[v]:
+            return low
+        n = self.pair[v, w]
+        return max(n - self.d[min(n, 3)], 0) / self.total[v] + sum(d * k for d, k in zip(self.d[1:], self.kinds[v], strict=True)) / self.total[v] * low
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_op10_score_is_brute_force_kneser_ney(request, which):
+    d = request.getfixturevalue(which)
+    rows = [(r["doc_id"], [w for w in (r["text"] or "").encode().lower().split()] + ["<end>"]) for r in d.collect()]
+    train = [t for i, t in rows if zlib.crc32(str(i if i is not None else "").encode()) % 5 != 1]
+    model = BruteBigrams(train)
+    want = sorted((str(i), sum(math.log10(model.p(v, w)) for v, w in zip(["<start>", *t], t, strict=False))) for i, t in rows)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in ngram_lm.score_by_own_model(d).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
 def test_op10_probabilities_sum_to_one(docs, spark):
     texts = spark.createDataFrame([("a b a c",), ("a b b d a",), ("c",)], "text string")
     model = ngram_lm.build_model(texts)
@@ -292,6 +371,56 @@ def test_sql_of_native_operators(spark, docs):
     assert {(r["doc_id"], r["size"], r["taken"]) for r in mixing.mixing_plan(docs).collect()} == want
 
 
+def stage_keep_good(d):
+    return quality.keep_good(d, quality.fit(quality.fit_sample(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))))
+
+
+STAGE_FUNCTIONS = {"quality": stage_keep_good, "exact": exact_dedup.drop_exact_copies, "near": jaccard.drop_near_copies, "mixing": mixing.mix_documents}
+
+
+@pytest.mark.parametrize("stage", STAGE_FUNCTIONS)
+def test_stages_on_awkward_rows(awkward, stage):
+    """Repeated and null ids, null and empty texts, ties, columns whose names the operators use."""
+    d, key = awkward, lambda r: (str(r["doc_id"]), r["text"] or "")
+    out = STAGE_FUNCTIONS[stage](d)
+    assert out.columns == d.columns and out.dtypes == d.dtypes
+    got, rows = Counter(map(key, out.collect())), d.collect()
+    if stage == "quality":
+        assert got == Counter(map(key, rows))  # too few labels to tell: every score is the share of label 1, which is above the threshold
+    elif stage == "exact":
+        norm, best = lambda r: re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), {}
+        for r in rows:
+            place = (r["doc_id"] is None, r["doc_id"] or 0)
+            best[norm(r)] = min(best.get(norm(r), place), place)
+        assert sorted(i for i, _ in got.elements()) == sorted("None" if none else str(i) for none, i in best.values())
+    elif stage == "near":
+        worded = [r for r in rows if WORD.search(r["text"] or "")]
+        assert sum(got.values()) == len({frozenset(x) for x in near_classes(worded)}) + len(rows) - len(worded)
+    else:
+        plan = {(str(r["doc_id"]), r["size"], r["source"]): r["copies"] for r in mixing.mixing_plan(d).collect()}
+        want = Counter()
+        for r in rows:
+            want[key(r)] += plan[str(r["doc_id"]), len(WORD.findall(r["text"] or "")), r["source"]]
+        assert got == +want
+
+
+def near_classes(rows):
+    """For each row the places of those that it reaches by shares of 0.8 of five-word shingles."""
+    sets = []
+    for r in rows:
+        w = r["text"].lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    reach = [{j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)} for a in sets]
+    for _ in rows:
+        reach = [set().union(*(reach[j] for j in x)) for x in reach]
+    return reach
+
+
+@pytest.mark.parametrize("stage", STAGE_FUNCTIONS)
+def test_stages_on_an_empty_table(awkward, stage):
+    assert STAGE_FUNCTIONS[stage](awkward.limit(0)).collect() == []
+
+
 def test_pipeline(spark, docs):
     d = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
