@@ -19,15 +19,38 @@ THRESHOLD = 5
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names and read back: lineage ends here, and a lost executor costs only the round at work."""
+    """df written to the folder that spark.checkpoint.dir names and read back: lineage ends here, and a lost executor costs only the round at work.
+
+    A local session without one gets a folder of its own. The subpackage llm has a helper like this, since neither may need the other.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="frameloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a shared_table that nothing reads any more."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A side of a join of at most this many rows may be broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table marked for broadcast if its counted size allows, else as it is: the join then shuffles, and adaptive execution splits hot keys."""
+    return F.broadcast(table) if len(table.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS else table
 
 
 def bands(h: Column, n: int) -> Column:
@@ -75,7 +98,8 @@ def keep_in_order(images: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         seen = edges.join(known, "earlier").groupBy("later").agg(F.max(F.coalesce("earlier_kept", F.lit(False))).alias("hit"), F.max(F.col("earlier_kept").isNull()).alias("open"))
         joined = state.join(seen, state["ord"] == seen["later"], "left")
         fate = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = shared_table(joined.select("ord", fate.alias("kept")))
+        old, state = state, shared_table(joined.select("ord", fate.alias("kept")))
+        drop_table(old)
     first = F.min(F.struct((~F.col("equal")).alias("unequal"), "earlier"))
     of = edges.join(state.filter("kept").select(F.col("ord").alias("earlier")), "earlier").groupBy("later").agg(first.alias("of"))
     decided = state.join(of, state["ord"] == of["later"], "left").select(F.col("ord").alias("node"), F.col("kept").alias("node_kept"), F.col("of.earlier").alias("node_of"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import iou
+from .dedup import small
 
 #: Own captures go first and negatives last, so that what is kept of equals is the better labelled.
 PRIORITY = {"custom": 0, "negatives": 2}
@@ -21,8 +23,8 @@ def with_aliases(base: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def remap(boxes: DataFrame, table: DataFrame, keys: Sequence[str] = ("source", "name")) -> DataFrame:
-    """Boxes with target, their class in the taxonomy by the small table (keys, target), which is broadcast; null where it is dropped."""
-    return boxes.join(F.broadcast(table), list(keys), "left")
+    """Boxes with target, their class in the taxonomy by the table (keys, target), which is broadcast if small; null where it is dropped."""
+    return boxes.join(small(table), list(keys), "left")
 
 
 def dropped_counts(remapped: DataFrame, keys: Sequence[str] = ("source", "name")) -> DataFrame:
@@ -57,7 +59,7 @@ def salvage(kept: DataFrame, copies: DataFrame, trusted: DataFrame, keys: Sequen
     kept: keys, class_id, box; copies: the same with source; trusted: (source, class_id). A box of a trusted class moves over unless a kept box of its
     class overlaps it by the threshold. Copies' boxes are not compared with each other.
     """
-    fit = copies.join(F.broadcast(trusted), ["source", "class_id"], "left_semi")
+    fit = copies.join(small(trusted), ["source", "class_id"], "left_semi")
     own = kept.groupBy(*keys, "class_id").agg(F.collect_list("box").alias("own"))
     met = F.exists("own", lambda b: iou(F.col("box"), b) >= threshold)
     return fit.join(own, [*keys, "class_id"], "left").filter(~F.coalesce(met, F.lit(False))).drop("own")
@@ -65,7 +67,7 @@ def salvage(kept: DataFrame, copies: DataFrame, trusted: DataFrame, keys: Sequen
 
 def near_links(copies: DataFrame, trusted: DataFrame, keys: Sequence[str] = ("image", "source")) -> DataFrame:
     """Per kept image and source of a near (not identical) copy: its boxes of trusted classes; copies without one make no link."""
-    fit = copies.join(F.broadcast(trusted), ["source", "class_id"], "left_semi")
+    fit = copies.join(small(trusted), ["source", "class_id"], "left_semi")
     listed = F.array_sort(F.collect_list(F.struct("class_id", F.col("box.cx"), F.col("box.cy"), F.col("box.w"), F.col("box.h"))))
     return fit.groupBy(*keys).agg(listed.alias("boxes"))
 
@@ -89,24 +91,28 @@ def overlay(base: DataFrame, verified: DataFrame, key: str = "image") -> DataFra
 def greedy_caps(boxes: DataFrame, group: Sequence[str], image: str, caps: Mapping[int, int], most: int | None = None) -> DataFrame:
     """(group, image) taken: images in order, an image is passed over if any class it shows is at its cap, else all its boxes count.
 
-    The scan of a group is sequential by definition; it folds over one row per image (its class counts), in the JVM. A class without a cap never
-    stops an image; after `most` images the rest are passed over.
+    The scan of a group is sequential by definition; it streams over sorted rows, one per image (its counts of the capped classes), and
+    holds a number per class. A class without a cap never stops an image; after `most` images the rest are passed over.
     """
-    held = [F.coalesce(F.sum((F.col("class_id") == c).cast("long")), F.lit(0)).alias(f"c{i}") for i, c in enumerate(caps)]
-    rows = boxes.groupBy(*group, image).agg(F.array(*[h.cast("long") for h in held]).alias("n"))
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(image).alias("image"), "n"))).alias("all"))
-    limits = F.array(*[F.lit(c).cast("long") for c in caps.values()])
-    kind = listed.schema["all"].dataType.elementType["image"].dataType.simpleString()
-    state = f"struct<sums: array<bigint>, took: array<{kind}>>"
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), len(caps)).alias("sums"), F.array().cast(f"array<{kind}>").alias("took")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        full = F.exists(F.arrays_zip(s["sums"].alias("s"), x["n"].alias("n"), limits.alias("m")), lambda z: (z["n"] > 0) & (z["s"] >= z["m"]))
-        taken = F.struct(F.zip_with(s["sums"], x["n"], lambda a, b: a + b).alias("sums"), F.array_append(s["took"], x["image"]).alias("took")).cast(state)
-        over = F.lit(False) if most is None else F.size(s["took"]) >= most
-        return F.when(full | over, s).otherwise(taken)
-
-    return listed.select(*group, F.explode(F.aggregate("all", start, step)["took"]).alias(image))
+    held = [F.count_if(F.col("class_id") == c).alias(f"c{i}") for i, c in enumerate(caps)]
+    rows = boxes.groupBy(*group, image).agg(*(held or [F.count("*").alias("_n")])).repartition(*group).sortWithinPartitions(*group, image)
+    limits, names, keys = list(caps.values()), [f"c{i}" for i in range(len(caps))], [*group]
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, sums, took = None, [], 0
+        for frame in frames:
+            takes = []
+            for *key, counts in zip(*(frame[k] for k in keys), frame[names].to_numpy().tolist(), strict=True):
+                if key != own:
+                    own, sums, took = key, [0] * len(limits), 0
+                free = (most is None or took < most) and not any(n and s >= m for n, s, m in zip(counts, sums, limits, strict=True))
+                takes.append(free)
+                if free:
+                    sums, took = [s + n for s, n in zip(sums, counts, strict=True)], took + 1
+            yield frame.loc[takes, [*keys, image]]
+
+    out = ", ".join(f"`{c}` {boxes.schema[c].dataType.simpleString()}" for c in (*keys, image))
+    return rows.mapInPandas(scan, out)
 
 
 def running_cap(images: DataFrame, group: Sequence[str], order: Sequence[str], n: str, cap: int) -> DataFrame:

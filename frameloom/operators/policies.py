@@ -11,13 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashes import policy_digest
+from .dedup import small
 
 _NONE = "array<int>"
 
 
 def trusted_list(images: DataFrame, trust: DataFrame) -> DataFrame:
     """images (image, source), trust (source, ids): the source's own list; a source without one trusts nothing."""
-    return images.join(F.broadcast(trust), "source", "left").select("image", F.col("source").alias("policy"), F.array_sort(F.coalesce("ids", F.array().cast(_NONE))).alias("ids"))
+    return images.join(small(trust), "source", "left").select("image", F.col("source").alias("policy"), F.array_sort(F.coalesce("ids", F.array().cast(_NONE))).alias("ids"))
 
 
 def with_ledger(base: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -31,13 +32,13 @@ def with_ledger(base: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def per_slug(images: DataFrame, slugs: DataFrame, trust: DataFrame) -> DataFrame:
     """images (image, source); slugs (image, slug), one slug each; trust (slug, ids). See slug_problems for what must not be."""
-    return images.join(slugs, "image").join(F.broadcast(trust), "slug").select("image", F.concat_ws("/", "source", "slug").alias("policy"), F.array_sort("ids").alias("ids"))
+    return images.join(slugs, "image").join(small(trust), "slug").select("image", F.concat_ws("/", "source", "slug").alias("policy"), F.array_sort("ids").alias("ids"))
 
 
 def slug_problems(images: DataFrame, slugs: DataFrame, trust: DataFrame) -> DataFrame:
     """(image, problem): absent, ambiguous or untrusted slug."""
     n = slugs.groupBy("image").agg(F.countDistinct("slug").alias("n"), F.min("slug").alias("slug"))
-    known = images.join(n, "image", "left").join(F.broadcast(trust.select("slug", F.lit(True).alias("known"))), "slug", "left")
+    known = images.join(n, "image", "left").join(small(trust.select("slug", F.lit(True).alias("known"))), "slug", "left")
     problem = F.when(F.col("n").isNull(), "absent").when(F.col("n") > 1, "ambiguous").when(F.col("known").isNull(), "untrusted")
     return known.select("image", problem.alias("problem")).filter("problem is not null")
 

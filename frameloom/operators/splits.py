@@ -6,7 +6,7 @@ are ranked by range partitions (see ranked), and only the number of groups passe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,36 +70,39 @@ def stratified(histogram: DataFrame, sizes: DataFrame, seed: int = 42, ratios: t
     """(group_key, split): groups by falling number of boxes each go where they fill most of what the classes still lack.
 
     histogram: group_key, class_id, n; sizes: group_key, images. Gain of a split is the sum over classes of min(n, lack), less its
-    surplus share of images; equal gains go to train, val, test in this order. The scan is sequential by definition, but sees
-    only one row per group; it is dealt to one task per stratum (column `stratum` of sizes, if there), each balanced by itself.
+    surplus share of images; gains equal to nine places go to train, val, test in this order. The scan is sequential by definition; it
+    streams over sorted rows, one per group, and holds a count per class. Each stratum (column `stratum` of sizes, if there) is balanced by
+    itself, and strata are dealt to tasks; so give a large table strata.
     """
-    by = ["stratum"] if "stratum" in sizes.columns else []
-    if not by:
-        sizes = sizes.withColumn("stratum", F.lit(0))
-    grouped = histogram.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("class_id", "n"))).alias("held"))
-    rows = sizes.join(grouped, "group_key", "left").withColumn("_d", shuffled(F.col("group_key"), seed))
+    if "stratum" not in sizes.columns:
+        sizes = sizes.withColumn("stratum", F.lit(0).cast("long"))
+    grouped = histogram.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct(F.col("class_id").cast("int").alias("class_id"), F.col("n").cast("long").alias("n")))).alias("held"), F.sum("n").alias("boxes"))
+    classes = histogram.join(sizes.select("group_key", "stratum"), "group_key").groupBy("stratum", "class_id").agg(F.sum("n").cast("long").alias("n"))
+    totals = classes.groupBy("stratum").agg(F.collect_list(F.struct(F.col("class_id").cast("int").alias("class_id"), "n")).alias("total"))
+    totals = sizes.groupBy("stratum").agg(F.sum("images").cast("long").alias("every")).join(totals, "stratum", "left")
+    rows = sizes.join(grouped, "group_key", "left").join(totals, "stratum").withColumn("_d", shuffled(F.col("group_key"), seed))
+    rows = rows.repartition("stratum").sortWithinPartitions("stratum", F.coalesce("boxes", F.lit(0)).desc(), "_d", "group_key")
     share = (*ratios, 1 - sum(ratios))
 
-    def assign(groups: pd.DataFrame) -> pd.DataFrame:
-        held = [[(h["class_id"], h["n"]) for h in x] if x is not None else [] for x in groups["held"]]
-        total: dict = {}
-        for h in held:
-            for c, n in h:
-                total[c] = total.get(c, 0) + n
-        order = sorted(range(len(groups)), key=lambda i: (-sum(n for _, n in held[i]), groups["_d"].iloc[i], groups["group_key"].iloc[i]))
-        counts: list[dict] = [{}, {}, {}]
-        filled, images, out = [0, 0, 0], max(int(groups["images"].sum()), 1), [""] * len(groups)
-        for i in order:
-            gain = [sum(min(float(n), max(total[c] * share[s] - counts[s].get(c, 0), 0.0)) for c, n in held[i]) - (filled[s] / images - share[s]) for s in range(3)]
-            s = max(range(3), key=lambda k: (gain[k], -k))
-            out[i] = NAMES[s]
-            filled[s] += int(groups["images"].iloc[i])
-            for c, n in held[i]:
-                counts[s][c] = counts[s].get(c, 0) + n
-        return pd.DataFrame({"group_key": groups["group_key"], "split": out})
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stratum, counts, filled, total = None, [], [], {}
+        for frame in frames:
+            out = []
+            for own, images, held, every, all_n in zip(frame["stratum"], frame["images"], frame["held"], frame["every"], frame["total"], strict=True):
+                if own != stratum:
+                    stratum, counts, filled = own, [{}, {}, {}], [0, 0, 0]
+                    total = {h["class_id"]: h["n"] for h in all_n} if all_n is not None else {}
+                of = [(h["class_id"], h["n"]) for h in held] if held is not None else []
+                gain = [round(sum(min(float(n), max(total[c] * share[s] - counts[s].get(c, 0), 0.0)) for c, n in of) - (filled[s] / max(every, 1) - share[s]), 9) for s in range(3)]
+                s = max(range(3), key=lambda k: (gain[k], -k))
+                out.append(NAMES[s])
+                filled[s] += int(images)
+                for c, n in of:
+                    counts[s][c] = counts[s].get(c, 0) + n
+            yield pd.DataFrame({"group_key": frame["group_key"], "split": out})
 
     kind = sizes.schema["group_key"].dataType.simpleString()
-    return rows.groupBy("stratum").applyInPandas(assign, f"group_key {kind}, split string")
+    return rows.select("stratum", "group_key", "images", "held", "every", "total").mapInPandas(assign, f"group_key {kind}, split string")
 
 
 STRATEGIES: dict[str, Callable] = {"group_aware": group_aware, "leave_one_house_out": leave_houses_out, "stratified_group": stratified}

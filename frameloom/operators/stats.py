@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import coverage_score, ratio
+from .dedup import small
 
 
 def class_counts(boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -42,7 +43,7 @@ def imbalance(counts: DataFrame, value: str = "boxes") -> DataFrame:
 def share_of(counts: DataFrame, by: Sequence[str], value: str = "boxes") -> DataFrame:
     """counts with pct, the share of their `by` group in percent to two places."""
     total = counts.groupBy(*by).agg(F.sum(value).alias("_total"))
-    return counts.join(F.broadcast(total), list(by)).withColumn("pct", F.round(100 * F.col(value) / F.greatest("_total", F.lit(1)), 2)).drop("_total")
+    return counts.join(small(total), list(by)).withColumn("pct", F.round(100 * F.col(value) / F.greatest("_total", F.lit(1)), 2)).drop("_total")
 
 
 def calibration(matches: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def coverage_by_image(annotated: DataFrame, unverified: DataFrame, precision: Da
     """Per image of either: annotated, estimated (its open candidates, each by its class's precision) and score."""
     a = annotated.groupBy("image").agg(F.count("*").alias("annotated"))
     weight = F.coalesce("precision", F.lit(float(default)))
-    e = unverified.join(F.broadcast(precision.select("class_id", "precision")), "class_id", "left").groupBy("image").agg(F.sum(weight).alias("estimated"))
+    e = unverified.join(small(precision.select("class_id", "precision")), "class_id", "left").groupBy("image").agg(F.sum(weight).alias("estimated"))
     both = a.join(e, "image", "full_outer").select("image", F.coalesce("annotated", F.lit(0)).alias("annotated"), F.round(F.coalesce("estimated", F.lit(0.0)), 4).alias("estimated"))
     return both.withColumn("score", F.round(coverage_score(F.col("annotated"), F.col("estimated")), 4))
 
@@ -83,9 +84,9 @@ def coverage_by_image(annotated: DataFrame, unverified: DataFrame, precision: Da
 def nearest_decile(rows: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, below_half, and p10, the element at index int(n / 10) of the values in order, not interpolated.
 
-    Values are counted before they are ranked: the window sees the distinct rounded values, not the rows.
+    Values are counted before they are ranked: the window sees the distinct values, not the rows.
     """
-    held = rows.filter(F.col(value).isNotNull()).groupBy(F.round(value, 4).alias("v")).agg(F.count("*").alias("c"))
+    held = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     upto = held.select("v", "c", F.sum("c").over(W.orderBy("v")).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
     p10 = F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.1), F.col("v")))
     return upto.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 4).alias("mean"), p10.alias("p10"), F.coalesce(F.sum(F.when(F.col("v") < 0.5, F.col("c"))), F.lit(0)).alias("below_half"))

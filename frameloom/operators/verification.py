@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import gain
+from .dedup import shared_table
 
 ACTIVE = ("draft", "exported", "in_review")
 
@@ -30,9 +31,9 @@ def numbered_by_gain(ranked: DataFrame) -> DataFrame:
     """ranked with n, from 1, by falling gain, then image.
 
     The global rank is put together from ranges: gains are sorted in parallel and each partition's rows are numbered after those before
-    it, so no task sees all images.
+    it, so no task sees all images. The sorted rows are written first, lest two readings of one sort differ.
     """
-    dealt = ranked.orderBy(F.desc("gain"), "image").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    dealt = shared_table(ranked.orderBy(F.desc("gain"), "image").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
     offsets = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).alias("_o"))  # a row per partition
     return dealt.join(F.broadcast(offsets), "_p").withColumn("n", F.col("_o") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_i", "_o")
@@ -102,7 +103,10 @@ def append(ledger_path: str, log: DataFrame, new: DataFrame) -> int:
     if bad:
         raise ValueError(f"ledger conflicts: {[(r['image'], r['class_id'], r['outcome']) for r in bad]}")
     last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    rows = outcomes.filter(F.col("outcome").isin("insert", "supersede")).withColumn("seq", F.lit(last) + 1).select(*log.columns)
+    fresh = outcomes.filter(F.col("outcome").isin("insert", "supersede"))
+    #: Entries of one cell in one append are numbered among themselves, so the ledger's view never depends on their order in a file.
+    nth = F.row_number().over(W.partitionBy("image", "class_id").orderBy("supersedes", "status", "boxes"))
+    rows = shared_table(fresh.withColumn("seq", F.lit(last) + nth).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in log.schema]))
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(ledger_path)

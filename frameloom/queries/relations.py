@@ -80,7 +80,14 @@ def hamming_pairs(spark, sf_dir):
     return met.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), F.col("distance").cast("long").alias("distance"))
 
 
-@query()
+_DEDUP = f"""WITH RECURSIVE {GRIDS}, r AS (SELECT vec_id AS ord, array_to_string(bits, '')::BIT AS b, array_to_string(flip_bits, '')::BIT AS f, row_number() OVER (ORDER BY vec_id) AS n FROM hashes),
+ g AS (SELECT n, ord, true AS kept, NULL::BIGINT AS duplicate_of, [{{'ord': ord, 'b': b}}] AS held FROM r WHERE n = 1 UNION ALL
+  SELECT n, ord, len(near) = 0, coalesce(list_filter(near, lambda k: k.b = b)[1].ord, near[1].ord), CASE WHEN len(near) = 0 THEN list_append(held, {{'ord': ord, 'b': b}}) ELSE held END
+  FROM (SELECT r.n, r.ord, r.b, held, list_filter(held, lambda k: bit_count(xor(k.b, r.b)) < {NEAR} OR bit_count(xor(k.b, r.f)) < {NEAR}) AS near FROM g JOIN r ON r.n = g.n + 1) x)
+SELECT ord, kept, duplicate_of FROM g"""
+
+
+@query(_DEDUP)
 def dedup_near(spark, sf_dir):
     return dedup.keep_in_order(_hashes(spark, sf_dir), NEAR)
 
@@ -102,10 +109,10 @@ def split_leakage(spark, sf_dir):
     return dedup.split_leakage(images(spark, sf_dir).select("sha", "split"))
 
 
-@query("WITH f AS (SELECT DISTINCT p_name AS filename, ['train', 'val', 'test'][CAST(p_partkey % 3 + 1 AS INT)] AS split FROM part WHERE p_size < 10) SELECT filename, string_agg(split, ',' ORDER BY split) AS splits FROM f GROUP BY 1 HAVING count(*) > 1")
+@query("WITH f AS (SELECT DISTINCT p_name AS filename, ['train', 'val', 'test'][CAST(p_partkey % 3 + 1 AS INT)] AS split FROM part  ) SELECT filename, string_agg(split, ',' ORDER BY split) AS splits FROM f GROUP BY 1 HAVING count(*) > 1")
 def filename_leakage(spark, sf_dir):
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return splits.filename_leakage(table(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_name").alias("filename"), split.alias("split")))
+    return splits.filename_leakage(table(spark, sf_dir, "part").select(F.col("p_name").alias("filename"), split.alias("split")))
 
 
 @query(f"WITH {BOXES}, {TRUST}, k AS (SELECT * FROM boxes WHERE side = 'A'), c AS (SELECT b.* FROM boxes b JOIN trust t ON b.source = t.source AND list_contains(ids, class_id) WHERE side = 'R') SELECT image, ord, class_id FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.image = c.image AND k.class_id = c.class_id AND {sql_iou('k', 'c')} >= 0.2)")
@@ -186,13 +193,34 @@ def _coarse(df):
     return df.withColumn("class_id", F.col("class_id") % 3)
 
 
-@query()
+def _sql_sides(a: str, b: str) -> str:
+    """Boxes of two sides, numbered in a group, and the right side's as a list."""
+    return f"""s AS (SELECT image, class_id % 3 AS class_id, side, cx, cy, w, h, row_number() OVER (PARTITION BY image, class_id % 3, side ORDER BY ord) AS n FROM boxes WHERE side IN ('{a}', '{b}')),
+ na AS (SELECT image, class_id, count(*) FILTER (WHERE side = '{a}') AS a, count(*) FILTER (WHERE side = '{b}') AS b FROM s GROUP BY 1, 2)"""
+
+
+_SEQ = f"""WITH RECURSIVE {BOXES}, {_sql_sides('A', 'R')}, t AS (SELECT image, class_id, list({{'i': n, 'cx': cx, 'cy': cy, 'w': w, 'h': h}} ORDER BY n) AS t FROM s WHERE side = 'R' GROUP BY 1, 2),
+ g AS (SELECT image, class_id, 0::BIGINT AS n, []::BIGINT[] AS used, 0.0::DOUBLE AS total FROM na UNION ALL
+  SELECT image, class_id, n, CASE WHEN best.s >= 0.2 THEN list_append(used, -best.i) ELSE used END, CASE WHEN best.s >= 0.2 THEN total + best.s ELSE total END
+  FROM (SELECT s.image, s.class_id, s.n, used, total, list_max(list_transform(list_filter(t.t, lambda k: NOT list_contains(used, k.i)), lambda k: {{'s': {sql_iou('k', 's')}::DOUBLE, 'i': -k.i}})) AS best
+   FROM g JOIN s ON s.side = 'A' AND s.image = g.image AND s.class_id = g.class_id AND s.n = g.n + 1 LEFT JOIN t ON t.image = g.image AND t.class_id = g.class_id) x),
+ m AS (SELECT g.image, g.class_id, len(used) AS tp, na.a - len(used) AS fp, na.b - len(used) AS fn, total AS iou_sum FROM g JOIN na ON g.image = na.image AND g.class_id = na.class_id AND g.n = na.a)"""
+_BY_IOU = f"""WITH RECURSIVE {BOXES}, {_sql_sides('A', 'R')}, p AS (SELECT *, row_number() OVER (PARTITION BY image, class_id ORDER BY s DESC, i, j) AS n FROM (
+  SELECT k.image, k.class_id, k.n AS i, r.n AS j, {sql_iou('k', 'r')}::DOUBLE AS s FROM s k JOIN s r ON k.side = 'A' AND r.side = 'R' AND k.image = r.image AND k.class_id = r.class_id) x WHERE s >= 0.2),
+ np AS (SELECT na.*, (SELECT count(*) FROM p WHERE p.image = na.image AND p.class_id = na.class_id) AS pairs FROM na),
+ g AS (SELECT image, class_id, 0::BIGINT AS n, []::BIGINT[] AS ua, []::BIGINT[] AS ub, 0.0::DOUBLE AS total FROM np UNION ALL
+  SELECT p.image, p.class_id, p.n, CASE WHEN list_contains(ua, i) OR list_contains(ub, j) THEN ua ELSE list_append(ua, i) END, CASE WHEN list_contains(ua, i) OR list_contains(ub, j) THEN ub ELSE list_append(ub, j) END,
+   CASE WHEN list_contains(ua, i) OR list_contains(ub, j) THEN total ELSE total + s END FROM g JOIN p ON p.image = g.image AND p.class_id = g.class_id AND p.n = g.n + 1),
+ m AS (SELECT g.image, g.class_id, len(ua) AS matched, np.a - len(ua) AS only_a, np.b - len(ua) AS only_b, total AS iou_sum FROM g JOIN np ON g.image = np.image AND g.class_id = np.class_id AND g.n = np.pairs)"""
+
+
+@query(f"{_SEQ} SELECT image, class_id, tp, fp, fn, round(iou_sum, 6) AS iou_sum FROM m")
 def match_greedy_seq(spark, sf_dir):
     a, b = map(_coarse, _sides(spark, sf_dir))
     return matching.match_in_order(a, b, ["image", "class_id"], 0.2).withColumn("iou_sum", F.round("iou_sum", 6))
 
 
-@query()
+@query(f"{_BY_IOU} SELECT image, class_id, matched, only_a, only_b, round(iou_sum, 6) AS iou_sum FROM m")
 def match_greedy_iou(spark, sf_dir):
     a, b = map(_coarse, _sides(spark, sf_dir))
     return matching.match_by_overlap(a, b, ["image", "class_id"], 0.2).withColumn("iou_sum", F.round("iou_sum", 6))
@@ -211,14 +239,20 @@ def nms_theta(spark, sf_dir):
     return matching.suppress(_coarse(boxes(spark, sf_dir)), ["image", "class_id"], 0.3).select("image", "class_id", "ord", "conf")
 
 
-@query()
+@query(f"{_BY_IOU} SELECT class_id, sum(matched)::BIGINT AS matched, sum(only_a)::BIGINT AS only_a, sum(only_b)::BIGINT AS only_b, round(sum(matched) / (sum(matched) + sum(only_a) + sum(only_b)), 6) AS agreement, round(CASE WHEN sum(matched) > 0 THEN sum(iou_sum) / sum(matched) END, 6) AS mean_iou FROM m GROUP BY 1")
 def agreement(spark, sf_dir):
     a, b = map(_coarse, _sides(spark, sf_dir))
     by = matching.agreement(matching.match_by_overlap(a, b, ["image", "class_id"], 0.2), ["class_id"])
     return by.withColumns({c: F.round(c, 6) for c in ("agreement", "mean_iou")})
 
 
-@query()
+_F1 = "CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END"
+
+
+@query(f"""{_SEQ}, c AS (SELECT class_id, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp) / (sum(tp) + sum(fp)) ELSE 0 END::DOUBLE AS p, CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp) / (sum(tp) + sum(fn)) ELSE 0 END::DOUBLE AS r FROM m GROUP BY 1),
+ o AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, avg(p) FILTER (WHERE tp + fn > 0) AS mp, avg(r) FILTER (WHERE tp + fn > 0) AS mr, avg({_F1.format(p='p', r='r')}) FILTER (WHERE tp + fn > 0) AS mf,
+  coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0)::DOUBLE AS up, coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0)::DOUBLE AS ur FROM c)
+SELECT tp, fp, fn, round(mp, 6) AS macro_precision, round(mr, 6) AS macro_recall, round(mf, 6) AS macro_f1, round(up, 6) AS micro_precision, round(ur, 6) AS micro_recall, round({_F1.format(p='up', r='ur')}, 6) AS micro_f1 FROM o""")
 def micro_macro(spark, sf_dir):
     a, b = map(_coarse, _sides(spark, sf_dir))
     one = matching.micro_macro(matching.truth_scores(matching.match_in_order(a, b, ["image", "class_id"], 0.2)))
@@ -238,10 +272,24 @@ def split_house(spark, sf_dir):
     return splits.leave_houses_out(images(spark, sf_dir).select(F.col("name").alias("group_key")), ["h01", "h07"])
 
 
-@query()
+#: Groups of a stratum: each stratum is balanced by itself, in a task of its own.
+STRATUM = 200
+_STRATIFIED = f"""WITH RECURSIVE {BOXES}, b AS (SELECT image // 20 AS group_key, image, class_id FROM boxes), k AS (SELECT group_key, group_key // {STRATUM} AS stratum, count(DISTINCT image) AS images, count(*) AS total FROM b GROUP BY 1),
+ h AS (SELECT group_key, class_id, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2), dense AS (SELECT k.group_key, list(coalesce(h.n, 0) ORDER BY c) AS n FROM k CROSS JOIN range(23) t(c) LEFT JOIN h ON h.group_key = k.group_key AND h.class_id = c GROUP BY 1),
+ w AS (SELECT stratum, sum(images) AS all_images, list_transform(range(23), lambda c: list_sum(list_transform(list(n), lambda x: x[c + 1]))) AS all_n FROM k JOIN dense USING (group_key) GROUP BY 1),
+ r AS (SELECT k.group_key, k.stratum, k.images, dense.n AS held, row_number() OVER (PARTITION BY k.stratum ORDER BY k.total DESC, md5('42:' || k.group_key), k.group_key) AS nth FROM k JOIN dense ON dense.group_key = k.group_key),
+ g AS (SELECT stratum, 0::BIGINT AS nth, NULL::BIGINT AS group_key, NULL::INT AS s, [0.0, 0.0, 0.0]::DOUBLE[] AS filled, list_transform(range(69), lambda i: 0.0::DOUBLE) AS counts FROM w UNION ALL
+  SELECT stratum, nth, group_key, s, list_transform(range(3), lambda i: filled[i + 1] + CASE WHEN i = s THEN images ELSE 0 END), list_transform(range(69), lambda i: counts[i + 1] + CASE WHEN i // 23 = s THEN held[i % 23 + 1] ELSE 0 END)
+  FROM (SELECT *, CASE WHEN gain[1] >= gain[2] AND gain[1] >= gain[3] THEN 0 WHEN gain[2] >= gain[3] THEN 1 ELSE 2 END AS s FROM (
+   SELECT r.*, filled, counts, list_transform([0.8::DOUBLE, 0.1::DOUBLE, 1 - (0.8::DOUBLE + 0.1::DOUBLE)], lambda share, i: round(list_sum(list_transform(range(23), lambda c: least(held[c + 1], greatest(all_n[c + 1] * share - counts[(i - 1) * 23 + c + 1], 0)))) - (filled[i] / all_images - share), 9)) AS gain
+   FROM g JOIN r ON r.stratum = g.stratum AND r.nth = g.nth + 1 JOIN w ON w.stratum = r.stratum) x) y)
+SELECT group_key, ['train', 'val', 'test'][s + 1] AS split FROM g WHERE nth > 0"""
+
+
+@query(_STRATIFIED)
 def split_stratified(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumn("group_key", F.expr("image div 20"))
-    sizes = b.groupBy("group_key").agg(F.countDistinct("image").alias("images"))
+    sizes = b.groupBy("group_key").agg(F.countDistinct("image").alias("images")).withColumn("stratum", F.expr(f"group_key div {STRATUM}"))
     return splits.stratified(b.groupBy("group_key", "class_id").agg(F.count("*").alias("n")), sizes)
 
 
@@ -387,7 +435,14 @@ def dvc_lock_scan(spark, sf_dir):
     return gates.missing_objects(p, p.filter("p_partkey < 40"))
 
 
-@query()
+_CAPPED = f"""WITH RECURSIVE {BOXES}, i AS (SELECT source, image, [count(*) FILTER (WHERE class_id = 5), count(*) FILTER (WHERE class_id = 11), count(*) FILTER (WHERE class_id = 20)] AS n, row_number() OVER (PARTITION BY source ORDER BY image) AS nth FROM boxes GROUP BY 1, 2),
+ g AS (SELECT DISTINCT source, NULL::BIGINT AS image, 0::BIGINT AS nth, false AS takes, 0::BIGINT AS took, [0, 0, 0]::BIGINT[] AS sums FROM i UNION ALL
+  SELECT source, image, nth, takes, took + CASE WHEN takes THEN 1 ELSE 0 END, CASE WHEN takes THEN [sums[1] + n[1], sums[2] + n[2], sums[3] + n[3]] ELSE sums END
+  FROM (SELECT i.source, i.image, i.nth, i.n, took, sums, took < 300 AND NOT (n[1] > 0 AND sums[1] >= 40 OR n[2] > 0 AND sums[2] >= 60 OR n[3] > 0 AND sums[3] >= 25) AS takes FROM g JOIN i ON i.source = g.source AND i.nth = g.nth + 1) x)
+SELECT source, image FROM g WHERE takes"""
+
+
+@query(_CAPPED)
 def capped_greedy(spark, sf_dir):
     return merging.greedy_caps(boxes(spark, sf_dir), ["source"], "image", {5: 40, 11: 60, 20: 25}, most=300)
 
@@ -406,7 +461,7 @@ def tile_plan(spark, sf_dir):
     return tiles(first, F.lit(640), F.lit(480), 320).select("image", "x0", "y0", "x1", "y1")
 
 
-@query(f"WITH {BOXES} SELECT image, class_id, count(*) AS n, round(avg(cx), 6) AS cx FROM boxes WHERE class_id < 4 GROUP BY 1, 2")
+@query(f"WITH {BOXES} SELECT image, class_id, count(*) AS n, round(avg(cx), 6) AS cx FROM boxes GROUP BY 1, 2")
 def image_class_index(spark, sf_dir):
-    return boxes(spark, sf_dir).filter("class_id < 4").groupBy("image", "class_id").agg(F.count("*").alias("n"), F.round(F.avg("box.cx"), 6).alias("cx"))
+    return boxes(spark, sf_dir).groupBy("image", "class_id").agg(F.count("*").alias("n"), F.round(F.avg("box.cx"), 6).alias("cx"))
 

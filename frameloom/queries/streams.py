@@ -67,7 +67,15 @@ def alert_pick(spark, sf_dir):
     return memory.spoken_alert(_fired(spark, sf_dir))
 
 
-@query()
+_QUEUE = f"""{_FIRED}, a AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY frame_no, rule_no) AS nth FROM fired),
+ q AS (SELECT DISTINCT camera, 0::BIGINT AS nth, []::STRUCT(s INT, nth BIGINT, frame_no BIGINT, rule_no INT, rule_id VARCHAR)[] AS held FROM a UNION ALL
+  SELECT camera, nth, CASE WHEN len(held) < 10 THEN list_append(held, x) WHEN low.s < x.s THEN list_append(list_filter(held, lambda k: k.nth <> low.nth), x) ELSE held END
+  FROM (SELECT a.camera, a.nth, held, {{'s': a.severity::INT, 'nth': a.nth, 'frame_no': a.frame_no, 'rule_no': a.rule_no::INT, 'rule_id': a.rule_id}} AS x, list_min(list_transform(held, lambda k: {{'s': k.s, 'nth': k.nth}})) AS low FROM q JOIN a ON a.camera = q.camera AND a.nth = q.nth + 1) y),
+ e AS (SELECT camera, unnest(held) AS x FROM q QUALIFY row_number() OVER (PARTITION BY camera ORDER BY nth DESC) = 1)
+SELECT camera, row_number() OVER (PARTITION BY camera ORDER BY x.s DESC, x.frame_no, x.rule_no) AS place, x.frame_no AS frame_no, x.rule_id AS rule_id, x.s AS severity FROM e"""
+
+
+@query(_QUEUE)
 def alert_topk_queue(spark, sf_dir):
     return memory.queued(_fired(spark, sf_dir), 10)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions.names import IMAGE_ENDINGS, ending, file_name, stem
+from ..operators.dedup import small
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
@@ -107,7 +108,7 @@ def coco_boxes(coco: DataFrame, wanted: list[str]) -> DataFrame:
 
 def open_images_boxes(rows: DataFrame, names: DataFrame) -> DataFrame:
     """(image, class_name, box) of an index by label id (ImageID, LabelName, XMin, XMax, YMin, YMax), sides above 0 only; names: LabelName, class_name, small."""
-    found = rows.join(F.broadcast(names), "LabelName")
+    found = rows.join(small(names), "LabelName")
     x0, x1, y0, y1 = (F.col(c).cast("double") for c in ("XMin", "XMax", "YMin", "YMax"))
     return found.filter((x1 > x0) & (y1 > y0)).select(F.col("ImageID").alias("image"), "class_name", B.box((x0 + x1) / 2, (y0 + y1) / 2, x1 - x0, y1 - y0).alias("box"))
 
