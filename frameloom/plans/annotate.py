@@ -6,8 +6,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.boxes import box, tile_to_full
+from ..operators.dedup import shared_table
+from ..operators.matching import suppress
+
 #: A backend gets batches of (image, content, class_ids) and yields (image, ord, class_id, conf, cx, cy, w, h). It loads its model once per call, that is per task.
 Backend = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 BACKENDS: dict[str, Backend] = {}
@@ -26,11 +31,11 @@ def backend(name: str) -> Callable[[Backend], Backend]:
     return add
 
 
-@backend("centred")
-def centred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For tests: a box in the middle for each class asked for, less and less sure."""
+@backend("corners")
+def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For tests: a quarter of the image for each class asked for, from the top left corner round, as sure as the class id says."""
     for frame in batches:
-        rows = [(i, n, c, max(0.05, round(0.9 - 0.1 * n, 2)), 0.5, 0.5, 0.2, 0.2) for i, ids in zip(frame["image"], frame["class_ids"], strict=True) for n, c in enumerate(ids)]
+        rows = [(i, n, c, 1 / (1 + c % 10), 0.25 + n % 2 / 2, 0.25 + n // 2 % 2 / 2, 0.5, 0.5) for i, ids in zip(frame["image"], frame["class_ids"], strict=True) for n, c in enumerate(ids)]
         yield pd.DataFrame(rows, columns=["image", "ord", "class_id", "conf", "cx", "cy", "w", "h"])
 
 
@@ -58,3 +63,34 @@ def tiles(images: DataFrame, width: Column, height: Column, size: int, overlap:
     step = max(1, int(size * (1 - overlap)))
     rows = images.withColumns({"x0": F.explode(_starts(width, size, step)), "_w": width, "_h": height}).withColumn("y0", F.explode(_starts(F.col("_h"), size, step)))
     return rows.withColumns({"x1": F.least(F.col("x0") + size, F.col("_w")), "y1": F.least(F.col("y0") + size, F.col("_h"))}).drop("_w", "_h")
+
+
+def annotate_tiles(images: DataFrame, name: str, width: Column, height: Column, size: int, overlap: float = 0.0, threshold: float = 0.0, same: float = 0.5) -> DataFrame:
+    """Sliced inference: tiles, a backend over each, boxes of the whole image, and of those that overlap by `same` in a class the surest.
+
+    images: image, content, class_ids. Tiles carry their own numbers, so a backend sees them as images.
+    """
+    cut = tiles(images, width, height, size, overlap).withColumns({"_width": width, "_height": height})
+    place = F.struct("x0", "y0", "x1", "y1")
+    numbered = cut.select("*", F.row_number().over(W.partitionBy("image").orderBy("y0", "x0")).alias("nth"), place.alias("place"))
+    keyed = shared_table(numbered.select(F.xxhash64("image", "nth").alias("tile"), "image", "content", "class_ids", "place", "_width", "_height"))
+    found = annotate(keyed.select(F.col("tile").alias("image"), "content", "class_ids"), name, threshold).withColumnRenamed("image", "tile")
+    own = tile_to_full(box("cx", "cy", "w", "h"), *[F.col(f"place.{c}") for c in ("x0", "y0", "x1", "y1")], F.col("_width"), F.col("_height"))
+    whole = found.join(keyed.select("tile", F.col("image").alias("of"), "place", "_width", "_height"), "tile").select(F.col("of").alias("image"), "class_id", "conf", F.struct("place", "ord").alias("ord"), own.alias("box"))
+    return suppress(whole, ["image", "class_id"], same).select("image", "class_id", "conf", "box")
+
+
+def refined(found: Column, mask: Column, width: int) -> Column:
+    """The box of a mask (an array of width cells a row, above 0 where the object is), else the box as found: a refinement never drops a detection."""
+    cells = F.transform(mask, lambda v, i: F.when(v > 0, i))
+    on = F.filter(cells, lambda i: i.isNotNull())
+    xs, ys = F.transform(on, lambda i: i % width), F.transform(on, lambda i: F.floor(i / width))
+    x0, x1, y0, y1 = F.array_min(xs), F.array_max(xs) + 1, F.array_min(ys), F.array_max(ys) + 1
+    high = F.size(mask) / width
+    return F.when(F.size(on) > 0, box((x0 + x1) / 2 / width, (y0 + y1) / 2 / high, (x1 - x0) / width, (y1 - y0) / high)).otherwise(found)
+
+
+def prompt_fingerprint(prompts: DataFrame) -> DataFrame:
+    """One row, fingerprint: sha256 over a run's prompts (class_name, prompt, threshold) as sorted lines; a configuration, so small."""
+    line = F.format_string("%s\t%s\t%.6f", "class_name", "prompt", F.col("threshold").cast("double"))
+    return prompts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import columns, relations, streams, summaries  # noqa: F401
+from . import checks, columns, relations, scans, streams, summaries  # noqa: F401
 from .base import QUERIES, SQL
 
 FLAGSHIP = "class_counts"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -85,3 +86,21 @@ def routed(batch: DataFrame, path: str, most_bytes: int | None = None) -> None:
     for name, rows in {"events": batch, "performance": batch.select("camera", "frame_no", "ms"), "uncertain": batch.filter(F.exists("confs", lambda c: c.between(0.25, 0.55)))}.items():
         if most_bytes is None or folder_bytes(batch.sparkSession, f"{path}/{name}") < most_bytes:
             rows.write.mode("append").json(f"{path}/{name}")
+
+
+def with_reloaded_rules(load: Callable[[], Sequence[Rule]], evaluate: Callable[[DataFrame, Sequence[Rule]], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that reads the rules anew for each micro-batch, so that an edit takes effect with the next one, and never within one.
+
+    While the rules can't be read or parsed, those of the batch before stay in force; the first batch needs them.
+    """
+    held: list[Sequence[Rule]] = []
+
+    def run(batch: DataFrame, _: int) -> None:
+        try:
+            held[:] = [load()]
+        except (OSError, ValueError, KeyError, AnalysisException):
+            if not held:
+                raise
+        evaluate(batch, held[0])
+
+    return run

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import dedup, gates, labels, matching, merging, policies, splits, verification
-from frameloom.plans import annotate
+from frameloom.operators import captures, dedup, gates, labels, matching, merging, policies, splits, verification
+from frameloom.plans import annotate, plugins
 from frameloom.sources import files, sinks
 from frameloom.streaming import live, memory
 from frameloom.streaming.rules import Rule, compile_condition, holds, load_rules
@@ -216,9 +217,9 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_backends(spark):
     images = spark.createDataFrame([(1, None, [3, 5])], "image long, content binary, class_ids array<int>")
-    found = annotate.annotate(images, "centred", 0.85)
-    assert [(r["class_id"], r["conf"]) for r in found.collect()] == [(3, 0.9)]
-    assert annotate.rerun_differences(found, annotate.annotate(images, "centred", 0.85)).count() == 0
+    found = annotate.annotate(images, "corners", 0.2)
+    assert [(r["class_id"], r["conf"]) for r in found.collect()] == [(3, 0.25)]
+    assert annotate.rerun_differences(found, annotate.annotate(images, "corners", 0.2)).count() == 0
     with pytest.raises(KeyError):
         annotate.annotate(images, "none")
 
@@ -232,3 +233,79 @@ def test_policies_and_gates(spark):
         merging.require_empty(merging.without_provenance(images, images.filter("image = 1")), "unknown images")
     assert gates.exit_code(spark.createDataFrame([("x", 0, 2)], "check string, criticals int, warnings int")).first()[0] == 2
     assert labels.lines_of(spark.createDataFrame([(1, "# c\n\n0 1 1 1 1\r\n")], "image int, text string")).collect()[0]["line_num"] == 3
+
+
+def test_conditions_that_are_not_understood(spark):
+    from frameloom.streaming.rules import terms
+
+    assert terms("detected(a b)") == terms("seen(a)") == terms("absent_for(a)") == terms("absent_for(a, soon)") == terms("") == [[("never", ())]]
+    assert terms(" NOT  detected( knife ) OR absent_for(stove,2.5) AND detected(person)") == [[("lacks", ("knife",)), ("absent", ("stove", 2.5))], [("has", ("person",))]]
+    assert terms("detected(x) AND any_of([a, b])") == [[("has", ("a",)), ("has", ("b",))]] and terms("any_of([])") == [[("never", ())]]
+
+
+def test_rules_are_read_anew_for_each_batch(spark):
+    texts, seen = ["[rule", "detected(a)", "?", "detected(b)"], []
+
+    def load():
+        if (t := texts.pop(0)).startswith("?"):
+            raise ValueError(t)
+        return load_rules([{"id": "r", "condition": t}])
+
+    run = live.with_reloaded_rules(load, lambda batch, rules: seen.append((batch.count(), rules[0].condition)))
+    for n in range(4):
+        run(spark.range(n), n)
+    assert seen == [(0, "[rule"), (1, "detected(a)"), (2, "detected(a)"), (3, "detected(b)")]
+    with pytest.raises(ValueError):
+        live.with_reloaded_rules(lambda: load_rules([{"id": "r", "cooldown_seconds": "x"}]), print)(spark.range(1), 0)
+
+
+def test_labels_are_staged_and_made_final(spark, tmp_path):
+    path, final = str(tmp_path / "staged"), str(tmp_path / "final")
+    schema = "session string, annotator string, stem string, text string"
+    captures.stage_labels(spark.createDataFrame([("s1", "ann", "i", "0 0.5 0.5 0.1 0.1"), ("s1", "bob", "i", "1 0.5 0.5 0.1 0.1\nbad")], schema), path)
+    captures.stage_labels(spark.createDataFrame([("s1", "bob", "i", "2 0.5 0.5 0.1 0.1\n2 0.4 0.5 0.1 0.1"), ("s2", "ann", "j", "")], schema), path)
+    staged = spark.read.parquet(path)
+    chosen = spark.createDataFrame([("s1", "bob")], "session string, annotator string")
+    assert [tuple(r) for r in captures.finalize_labels(staged, chosen, final).collect()] == [("s1", 2, 2)]
+    assert spark.read.parquet(final).count() == 1
+    with pytest.raises(FileNotFoundError):
+        captures.finalize_labels(staged, spark.createDataFrame([("s9", "bob")], "session string, annotator string"), final)
+
+
+def test_an_evaluation_set_is_locked_once(spark, tmp_path):
+    files_ = spark.createDataFrame([("v1", "a.jpg", "x"), ("v1", "b.jpg", "y")], "set string, name string, sha string")
+    path = str(tmp_path / "locks")
+    digest = captures.lock_eval_set(files_, "v1", path)
+    assert digest == hashlib.sha256(b"a.jpg:x\nb.jpg:y").hexdigest()
+    with pytest.raises(ValueError, match="locked"):
+        captures.lock_eval_set(files_, "v1", path)
+    with pytest.raises(ValueError, match="empty"):
+        captures.lock_eval_set(files_, "v2", path)
+
+
+def test_tiles_are_annotated_and_put_together(spark):
+    rows = spark.createDataFrame([(7, bytearray(b""), [4])], "image long, content binary, class_ids array<int>")
+    got = annotate.annotate_tiles(rows, "corners", F.lit(200), F.lit(100), 100, same=0.9).collect()
+    assert sorted((r["image"], r["class_id"], r["box"]["cx"], r["box"]["cy"], r["box"]["w"], r["box"]["h"]) for r in got) == [(7, 4, 0.125, 0.25, 0.25, 0.5), (7, 4, 0.625, 0.25, 0.25, 0.5)]
+    assert annotate.annotate_tiles(rows, "corners", F.lit(200), F.lit(100), 100, same=0.0).count() == 1
+
+
+def test_plugins_keep_their_contract(spark):
+    bad = plugins.Plugin("bad", "1", lambda f: f)
+    with pytest.raises(ValueError, match="bad returns"):
+        plugins.analyze(spark.range(1), [bad])
+    with pytest.raises(ValueError, match="no plugin"):
+        plugins.analyze(spark.range(1), [plugins.Plugin("late", "1", lambda f: f, ready=lambda: "no")])
+    plugins.register(bad)
+    with pytest.raises(ValueError, match="taken"):
+        plugins.register(bad)
+
+
+def test_ledger_entries_of_one_append_are_numbered(spark, tmp_path):
+    schema = "image long, class_id int, source string, status string, boxes long, seq int"
+    path = str(tmp_path / "log")
+    spark.createDataFrame([(1, 2, "s", "present_labeled", 1, 4)], schema).write.parquet(path)
+    new = spark.createDataFrame([(3, 2, "s", "verified_absent", 0, None), (3, 2, "s", "present_labeled", 2, None)], "image long, class_id int, source string, status string, boxes long, supersedes string")
+    assert verification.append(path, spark.read.parquet(path), new) == 2
+    log = spark.read.parquet(path)
+    assert log.schema["seq"].dataType.simpleString() == "int" and sorted(r["seq"] for r in log.filter("image = 3").collect()) == [5, 6]
