@@ -1,14 +1,16 @@
-"""Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory above.
 
-A file's units are its lines that mention a licence (CUE) and, where the file's name says that it is a licence file, its whole
-text. Units become sparse vectors of (1 + ln tf) * idf, idf taken over the templates and largest for words that none of
-them has; the cosine to each template is a join on the words. The best template at THRESHOLD or above is the file's own
-licence. Licence files also speak for their directory: a file without a licence of its own takes that of the
+A file's units are its lines that mention a licence (CUE), and its blocks of several lines that do: what stands between blank lines,
+comment marks aside, so that a wrapped header is compared whole and a licence file by its title and its paragraphs. Units become
+sparse vectors of (1 + ln tf) * idf, idf taken over the templates and largest for words that none of them has; version numbers weigh
+VERSION_WEIGHT times as much. The cosine to each template is a join on the words, and a template counts only where the unit has all of
+its version numbers. The best template at THRESHOLD or above is the file's own licence; of equal scores that of the licence with more
+units, then the first by name. Licence files also speak for their directory: a file without a licence of its own takes that of the
 deepest directory above it that has one. Only DataFrame operations are used; templates and their words are a fixed, small table.
 
-Defined results: a null or empty text has no licence of its own and may inherit; a null path inherits nothing; equal scores go to the
-first licence by name, a line that reserves all rights counts only beside no other licence, several licence files of a directory to the best score, then the first path; rows that repeat a path
-are scanned one by one; empty tables give empty results; further columns pass through `keep`.
+Defined results: a null or empty text has no licence of its own and may inherit; a null path inherits nothing; a line that reserves all
+rights counts only beside no other licence; several licence files of a directory go to the best score, then the first path; rows that
+repeat a path are scanned one by one; empty tables give empty results; further columns pass through `keep`.
 """
 
 from __future__ import annotations
@@ -20,77 +22,69 @@ from collections import Counter, defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_dimension, materialize
+from .common import discard, join_dimension, materialize
+from .license_texts import RESERVED_LINE, RESERVED_NAME, TEMPLATES
 
-THRESHOLD = 0.55
-CUE = r"(?i)licen[sc]e|copyright|permission|redistribut|warrant|spdx"
+THRESHOLD, VERSION_WEIGHT = 0.7, 3
+CUE = r"(?i)licen[sc]e|copyright|permission|permitted|redistribut|warrant|spdx|cc0|unencumbered|endorse"
 #: Reserves all rights, and does not license anything: counts where a file has no other licence, and is not replaced by an inherited one.
-RESERVED, RESERVED_NAME, RESERVED_LINE = r"(?i)\ball\s+rights\s+(are\s+)?reserved\b", "LicenseRef-Proprietary", "All rights reserved."
+RESERVED = r"(?i)\ball\s+rights\s+(are\s+)?reserved\b"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
+#: A line that is blank but for comment marks, between two blocks; a word or version number; what a number says no more for.
+BLANK, WORDS, ZEROS = r"\n[ \t\r#*/;%!-]*\n", r"[a-z]+|[0-9]+(?:\.[0-9]+)*", r"(\.0+)+$"
 
-#: Statements and header openings as they stand in files under these licences, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Use of this source code is governed by a BSD-style license.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ),
-    RESERVED_NAME: (RESERVED_LINE,),
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-}
-
-
-def template_table() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
-    """((licence, template, word, weight of the unit vector), ...), idf of each word, and the idf of any other."""
-    texts = [(name, i, Counter(w for w in re.split(r"[^a-z0-9]+", t.lower()) if w)) for name, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts)]
+
+def words_of(text: str) -> list[str]:
+    return [re.sub(ZEROS, "", w) for w in re.findall(WORDS, text.lower())]
+
+
+def _weight(word: str, n: int, idf: float) -> float:
+    return (1 + math.log(n)) * idf * (VERSION_WEIGHT if word[0].isdigit() else 1)
+
+
+def template_table() -> tuple[list[tuple[str, int, str, float, int]], dict[str, float], float]:
+    """((licence, template, word, weight of the unit vector, its version numbers), ...), idf of each word, and the idf of any other."""
+    texts = [(name, Counter(words_of(t))) for name, ts in sorted(TEMPLATES.items()) for t in ts]
     seen: dict[str, int] = defaultdict(int)
-    for _, _, words in texts:
+    for _, words in texts:
         for w in words:
             seen[w] += 1
     idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in seen.items()}
     rows = []
-    for number, (name, _, words) in enumerate(texts):
-        weight = {w: (1 + math.log(n)) * idf[w] for w, n in words.items()}
+    for number, (name, words) in enumerate(texts):
+        weight = {w: _weight(w, n, idf[w]) for w, n in words.items()}
         norm = math.sqrt(sum(x * x for x in weight.values()))
-        rows += [(name, number, w, x / norm) for w, x in sorted(weight.items())]
+        rows += [(name, number, w, x / norm, sum(v[0].isdigit() for v in words)) for w, x in sorted(weight.items())]
     return rows, idf, math.log(1 + len(texts)) + 1
 
 
+def units(text: Column) -> Column:
+    """A text's lines and blocks of several lines that mention a licence, and a line of its own if it reserves all rights."""
+    cued = lambda parts: F.filter(parts, lambda x: x.rlike(CUE))
+    lines, blocks = cued(F.split(text, "\n")), F.filter(cued(F.split(text, BLANK)), lambda x: F.contains(x, F.lit("\n")))
+    reserved = F.when(text.rlike(RESERVED), F.array(F.lit(RESERVED_LINE))).otherwise(F.array().cast("array<string>"))
+    return F.concat(lines, blocks, reserved)
+
+
 def _own(files: DataFrame, threshold: float) -> DataFrame:
-    """(file, license, score) of files (file, lines, whole) that have a licence of their own."""
+    """(file, license, score) of files (file, units) that have a licence of their own."""
     rows, idf, other = template_table()
     spark: SparkSession = files.sparkSession
-    templates = spark.createDataFrame(rows, "license string, template int, word string, weight double")
+    templates = spark.createDataFrame(rows, "license string, template int, word string, weight double, versions int")
     idfs = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
-    lines = files.select("file", F.posexplode("lines").alias("unit", "line"))
-    whole = files.filter("whole is not null").select("file", F.lit(-1).alias("unit"), F.col("whole").alias("line"))
-    words = lines.union(whole).select("file", "unit", F.explode(F.split(F.lower("line"), "[^a-z0-9]+")).alias("word")).filter("word <> ''")
+    found = F.transform(F.regexp_extract_all(F.lower("line"), F.lit(WORDS), F.lit(0)), lambda w: F.regexp_replace(w, ZEROS, ""))
+    words = files.select("file", F.posexplode("units").alias("unit", "line")).select("file", "unit", F.explode(found).alias("word"))
     counted = words.groupBy("file", "unit", "word").agg(F.count("*").alias("n"))
-    weight = (1 + F.log("n")) * F.coalesce("idf", F.lit(other))
-    weighed = counted.join(F.broadcast(idfs), "word", "left").select("file", "unit", "word", weight.alias("w"))
-    weighed = materialize(weighed, "license-words")
+    number = F.col("word").rlike("^[0-9]")
+    weight = (1 + F.log("n")) * F.coalesce("idf", F.lit(other)) * F.when(number, VERSION_WEIGHT).otherwise(1)
+    weighed = materialize(counted.join(F.broadcast(idfs), "word", "left").select("file", "unit", "word", weight.alias("w")), "license-words")
     norms = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(templates), "word").groupBy("file", "unit", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["file", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= threshold)
-    best = scored.groupBy("file").agg(F.min(F.struct((F.col("license") == RESERVED_NAME).alias("reserved"), (-F.col("score")).alias("less"), "license")).alias("best"))
+    dots = weighed.join(F.broadcast(templates), "word").groupBy("file", "unit", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(number).alias("met"), F.max("versions").alias("versions"))
+    scored = dots.filter("met = versions").join(norms, ["file", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
+    per = scored.groupBy("file", "license").agg(F.max("score").alias("score"), F.countDistinct("unit").alias("units"))
+    order = F.struct((F.col("license") == RESERVED_NAME).alias("reserved"), (-F.col("score")).alias("less"), (-F.col("units")).alias("fewer"), "license")
+    best = materialize(per.groupBy("file").agg(F.min(order).alias("best")), "licenses")
+    discard(weighed)
     return best.select("file", F.col("best.license").alias("license"), (-F.col("best.less")).alias("score"))
 
 
@@ -98,13 +92,10 @@ def scan_licenses(files: DataFrame, path: Column, keep: list[str] | None = None,
     """For files with a text column: the columns of keep, path, license, score, origin (own, inherited) and directory it comes from."""
     keep = keep or []
     source = files.select(path.alias("path"), "text", *[F.col(c).alias(f"keep_{c}") for c in keep])
-    #: A licence is looked for in these columns only: the cue lines, and whole texts of licence files; so texts are read once and shuffled nowhere.
-    units = F.when(F.col("path").rlike(LICENSE_FILE), F.col("text")).alias("whole")
-    reserved = F.when(F.col("text").rlike(RESERVED), F.array(F.lit(RESERVED_LINE))).otherwise(F.array().cast("array<string>"))
-    lines = F.concat(F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)), reserved).alias("lines")
-    rows = materialize(source.select(F.monotonically_increasing_id().alias("file"), "path", lines, units, *[f"keep_{c}" for c in keep]), "license-files")
-    own = materialize(_own(rows, threshold), "licenses")
-    named = rows.drop("lines", "whole").join(own, "file", "left")
+    #: A licence is looked for in the units only; so texts are read once and shuffled nowhere.
+    rows = materialize(source.select(F.monotonically_increasing_id().alias("file"), "path", units(F.col("text")).alias("units"), *[f"keep_{c}" for c in keep]), "license-files")
+    own = _own(rows, threshold)
+    named = rows.drop("units").join(own, "file", "left")
     folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
     first = F.min(F.struct((F.col("license") == RESERVED_NAME).alias("reserved"), (-F.col("score")).alias("less"), "path", "license"))
     folders = named.filter(F.col("path").rlike(LICENSE_FILE) & F.col("license").isNotNull()).groupBy(folder(F.col("path")).alias("directory")).agg(first.alias("best"))
@@ -120,3 +111,31 @@ def scan_licenses(files: DataFrame, path: Column, keep: list[str] | None = None,
         *[F.col(f"keep_{c}").alias(c) for c in keep], "path", F.coalesce("license", "near.theirs").alias("license"), F.coalesce("score", "near.their_score").alias("score"),
         F.when(mine, "own").when(F.col("near").isNotNull(), "inherited").alias("origin"), F.when(mine, F.lit(None)).otherwise(F.col("near.directory")).alias("directory"),
     )
+
+
+def _op5_sql() -> str:
+    """The query op5_license_scan in DuckDB's SQL, templates and their weights as values."""
+    rows, idf, other = template_table()
+    number = "regexp_matches(word, '^[0-9]')"
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return f"""WITH tpl(license, template, word, weight, versions) AS (VALUES {", ".join(f"({quoted(a)}, {b}, {quoted(c)}, {d!r}::DOUBLE, {e})" for a, b, c, d, e in rows)}),
+ idfs(word, idf) AS (VALUES {", ".join(f"({quoted(w)}, {x!r}::DOUBLE)" for w, x in sorted(idf.items()))}),
+ f AS (SELECT doc_id, text, coalesce(source, 'unknown') || CASE WHEN regexp_matches(text, '{CUE}') AND doc_id % 6 = 0 THEN '' ELSE '/' || (doc_id // 50) END || '/' || CASE WHEN regexp_matches(text, '{CUE}') AND doc_id % 2 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path FROM documents),
+ parts AS (SELECT doc_id, list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')), list_filter(string_split_regex(text, '{BLANK}'), lambda x: regexp_matches(x, '{CUE}') AND contains(x, chr(10))),
+  CASE WHEN regexp_matches(text, '{RESERVED}') THEN ['{RESERVED_LINE}'] ELSE [] END) AS u FROM f WHERE text IS NOT NULL),
+ un AS (SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS unit FROM parts WHERE len(u) > 0),
+ w AS (SELECT doc_id, unit, regexp_replace(unnest(regexp_extract_all(lower(line), '{WORDS}')), '{ZEROS}', '') AS word FROM un),
+ n AS (SELECT doc_id, unit, word, count(*) AS n FROM w GROUP BY ALL),
+ g AS (SELECT doc_id, unit, n.word, (1 + ln(n)) * coalesce(idf, {other!r}::DOUBLE) * CASE WHEN {number.replace("word", "n.word")} THEN {VERSION_WEIGHT} ELSE 1 END AS w FROM n LEFT JOIN idfs ON idfs.word = n.word),
+ norms AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM g GROUP BY ALL),
+ dots AS (SELECT doc_id, unit, license, template, sum(w * weight) AS dot FROM g JOIN tpl ON tpl.word = g.word GROUP BY ALL HAVING count(*) FILTER (WHERE {number.replace("word", "g.word")}) = max(versions)),
+ per AS (SELECT doc_id, license, max(round(dot / norm, 6)) AS score, count(DISTINCT unit) AS units FROM dots JOIN norms USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD} GROUP BY ALL),
+ own AS (SELECT doc_id, license, score FROM per QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY license = '{RESERVED_NAME}', score DESC, units DESC, license) = 1),
+ named AS (SELECT f.doc_id, path, license, score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d1, regexp_extract(regexp_extract(path, '^(.*)/[^/]*$', 1), '^(.*)/[^/]*$', 1) AS d2 FROM f LEFT JOIN own ON own.doc_id = f.doc_id),
+ folders AS (SELECT d1 AS directory, license AS theirs, score AS their_score FROM named WHERE regexp_matches(path, '{LICENSE_FILE}') AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY d1 ORDER BY license = '{RESERVED_NAME}', score DESC, path, license) = 1)
+SELECT doc_id, path, coalesce(license, a.theirs, b.theirs) AS license, coalesce(score, a.their_score, b.their_score) AS score,
+ CASE WHEN license IS NOT NULL THEN 'own' WHEN coalesce(a.theirs, b.theirs) IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN license IS NULL THEN coalesce(a.directory, b.directory) END AS directory
+FROM named LEFT JOIN folders a ON a.directory = d1 LEFT JOIN folders b ON b.directory = d2 AND d2 <> ''"""
+
+
+OP5_SQL = _op5_sql()

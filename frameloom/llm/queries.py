@@ -36,9 +36,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a directory for every fifty of a source, the first of which is its licence file."""
-    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 50").cast("string"), name)
+    """Documents as files: a directory for every fifty of a source. Half of the documents that mention a licence are licence files, of their directory or of the whole source."""
+    cued, i = F.coalesce(F.col("text").rlike(licenses.CUE), F.lit(False)), F.col("doc_id")
+    folder = F.when(cued & (i % 6 == 0), "").otherwise(F.concat(F.lit("/"), F.expr("doc_id div 50").cast("string")))
+    name = F.when(cued & (i % 2 == 0), "LICENSE").otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    path = F.concat(F.coalesce("source", F.lit("unknown")), folder, F.lit("/"), name)
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"), path, ["doc_id"])
 
 
@@ -70,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_mix_sources, op2_topk_search, op3_simhash_near_dedup, op4_suffix_dedup, op5_license_scan, op6_bpe_roundtrip, op7_exact_dedup, op8_quality_classifier, op9_language_id, op10_lm_scoring,
     )
 }
-SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}

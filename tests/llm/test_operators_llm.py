@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from frameloom.llm import bpe, exact_dedup, golay, jaccard, language_id, licenses, mixing, ngram_lm, quality, simhash, substrings, topk
+from frameloom.llm import bpe, exact_dedup, golay, jaccard, language_id, licenses, mixing, ngram_lm, quality, queries, simhash, substrings, topk
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -199,8 +199,7 @@ def test_op4(request, which):
 
 def test_op5(spark):
     files = [
-        ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-        ("a/b/c.txt", "plain words"), ("a/b/own.txt", "text\nLicensed under CC BY-NC 4.0.\nmore"), ("z/other.txt", "plain words"), (None, "x"), ("a/e.txt", None), ("a/LICENSES/x.txt", ""),
+        ("a/LICENSE", licenses.TEMPLATES["MIT"][3]), ("a/b/c.txt", "plain words"), ("a/b/own.txt", "text\nLicensed under CC BY-NC 4.0.\nmore"), ("z/other.txt", "plain words"), (None, "x"), ("a/e.txt", None), ("a/LICENSES/x.txt", ""),
     ]
     got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(files, "p string, text string"), F.col("p")).collect()}
     assert got["a/LICENSE"] == ("MIT", "own") and got["a/b/c.txt"] == ("MIT", "inherited") and got["a/e.txt"] == ("MIT", "inherited")
@@ -367,6 +366,9 @@ def test_op10_probabilities_sum_to_one(docs, spark):
 def test_sql_of_native_operators(spark, docs):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    rows = sorted(map(str, con.sql("select doc_id, path, license, score, origin, directory from (" + licenses.OP5_SQL + ")").fetchall()))
+    found = queries.op5_license_scan(spark, SF).select("doc_id", "path", "license", "score", "origin", "directory")
+    assert sorted(str(tuple(r)) for r in found.collect()) == rows
     want = {(r[0], r[1], r[4]) for r in con.sql("select doc_id, size, source_size, target, taken from (" + mixing.OP1_SQL + ")").fetchall()}
     assert {(r["doc_id"], r["size"], r["taken"]) for r in mixing.mixing_plan(docs).collect()} == want
 
