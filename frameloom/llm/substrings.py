@@ -12,6 +12,10 @@ documents, and strings are judged on the input.
    doc_id of each run of equal ones decides. Equal segments are folded into one before the sort.
 3. The spans go back to their documents.
 
+An anchor that a hundredth of the texts share would gather its segments in one bucket. Such anchors, found in a sample that bears on the
+route alone, take no part in 1 and 2: each string at them is named by 128 hash bits, the smallest ord of a name is found by an
+aggregation that begins inside each batch, and frequent names are joined by broadcast. No task holds what a frequent passage has.
+
 Exact copies are found by digest, take no part in 2 and are removed whole. Texts are compressed where they are shuffled.
 
 Defined results: null and empty texts have no bytes; a null doc_id is larger than all others (it counts as the largest long); rows
@@ -31,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_groups, materialize
 
 WIDTH, SEED = 50, 18
 WINDOW = WIDTH - SEED + 1
@@ -42,31 +46,34 @@ PARTS = 8
 #: Segments of a batch in which equal ones are folded before the shuffle.
 FOLD_SEGMENTS = 40_000
 BATCH_BYTES, PIECE = 4 << 20, 1 << 20
+#: The sample for frequent anchors: so many texts, or this part of them if that is more; the part of it that makes an anchor frequent; and the most of them.
+SAMPLE_TEXTS, SAMPLE_PART, FREQUENT_PART, FREQUENT = 4000, 1 / 64, 1 / 100, 1 << 16
 LAST = (1 << 63) - 1
 HASH_SEED = 42
 _BASE = 0x9E3779B97F4A7C15
+_BASES = (_BASE, 0xBF58476D1CE4E5B9)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse, modulo 2^64."""
+@lru_cache(maxsize=8)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash's base and of its inverse, modulo 2^64."""
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+    for base in (base, pow(base, -1, 1 << 64)):
         p = np.full(n, base, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
     return out[0], out[1]
 
 
-def _room(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(12, int(n).bit_length()))
+def _room(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << max(12, int(n).bit_length()), base)
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, base: int = _BASE) -> np.ndarray:
     """h with h[i] the polynomial hash of the first i bytes; a substring's is (h[b] - h[a]) / base^a."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _room(len(data))[0][: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _room(len(data), base)[0][: len(data)], out=out[1:])
     return out
 
 
@@ -116,7 +123,81 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"ord long, doc_id {kind}, th long, body binary")
 
 
-def _packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def _among(anchor: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which anchors are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(anchor), bool)
+    return known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+
+
+def frequent_anchors(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted anchors that many of n texts share, by a sample."""
+    part = min(1.0, max(SAMPLE_PART, SAMPLE_TEXTS / max(n, 1)))
+    some = docs.filter(F.pmod(F.xxhash64("ord"), F.lit(1 << 20)) < int(part * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(segments(np.frombuffer(_bytes(t), np.uint8))[0]) for t in batch.column(0)]
+            anchor, times = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(times.astype(np.int64))], names=["anchor", "n"])
+
+    counted = some.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") >= max(3, FREQUENT_PART * part * n)).orderBy(F.desc("n"), "anchor").limit(FREQUENT).collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+
+
+def _frequent_strings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Of the strings at frequent anchors: (ord, th, lo, hi, a, b). a and b name a string that starts at lo; without them, lo to hi goes whatever else there is.
+
+    Of equal strings of a batch only those of the smallest ord are sent by name.
+    """
+    names = ["ord", "th", "lo", "hi", "a", "b"]
+
+    def flush(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        order, th, lo, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((order, b, a))
+        order, th, lo, a, b = order[by], th[by], lo[by], a[by], b[by]
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        least = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        keep = order == least
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (order[keep], th[keep], lo[keep], lo[keep] + WIDTH, a[keep], b[keep]))], names=names)
+        order, th, lo = order[~keep], th[~keep], lo[~keep]
+        by = np.lexsort((lo, th, order))
+        order, th, lo = order[by], th[by], lo[by]
+        if len(lo):
+            cut = np.r_[True, (order[1:] != order[:-1]) | (th[1:] != th[:-1]) | (lo[1:] > lo[:-1] + 1)]
+            last = np.r_[cut[1:], True]
+            none = pa.nulls(int(cut.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (order[cut], th[cut], lo[cut], lo[last] + WIDTH)), none, none], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = [], 0
+        for batch in batches:
+            for order, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                raw = _bytes(text)
+                data = np.frombuffer(raw, np.uint8)
+                anchor, _, lo, hi = segments(data)
+                use = np.flatnonzero(_among(anchor, frequent))
+                if len(use):
+                    n = hi[use] - lo[use] + 1
+                    at = np.repeat(lo[use], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    name = []
+                    for base in _BASES:
+                        h = prefix_hashes(data, base)
+                        name.append(((h[at + WIDTH] - h[at]) * _room(len(data), base)[1][at]).view(np.int64))
+                    th = np.uint64(xxhash.xxh64_intdigest(raw, HASH_SEED)).view(np.int64)
+                    found.append((np.full(len(at), order), np.full(len(at), th), at, *name))
+                    total += len(at)
+                if total >= BATCH_BYTES // 4:
+                    yield from flush(found)
+                    found, total = [], 0
+        if found:
+            yield from flush(found)
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _packed_anchors(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
     """Rows of (bucket, anchors, docs, places): a batch's anchors of a bucket, six bytes each, with their documents' (ord, th) and number."""
 
     def flush(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +224,8 @@ def _packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 data = _bytes(text)
                 if len(data) >= WIDTH:
                     anchor, place, _, _ = segments(np.frombuffer(data, np.uint8))
+                    rare = ~_among(anchor, frequent)
+                    anchor, place = anchor[rare], place[rare]
                     anchor, first = np.unique(anchor, return_index=True)  # an anchor's other places in the text are found again later
                     found.append((order, np.uint64(xxhash.xxh64_intdigest(data, HASH_SEED)).view(np.int64), anchor, place[first]))
                     total += len(data)
@@ -357,16 +440,28 @@ def _spans(group: pa.Table) -> pa.Table:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(ord, th, spans): byte ranges to remove, overlapping and in any order, of texts that have any."""
     base = _with_order(docs)
-    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total, n = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(8, int(2 * total / WINDOW / BUCKET_ANCHORS) + 1)
-    repeated = _packed_anchors(base, buckets).groupBy("bucket").applyInArrow(_repeated, "ord long, th long, place long")
+    frequent = frequent_anchors(base, n)
+    repeated = _packed_anchors(base, buckets, frequent).groupBy("bucket").applyInArrow(_repeated, "ord long, th long, place long")
     places = materialize(repeated.groupBy("ord", "th").agg(F.collect_list("place").alias("places")), "anchor-places")
     joined = _packed_texts(base).select("ord", "th", "body").join(places, ["ord", "th"])
     spans = _contexts(joined, buckets * PARTS).groupBy("bucket").applyInArrow(_spans, "ord long, th long, lo long, hi long")
+    used = [places]
+    if len(frequent):
+        strings = materialize(_frequent_strings(base, frequent), "frequent-strings")
+        named = strings.filter("a is not null")
+        least = materialize(named.groupBy("a", "b").agg(F.min("ord").alias("least"), F.count("*").alias("n")).filter("n > 1"), "frequent-names")
+        gone = join_groups(named, least, ["a", "b"], "n").filter("ord > least").select("ord", "th", "lo", "hi")
+        spans = spans.union(gone).union(strings.filter("a is null").select("ord", "th", "lo", "hi"))
+        used += [strings, least]
     digests = base.select("ord", F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
-    firsts = digests.groupBy("sha").agg(F.min("ord").alias("least"))
-    copies = digests.filter(F.col("n") >= WIDTH).join(firsts, "sha").filter("ord > least").select("ord", "th", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")).distinct()
-    return materialize(spans.union(copies).groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    firsts = digests.groupBy("sha").agg(F.min("ord").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    firsts = materialize(firsts, "equal-texts")
+    copies = join_groups(digests.filter(F.col("n") >= WIDTH), firsts, ["sha"], "rows").filter("ord > least").select("ord", "th", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")).distinct()
+    out = materialize(spans.union(copies).groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(*used, firsts)
+    return out
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -177,8 +177,22 @@ def test_golay_decodes_three_errors():
         assert (golay.decode(words ^ error) == data).all()
 
 
-@pytest.mark.parametrize("which", ["docs", "awkward"])
-def test_op4(request, which):
+@pytest.fixture(scope="module")
+def beyond_a_piece(spark):
+    """Texts longer than what is worked on at a time, with repeats on both sides of its end."""
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage = noise(400)
+    big = noise(substrings.PIECE - 150) + passage + noise(3000)
+    rows = [(1, passage), (2, big), (3, noise(70) + big[-2500:]), (4, noise(40) + big[substrings.PIECE - 30 : substrings.PIECE + 45]), (5, big[:-1] + "#")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+@pytest.mark.parametrize("which", ["docs", "awkward", "beyond_a_piece"])
+def test_op4(request, monkeypatch, which, frequent):
+    """By anchors' segments; and with nearly every anchor that repeats taken for a frequent one."""
+    monkeypatch.setattr(substrings, "FREQUENT_PART", 1e-9 if frequent else 2.0)
     d = request.getfixturevalue(which)
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else 1 << 62), (r["text"] or "").encode()) for r in d.collect())
     first = {}
