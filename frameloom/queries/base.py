@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..operators.dedup import shared_table
 from ..streaming.rules import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +60,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """boxes as a table of the shared folder, for a query that reads them several times: the scan and its window run once."""
+    return shared_table(boxes(spark, sf_dir))
+
+
 BOXES = """boxes AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, CAST(l_partkey % 23 AS INT) AS class_id,
  l_quantity / 51 AS cx, l_discount * 5 AS cy, l_tax + 0.02::DOUBLE AS w, (l_linenumber + 1) / 20.0::DOUBLE AS h, l_returnflag AS side, floor(l_extendedprice / 20) / 10000 AS conf,
  ['train', 'val', 'test'][CAST(l_orderkey % 3 + 1 AS INT)] AS split, 's' || (l_orderkey % 7) AS source FROM lineitem)"""

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from ..functions import hashes as H
 from ..functions import names as N
 from ..operators import dedup, gates, labels, matching, merging, policies, splits, verification
-from .base import BOXES, CLASSES, GRIDS, IMAGES, N_CLASSES, PRIORITY, boxes, grids, images, query, sql_distance, sql_iou, table, taxonomy
+from .base import BOXES, CLASSES, GRIDS, IMAGES, N_CLASSES, PRIORITY, boxes, grids, images, query, sql_distance, sql_iou, table, taxonomy, written_boxes
 
 NEAR = 14
 PROMPTABLE = [2, 5, 10, 11, 20]
 
 
-def _side(spark, sf_dir, side):
-    return boxes(spark, sf_dir).filter(F.col("side") == side)
+def _side(spark, sf_dir, side, b=None):
+    return (b or boxes(spark, sf_dir)).filter(F.col("side") == side)
 
 
-def _trust(spark, sf_dir):
+def _trust(spark, sf_dir, b=None):
     """A source trusts the classes whose id leaves its own number modulo 3."""
-    src = boxes(spark, sf_dir).select("source").distinct()
+    src = (b or boxes(spark, sf_dir)).select("source").distinct()
     ids = F.filter(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda c: c % 3 == F.substring("source", 2, 1).cast("int") % 3)
     return src.select("source", ids.alias("ids"))
 
@@ -28,12 +28,12 @@ TRUST = "trust AS (SELECT source, list_filter(range(23), lambda c: c % 3 = subst
 _VERIFIED = "verified AS (SELECT DISTINCT image, class_id FROM boxes WHERE side = 'R' AND image % 4 = 0)"
 
 
-def _verified(spark, sf_dir):
-    return _side(spark, sf_dir, "R").filter(F.col("image") % 4 == 0).select("image", "class_id").distinct()
+def _verified(spark, sf_dir, b=None):
+    return _side(spark, sf_dir, "R", b).filter(F.col("image") % 4 == 0).select("image", "class_id").distinct()
 
 
-def _box_images(spark, sf_dir):
-    return boxes(spark, sf_dir).select("image", "source").distinct()
+def _box_images(spark, sf_dir, b=None):
+    return (b or boxes(spark, sf_dir)).select("image", "source").distinct()
 
 
 @query("WITH l AS (SELECT p_partkey, p_name AS stem FROM part WHERE p_partkey % 2 = 0), i AS (SELECT stem, max(p_partkey) AS label_path FROM l GROUP BY stem) SELECT p.p_partkey, p.p_name AS stem, i.label_path FROM part p LEFT JOIN i ON p.p_name = i.stem")
@@ -92,10 +92,12 @@ def dedup_near(spark, sf_dir):
     return dedup.keep_in_order(_hashes(spark, sf_dir), NEAR)
 
 
-@query(f"""WITH {GRIDS}, l AS (SELECT vec_id, bits FROM hashes WHERE vec_id % 10 = 0), t AS (SELECT vec_id, bits, flip_bits FROM hashes WHERE vec_id % 10 <> 0)
-SELECT l.vec_id AS image, 'near' AS kind, min(t.vec_id) AS match FROM l JOIN t ON {sql_distance('l.bits', 't.bits')} < {NEAR} OR {sql_distance('l.bits', 't.flip_bits')} < {NEAR} GROUP BY 1""")
+@query(f"""WITH {GRIDS}, l AS (SELECT vec_id, bits FROM hashes WHERE vec_id % 10 = 0), t AS (SELECT vec_id, bits, flip_bits FROM hashes WHERE vec_id % 10 <> 0),
+ e AS (SELECT l.vec_id AS image, min(t.vec_id) AS match FROM embeddings l JOIN embeddings t ON l.embedding = t.embedding AND l.vec_id % 10 = 0 AND t.vec_id % 10 <> 0 GROUP BY 1)
+SELECT image, 'exact' AS kind, match FROM e UNION ALL SELECT l.vec_id, 'near', min(t.vec_id) FROM l JOIN t ON {sql_distance('l.bits', 't.bits')} < {NEAR} OR {sql_distance('l.bits', 't.flip_bits')} < {NEAR} WHERE l.vec_id NOT IN (SELECT image FROM e) GROUP BY 1""")
 def eval_overlap(spark, sf_dir):
-    h = _hashes(spark, sf_dir).withColumn("image", F.col("ord")).withColumn("sha", F.col("ord").cast("string"))
+    digest = F.md5(F.array_join(F.col("grid").cast("array<string>"), ","))
+    h = grids(spark, sf_dir).select("vec_id", digest.alias("sha")).join(_hashes(spark, sf_dir).drop("sha").withColumn("image", F.col("ord")), F.col("vec_id") == F.col("ord"))
     return dedup.eval_overlap(h.filter("ord % 10 = 0"), h.filter("ord % 10 <> 0"), NEAR)
 
 
@@ -117,8 +119,9 @@ def filename_leakage(spark, sf_dir):
 
 @query(f"WITH {BOXES}, {TRUST}, k AS (SELECT * FROM boxes WHERE side = 'A'), c AS (SELECT b.* FROM boxes b JOIN trust t ON b.source = t.source AND list_contains(ids, class_id) WHERE side = 'R') SELECT image, ord, class_id FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.image = c.image AND k.class_id = c.class_id AND {sql_iou('k', 'c')} >= 0.2)")
 def salvage_theta(spark, sf_dir):
-    trusted = _trust(spark, sf_dir).select("source", F.explode("ids").alias("class_id"))
-    return merging.salvage(_side(spark, sf_dir, "A"), _side(spark, sf_dir, "R"), trusted, threshold=0.2).select("image", "ord", "class_id")
+    b = written_boxes(spark, sf_dir)
+    trusted = _trust(spark, sf_dir, b).select("source", F.explode("ids").alias("class_id"))
+    return merging.salvage(_side(spark, sf_dir, "A", b), _side(spark, sf_dir, "R", b), trusted, threshold=0.2).select("image", "ord", "class_id")
 
 
 @query(f"WITH {BOXES}, {TRUST} SELECT image, b.source, count(*) AS n, string_agg(class_id, ',' ORDER BY class_id) AS classes FROM boxes b JOIN trust t ON b.source = t.source AND list_contains(ids, class_id) WHERE side = 'N' GROUP BY 1, 2")
@@ -167,8 +170,9 @@ def session_prefix_join(spark, sf_dir):
 
 @query(f"WITH {BOXES}, {TRUST}, {_VERIFIED}, {_RESOLVED} SELECT image, array_to_string(list_filter({PROMPTABLE}, lambda c: NOT list_contains(wide, c)), ',') AS class_ids FROM r WHERE len(list_filter({PROMPTABLE}, lambda c: NOT list_contains(wide, c))) > 0")
 def target_anti(spark, sf_dir):
-    i = _box_images(spark, sf_dir)
-    found = verification.targets(i, PROMPTABLE, policies.trusted_list(i, _trust(spark, sf_dir)), _verified(spark, sf_dir))
+    b = written_boxes(spark, sf_dir)
+    i = _box_images(spark, sf_dir, b)
+    found = verification.targets(i, PROMPTABLE, policies.trusted_list(i, _trust(spark, sf_dir, b)), _verified(spark, sf_dir, b))
     return found.select("image", F.array_join(F.col("class_ids").cast("array<string>"), ",").alias("class_ids"))
 
 
@@ -185,7 +189,8 @@ def completeness_stats(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    return _side(spark, sf_dir, "A").select("image", "class_id", "ord", "box"), _side(spark, sf_dir, "R").select("image", "class_id", "ord", "box")
+    b = written_boxes(spark, sf_dir)
+    return tuple(_side(spark, sf_dir, s, b).select("image", "class_id", "ord", "box") for s in "AR")
 
 
 def _coarse(df):
@@ -373,16 +378,18 @@ def union_overlay(spark, sf_dir):
 
 @query(f"WITH {BOXES}, {TRUST}, {_VERIFIED}, {_RESOLVED}, t AS (SELECT image, unnest({PROMPTABLE})::INT AS class_id, wide FROM r) SELECT b.image, b.ord, b.class_id, 1.0::DOUBLE AS conf FROM boxes b JOIN t ON t.image = b.image AND t.class_id = b.class_id AND NOT list_contains(t.wide, b.class_id) WHERE side = 'N'")
 def cross_dataset_backend(spark, sf_dir):
-    i = _box_images(spark, sf_dir)
-    wanted = verification.targets(i, PROMPTABLE, policies.trusted_list(i, _trust(spark, sf_dir)), _verified(spark, sf_dir))
-    return verification.linked_candidates(_side(spark, sf_dir, "N").select("image", "class_id", "ord", "box"), wanted).select("image", "ord", "class_id", "conf")
+    b = written_boxes(spark, sf_dir)
+    i = _box_images(spark, sf_dir, b)
+    wanted = verification.targets(i, PROMPTABLE, policies.trusted_list(i, _trust(spark, sf_dir, b)), _verified(spark, sf_dir, b))
+    return verification.linked_candidates(_side(spark, sf_dir, "N", b).select("image", "class_id", "ord", "box"), wanted).select("image", "ord", "class_id", "conf")
 
 
 @query(f"WITH {BOXES}, {TRUST}, {_VERIFIED}, {_RESOLVED} SELECT b.image, b.ord, p AS problem FROM (SELECT b.image, b.ord, unnest(list_filter([CASE WHEN NOT list_contains({PROMPTABLE}, class_id) OR list_contains(wide, class_id) THEN 'not_targeted' END, CASE WHEN conf > 1 THEN 'conf' END, CASE WHEN cx > 1 OR cy > 1 OR w > 1 OR h > 1 OR cx < 0 OR cy < 0 OR w <= 0 OR h <= 0 THEN 'box' END], lambda x: x IS NOT NULL)) AS p FROM boxes b JOIN r ON b.image = r.image WHERE side = 'N') b")
 def candidates_validate(spark, sf_dir):
-    i = _box_images(spark, sf_dir)
-    wanted = verification.targets(i, PROMPTABLE, policies.trusted_list(i, _trust(spark, sf_dir)), _verified(spark, sf_dir))
-    return verification.candidate_problems(_side(spark, sf_dir, "N"), wanted)
+    b = written_boxes(spark, sf_dir)
+    i = _box_images(spark, sf_dir, b)
+    wanted = verification.targets(i, PROMPTABLE, policies.trusted_list(i, _trust(spark, sf_dir, b)), _verified(spark, sf_dir, b))
+    return verification.candidate_problems(_side(spark, sf_dir, "N", b), wanted)
 
 
 @query("SELECT coalesce(a.k, b.k) AS class_id, a.n AS before, b.n AS after, b.n - a.n AS delta FROM (SELECT l_partkey % 29 AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 29 < 20 GROUP BY 1) a FULL JOIN (SELECT l_partkey % 29 AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 29 > 5 GROUP BY 1) b ON a.k = b.k")

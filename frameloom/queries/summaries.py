@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..operators import gates, labels, merging, policies, stats
+from ..operators.dedup import shared_table
 from ..plans import reports
-from .base import BOXES, IMAGES, N_CLASSES, TAXONOMY, boxes, images, query, table, taxonomy
+from .base import BOXES, IMAGES, N_CLASSES, TAXONOMY, boxes, images, query, table, taxonomy, written_boxes
 from .relations import _RESOLVED, _VERIFIED, TRUST, _box_images, _trust, _verified
 
 SPLITS = ("train", "val", "test")
@@ -62,8 +63,8 @@ _MATCH = "m AS (SELECT image, class_id, count(*) FILTER (WHERE conf > 0.25) AS t
 _CAL = "cal AS (SELECT class_id, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS cells, CASE WHEN sum(tp) + sum(fp) > 0 THEN round(sum(tp) / (sum(tp) + sum(fp)), 4) END AS precision, CASE WHEN sum(tp) + sum(fn) > 0 THEN round(sum(tp) / (sum(tp) + sum(fn)), 4) END AS recall FROM m GROUP BY 1)"
 
 
-def _calibrated(spark, sf_dir):
-    m = boxes(spark, sf_dir).filter("class_id < 15").groupBy("image", "class_id").agg(F.count_if(F.col("conf") > 0.25).alias("tp"), F.count_if(F.col("conf") <= 0.25).alias("fp"), F.count_if(F.col("side") == "N").alias("fn"))
+def _calibrated(spark, sf_dir, b=None):
+    m = (b or boxes(spark, sf_dir)).filter("class_id < 15").groupBy("image", "class_id").agg(F.count_if(F.col("conf") > 0.25).alias("tp"), F.count_if(F.col("conf") <= 0.25).alias("fp"), F.count_if(F.col("side") == "N").alias("fn"))
     return stats.calibration(m)
 
 
@@ -75,10 +76,11 @@ def calibration(spark, sf_dir):
 _OPEN = f"WITH {BOXES}, {TRUST}, {_VERIFIED}, {_RESOLVED}, op AS (SELECT b.* FROM boxes b JOIN r ON r.image = b.image WHERE side = 'N' AND NOT list_contains(wide, class_id)), ann AS (SELECT * FROM boxes WHERE side <> 'N')"
 
 
-def _open(spark, sf_dir):
-    i = _box_images(spark, sf_dir)
-    trusted = policies.trusted_pairs(policies.trusted_list(i, _trust(spark, sf_dir)))
-    return stats.unverified_cells(boxes(spark, sf_dir).filter("side = 'N'"), i, trusted, _verified(spark, sf_dir))
+def _open(spark, sf_dir, b=None):
+    b = b or written_boxes(spark, sf_dir)
+    i = _box_images(spark, sf_dir, b)
+    trusted = policies.trusted_pairs(policies.trusted_list(i, _trust(spark, sf_dir, b)))
+    return stats.unverified_cells(b.filter("side = 'N'"), i, trusted, _verified(spark, sf_dir, b))
 
 
 @query(f"{_OPEN} SELECT image, ord, class_id FROM op")
@@ -91,9 +93,10 @@ _COVER = f"""{_OPEN}, {_MATCH}, {_CAL}, {TAXONOMY}, a AS (SELECT class_id, count
  cov AS (SELECT *, round(unverified * precision, 4) AS residual, round(CASE WHEN annotated + unverified * precision > 0 THEN annotated / (annotated + unverified * precision) ELSE 1 END, 4) AS score FROM p)"""
 
 
-def _coverage(spark, sf_dir):
+def _coverage(spark, sf_dir, b=None):
+    b = b or written_boxes(spark, sf_dir)
     priors = spark.createDataFrame([(16, 0.6)], "class_id int, prior double")
-    return stats.coverage_by_class(boxes(spark, sf_dir).filter("side <> 'N'"), _open(spark, sf_dir), _calibrated(spark, sf_dir), priors, taxonomy(spark))
+    return stats.coverage_by_class(b.filter("side <> 'N'"), _open(spark, sf_dir, b), _calibrated(spark, sf_dir, b), priors, taxonomy(spark))
 
 
 @query(f"{_COVER} SELECT class_id, annotated, unverified, precision, residual, score FROM cov")
@@ -104,8 +107,9 @@ def coverage_class(spark, sf_dir):
 _BY_IMAGE = ", ai AS (SELECT image, count(*) AS n FROM ann GROUP BY 1), ui AS (SELECT image, sum(coalesce(cal.precision, 0.35::DOUBLE)) AS e FROM op LEFT JOIN cal ON cal.class_id = op.class_id GROUP BY 1), ci AS (SELECT coalesce(ai.image, ui.image) AS image, coalesce(n, 0) AS annotated, round(coalesce(e, 0), 4) AS estimated FROM ai FULL JOIN ui ON ai.image = ui.image), si AS (SELECT *, round(CASE WHEN annotated + estimated > 0 THEN annotated / (annotated + estimated) ELSE 1 END, 4) AS score FROM ci)"
 
 
-def _coverage_images(spark, sf_dir):
-    return stats.coverage_by_image(boxes(spark, sf_dir).filter("side <> 'N'"), _open(spark, sf_dir), _calibrated(spark, sf_dir))
+def _coverage_images(spark, sf_dir, b=None):
+    b = b or written_boxes(spark, sf_dir)
+    return stats.coverage_by_image(b.filter("side <> 'N'"), _open(spark, sf_dir, b), _calibrated(spark, sf_dir, b))
 
 
 @query(f"{_OPEN}, {_MATCH}, {_CAL}{_BY_IMAGE} SELECT * FROM si")
@@ -178,7 +182,7 @@ _GATES = f"""{_COVER}, g AS (SELECT 'RG1' AS gate_id, CASE WHEN min(score) >= 0.
 
 
 def _gates(spark, sf_dir):
-    one = _coverage(spark, sf_dir).agg(F.min("score").alias("low"), F.round(F.sum("residual"), 4).alias("residual"), F.count_if(F.col("annotated") == 0).alias("empty"))
+    one = shared_table(_coverage(spark, sf_dir)).agg(F.min("score").alias("low"), F.round(F.sum("residual"), 4).alias("residual"), F.count_if(F.col("annotated") == 0).alias("empty"))
     a = gates.gate(one, "RG1", F.col("low") >= 0.9, F.col("low"), warn=F.col("low") >= 0.5)
     return a.union(gates.gate(one, "RG2", F.col("residual") < 10, F.col("residual"))).union(gates.gate(one, "RG3", F.col("empty") == 0, F.col("empty")))
 
@@ -287,8 +291,9 @@ _QUALITY = f"{_COVER}{_BY_IMAGE} SELECT (SELECT sum(annotated) FROM cov)::BIGINT
 
 @query(_QUALITY)
 def quality_report(spark, sf_dir):
-    resolved = policies.with_ledger(policies.trusted_list(_box_images(spark, sf_dir), _trust(spark, sf_dir)), _verified(spark, sf_dir))
-    return reports.quality(_coverage(spark, sf_dir), _coverage_images(spark, sf_dir), _verified(spark, sf_dir), resolved, N_CLASSES)
+    b = written_boxes(spark, sf_dir)
+    resolved = policies.with_ledger(policies.trusted_list(_box_images(spark, sf_dir, b), _trust(spark, sf_dir, b)), _verified(spark, sf_dir, b))
+    return reports.quality(_coverage(spark, sf_dir, b), _coverage_images(spark, sf_dir, b), _verified(spark, sf_dir, b), resolved, N_CLASSES)
 
 
 @query("WITH d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS nth FROM documents) SELECT doc_id AS image, source, CASE WHEN doc_id % 10 = 0 THEN 'missing_label' WHEN n_chars < 100 THEN 'filtered' WHEN count(*) FILTER (WHERE doc_id % 10 <> 0 AND n_chars >= 100) OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'accepted' END AS disposition FROM d")
