@@ -132,11 +132,23 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("grid"), "label")
 
 
+def coarse(grid):
+    """The grid with each two by two pixels as the first of them, so that images are near now and then."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.floor(i / 16) * 16 + F.floor(i % 8 / 2) * 2)
+    return F.transform(at, lambda i: F.element_at(grid, (i + 1).cast("int")))
+
+
 _BITS = "list_transform({v}, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform({v}, lambda y: y::DOUBLE)) / 64 THEN 1 ELSE 0 END)"
-GRIDS = (
-    "grids AS (SELECT vec_id, label, embedding AS grid, list_transform(range(64), lambda i: embedding[i - i % 8 + 8 - i % 8]) AS mirror FROM embeddings), "
-    f"hashes AS (SELECT vec_id, label, {_BITS.format(v='grid')} AS bits, {_BITS.format(v='mirror')} AS flip_bits FROM grids)"
-)
+
+
+def _grids(source: str) -> str:
+    return (
+        f"grids AS (SELECT vec_id, label, e AS grid, list_transform(range(64), lambda i: e[i - i % 8 + 8 - i % 8]) AS mirror FROM (SELECT vec_id, label, {source} AS e FROM embeddings) x), "
+        f"hashes AS (SELECT vec_id, label, {_BITS.format(v='grid')} AS bits, {_BITS.format(v='mirror')} AS flip_bits FROM grids)"
+    )
+
+
+GRIDS, COARSE = _grids("embedding"), _grids("list_transform(range(64), lambda i: embedding[1 + i // 16 * 16 + i % 8 // 2 * 2])")
 
 
 def sql_hex(bits: str) -> str:

@@ -10,7 +10,7 @@ from ..functions import pixels
 from ..operators import captures, gates, labels, matching, releases, splits, stats, validation
 from ..plans import annotate, plugins
 from ..sources import sinks
-from .base import BOXES, CLASSES, FRAMES, GRIDS, IMAGES, TAXONOMY, boxes, frames, grids, images, query, sql_hex, table, taxonomy
+from .base import BOXES, CLASSES, COARSE, FRAMES, IMAGES, TAXONOMY, boxes, frames, grids, images, query, sql_hex, table, taxonomy
 from .columns import _GROUP
 from .relations import _BY_IOU, _HOUSE, _coarse, _hashes, _sides
 
@@ -214,7 +214,7 @@ def group_files(spark, sf_dir):
     return captures.files_by_group(i, "group_key", "name").withColumn("files", F.array_join("files", ","))
 
 
-@query(f"WITH {GRIDS}, x AS (SELECT vec_id, {sql_hex('bits')} AS hash FROM hashes) SELECT hash, count(*) AS n, string_agg(vec_id, ',' ORDER BY vec_id) AS files FROM x GROUP BY 1")
+@query(f"WITH {COARSE}, x AS (SELECT vec_id, {sql_hex('bits')} AS hash FROM hashes) SELECT hash, count(*) AS n, string_agg(vec_id, ',' ORDER BY vec_id) AS files FROM x GROUP BY 1")
 def phash_index(spark, sf_dir):
     from ..functions.hashes import hex64
 

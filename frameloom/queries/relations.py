@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import hashes as H
 from ..functions import names as N
 from ..operators import dedup, gates, labels, matching, merging, policies, splits, verification
-from .base import BOXES, CLASSES, GRIDS, IMAGES, N_CLASSES, PRIORITY, boxes, grids, images, query, sql_distance, sql_iou, table, taxonomy, written_boxes
+from .base import BOXES, CLASSES, COARSE, IMAGES, N_CLASSES, PRIORITY, boxes, coarse, grids, images, query, sql_distance, sql_iou, table, taxonomy, written_boxes
 
-NEAR = 14
+NEAR = dedup.THRESHOLD
 PROMPTABLE = [2, 5, 10, 11, 20]
 
 
@@ -69,10 +69,10 @@ def remap_table_alias(spark, sf_dir):
 
 def _hashes(spark, sf_dir):
     g = F.col("grid")
-    return grids(spark, sf_dir).select(F.col("vec_id").alias("ord"), H.average_hash(g).alias("h"), H.average_hash(H.mirrored(g)).alias("flip"), F.lit(None).cast("string").alias("sha"))
+    return grids(spark, sf_dir).withColumn("grid", coarse(g)).select(F.col("vec_id").alias("ord"), H.average_hash(g).alias("h"), H.average_hash(H.mirrored(g)).alias("flip"), F.lit(None).cast("string").alias("sha"))
 
 
-@query(f"WITH {GRIDS}, d AS (SELECT DISTINCT bits FROM hashes) SELECT least(a.vec_id, b.vec_id) AS a_id, greatest(a.vec_id, b.vec_id) AS b_id, {sql_distance('a.bits', 'b.bits')}::BIGINT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE {sql_distance('a.bits', 'b.bits')} BETWEEN 1 AND {NEAR - 1}")
+@query(f"WITH {COARSE}, d AS (SELECT DISTINCT bits FROM hashes) SELECT least(a.vec_id, b.vec_id) AS a_id, greatest(a.vec_id, b.vec_id) AS b_id, {sql_distance('a.bits', 'b.bits')}::BIGINT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE {sql_distance('a.bits', 'b.bits')} BETWEEN 1 AND {NEAR - 1}")
 def hamming_pairs(spark, sf_dir):
     rows = _hashes(spark, sf_dir).select("ord", "h")
     met = dedup.hamming_pairs(rows, NEAR)
@@ -80,7 +80,7 @@ def hamming_pairs(spark, sf_dir):
     return met.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), F.col("distance").cast("long").alias("distance"))
 
 
-_DEDUP = f"""WITH RECURSIVE {GRIDS}, r AS (SELECT vec_id AS ord, array_to_string(bits, '')::BIT AS b, array_to_string(flip_bits, '')::BIT AS f, row_number() OVER (ORDER BY vec_id) AS n FROM hashes),
+_DEDUP = f"""WITH RECURSIVE {COARSE}, r AS (SELECT vec_id AS ord, array_to_string(bits, '')::BIT AS b, array_to_string(flip_bits, '')::BIT AS f, row_number() OVER (ORDER BY vec_id) AS n FROM hashes),
  g AS (SELECT n, ord, true AS kept, NULL::BIGINT AS duplicate_of, [{{'ord': ord, 'b': b}}] AS held FROM r WHERE n = 1 UNION ALL
   SELECT n, ord, len(near) = 0, coalesce(list_filter(near, lambda k: k.b = b)[1].ord, near[1].ord), CASE WHEN len(near) = 0 THEN list_append(held, {{'ord': ord, 'b': b}}) ELSE held END
   FROM (SELECT r.n, r.ord, r.b, held, list_filter(held, lambda k: bit_count(xor(k.b, r.b)) < {NEAR} OR bit_count(xor(k.b, r.f)) < {NEAR}) AS near FROM g JOIN r ON r.n = g.n + 1) x)
@@ -92,7 +92,7 @@ def dedup_near(spark, sf_dir):
     return dedup.keep_in_order(_hashes(spark, sf_dir), NEAR)
 
 
-@query(f"""WITH {GRIDS}, l AS (SELECT vec_id, bits FROM hashes WHERE vec_id % 10 = 0), t AS (SELECT vec_id, bits, flip_bits FROM hashes WHERE vec_id % 10 <> 0),
+@query(f"""WITH {COARSE}, l AS (SELECT vec_id, bits FROM hashes WHERE vec_id % 10 = 0), t AS (SELECT vec_id, bits, flip_bits FROM hashes WHERE vec_id % 10 <> 0),
  e AS (SELECT l.vec_id AS image, min(t.vec_id) AS match FROM embeddings l JOIN embeddings t ON l.embedding = t.embedding AND l.vec_id % 10 = 0 AND t.vec_id % 10 <> 0 GROUP BY 1)
 SELECT image, 'exact' AS kind, match FROM e UNION ALL SELECT l.vec_id, 'near', min(t.vec_id) FROM l JOIN t ON {sql_distance('l.bits', 't.bits')} < {NEAR} OR {sql_distance('l.bits', 't.flip_bits')} < {NEAR} WHERE l.vec_id NOT IN (SELECT image FROM e) GROUP BY 1""")
 def eval_overlap(spark, sf_dir):
@@ -400,9 +400,10 @@ def delta_full_join(spark, sf_dir):
     return full_delta(n.filter("l_returnflag = 'A' and class_id < 20"), n.filter("l_returnflag = 'R' and class_id > 5"), "class_id", "n")
 
 
-@query(f"WITH {IMAGES}, h AS (SELECT split, regexp_extract(name, '(?:^|_)(h\\d{{2,}})_', 1) AS house FROM images) SELECT DISTINCT a.house FROM h a JOIN h b ON a.house = b.house AND a.split = 'train' AND b.split <> 'train' WHERE a.house <> ''")
+@query(f"WITH {IMAGES}, h AS (SELECT CASE WHEN image // 12 % 3 = 0 THEN 'train' ELSE 'val' END AS split, regexp_extract(name, '(?:^|_)(h\\d{{2,}})_', 1) AS house FROM images) SELECT DISTINCT a.house FROM h a JOIN h b ON a.house = b.house AND a.split = 'train' AND b.split <> 'train' WHERE a.house <> ''")
 def house_exclusivity(spark, sf_dir):
-    h = images(spark, sf_dir).select("split", N.house(F.col("name")).alias("house")).filter("house is not null")
+    split = F.when(F.expr("image div 12 % 3 = 0"), "train").otherwise("val")
+    h = images(spark, sf_dir).select(split.alias("split"), N.house(F.col("name")).alias("house")).filter("house is not null")
     return h.filter("split = 'train'").select("house").intersect(h.filter("split <> 'train'").select("house"))
 
 
