@@ -17,30 +17,37 @@ ORACLE_SQL = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the documents that the compression classifier does not reject."""
+    """Operator 8: the documents that the compression classifier does not reject.
+
+    Null and empty texts are judged by the curve at 0; rows that repeat an id are judged one by one; without labels none is rejected;
+    an empty table stays empty; other columns pass through.
+    """
     bound_batches(spark)
     model = quality.fit(quality.fit_sample(docs, read_table(spark, sf_dir, "labels")))
     return quality.keep_good(docs, model)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of equal texts, the row with the smallest doc_id."""
+    """Operator 7: of equal texts, the row with the smallest doc_id; null ids are last, null and empty texts are equal, other columns pass through."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies, as operator 3 but at a share of 0.8 or more of five-word shingles: of linked texts, the row with the smallest doc_id."""
+    """Near copies, as operator 3 but at a share of 0.8 or more of five-word shingles: of linked texts, the row with the smallest doc_id.
+
+    Texts without a word stay; rows that repeat an id are told apart by their texts; null ids are last; other columns pass through.
+    """
     bound_batches(spark)
     return jaccard.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: each document as often as the mix takes it."""
+    """Operator 1: each document as often as the mix takes it; a null source is one of its own, a null text has size 0, rows that repeat an id share one draw."""
     return mixing.mix_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: token ids of every document, and digests of ids and decoded text."""
+    """Operator 6: token ids of every document, and digests of ids and decoded text; a null text is encoded as the empty one, repeated rows give repeated results."""
     bound_batches(spark)
     return bpe.encode_documents(docs, bpe.default_path(), with_ids=True)
 
