@@ -1,4 +1,4 @@
-"""What a camera remembers of its frames, over a table of frames: windows by camera and folds in the JVM.
+"""What a camera remembers of its frames, over a table of frames: windows by camera, and scans that stream over its rows in order.
 
 Frames: camera, frame_no (from 1, without gaps), classes (array of names), ts. Detections: camera, frame_no, ord, class_name, conf. A camera is the key
 throughout, so cameras spread over the cluster and each is read in order.
@@ -6,8 +6,9 @@ throughout, so cameras spread over the cluster and each is read in order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,15 +54,48 @@ def presence(frames: DataFrame, classes: Sequence[str], window: int = WINDOW, fp
     return rows.withColumn("seconds_since", F.col("frames_since") / F.lit(max(fps, 1.0)))
 
 
+def scanned(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], list], step: Callable[[list, tuple], Iterator[tuple]], end: Callable[[list], Iterator[tuple]]) -> DataFrame:
+    """A fold over each key's rows in order that streams: a task holds one key's state and a batch of rows, never a key's history.
+
+    rows: keys, then what step gets of a row. start makes a state, which step changes; step and end yield rows of the schema without the keys.
+    """
+    n, names = len(keys), [f.strip().rpartition(" ")[0] for f in schema.split(",")]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[:n] != key:
+                    if key is not None:
+                        out += [(*key, *x) for x in end(state)]
+                    key, state = row[:n], start()
+                out += [(*key, *x) for x in step(state, row[n:])]
+            yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame([(*key, *x) for x in end(state)], columns=names)
+
+    return dealt.mapInPandas(run, schema)
+
+
+def _nothing(*_) -> tuple:
+    return ()
+
+
 def entries(detections: DataFrame, move: float = MOVE) -> DataFrame:
     """Per camera and class: first and last frame, count, and the moving average of confidence in order of detection. Entries never expire."""
-    listed = detections.groupBy("camera", "class_name").agg(
-        F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("frame_no", "ord", "conf"))).alias("all")
-    )
-    first = F.element_at("all", 1)["conf"]
-    rest = F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0)))
-    average = F.aggregate(rest, first, lambda a, x: a * (1 - move) + x["conf"] * move)
-    return listed.select("camera", "class_name", "first_frame", "last_frame", "n", average.alias("avg_conf"))
+
+    def step(state: list, row: tuple) -> tuple:
+        frame_no, _, conf = row
+        first, n, average = state[:3] or (frame_no, 0, conf)
+        state[:] = [first, n + 1, average * (1 - move) + conf * move if n else conf, frame_no]
+        return ()
+
+    rows = detections.select("camera", "class_name", "frame_no", "ord", F.col("conf").cast("double").alias("conf"))
+    kind = detections.schema["camera"].dataType.simpleString()
+    schema = f"camera {kind}, class_name string, first_frame long, last_frame long, n long, avg_conf double"
+    return scanned(rows, ["camera", "class_name"], ["frame_no", "ord"], schema, list, step, lambda s: [(s[0], s[3], s[1], s[2])])
 
 
 def since_map(frames: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -81,14 +115,22 @@ def rule_matches(frames: DataFrame, rules: Sequence[Rule], classes: Sequence[str
 def fired(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Of rule_matches, those off cooldown: a rule is silent until its cooldown has passed since it last fired for the camera.
 
-    A fold per (camera, rule) over its matches in order, in the JVM. Time is that of the events; a rule that never fired is ready.
+    A scan per (camera, rule) over its matches in order. Time is that of the events; a rule that never fired is ready.
     """
-    cooldown = F.element_at(F.array(*[F.lit(float(r.cooldown)) for r in rules]), F.col("rule_no") + 1)
-    listed = matches.groupBy("camera", "rule_no", "rule_id", "severity").agg(F.array_sort(F.collect_list(F.struct("frame_no", F.expr("unix_micros(cast(ts as timestamp))").alias("us"), "ts"))).alias("all")).withColumn("wait", (cooldown * 1_000_000).cast("long"))
-    kind = listed.schema["all"].dataType
-    state = F.array().cast(kind)
-    took = F.aggregate("all", state, lambda s, x: F.when((F.size(s) == 0) | (x["us"] - F.try_element_at(s, F.lit(-1))["us"] >= F.col("wait")), F.array_append(s, x)).otherwise(s))
-    return listed.select("camera", "rule_no", "rule_id", "severity", F.explode(took).alias("f")).select("camera", "f.frame_no", "f.ts", "rule_no", "rule_id", "severity")
+    waits = [int(r.cooldown * 1_000_000) for r in rules]
+
+    def step(last: list, row: tuple) -> Iterator[tuple]:
+        rule_no, us = row[:2]
+        if not last or us - last[0] >= waits[rule_no]:
+            last[:] = [us]
+            yield row[2:]
+
+    rows = matches.select("camera", F.col("rule_no").alias("rule"), "rule_no", F.expr("unix_micros(cast(ts as timestamp))").alias("us"), "frame_no", F.col("rule_no").alias("no"), "rule_id", "severity")
+    kind = matches.schema["camera"].dataType.simpleString()
+    schema = f"camera {kind}, rule int, frame_no long, rule_no int, rule_id string, severity int"
+    found = scanned(rows, ["camera", "rule"], ["frame_no"], schema, list, step, _nothing)
+    when = matches.select("camera", "frame_no", "ts").distinct()
+    return found.drop("rule").join(when, ["camera", "frame_no"]).select("camera", "frame_no", "ts", "rule_no", "rule_id", "severity")
 
 
 def spoken_alert(alerts: DataFrame) -> DataFrame:
@@ -104,17 +146,24 @@ def queued(alerts: DataFrame, size: int = 10) -> DataFrame:
     in the end there if it is among the first `size` by severity: of equals the early ones came in, but of the severity at the edge those put
     out were the oldest. So this is folded in order, over at most `size` held.
     """
-    listed = alerts.groupBy("camera").agg(F.array_sort(F.collect_list(F.struct("frame_no", "rule_no", "severity", "rule_id"))).alias("all"))
-    kind = listed.schema["all"].dataType
-
-    def put(held: Column, x: Column) -> Column:
-        lowest = F.array_min(F.transform(held, lambda h, i: F.struct(h["severity"].alias("s"), i.alias("i"))))
-        swapped = F.array_append(F.filter(held, lambda h, i: i != lowest["i"]), x)
-        return F.when(F.size(held) < size, F.array_append(held, x)).when(lowest["s"] < x["severity"], swapped).otherwise(held)
 
-    kept = F.aggregate("all", F.array().cast(kind), put)
-    ordered = F.array_sort(F.transform(kept, lambda k: F.struct((-k["severity"]).alias("s"), k["frame_no"].alias("frame_no"), k["rule_no"].alias("rule_no"), k["rule_id"].alias("rule_id"))))
-    return listed.select("camera", F.posexplode(ordered).alias("place", "a")).select("camera", (F.col("place") + 1).alias("place"), "a.frame_no", "a.rule_id", (-F.col("a.s")).alias("severity"))
+    def put(held: list, alert: tuple) -> tuple:
+        if len(held) < size:
+            held.append(alert)
+        else:
+            lowest = min(range(size), key=lambda i: (held[i][2], i))
+            if held[lowest][2] < alert[2]:
+                del held[lowest]
+                held.append(alert)
+        return ()
+
+    def taken(held: list) -> Iterator[tuple]:
+        for place, (frame_no, _, severity, rule_id) in enumerate(sorted(held, key=lambda x: (-x[2], x[0], x[1]))):
+            yield place + 1, frame_no, rule_id, severity
+
+    kind = alerts.schema["camera"].dataType.simpleString()
+    rows = alerts.select("camera", "frame_no", "rule_no", F.col("severity").cast("int").alias("severity"), "rule_id")
+    return scanned(rows, ["camera"], ["frame_no", "rule_no"], f"camera {kind}, place int, frame_no long, rule_id string, severity int", list, put, taken)
 
 
 def rolling(frames: DataFrame, ms: str, n: int = 30) -> DataFrame:
