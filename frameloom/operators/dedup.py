@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashes import hamming
@@ -53,6 +54,18 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if len(table.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS else table
 
 
+def numbered_rows(rows: DataFrame, *by) -> DataFrame:
+    """rows with n, from 1, in the order of `by`.
+
+    Ranges are sorted in parallel and written, lest two readings of one sort differ; each partition's rows are numbered after those before
+    it, so no task sees all rows.
+    """
+    dealt = shared_table(rows.orderBy(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
+    offsets = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).alias("_o"))  # a row per partition
+    return dealt.join(F.broadcast(offsets), "_p").withColumn("n", F.col("_o") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_i", "_o")
+
+
 def bands(h: Column, n: int) -> Column:
     """array<struct<band, value>>: the hash cut into n bands of nearly equal width."""
     cut = [i * 64 // n for i in range(n + 1)]

@@ -96,7 +96,11 @@ def changed_boxes(base: DataFrame, export: DataFrame, image: str, tolerance: flo
     return out.filter("n_base <> n_export or n_moved > 0")
 
 
+def label_index(labels: DataFrame, key: str) -> DataFrame:
+    """(key, label_path): of labels that share a key the one of the greatest path."""
+    return labels.groupBy(key).agg(F.max("label_path").alias("label_path"))
+
+
 def pair_images_labels(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Left outer join by key: an image without a label stays, with nulls. Of labels that share a key the greatest path counts."""
-    index = labels.groupBy(key).agg(F.max_by("label_path", "label_path").alias("label_path"))
-    return images.join(index, key, "left")
+    return images.join(label_index(labels, key), key, "left")

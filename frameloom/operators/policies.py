@@ -35,6 +35,13 @@ def per_slug(images: DataFrame, slugs: DataFrame, trust: DataFrame) -> DataFrame
     return images.join(slugs, "image").join(small(trust), "slug").select("image", F.concat_ws("/", "source", "slug").alias("policy"), F.array_sort("ids").alias("ids"))
 
 
+def slugs_of_files(files: DataFrame, names: DataFrame) -> DataFrame:
+    """files (source, filename) with slug: the file's name without its source's prefix, looked up in names (name, slug); null where it is not there."""
+    prefix = F.concat("source", F.lit("_"))
+    bare = F.when(F.startswith("filename", prefix), F.substr("filename", F.length(prefix) + 1)).otherwise(F.col("filename"))
+    return files.withColumn("name", bare).join(names.select("name", "slug"), "name", "left").drop("name")
+
+
 def slug_problems(images: DataFrame, slugs: DataFrame, trust: DataFrame) -> DataFrame:
     """(image, problem): absent, ambiguous or untrusted slug."""
     n = slugs.groupBy("image").agg(F.countDistinct("slug").alias("n"), F.min("slug").alias("slug"))

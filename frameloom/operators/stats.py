@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scores import coverage_score, ratio
+from ..functions.scores import coverage_score, f1, ratio
 from .dedup import small
 
 
@@ -127,6 +127,15 @@ def confusion(pairs: DataFrame, classes: Sequence) -> DataFrame:
     return pairs.groupBy("predicted").pivot("truth", list(classes)).count().na.fill(0)
 
 
+def class_metrics(pairs: DataFrame) -> DataFrame:
+    """Per class of either side of (predicted, truth): tp, fp, fn, precision, recall, f1; a null side is a box without a partner."""
+    a = pairs.filter("predicted is not null").groupBy(F.col("predicted").alias("class")).agg(F.count_if(F.col("predicted").eqNullSafe(F.col("truth"))).alias("tp"), F.count_if(~F.col("predicted").eqNullSafe(F.col("truth"))).alias("fp"))
+    b = pairs.filter("truth is not null").groupBy(F.col("truth").alias("class")).agg(F.count_if(~F.col("predicted").eqNullSafe(F.col("truth"))).alias("fn"))
+    both = a.join(b, "class", "full_outer").select("class", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+    p, r = F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    return both.withColumns({"precision": p, "recall": r, "f1": f1(p, r)})
+
+
 def latency_summary(frames: DataFrame, by: Sequence[str], ms: str) -> DataFrame:
     avg = F.avg(ms)
     return frames.groupBy(*by).agg(F.count("*").alias("frames"), F.round(avg, 3).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.round(F.when(avg > 0, 1000 / avg).otherwise(F.lit(0.0)), 3).alias("fps"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import gain
-from .dedup import shared_table
+from .dedup import numbered_rows, shared_table
 
 ACTIVE = ("draft", "exported", "in_review")
 
@@ -28,15 +28,8 @@ def rank_by_gain(candidates: DataFrame, priority: Column, claimed: DataFrame | N
 
 
 def numbered_by_gain(ranked: DataFrame) -> DataFrame:
-    """ranked with n, from 1, by falling gain, then image.
-
-    The global rank is put together from ranges: gains are sorted in parallel and each partition's rows are numbered after those before
-    it, so no task sees all images. The sorted rows are written first, lest two readings of one sort differ.
-    """
-    dealt = shared_table(ranked.orderBy(F.desc("gain"), "image").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).alias("_o"))  # a row per partition
-    return dealt.join(F.broadcast(offsets), "_p").withColumn("n", F.col("_o") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_i", "_o")
+    """ranked with n, from 1, by falling gain, then image."""
+    return numbered_rows(ranked, F.desc("gain"), "image")
 
 
 def plan_batches(candidates: DataFrame, priority: Column, size: int, claimed: DataFrame | None = None, first_number: int = 1, backend: str = "model") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import ratio
 from ..operators.dedup import THRESHOLD, keep_in_order, shared_table
+from ..operators.stats import full_delta
 
 
 def merge(images: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -35,3 +37,22 @@ def split_summary(files: DataFrame) -> DataFrame:
     n = files.groupBy("split").agg(F.count("*").alias("files"))
     total = n.agg(F.sum("files").alias("_t"))
     return n.crossJoin(total).select("split", "files", F.round(100 * F.col("files") / F.col("_t"), 2).alias("pct"))
+
+
+def completeness(images: DataFrame, policies: DataFrame, splits: DataFrame) -> DataFrame:
+    """The completeness artefact's rows: image, policy, ids and split of each image (image, policy), joined with its policy (policy, ids) and its split (image, split); unknown ones are null."""
+    return images.select("image", "policy").join(policies.select("policy", "ids"), "policy", "left").join(splits.select("image", "split"), "image", "left").select("image", "policy", "ids", "split")
+
+
+def coverage(by_class: DataFrame, by_image: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row: annotated and residual in all, the score of all, the weakest class, and images in all and below a score."""
+    total = F.sum("annotated") + F.sum("residual")
+    a = by_class.agg(F.sum("annotated").alias("annotated"), F.round(F.sum("residual"), 3).alias("residual"), F.round(F.when(total > 0, F.sum("annotated") / total).otherwise(1.0), 4).alias("score"), F.min(F.struct("score", "class_id"))["class_id"].alias("weakest"))
+    return a.crossJoin(by_image.agg(F.count("*").alias("images"), F.count_if(F.col("score") < least).alias("low")))  # of one row each
+
+
+def comparison(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key of either build: before, after, delta, percent (null where there was nothing) and change: added, removed, more, fewer or same."""
+    both = full_delta(before, after, key, value, missing_is_zero=True)
+    change = F.when(F.col("before") == 0, F.when(F.col("after") > 0, "added").otherwise("same")).when(F.col("after") == 0, "removed").when(F.col("delta") > 0, "more").when(F.col("delta") < 0, "fewer").otherwise("same")
+    return both.select(key, "before", "after", "delta", F.round(ratio(100 * F.col("delta"), F.col("before")), 2).alias("percent"), change.alias("change"))

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import names as N
 from ..functions import pixels
-from ..operators import captures, gates, labels, matching, releases, splits, stats, validation
-from ..plans import annotate, plugins
-from ..sources import sinks
-from .base import BOXES, CLASSES, COARSE, FRAMES, IMAGES, TAXONOMY, boxes, frames, grids, images, query, sql_hex, table, taxonomy
+from ..functions.scores import mask_row
+from ..operators import captures, gates, labels, matching, policies, releases, splits, stats, validation
+from ..plans import annotate, plugins, reports
+from ..sources import files, sinks
+from ..streaming import memory
+from .base import BOXES, CLASSES, COARSE, DETECTIONS, FRAMES, IMAGES, TAXONOMY, boxes, detections, frames, grids, images, query, sql_hex, table, taxonomy, written_boxes
 from .columns import _GROUP
 from .relations import _BY_IOU, _HOUSE, _coarse, _hashes, _sides
+from .summaries import _BY_IMAGE, _COVER, _coverage, _coverage_images
 
 _POLICIES = """pol AS (SELECT DISTINCT source AS policy, ['trusted_list', 'verified_absence_all', 'other'][len(source) % 3 + 1] AS mode, CASE WHEN len(source) % 2 = 0 THEN [1, 2, 5] ELSE [5, 2, 30] END AS ids FROM documents WHERE source IS NOT NULL),
  im AS (SELECT doc_id AS image, CASE WHEN doc_id % 40 = 0 THEN 'gone' ELSE source END AS policy, CASE WHEN doc_id % 25 = 0 THEN 'holdout' ELSE 'train' END AS split FROM documents)"""
@@ -315,3 +318,62 @@ def missing_houses(spark, sf_dir):
 def worst_status(spark, sf_dir):
     rank = F.when(F.col("value") > 99, 2).when(F.col("value") > 50, 1).otherwise(0)
     return table(spark, sf_dir, "events").groupBy("event_type").agg(stats.worst(rank).alias("worst"))
+
+
+@query("SELECT p_name AS stem, max(p_partkey) AS label_path FROM part GROUP BY 1")
+def label_index(spark, sf_dir):
+    return labels.label_index(table(spark, sf_dir, "part").select(F.col("p_name").alias("stem"), F.col("p_partkey").alias("label_path")), "stem")
+
+
+@query(f"WITH {IMAGES} SELECT frame_id, path FROM (SELECT name AS path, row_number() OVER (ORDER BY name) AS frame_id, n_chars FROM images) x WHERE n_chars >= 300")
+def scan_frames(spark, sf_dir):
+    return files.frames_of_folder(images(spark, sf_dir).select(F.col("name").alias("path"), (F.col("n_chars") >= 300).alias("ok"))).select("frame_id", "path")
+
+
+@query("SELECT doc_id AS image, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END AS slug FROM documents WHERE source IS NOT NULL")
+def slug_for_file(spark, sf_dir):
+    d, i = table(spark, sf_dir, "documents").filter("source is not null"), F.col("doc_id")
+    bare = F.concat(F.lit("img_"), i.cast("string"))
+    f = d.select(i.alias("image"), "source", F.when(i % 2 == 0, F.concat("source", F.lit("_"), bare)).otherwise(bare).alias("filename"))
+    return policies.slugs_of_files(f, d.filter(i % 3 == 0).select(bare.alias("name"), (i % 7).alias("slug"))).select("image", "slug")
+
+
+@query("""WITH p AS (SELECT l_linestatus AS a, l_returnflag AS b FROM lineitem UNION ALL SELECT l_returnflag, l_returnflag FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT unnest([a, b]) AS c FROM p),
+ n AS (SELECT c, (SELECT count(*) FROM p WHERE a = c AND b = c) AS tp, (SELECT count(*) FROM p WHERE a = c AND b <> c) AS fp, (SELECT count(*) FROM p WHERE b = c AND a <> c) AS fn FROM c), m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END::DOUBLE AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END::DOUBLE AS r FROM n)
+SELECT c AS "class", tp, fp, fn, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END::DOUBLE AS f1 FROM m""")
+def per_class_metrics(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    pairs = li.select(F.col("l_linestatus").alias("predicted"), F.col("l_returnflag").alias("truth")).union(li.filter("l_linenumber = 1").select("l_returnflag", "l_returnflag"))
+    return stats.class_metrics(pairs)
+
+
+@query(f"WITH {DETECTIONS}, a AS (SELECT camera, max(frame_no) // 2 AS f FROM detections GROUP BY 1), s AS (SELECT d.*, f FROM detections d JOIN a ON a.camera = d.camera WHERE frame_no <= f AND frame_no > 2) SELECT camera, class_name, max(f) - max(frame_no) AS frames_since, count(*) FILTER (WHERE frame_no > f - 5) AS n FROM s GROUP BY 1, 2")
+def memory_snapshot(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    at = d.groupBy("camera").agg(F.expr("max(frame_no) div 2").alias("frame_no"), F.lit(2).alias("cleared"))
+    return memory.snapshot(d, at, 5)
+
+
+@query(f"""{_COVER}{_BY_IMAGE} SELECT (SELECT sum(annotated) FROM cov)::BIGINT AS annotated, (SELECT round(sum(residual), 3) FROM cov) AS residual, (SELECT round(sum(annotated) / (sum(annotated) + sum(residual)), 4) FROM cov) AS score, (SELECT class_id FROM cov ORDER BY score, class_id LIMIT 1) AS weakest, (SELECT count(*) FROM si) AS images, (SELECT count(*) FROM si WHERE score < 0.5) AS low""")
+def coverage_report(spark, sf_dir):
+    b = written_boxes(spark, sf_dir)
+    return reports.coverage(_coverage(spark, sf_dir, b), _coverage_images(spark, sf_dir, b))
+
+
+@query("""WITH a AS (SELECT l_partkey % 29 AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 29 < 20 GROUP BY 1), b AS (SELECT l_partkey % 29 AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 29 > 5 GROUP BY 1), d AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.k = b.k)
+SELECT k AS class_id, x AS before, y AS after, y - x AS delta, round(CASE WHEN x > 0 THEN 100 * (y - x) / x END, 2) AS percent, CASE WHEN x = 0 THEN 'added' WHEN y = 0 THEN 'removed' WHEN y > x THEN 'more' WHEN y < x THEN 'fewer' ELSE 'same' END AS change FROM d""")
+def comparison_report(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").withColumn("class_id", F.col("l_partkey") % 29).groupBy("l_returnflag", "class_id").agg(F.count("*").alias("n"))
+    return reports.comparison(n.filter("l_returnflag = 'A' and class_id < 20"), n.filter("l_returnflag = 'R' and class_id > 5"), "class_id", "n")
+
+
+@query(f"WITH {IMAGES}, {_POLICIES} SELECT im.image, im.policy, array_to_string(ids, ',') AS ids, images.split FROM im LEFT JOIN pol ON pol.policy = im.policy LEFT JOIN images ON images.image = im.image")
+def completeness_artifact(spark, sf_dir):
+    pol, im = _completeness(spark, sf_dir)
+    return reports.completeness(im, pol, images(spark, sf_dir)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@query("SELECT doc_id AS image, CASE WHEN doc_id % 2 = 0 THEN '0,1,0,0,1' ELSE '1,1,1,1,1' END AS mask, printf('%.1f%%', CASE WHEN n_chars > 0 THEN 100.0::DOUBLE * (doc_id % 7) / n_chars ELSE 0 END) AS share FROM documents")
+def mask_rows(spark, sf_dir):
+    ids = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1), F.lit(4))).otherwise(F.array(*map(F.lit, range(5))))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image"), F.array_join(mask_row(ids, 5).cast("array<string>"), ",").alias("mask"), N.percent(F.col("doc_id") % 7, F.col("n_chars")).alias("share"))

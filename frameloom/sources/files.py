@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions.names import IMAGE_ENDINGS, ending, file_name, stem
-from ..operators.dedup import small
+from ..operators.dedup import numbered_rows, small
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
@@ -196,6 +196,10 @@ def archive_pairs(entries: DataFrame) -> DataFrame:
 
 def frames_of_folder(images: DataFrame, decodable: str = "ok") -> DataFrame:
     """Images of a folder as frames, numbered by path from 1; one that can't be read is left out but its number is used up."""
-    from ..operators.merging import merge_order
+    return numbered_rows(images, "path").withColumnRenamed("n", "frame_id").filter(F.col(decodable))
 
-    return merge_order(images, ["path"]).withColumnRenamed("ord", "frame_id").filter(F.col(decodable))
+
+def stream_frames(spark: SparkSession, path: str) -> DataFrame:
+    """A folder that images are put into, as a stream of frames (path, ts, content) in order of arrival; a camera or video is cut into such a folder by its reader."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    return rows.filter(ending(F.col("path")).isin(*IMAGE_ENDINGS)).select("path", F.col("modificationTime").alias("ts"), "content")

@@ -98,6 +98,13 @@ def entries(detections: DataFrame, move: float = MOVE) -> DataFrame:
     return scanned(rows, ["camera", "class_name"], ["frame_no", "ord"], schema, list, step, lambda s: [(s[0], s[3], s[1], s[2])])
 
 
+def snapshot(detections: DataFrame, at: DataFrame, window: int = WINDOW) -> DataFrame:
+    """What a camera's memory holds at a frame (camera, frame_no): camera, class_name, frames_since, n (detections of the window). Cleared cameras start anew after `cleared`, if at has it."""
+    upto = at.select("camera", F.col("frame_no").alias("_at"), (F.col("cleared") if "cleared" in at.columns else F.lit(0)).alias("_from"))
+    seen = detections.join(upto, "camera").filter((F.col("frame_no") <= F.col("_at")) & (F.col("frame_no") > F.col("_from")))
+    return seen.groupBy("camera", "class_name").agg((F.max("_at") - F.max("frame_no")).alias("frames_since"), F.count_if(F.col("frame_no") > F.col("_at") - window).alias("n"))
+
+
 def since_map(frames: DataFrame, classes: Sequence[str]) -> DataFrame:
     """frames with since: a map from each class seen so far to the frames since then."""
     w = _upto()
