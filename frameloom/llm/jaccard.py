@@ -5,9 +5,11 @@ hash. Of two sets with a share of 4/5 in common each has a shared shingle among
 the sample bears on speed alone. So equal sets are folded to one node, nodes meet on these first shingles, and each meeting
 is checked by the exact share in a join.
 
-First each node is checked against one node only, the smallest of one of its shingles; that links most of a large group without
-its pairs. Then nodes that share a first shingle but are not linked yet are checked pair by pair. No meeting is left out; those
-whose first shingles alone rule the share out are not fetched whole.
+First each node is checked against one node only, the smallest of one of its shingles, and in STARS rounds against the smallest node of
+a component that it is not in yet; that links most of a large group without its pairs. Of what then still shares a first shingle
+without being linked, whole sets are counted among themselves: read in the order of these counts, a set that shares a passage with many
+but is its own otherwise meets none. Only those that meet again are checked pair by pair. No meeting is left out; those whose first
+shingles alone rule the share out are not fetched whole.
 
 SimHash's links within 4 bits, found by Golay keys as in operator 3, count as well, whatever the share of such a pair.
 
@@ -21,6 +23,7 @@ repeat both id and text are one; an empty table gives an empty result; other col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ from .simhash import _BYTE_BITS, PIPELINE_SHINGLE, SEED, group_links
 SHARE = (4, 5)
 #: The sample for frequent shingles: so many texts, or this part of them if that is more; and the most shingles taken from it.
 SAMPLE_TEXTS, SAMPLE_PART, FREQUENT = 20_000, 1 / 16, 1 << 16
+#: Rounds in which a node is checked against one other only.
+STARS = 2
 
 
 def hashes(data: bytes, shingle: int = PIPELINE_SHINGLE) -> np.ndarray:
@@ -127,10 +132,9 @@ def _enough(common: Column, a: Column, b: Column) -> Column:
     return common * sum(SHARE) >= (a + b) * SHARE[0]
 
 
-def _checked(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have SHARE in common. Sets are made anew, for nodes in pairs only."""
-    pairs = materialize(pairs, "near-pairs")
-    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(distinct.select("node", "least"), "node")
+def _sets_of(nodes: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of some nodes (node), made anew from their texts; written."""
+    needed = nodes.distinct().join(distinct.select("node", "least"), "node")
     one = needed.select("node", F.col("least.doc_id").alias("__id"), *[F.col(f"least.{c}").alias(f"{c}x") for c in _TEXT])
     same = docs["doc_id"].eqNullSafe(one["__id"])
     for c in _TEXT:
@@ -142,10 +146,21 @@ def _checked(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: in
             found = [(n, s) for n, s in zip(batch.column("node").to_pylist(), _sets(batch, shingle), strict=True) if _node(s) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), _lists([s for _, s in found])], names=["node", "set"])
 
-    sets = materialize(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+    return materialize(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+
+
+def _enough_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have SHARE in common; written."""
     a, b = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     enough = _enough(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"))
-    out = materialize(pairs.join(a, "u").join(b, "v").filter(enough).select("u", "v"), "near-links")
+    return materialize(pairs.join(a, "u").join(b, "v").filter(enough).select("u", "v"), "near-links")
+
+
+def _checked(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have SHARE in common. Sets are made anew, for nodes in pairs only."""
+    pairs = materialize(pairs, "near-pairs")
+    sets = _sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), distinct, docs, shingle)
+    out = _enough_of(pairs, sets)
     discard(pairs, sets)
     return out
 
@@ -162,31 +177,63 @@ def _likely(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return both.filter(_enough(F.least(most, "sa", "sb"), F.col("sa"), F.col("sb"))).select("u", "v")
 
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """(token, n, main, low) of the tokens (token, node, root) of several components: the largest of these, and its smallest node; written."""
+    counted = named.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("node").alias("low"))
+    largest = F.max_by(F.struct("root", "low"), "c")
+    mixed = counted.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), largest.alias("l")).filter("roots > 1")
+    return materialize(mixed.select("token", "n", F.col("l.root").alias("main"), F.col("l.low").alias("low")), "near-mixed")
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(node, size, pos, token): of each set its first shingles in the order of how many of these sets hold them, without those of one set alone.
+
+    A set whose first shingles are its own alone resembles none of the others.
+    """
+    every = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("token"))
+    shared = materialize(every.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+    held = join_groups(every, shared, ["token"], "n").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("held"))
+    alone = F.col("size") - F.size("held")
+    first = F.floor(F.col("size") - F.ceil(F.col("size") * SHARE[0] / SHARE[1]) + 1)
+    use = F.slice("held", 1, F.greatest(first - alone, F.lit(0)).cast("int"))
+    out = materialize(held.select("node", "size", alone.alias("alone"), F.posexplode(use).alias("at", "x")).select("node", "size", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "near-rarest")
+    discard(shared)
+    return out
+
+
 def near_links(distinct: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Pairs (u, v) of nodes with SHARE in common, enough of them to connect all that such pairs connect."""
     tokens = distinct.select("node", "size", F.posexplode("firsts").alias("pos", "token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "near-tokens")
     members = materialize(join_groups(tokens, shared, ["token"], "n"), "near-members")
-    hubs = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")).groupBy("node").agg(F.max_by("hub", "common").alias("hub"))
-    stars = _checked(_likely(hubs.select(F.col("node").alias("u"), F.col("hub").alias("v")), distinct), distinct, docs, shingle)
-
-    roots = components(stars)
-    named = members.select("token", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(named, "near-named")
-    discard(shared, members)
-    counted = named.groupBy("token", "root").agg(F.count("*").alias("c"))
-    mixed = materialize(counted.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.max_by("root", "c").alias("main")).filter("roots > 1"), "near-mixed")
+    with_roots = lambda rows, roots: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hubs = members.filter("node <> hub")
+    found = []
+    for _ in range(STARS):
+        best = hubs.groupBy("node", "hub").agg(F.count("*").alias("common")).groupBy("node").agg(F.max_by("hub", "common").alias("hub"))
+        found.append(_checked(_likely(best.select(F.col("node").alias("u"), F.col("hub").alias("v")), distinct), distinct, docs, shingle))
+        links = reduce(DataFrame.union, found)
+        roots = components(links)
+        named = materialize(with_roots(members.select("token", "node"), roots), "near-named")
+        mixed = _mixed(named)
+        #: Next, what a token's largest component lacks is checked against its smallest node.
+        hubs = join_groups(named, mixed, ["token"], "n").filter("root <> main").select("node", F.col("low").alias("hub"))
+    some = join_groups(named, mixed, ["token"], "n").select("node")
+    sets = _sets_of(some, distinct, docs, shingle)
+    discard(shared, members, named, mixed)
+
+    named = materialize(with_roots(_rarest(sets), roots), "near-named")
+    mixed = _mixed(named)
     rest = materialize(join_groups(named, mixed, ["token"], "n"), "near-rest")
-    discard(named, mixed)
     #: Pairs inside a token's largest component need no check: one side is always of another.
     left, right = rest.filter("root <> main").alias("a"), rest.alias("b")
     after = lambda side: F.col(f"{side}.size") - F.col(f"{side}.pos")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     meet &= _enough(F.least(after("a"), after("b")), F.col("a.size"), F.col("b.size"))
     pairs = left.join(right, meet).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    more = _checked(_likely(pairs, distinct), distinct, docs, shingle)
-    discard(rest)
-    return stars.union(more)
+    more = _enough_of(_likely(pairs, distinct), sets)
+    discard(named, mixed, rest, sets)
+    return links.union(more)
 
 
 def bit_links(marked: DataFrame) -> DataFrame:
