@@ -9,8 +9,8 @@ the 64 bits are cut into segments of 22, 21 and 21 bits, and 4 errors leave one
   both segments (24 bits, three pairs); rows come in two kinds and only unlike kinds meet.
 
 Distinct fingerprints alone are joined, on these keys, and each meeting is checked by counting bits inside the join. For groups
-a star of each key comes first and pairs only where stars leave a key in several parts; keys that many fingerprints share are
-joined by broadcast. The links then go through distributed components. Copies never meet as pairs: they share a fingerprint.
+a star of each key comes first, and of the pairs only those that stars do not connect are sent on. The links then go through
+distributed components. Copies never meet as pairs: they share a fingerprint.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a null doc_id takes part, and is a
 component's id only where all of its ids are null; repeated rows get one result each; empty tables give empty results;
@@ -26,7 +26,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import golay
@@ -104,40 +105,42 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInPandas(run, "fp long, key long, kind byte")
 
 
+def _near(a: str, b: str, most: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+
+
+def _meetings(keyed: DataFrame, extra: Column, most: int) -> DataFrame:
+    """Pairs (u, v) of keyed rows a and b that share a key and lie within `most` bits, where extra holds."""
+    near = (F.col("a.key") == F.col("b.key")) & extra & _near("a.fp", "b.fp", most)
+    meet = lambda left, right, order: keyed.filter(left).alias("a").join(keyed.filter(right).alias("b"), near & order)
+    same = meet("kind = 0", "kind = 0", F.col("a.fp") < F.col("b.fp"))
+    unlike = meet("kind = 1", "kind = 2", F.col("a.fp") != F.col("b.fp"))
+    return same.union(unlike).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
 def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints that differ in at most `most` (up to 4) bits; a pair may come more than once."""
     if most > MOST:
         raise ValueError(f"keys are safe up to {MOST} bits")
-    keyed = materialize(fuzzy_keys(fps), "golay-keys")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most
-    meet = lambda left, right, extra: keyed.filter(left).alias("a").join(keyed.filter(right).alias("b"), (F.col("a.key") == F.col("b.key")) & extra & near)
-    same = meet("kind = 0", "kind = 0", F.col("a.fp") < F.col("b.fp"))
-    unlike = meet("kind = 1", "kind = 2", F.col("a.fp") != F.col("b.fp"))
-    return same.union(unlike).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    return _meetings(materialize(fuzzy_keys(fps), "golay-keys"), F.lit(True), most)
 
 
 def group_links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints within `most` bits, enough of them to connect all that such pairs connect.
 
-    First each fingerprint is compared with the smallest one of each of its keys only, which links most of a large group without its pairs. Then
-    those that share a key but are not connected yet are compared with each other; those of a key's largest component only with the others.
+    First each fingerprint is compared with the smallest one of each of its keys only, which links most of a large group. Of the pairs
+    that meet then, those that are connected already are not sent on.
     """
     if most > MOST:
         raise ValueError(f"keys are safe up to {MOST} bits")
     keyed = materialize(fuzzy_keys(fps), "golay-keys")
-    shared = materialize(keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "golay-hubs")
-    members = materialize(join_groups(keyed, shared, ["key"], "n"), "golay-members")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
-    stars = materialize(members.filter(F.col("fp") != F.col("hub")).filter(near("fp", "hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "golay-stars")
-    roots = components(stars)
-    named = materialize(members.select("fp", "key", "kind").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "key", "kind", F.coalesce("root", "fp").alias("root")), "golay-named")
-    counted = named.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = materialize(counted.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.max_by("root", "c").alias("main")).filter("roots > 1"), "golay-mixed")
-    rest = materialize(join_groups(named, mixed, ["key"], "n"), "golay-rest")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp")))
-    meet &= ((F.col("a.kind") == 0) | (F.col("a.kind") != F.col("b.kind"))) & near("a.fp", "b.fp")
-    more = materialize(rest.filter("root <> main").alias("a").join(rest.alias("b"), meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "golay-links")
-    discard(keyed, shared, members, named, mixed, rest)
+    hub = F.min("fp").over(W.partitionBy("key"))
+    stars = keyed.withColumn("hub", hub).filter(F.col("fp") != F.col("hub")).filter(_near("fp", "hub", most))
+    stars = materialize(stars.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "golay-stars")
+    roots = materialize(components(stars), "golay-roots")
+    named = keyed.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "key", "kind", F.coalesce("root", "fp").alias("root"))
+    more = materialize(_meetings(named, F.col("a.root") != F.col("b.root"), most).distinct(), "golay-links")
+    discard(keyed, roots)
     return stars.union(more)
 
 
