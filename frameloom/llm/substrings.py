@@ -14,7 +14,7 @@ documents, and strings are judged on the input.
 
 An anchor that a hundredth of the texts share would gather its segments in one bucket. Such anchors, found in a sample that bears on the
 route alone, take no part in 1 and 2: each string at them is named by 128 hash bits, the smallest ord of a name is found by an
-aggregation that begins inside each batch, and frequent names are joined by broadcast. No task holds what a frequent passage has.
+aggregation that begins inside each batch, so that a batch sends a frequent passage once. No task holds what all its documents have.
 
 Exact copies are found by digest, take no part in 2 and are removed whole. Texts are compressed where they are shuffled.
 
@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, join_groups, materialize
@@ -450,11 +451,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     used = [places]
     if len(frequent):
         strings = materialize(_frequent_strings(base, frequent), "frequent-strings")
-        named = strings.filter("a is not null")
-        least = materialize(named.groupBy("a", "b").agg(F.min("ord").alias("least"), F.count("*").alias("n")).filter("n > 1"), "frequent-names")
-        gone = join_groups(named, least, ["a", "b"], "n").filter("ord > least").select("ord", "th", "lo", "hi")
+        #: A name comes once from each batch at most, so a window holds as many rows of it as there are batches, and spills.
+        least = F.min("ord").over(W.partitionBy("a", "b"))
+        gone = strings.filter("a is not null").withColumn("least", least).filter("ord > least").select("ord", "th", "lo", "hi")
         spans = spans.union(gone).union(strings.filter("a is null").select("ord", "th", "lo", "hi"))
-        used += [strings, least]
+        used.append(strings)
     digests = base.select("ord", F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     firsts = digests.groupBy("sha").agg(F.min("ord").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
     firsts = materialize(firsts, "equal-texts")
