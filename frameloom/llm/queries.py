@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, licenses, mixing, ngram_lm, quality, simhash, substrings, topk
+from . import bpe, exact_dedup, language_id, licenses, mixing, ngram_lm, pieces, quality, simhash, substrings, topk
 from .common import bound_batches
 from .common import read_table as read
 
@@ -67,9 +67,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_by_own_model(read_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"), pieces.default_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_topk_search, op3_simhash_near_dedup, op4_suffix_dedup, op5_license_scan, op6_bpe_roundtrip, op7_exact_dedup, op8_quality_classifier, op9_language_id, op10_lm_scoring,
+        op11_piece_roundtrip,
     )
 }
 SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
