@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .bpe import _slices
