@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, licenses, mixing, ngram_lm, pieces, quality, simhash, substrings, topk, vector_codes
+from . import bpe, exact_dedup, language_id, licenses, mixing, ngram_lm, phrases, pieces, quality, simhash, substrings, topk, vector_codes
 from .common import bound_batches
 from .common import read_table as read
 
@@ -71,6 +71,10 @@ def op11_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read_table(spark, sf_dir, "documents"), pieces.default_path())
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -78,9 +82,10 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_topk_search, op3_simhash_near_dedup, op4_suffix_dedup, op5_license_scan, op6_bpe_roundtrip, op7_exact_dedup, op8_quality_classifier, op9_language_id, op10_lm_scoring,
-        op11_piece_roundtrip, op13_vector_codes,
+        op11_piece_roundtrip, op12_phrase_collocations, op13_vector_codes,
     )
 }
 SQL: dict[str, str] = {
-    "op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op13_vector_codes": vector_codes.OP13_SQL,
+    "op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op12_phrase_collocations": phrases.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL,
 }
