@@ -233,6 +233,15 @@ def phrase_parts(levels: list[DataFrame]) -> DataFrame:
     return found
 
 
+def scored(rows: DataFrame, total: DataFrame, factor: int = FACTOR) -> DataFrame:
+    """lang, phrase, a, l, r, n, score of phrase_parts' rows: the cut of lowest score, the first of equals."""
+    rows = join_dimension(rows, total, "lang", total.count(), F.col("phrase"))
+    wide = lambda x: f"cast({x} as decimal(19, 0))"
+    cuts = f"""transform(lefts, (l, k) -> struct(
+        ({factor} * {wide('a')} * {wide('n')}) div ({wide('l')} * {wide('rights[k]')}) as score, k as k, l as l, rights[k] as r))"""
+    return rows.withColumn("cut", F.expr(f"array_min({cuts})")).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+
+
 def collocations(
     docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int = TOP, factor: int = FACTOR, share: int = SHARE, shard_words: int = SHARD_WORDS, bits: int = FILTER_BITS
 ) -> DataFrame:
@@ -241,12 +250,7 @@ def collocations(
     A phrase goes if a longer one around it has `share` per cent of its count: then one of a single word more has it too, for counts fall along the way.
     """
     levels, total = frequent_phrases(docs, depth, least, shard_words, bits)
-    rows = phrase_parts(levels).filter(f"100 * longer < {share} * a")
-    rows = join_dimension(rows, total, "lang", total.count(), F.col("phrase"))
-    wide = lambda x: f"cast({x} as decimal(19, 0))"
-    cuts = f"""transform(lefts, (l, k) -> struct(
-        ({factor} * {wide('a')} * {wide('n')}) div ({wide('l')} * {wide('rights[k]')}) as score, k as k, l as l, rights[k] as r))"""
-    rows = rows.withColumn("cut", F.expr(f"array_min({cuts})")).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    rows = scored(phrase_parts(levels).filter(f"100 * longer < {share} * a"), total, factor)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("_spread", F.pmod(F.xxhash64("phrase"), F.lit(spread)))
