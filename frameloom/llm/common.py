@@ -39,10 +39,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation of what came before."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation of what came before.
+
+    options: those of Spark's writer.
+    """
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._frameloom_path = path
     return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,7 +44,9 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLDED = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ")
 #: Stands between pieces; no byte of UTF-8.
 _END = b"\xff"
-_RUN = "lang string, phrase string, n long"
+#: Runs hold a path as language, tab, phrase: no word holds a tab, so the last one parts them. They are written front-coded, for they are sorted.
+_RUN = "path string, n long"
+_CODED = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -75,7 +77,7 @@ class Shard:
 
     def add(self, lang: str, texts: list[bytes]) -> None:
         found = words_of(b"\n".join(texts))
-        self.runs[lang].append(np.fromiter(map(self.code.__getitem__, found), np.int64, len(found)))
+        self.runs[lang].append(np.fromiter(map(self.code.__getitem__, found), np.int32, len(found)))
         self.words += len(found)
 
     def tries(self, low: int, high: int, known: np.ndarray | None, bits: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
@@ -83,43 +85,43 @@ class Shard:
 
         known: the bitmap of frequent paths of low - 1 words; only such paths are extended, and only by words that end another of them.
         """
-        names = sorted(self.code)  # _END is the last of all, no byte of UTF-8 being as high
-        names = [_END, *names[:-1]] if names[-1] == _END else [_END, *(w for w in names if w != _END)]
-        rank = np.empty(len(names), np.int64)
+        names = [_END, *sorted(w for w in self.code if w != _END)]
+        rank = np.empty(len(names), np.int32)
         rank[[self.code[w] for w in names]] = np.arange(len(names))
         text = pa.array(["", *(w.decode() for w in names[1:])], pa.string())
         word_hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)) if known is not None else None
-        for lang, parts in self.runs.items():
-            word = rank[np.concatenate(parts)]
-            node, phrase, path = word.copy(), text, None
-            if known is not None:
-                path = _fold(xxhash.xxh64_intdigest(lang), word_hash)
+        for lang in list(self.runs):
+            word = rank[np.concatenate(self.runs.pop(lang))]
             if low == 1:
                 n = np.bincount(word, minlength=len(names))
                 at = np.flatnonzero(n)
                 at = at[at > 0]
                 yield lang, text.take(pa.array(at)), n[at]
                 continue
-            frequent = None
+            node, phrase, path, frequent = word, text, _fold(xxhash.xxh64_intdigest(lang), word_hash), None
             for level in range(2, high + 1):
                 if level == low:  # nodes are those of the level above: look each up
-                    ok = (known[_bit(path, bits) >> 3] >> (_bit(path, bits) & 7).astype(np.uint8)) & 1
+                    bit = _bit(path, bits)
+                    ok = (known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
                     frequent = (node > 0) & ok[node].astype(bool)
                     node = np.where(frequent, node, 0)
                 span = level - 1
                 start = np.flatnonzero(node[: len(word) - span] > 0) if len(word) > span else np.empty(0, np.int64)
-                last = start + span
-                start = start[(word[last] > 0) if frequent is None else frequent[start + level - low + 1]]
-                key, at, n = np.unique(node[start] << 32 | word[start + span], return_inverse=True, return_counts=True)
-                node = np.zeros(len(word), np.int64)
-                node[start] = at + 1
+                start = start[(word[start + span] > 0) if frequent is None else frequent[start + level - low + 1]]
+                key = node[start].astype(np.int64) << 32 | word[start + span]
+                if level < high:
+                    key, at, n = np.unique(key, return_inverse=True, return_counts=True)
+                    node = np.zeros(len(word), np.int32)
+                    node[start] = at + 1
+                else:
+                    key, n = np.unique(key, return_counts=True)
                 parent, end = key >> 32, key & 0xFFFFFFFF
                 phrase = pyarrow.compute.binary_join_element_wise(phrase.take(pa.array(parent)), text.take(pa.array(end)), " ")
-                phrase = pa.concat_arrays([pa.array([""], pa.string()), phrase])
                 if level >= low:
-                    yield lang, phrase.slice(1), n
+                    yield lang, phrase, n
                 elif level + 1 == low:
                     path = np.concatenate([np.zeros(1, np.uint64), _fold(path[parent], word_hash[end])])
+                phrase = pa.concat_arrays([pa.array([""], pa.string()), phrase])
 
 
 def _runs(docs: DataFrame, low: int, high: int, known: Broadcast | None, shard_words: int, bits: int) -> DataFrame:
@@ -131,8 +133,8 @@ def _runs(docs: DataFrame, low: int, high: int, known: Broadcast | None, shard_w
         def flushed(shard: Shard) -> Iterator[pa.RecordBatch]:
             for lang, phrase, n in shard.tries(low, high, bitmap, bits):
                 for at in range(0, len(n), 50_000):
-                    part = phrase.slice(at, 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n[at : at + 50_000], pa.int64())], names=["lang", "phrase", "n"])
+                    path = pyarrow.compute.binary_join_element_wise(lang, phrase.slice(at, 50_000), "\t")
+                    yield pa.RecordBatch.from_arrays([path, pa.array(n[at : at + 50_000], pa.int64())], names=["path", "n"])
 
         shard = Shard()
         for batch in batches:
@@ -147,13 +149,17 @@ def _runs(docs: DataFrame, low: int, high: int, known: Broadcast | None, shard_w
         yield from flushed(shard)
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(texts.mapInArrow(run, _RUN), f"phrase-runs-{low}")
+    return materialize(texts.mapInArrow(run, _RUN), f"phrase-runs-{low}", **_CODED)
+
+
+def _lang() -> Column:
+    return F.expr("substr(path, 1, length(path) - length(substring_index(path, '\\t', -1)) - 1)").alias("lang")
 
 
 def _merged(runs: DataFrame, least: int) -> DataFrame:
     """Runs merged by ranges of paths: lang, phrase, a of those that reach least."""
-    dealt = runs.repartitionByRange("lang", "phrase")
-    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    merged = runs.repartitionByRange("path").groupBy("path").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    return merged.select(_lang(), F.substring_index("path", "\t", -1).alias("phrase"), "a")
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> bytes:
@@ -181,7 +187,7 @@ def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, sh
     """Tables (lang, phrase, a) of the frequent phrases of 1, 2, ... depth words, and (lang, n) with the number of words; all written."""
     context = docs.sparkSession.sparkContext
     runs = _runs(docs, 1, 1, None, shard_words, bits)
-    total = materialize(runs.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
+    total = materialize(runs.groupBy(_lang()).agg(F.sum("n").alias("n")), "phrase-words")
     levels = [materialize(_merged(runs, least), "phrases-1")]
     discard(runs)
     for low, high in ((2, 2), (3, depth)):
