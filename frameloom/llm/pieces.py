@@ -7,8 +7,10 @@ whole. Candidates at a place are the pieces that an Aho-Corasick automaton found
 compatible with the piece before it, which re-merging the two tells (remembered by pair). Where no candidate is left, the place can
 be no border, for the encoding of what stands before it is unique: its bit is cleared, and the piece before it is given up.
 
-A text is cut first where no piece of the vocabulary can reach across: before a white-space mark after another character, and
-around characters that no piece holds. Words met before are remembered (at most MEMO_WORDS); a word may be a whole document.
+A text is cut first where no piece of the vocabulary reaches across: before a white-space mark after another character, around ASCII
+characters that no piece holds, and between letters or digits and other characters. Each cut is taken only if the vocabulary bears it out.
+Words met lately are remembered (at most twice MEMO_WORDS: a full memory becomes the old one, whose words return to the new one when they
+are met again). A word may be a whole document.
 Spark deals the documents and nothing is shuffled; a task reads the vocabulary from the given path.
 
 Defined results: a null text is encoded as the empty one, which has the begin and the end id only; control pieces spelled out in a
@@ -22,6 +24,7 @@ import codecs
 import hashlib
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,8 +35,8 @@ from pyspark.sql import DataFrame
 
 from .bpe import _slices
 
-#: Words kept per worker, the first it meets, among which the frequent ones are; longer ones are never kept. Pairs of pieces kept.
-MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 100_000, 40, 300_000
+#: Words of a worker's memory; longer ones than MEMO_CHARS are never kept. Pairs of pieces kept.
+MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 200_000, 40, 600_000
 #: The mark that stands for a space, and the kinds of a piece in the vocabulary file; fixed values of the format.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -92,16 +95,40 @@ class PieceBpe:
         if trainer.get(3, 1) != 2 or normal.get(2) or normal.get(4, 1) or not normal.get(5, 1) or trainer.get(24) or {USER, UNUSED} & {*self.kind}:
             raise ValueError(f"{path}: not a vocabulary of merge type with identity normalisation")
         self.found = ahocorasick.Automaton()
-        for name in self.id:
+        #: Where a path of the automaton ends: its longest prefix that is a candidate. And of a candidate, the next shorter one.
+        self.ends: dict[str, str] = {}
+        self.shorter: dict[str, str] = {}
+        self.most = max(map(len, self.id))
+        for name in sorted(self.id, key=len):
             self.found.add_word(name, name)
+            for i in range(1, len(name) + 1):
+                path = name[:i]
+                if i == 1 or path in self.id:
+                    self.ends[path] = path
+                    if i > 1:
+                        self.shorter[path] = self.ends[path[:-1]]
+                else:
+                    self.ends[path] = self.ends[path[:-1]]
         self.found.make_automaton()
+        self._cut_rules()
+        self.raw = [self._meaning(i) for i in range(len(self.piece))]
+        self.packed = [struct.pack("<I", i) for i in range(len(self.piece))]
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_pairs = 0
+
+    def _cut_rules(self) -> None:
+        """Patterns of words: coarse ones, and fine ones for texts without a character that some piece joins to another kind."""
         letters = set().union(*self.id)
-        across = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
         alone = "".join(re.escape(chr(i)) for i in range(128) if chr(i) not in letters)
+        across = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
         inner = f"[^{alone}]" if across else f"[^{alone}{MARK}]"
-        self.words = re.compile(f"[{alone}]|{MARK}*{inner}+|{MARK}+", re.S)
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.coarse = re.compile(f"[{alone}]|{MARK}*{inner}+|{MARK}+", re.S)
+        self.fine = re.compile(rf"{MARK}*[^\W_]+|{MARK}*(?:[^\w{alone}{MARK}]|_)+|[{alone}]|{MARK}+", re.S)
+        plain = lambda c: c.isalnum()  # noqa: E731  as \\w has it
+        odd = {a if plain(a) else b for p in self.id for a, b in zip(p, p[1:], strict=False) if plain(a) != plain(b) and a != MARK}
+        self.odd = re.compile("" if across else f"[{re.escape(''.join(sorted(odd)))}]" if odd else r"(?!)")
 
     def merged(self, text: str) -> list[str]:
         """The vocabulary's rule on a short text, step by step."""
@@ -118,85 +145,85 @@ class PieceBpe:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether two pieces side by side stay as they are; left may be empty."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) < MEMO_PAIRS:
-                self.pairs[key] = known
-        return known
+        """Whether two pieces side by side stay as they are, told by merging both again; left may be empty."""
+        get, none = self.score.get, -float("inf")
+        parts, border = [*left, *right], len(left)
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            if i + 1 == border:
+                return False
+            border -= i + 1 < border
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+        return len(parts) == 1 + (left != "")
 
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word in order; a character without a piece stands for itself."""
-        n, pairs = len(word), self.pairs
-        at: list[list[str]] = [[] for _ in range(n)]
-        for last, piece in self.found.iter(word):
-            at[last + 1 - len(piece)].append(piece)
-        for i, c in enumerate(word):
-            if not at[i] or len(at[i][0]) > 1:
-                at[i].insert(0, c)
+        n, most, path, ends, pairs, shorter = len(word), self.most, self.found.longest_prefix, self.ends, self.pairs, self.shorter
         border = bytearray(b"\1") * (n + 1)
         out: list[str] = []
-        left = [len(at[0])]
-        pos, before = 0, ""
-        while pos < n:
-            here, i = at[pos], left[-1]
-            while i:
-                i -= 1
-                piece = here[i]
+        pos, before, row = 0, "", pairs[""]
+        piece: str | None = ends.get(word[: path(word[:most])], word[0])
+        while True:
+            while piece is not None:
                 if border[pos + len(piece)]:
-                    fits = pairs.get((before, piece))
-                    if self.compatible(before, piece) if fits is None else fits:
+                    fits = row.get(piece)
+                    if fits is None:
+                        fits = self.compatible(before, piece)
+                        if self.n_pairs < MEMO_PAIRS:
+                            row[piece] = fits
+                            self.n_pairs += 1
+                    if fits:
                         break
-            else:
+                piece = shorter.get(piece)
+            if piece is None:
                 border[pos] = 0
-                left.pop()
-                before = out.pop()
-                pos -= len(before)
+                last = out.pop()
+                pos -= len(last)
                 before = out[-1] if out else ""
-                continue
-            left[-1] = i
-            out.append(piece)
-            pos, before = pos + len(piece), piece
-            if pos < n:
-                left.append(len(at[pos]))
-        return out
+                piece = shorter.get(last)
+            else:
+                out.append(piece)
+                pos += len(piece)
+                if pos == n:
+                    return out
+                before, ahead = piece, word[pos : pos + most]
+                piece = ends.get(ahead[: path(ahead)], ahead[0])  # the longest candidate: what the automaton's longest path ends in
+            row = pairs[before]
 
     def word_ids(self, word: str) -> list[int]:
         ids: list[int] = []
         for p in self.pieces(word):
             i = self.id.get(p)
-            if i is not None:
-                ids.append(i)
-            else:
-                ids += [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
+            ids += [i] if i is not None else [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
         return ids
 
     def split(self, text: str) -> list[str]:
         """The text's words, the spaces as marks and one before the first."""
         if not text:
             return []
-        return self.words.findall((MARK if self.dummy else "") + text.replace(" ", MARK))
-
-    def _raw(self, ids: Iterable[int]) -> bytes:
-        """Bytes that ids stand for, marks still in place."""
-        out = []
-        for i in ids:
-            if self.kind[i] == BYTE:
-                out.append(bytes([int(self.piece[i][1:-1], 16)]))
-            elif self.kind[i] == UNKNOWN:
-                out.append(b" \xe2\x81\x87 ")
-            elif self.kind[i] != CONTROL:
-                out.append(self.piece[i].replace(MARK, " ").encode())
-        return b"".join(out)
+        marked = (MARK if self.dummy else "") + text.replace(" ", MARK)
+        return (self.coarse if self.odd.search(marked) else self.fine).findall(marked)
+
+    def _meaning(self, i: int) -> bytes:
+        """Bytes that an id stands for, marks as spaces."""
+        if self.kind[i] == BYTE:
+            return bytes([int(self.piece[i][1:-1], 16)])
+        if self.kind[i] == UNKNOWN:
+            return b" \xe2\x81\x87 "
+        return b"" if self.kind[i] == CONTROL else self.piece[i].replace(MARK, " ").encode()
 
     def encode(self, text: str) -> list[int]:
         return [self.begin, *(i for w in self.split(text) for i in self.word_ids(w)), self.end]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: each byte that is no UTF-8 becomes a replacement character, the space before the first word goes."""
-        return self._text(self._raw(ids)).decode()
+        return self._text(b"".join([self.raw[i] for i in ids])).decode()
 
     def _text(self, raw: bytes) -> bytes:
         raw = raw[1:] if self.dummy and raw.startswith(b" ") else raw
@@ -204,17 +231,23 @@ class PieceBpe:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
-        memo, coded, raw = self.memo, [struct.pack("<I", self.begin)], []
+        memo, packed, meaning = self.memo, self.packed, self.raw
+        coded, raw = [packed[self.begin]], []
         for word in self.split(text):
             got = memo.get(word)
             if got is None:
-                ids = self.word_ids(word)
-                got = struct.pack(f"<{len(ids)}I", *ids), self._raw(ids)
-                if len(memo) < MEMO_WORDS and len(word) <= MEMO_CHARS:
+                got = self.old.get(word)
+                if got is None:
+                    ids = self.word_ids(word)
+                    got = b"".join([packed[i] for i in ids]), b"".join([meaning[i] for i in ids])
+                if len(word) <= MEMO_CHARS:
+                    if len(memo) >= MEMO_WORDS:
+                        self.old, self.memo = memo, {}
+                        memo = self.memo
                     memo[word] = got
             coded.append(got[0])
             raw.append(got[1])
-        coded.append(struct.pack("<I", self.end))
+        coded.append(packed[self.end])
         joined = b"".join(coded)
         return len(joined) // 4, hashlib.sha256(joined).hexdigest(), hashlib.sha256(self._text(b"".join(raw))).hexdigest()
 
