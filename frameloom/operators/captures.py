@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashes import content_digest
+from ..sources.commits import CommittedTable
 from .labels import annotations_of, lines_of
 
+LOCKS = "set string, images long, digest string"
+
 
 def stage_labels(labels: DataFrame, path: str) -> None:
     """Write an annotator's labels (session, annotator, stem, text) to the staging table at a path; what the same annotator staged for a session before is replaced."""
@@ -41,22 +44,19 @@ def eval_lock(files: DataFrame, locks: DataFrame) -> DataFrame:
 
 
 def lock_eval_set(files: DataFrame, name: str, path: str) -> str:
-    """Record a set's lock in the table at a path and return its digest; a locked or empty set is refused."""
-    spark = files.sparkSession
-    try:
-        locks = spark.read.parquet(path).select("set")
-        locks.schema
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        locks = spark.createDataFrame([], "set string")
-    found = eval_lock(files.filter(F.col("set") == name), locks).collect()
-    if not found:
-        raise ValueError(f"{name} is empty")
-    if found[0]["refused"]:
-        raise ValueError(f"{name} is locked; make a new version")
-    spark.createDataFrame([(name, found[0]["images"], found[0]["digest"])], "set string, images long, digest string").write.mode("append").parquet(path)
-    return found[0]["digest"]
+    """Record a set's lock in the committed table at a path and return its digest; a locked or empty set is refused, also if another writer locks it meanwhile."""
+    spark, got = files.sparkSession, []
+
+    def build(locks: DataFrame) -> DataFrame:
+        got[:] = eval_lock(files.filter(F.col("set") == name), locks).collect()
+        if not got:
+            raise ValueError(f"{name} is empty")
+        if got[0]["refused"]:
+            raise ValueError(f"{name} is locked; make a new version")
+        return spark.createDataFrame([(name, got[0]["images"], got[0]["digest"])], LOCKS)
+
+    CommittedTable(spark, path, LOCKS).append(build)
+    return got[0]["digest"]
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str = "name", mark: str = "sha") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,19 +19,24 @@ from ..functions.hashes import hamming
 THRESHOLD = 5
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names and read back: lineage ends here, and a lost executor costs only the round at work.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local session without one gets a folder of its own; elsewhere that is an error.
 
-    A local session without one gets a folder of its own. The subpackage llm has a helper like this, since neither may need the other.
+    The subpackage llm has helpers like this and the next, since neither may need the other.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="frameloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends here, and a lost executor costs only the round at work."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import gain
-from .dedup import numbered_rows, shared_table
+from ..sources.commits import CommittedTable
+from .dedup import drop_table, numbered_rows, shared_table
 
 ACTIVE = ("draft", "exported", "in_review")
 
@@ -89,20 +90,36 @@ def append_outcomes(ledger: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("outcome", outcome).drop("_s", "_b", "_source")
 
 
-def append(ledger_path: str, log: DataFrame, new: DataFrame) -> int:
-    """Append what may be appended to the log at a path, all or nothing; returns the number of rows."""
-    outcomes = append_outcomes(ledger_view(log), new)
-    bad = outcomes.filter(F.col("outcome").isin("conflict", "source_mismatch")).limit(10).collect()
-    if bad:
-        raise ValueError(f"ledger conflicts: {[(r['image'], r['class_id'], r['outcome']) for r in bad]}")
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    fresh = outcomes.filter(F.col("outcome").isin("insert", "supersede"))
-    #: Entries of one cell in one append are numbered among themselves, so the ledger's view never depends on their order in a file.
-    nth = F.row_number().over(W.partitionBy("image", "class_id").orderBy("supersedes", "status", "boxes"))
-    rows = shared_table(fresh.withColumn("seq", F.lit(last) + nth).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in log.schema]))
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(ledger_path)
+def ledger(spark: SparkSession, path: str) -> CommittedTable:
+    """The append-only log at a path, a version an append."""
+    return CommittedTable(spark, path, "image long, class_id int, source string, status string, boxes long, seq long")
+
+
+def append(log: CommittedTable, new: DataFrame) -> int:
+    """Append what may be appended to the log, all or nothing; returns the number of rows.
+
+    Entries are judged against the log as it stands, and numbered after it. If another writer appends in the meantime, both is done again over
+    what that one wrote, so no seq is given twice and a conflict with it is reported.
+    """
+    fresh: list[DataFrame] = []
+
+    def build(known: DataFrame) -> DataFrame | None:
+        while fresh:
+            drop_table(fresh.pop())
+        outcomes = append_outcomes(ledger_view(known), new)
+        bad = outcomes.filter(F.col("outcome").isin("conflict", "source_mismatch")).limit(10).collect()
+        if bad:
+            raise ValueError(f"ledger conflicts: {[(r['image'], r['class_id'], r['outcome']) for r in bad]}")
+        last = known.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        #: Entries of one cell in one append are numbered among themselves, so the ledger's view never depends on their order in a file.
+        nth = F.row_number().over(W.partitionBy("image", "class_id").orderBy("supersedes", "status", "boxes"))
+        rows = outcomes.filter(F.col("outcome").isin("insert", "supersede")).withColumn("seq", F.lit(last) + nth)
+        fresh.append(shared_table(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in log.schema])))
+        return None if fresh[0].isEmpty() else fresh[0]
+
+    done = log.append(build)
+    n = 0 if done is None else fresh[0].count()
+    drop_table(fresh[0])
     return n
 
 

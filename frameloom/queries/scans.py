@@ -140,7 +140,7 @@ def sink_split_copy(spark, sf_dir):
 @query(f"WITH {FRAMES} SELECT 'events' AS kind, count(*) AS n FROM frames UNION ALL SELECT 'performance', count(*) FROM frames UNION ALL SELECT 'uncertain', count(*) FROM frames WHERE ms / 1000 BETWEEN 0.25 AND 0.55")
 def sink_jsonl(spark, sf_dir):
     path = _folder(spark)
-    live.routed(frames(spark, sf_dir).withColumn("confs", F.array(F.col("ms") / 1000)), path)
+    live.routed(frames(spark, sf_dir).withColumn("confs", F.array(F.col("ms") / 1000)), 0, path)
     out = None
     for kind in ("events", "performance", "uncertain"):
         n = spark.read.schema("camera long").json(f"{path}/{kind}").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from .memory import MOVE, WINDOW
-from .rules import Rule, holds
+from .rules import Rule, holds, parsed_rules
 
 ALERTS = StructType(
     [StructField("camera", LongType()), StructField("frame_no", LongType()), StructField("ts", TimestampType()), StructField("rule_no", IntegerType()), StructField("rule_id", StringType()), StructField("severity", IntegerType())]
@@ -21,10 +21,14 @@ _ENTRY = StructType([StructField("first_frame", LongType()), StructField("last_f
 
 
 class CameraRules(StatefulProcessor):
-    """State of a camera: frames so far, an entry per class (never expiring), and when each rule last fired. Bounded by classes and rules."""
+    """State of a camera: frames so far, an entry per class (never expiring), and when each rule last fired. Bounded by classes and rules.
 
-    def __init__(self, rules: Sequence[Rule], fps: float = 15.0, window: int = WINDOW):
-        self.rules, self.fps, self.window = list(rules), fps, window
+    Without rules of its own, each frame brings those in force, as its column `rules`. When a rule last fired is kept by its id, so an edited rule goes
+    on with its clock, and one that is gone for a while comes back with it.
+    """
+
+    def __init__(self, rules: Sequence[Rule] | None, fps: float = 15.0, window: int = WINDOW):
+        self.rules, self.fps, self.window = rules if rules is None else list(rules), fps, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", StructType([StructField("n", LongType())]))
@@ -38,7 +42,8 @@ class CameraRules(StatefulProcessor):
         seen = {k[0]: list(v) for k, v in self.memory.iterator()}
         fired = {k[0]: v[0] for k, v in self.fired.iterator()}
         touched, out = set(), []
-        for ts, names, confs in zip(frames["ts"], frames["classes"], frames["confs"], strict=True) if len(frames) else ():
+        brought = [None] * len(frames) if self.rules is not None or not len(frames) else frames["rules"]
+        for ts, names, confs, text in zip(frames["ts"], frames["classes"], frames["confs"], brought, strict=True) if len(frames) else ():
             frame_no += 1
             for name, conf in zip(names, confs, strict=True):
                 entry = seen.setdefault(name, [frame_no, frame_no, 0, float(conf)])
@@ -47,7 +52,7 @@ class CameraRules(StatefulProcessor):
                 entry[1], entry[2] = frame_no, entry[2] + 1
                 touched.add(name)
             since, us = {n: frame_no - e[1] for n, e in seen.items()}, pd.Timestamp(ts).value // 1000
-            for i, rule in enumerate(self.rules):
+            for i, rule in enumerate(parsed_rules(text) if self.rules is None else self.rules):
                 if us - fired.get(rule.rule_id, -(1 << 62)) < rule.cooldown * 1_000_000 or not holds(rule.condition, set(names), since, self.fps, self.window):
                     continue
                 fired[rule.rule_id] = us
@@ -63,29 +68,66 @@ class CameraRules(StatefulProcessor):
         pass
 
 
-def live_alerts(frames: DataFrame, rules: Sequence[Rule], fps: float = 15.0, window: int = WINDOW) -> DataFrame:
+def live_alerts(frames: DataFrame, rules: Sequence[Rule] | None, fps: float = 15.0, window: int = WINDOW) -> DataFrame:
     """Alerts of a stream of frames (camera, frame_id, ts, classes, confs). Frames of a micro-batch are taken in order of (ts, frame_id).
 
+    rules: None if the frames bring them (reload.with_rules).
+
     Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
     """
     return frames.groupBy("camera").transformWithStateInPandas(statefulProcessor=CameraRules(rules, fps, window), outputStructType=ALERTS, outputMode="Append", timeMode="None")
 
 
+class MemoryProcessor(StatefulProcessor):
+    """State of a class before a camera: its memory entry, which is sent whenever it changes."""
+
+    def __init__(self, move: float = MOVE):
+        self.move = move
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entry = handle.getValueState("entry", _ENTRY)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        entry = list(self.entry.get()) if self.entry.exists() else None
+        found = sorted(x for part in rows for x in part[["frame_no", "ord", "conf"]].itertuples(index=False, name=None))
+        for frame_no, _, conf in found:
+            if entry is None:
+                entry = [int(frame_no), int(frame_no), 1, float(conf)]
+            else:
+                entry = [entry[0], int(frame_no), entry[2] + 1, entry[3] * (1 - self.move) + float(conf) * self.move]
+        self.entry.update(tuple(entry))
+        yield pd.DataFrame([(*key, *entry)], columns=["camera", "class_name", *(f.name for f in _ENTRY.fields)])
+
+    def close(self) -> None:
+        pass
+
+
+def live_entries(detections: DataFrame, move: float = MOVE) -> DataFrame:
+    """memory.entries over a stream of detections (camera, frame_no, ord, class_name, conf): each batch sends the entries that it changed. Needs the RocksDB state store."""
+    rows = detections.select(F.col("camera").cast("long").alias("camera"), "class_name", "frame_no", "ord", F.col("conf").cast("double").alias("conf"))
+    schema = "camera long, class_name string, first_frame long, last_frame long, n long, avg_conf double"
+    return rows.groupBy("camera", "class_name").transformWithStateInPandas(statefulProcessor=MemoryProcessor(move), outputStructType=schema, outputMode="Update", timeMode="None")
+
+
 def watermarked(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Frames with ts as a timestamp under a watermark; later ones than that are dropped by windowed operators."""
     return frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def routed(batch: DataFrame, path: str, most_bytes: int | None = None) -> None:
+def routed(batch: DataFrame, batch_id: int, path: str, most_bytes: int | None = None) -> None:
     """A foreachBatch sink: events, performance and frames worth learning from, each to its own folder of JSON lines.
 
-    A cap counts the bytes that a folder holds before the batch; beyond it nothing more is written there.
+    A batch has a folder of its number, which it writes over if it is run again. A cap counts the bytes of the batches before; beyond it nothing
+    more is written there.
     """
     from ..sources.sinks import folder_bytes
 
-    for name, rows in {"events": batch, "performance": batch.select("camera", "frame_no", "ms"), "uncertain": batch.filter(F.exists("confs", lambda c: c.between(0.25, 0.55)))}.items():
-        if most_bytes is None or folder_bytes(batch.sparkSession, f"{path}/{name}") < most_bytes:
-            rows.write.mode("append").json(f"{path}/{name}")
+    spark = batch.sparkSession
+    kinds = {"events": batch, "performance": batch.select("camera", "frame_no", "ms"), "uncertain": batch.filter(F.exists("confs", lambda c: c.between(0.25, 0.55)))}
+    for name, rows in kinds.items():
+        own = f"{path}/{name}/batch={batch_id}"
+        if most_bytes is None or folder_bytes(spark, f"{path}/{name}") - folder_bytes(spark, own) < most_bytes:
+            rows.write.mode("overwrite").json(own)
 
 
 def with_reloaded_rules(load: Callable[[], Sequence[Rule]], evaluate: Callable[[DataFrame, Sequence[Rule]], None]) -> Callable[[DataFrame, int], None]:

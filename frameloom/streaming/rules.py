@@ -6,8 +6,9 @@ first and OR within its parts, so OR binds tighter; there are no parentheses; wh
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,6 +104,17 @@ def load_rules(rows: list[dict]) -> list[Rule]:
     return [Rule(r["id"], r.get("condition", ""), r.get("severity", "INFO"), float(r.get("cooldown_seconds", 60)), r.get("message_en", "")) for r in rows if r.get("id")]
 
 
+@lru_cache(maxsize=64)
+def parsed_rules(text: str) -> tuple[Rule, ...]:
+    """Rules of a configuration's rows as JSON."""
+    return tuple(load_rules(json.loads(text)))
+
+
+def rules_text(rules: list[Rule] | tuple[Rule, ...]) -> str:
+    """The reverse of parsed_rules."""
+    return json.dumps([{"id": r.rule_id, "condition": r.condition, "severity": r.severity, "cooldown_seconds": r.cooldown, "message_en": r.message} for r in rules])
+
+
 def rules_of(table) -> list[Rule]:
     """The rules of a table (id, condition, severity, cooldown_seconds, message_en), in order of id: a configuration, so small."""
     return load_rules([r.asDict() for r in table.orderBy("id").collect()])

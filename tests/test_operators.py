@@ -185,16 +185,14 @@ def test_queue(spark):
 
 
 def test_ledger_append_is_idempotent(spark, tmp_path):
-    schema = "image long, class_id int, source string, status string, boxes long, seq long"
-    log = spark.createDataFrame([(1, 2, "s", "present_labeled", 1, 1)], schema)
-    path = str(tmp_path / "log")
-    log.write.parquet(path)
+    log = verification.ledger(spark, str(tmp_path / "log"))
+    log.put(spark.createDataFrame([(1, 2, "s", "present_labeled", 1, 1)], log.schema), 0)
     new = spark.createDataFrame([(1, 2, "s", "present_labeled", 1, None), (3, 2, "s", "verified_absent", 0, None)], "image long, class_id int, source string, status string, boxes long, supersedes string")
-    assert verification.append(path, spark.read.parquet(path), new) == 1
-    assert verification.append(path, spark.read.parquet(path), new) == 0
+    assert verification.append(log, new) == 1
+    assert verification.append(log, new) == 0 and list(log.versions()) == [0, 1]
     changed = new.withColumn("boxes", F.lit(5).cast("long"))
     with pytest.raises(ValueError, match="conflict"):
-        verification.append(path, spark.read.parquet(path), changed)
+        verification.append(log, changed)
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -302,10 +300,8 @@ def test_plugins_keep_their_contract(spark):
 
 
 def test_ledger_entries_of_one_append_are_numbered(spark, tmp_path):
-    schema = "image long, class_id int, source string, status string, boxes long, seq int"
-    path = str(tmp_path / "log")
-    spark.createDataFrame([(1, 2, "s", "present_labeled", 1, 4)], schema).write.parquet(path)
+    log = verification.ledger(spark, str(tmp_path / "log"))
+    log.put(spark.createDataFrame([(1, 2, "s", "present_labeled", 1, 4)], log.schema), 0)
     new = spark.createDataFrame([(3, 2, "s", "verified_absent", 0, None), (3, 2, "s", "present_labeled", 2, None)], "image long, class_id int, source string, status string, boxes long, supersedes string")
-    assert verification.append(path, spark.read.parquet(path), new) == 2
-    log = spark.read.parquet(path)
-    assert log.schema["seq"].dataType.simpleString() == "int" and sorted(r["seq"] for r in log.filter("image = 3").collect()) == [5, 6]
+    assert verification.append(log, new) == 2
+    assert sorted(r["seq"] for r in log.read().filter("image = 3").collect()) == [5, 6]
