@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 UNLIKE = 1 << 32
 
 
-def average_hash(grid: Column) -> Column:
-    """64 cells, row by row, as a long: a bit is set where a cell is above the mean; the first cell is the highest bit."""
+def average_hash(grid: Column, above: float = 0.0) -> Column:
+    """64 cells, row by row, as a long: a bit is set where a cell is above the mean (by so much); the first cell is the highest bit."""
     mean = F.aggregate(grid, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(grid)
+    mean = mean + above if above else mean
     return F.aggregate(grid, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x.cast("double") > mean).cast("long")))
 
 

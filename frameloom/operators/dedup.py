@@ -1,20 +1,25 @@
 """Near-duplicate images by perceptual hash: banded pairs, ordered greedy keeping, overlap with a locked set.
 
-Hashes are longs of 64 bits; two are near when fewer than `threshold` bits differ. Cut into `threshold` bands, near hashes share a
-band (pigeonhole), so an equi join on bands finds all pairs and a bit count sorts out the rest. Only distinct hashes are
-joined: copies, however many, meet as one. Keeping is by rounds over the pairs, each a join on keys; no row passes the driver.
+Hashes are longs of 64 bits or arrays of them (lanes, for 256 bits and more); two are near when fewer than `threshold` bits differ. `near.py`
+finds the pairs by bands. Only distinct hashes are joined: copies, however many, meet as one. Keeping is by rounds over the pairs, each a
+join on keys, until what is undecided is small; no row passes the driver. An index of what was kept lets the next images be
+decided without those before.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashes import hamming
+from ..sources.commits import CommittedTable
+from .near import banded, met, near_hashes, plan_bands
 
 THRESHOLD = 5
 
@@ -71,55 +76,78 @@ def numbered_rows(rows: DataFrame, *by) -> DataFrame:
     return dealt.join(F.broadcast(offsets), "_p").withColumn("n", F.col("_o") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_i", "_o")
 
 
-def bands(h: Column, n: int) -> Column:
-    """array<struct<band, value>>: the hash cut into n bands of nearly equal width."""
-    cut = [i * 64 // n for i in range(n + 1)]
-    part = lambda a, b: F.shiftrightunsigned(h, a).bitwiseAND((1 << (b - a)) - 1) if b - a < 64 else h
-    return F.array(*[F.struct(F.lit(i).alias("band"), part(cut[i], cut[i + 1]).alias("value")) for i in range(n)])
+def hamming_pairs(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b, distance), a < b, of distinct hashes (column h)."""
+    return near_hashes(hashes, hashes, threshold).filter("probe < build").select(F.col("probe").alias("a"), F.col("build").alias("b"), "distance")
 
 
-def near_hashes(probe: DataFrame, build: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(probe, build, distance) of hashes that differ in fewer than threshold bits; both sides one column h. One shuffle by band value."""
-    cut = lambda df, name: df.select("h").distinct().select(F.col("h").alias(name), F.explode(bands(F.col("h"), threshold)).alias("b")).select(name, "b.band", "b.value")
-    met = cut(probe, "probe").join(cut(build, "build"), ["band", "value"])
-    return met.select("probe", "build", hamming(F.col("probe"), F.col("build")).alias("distance")).filter(F.col("distance") < threshold).distinct()
+#: Undecided pairs that one task may put in order; while there are more, rounds go on.
+TASK_PAIRS = 200_000
 
 
-def hamming_pairs(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of distinct hashes (column h)."""
-    return near_hashes(hashes, hashes, threshold).filter("probe < build").select(F.col("probe").alias("a"), F.col("build").alias("b"), "distance")
+def _fates(nodes: DataFrame, edges: DataFrame, task_pairs: int) -> DataFrame:
+    """(ord, kept) of nodes (ord): kept if no earlier neighbour is. edges: later, earlier.
+
+    Rounds: nodes without an earlier undecided neighbour are kept, then their neighbours go, and so do the pairs of both. Each
+    round's tables are written, and those of the round before deleted. Once few pairs are left (counted), one task scans them in order.
+    """
+    kind = nodes.schema["ord"].dataType.simpleString()
+    nodes, edges, decided = shared_table(nodes.select("ord")), shared_table(edges.select("later", "earlier")), []
+    while edges.count() > task_pairs:
+        bound = edges.select(F.col("later").alias("ord")).distinct()
+        free = nodes.join(bound, "ord", "left_anti").withColumn("kept", F.lit(True))
+        gone = edges.join(free.select(F.col("ord").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("ord")).distinct()
+        fixed = shared_table(free.union(gone.withColumn("kept", F.lit(False))))
+        decided.append(fixed)
+        old, nodes = nodes, shared_table(nodes.join(fixed, "ord", "left_anti"))
+        drop_table(old)
+        rest = edges.join(fixed.select(F.col("ord").alias("later")), "later", "left_anti").join(fixed.select(F.col("ord").alias("earlier")), "earlier", "left_anti")
+        old, edges = edges, shared_table(rest)
+        drop_table(old)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for frame in frames:
+            for later, earlier in frame[["later", "earlier"]].itertuples(index=False, name=None):
+                kept[later] = kept.get(later, True) and not kept.get(earlier, True)
+        yield pd.DataFrame({"ord": list(kept), "kept": list(kept.values())})
+
+    last = edges.repartition(1).sortWithinPartitions("later", "earlier").mapInPandas(scan, f"ord {kind}, kept boolean")
+    out = nodes.join(last, "ord", "left").select("ord", F.coalesce("kept", F.lit(True)).alias("kept"))
+    for fixed in decided:
+        out = out.unionByName(fixed)
+    return shared_table(out)
 
 
-def keep_in_order(images: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def keep_in_order(images: DataFrame, threshold: int = THRESHOLD, known: DataFrame | None = None, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Images (ord, h, flip, sha) one after another are kept unless near a kept one; returns ord, kept, duplicate_of (an ord).
 
     An image is compared by its hash and its mirror image's hash (flip, may be null) with the hashes of those kept before it, and
     an equal hash is a duplicate whatever the threshold. duplicate_of is the first kept with an equal hash, else the first
     kept that is near. Images without a hash are duplicates of the first with the same sha; without either they stay.
-    ord must be unique.
+    ord must be unique. known: images kept before all of these (ord, h, sha, and near, the hashes here that are near them: KeptIndex).
 
-    Rounds: of the undecided, those with no earlier undecided or kept neighbour are kept, then neighbours of the kept go. Of
-    equal hashes only the first can be kept, so rounds run over distinct hashes; a copy of a first that was dropped is
+    Of equal hashes only the first can be kept, so pairs are those of distinct hashes; a copy of a first that was dropped is
     itself compared only by its own flip, and takes part as a hash of its own where that differs.
     """
     hashed = images.filter("h is not null").select("ord", "h", "flip")
     #: A node is a distinct (h, flip): rows alike in both have the same fate after their first.
     nodes = shared_table(hashed.groupBy("h", "flip").agg(F.min("ord").alias("ord")))
-    probe = nodes.select("h").union(nodes.filter("flip is not null").select(F.col("flip").alias("h")))
+    probe = _probes(nodes)
     near = near_hashes(probe, nodes.select("h"), threshold)
     later = nodes.select(F.col("ord").alias("later"), F.explode(F.array_compact(F.array_distinct(F.array("h", "flip")))).alias("probe"), F.col("h").alias("own"))
-    edges = later.join(near, "probe").join(nodes.select(F.col("ord").alias("earlier"), F.col("h").alias("build")), "build").filter("earlier < later")
-    edges = shared_table(edges.groupBy("later", "earlier").agg(F.max(F.col("own") == F.col("build")).alias("equal")))
-    state = shared_table(nodes.select("ord", F.lit(None).cast("boolean").alias("kept")))
-    while not state.filter("kept is null").isEmpty():
-        known = state.select(F.col("ord").alias("earlier"), F.col("kept").alias("earlier_kept"))
-        seen = edges.join(known, "earlier").groupBy("later").agg(F.max(F.coalesce("earlier_kept", F.lit(False))).alias("hit"), F.max(F.col("earlier_kept").isNull()).alias("open"))
-        joined = state.join(seen, state["ord"] == seen["later"], "left")
-        fate = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True)
-        old, state = state, shared_table(joined.select("ord", fate.alias("kept")))
-        drop_table(old)
+    linked = lambda pairs, firsts: later.join(pairs.select("probe", "build"), "probe").join(firsts, "build")
+    edges = linked(near, nodes.select(F.col("ord").alias("earlier"), F.col("h").alias("build"))).filter("earlier < later").withColumn("before", F.lit(False))
+    if known is not None:
+        edges = edges.unionByName(linked(known.near, known.hashes.select(F.col("ord").alias("earlier"), F.col("h").alias("build"))).withColumn("before", F.lit(True)))
+    edges = shared_table(edges.groupBy("later", "earlier", "before").agg(F.max(F.col("own") == F.col("build")).alias("equal")))
+    gone = edges.filter("before").select(F.col("later").alias("ord")).distinct()
+    open_nodes = nodes.select("ord").join(gone, "ord", "left_anti")
+    among = edges.filter("not before").join(gone.select(F.col("ord").alias("later")), "later", "left_anti").join(gone.select(F.col("ord").alias("earlier")), "earlier", "left_anti")
+    state = _fates(open_nodes, among, task_pairs).unionByName(gone.withColumn("kept", F.lit(False)))
     first = F.min(F.struct((~F.col("equal")).alias("unequal"), "earlier"))
-    of = edges.join(state.filter("kept").select(F.col("ord").alias("earlier")), "earlier").groupBy("later").agg(first.alias("of"))
+    standing = edges.filter("before").unionByName(edges.filter("not before").join(state.filter("kept").select(F.col("ord").alias("earlier")), "earlier", "left_semi").select(edges.columns))
+    of = standing.groupBy("later").agg(first.alias("of"))
     decided = state.join(of, state["ord"] == of["later"], "left").select(F.col("ord").alias("node"), F.col("kept").alias("node_kept"), F.col("of.earlier").alias("node_of"))
     rows = hashed.join(nodes.withColumnRenamed("ord", "node").withColumnsRenamed({"h": "nh", "flip": "nf"}), F.col("h").eqNullSafe(F.col("nh")) & F.col("flip").eqNullSafe(F.col("nf")))
     rows = rows.join(decided, "node").select(
@@ -127,11 +155,73 @@ def keep_in_order(images: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         F.when(F.col("ord") == F.col("node"), F.col("node_of")).when(F.col("node_kept"), F.col("node")).otherwise(F.col("node_of")).alias("duplicate_of"),
     )
     bare = images.filter("h is null").select("ord", "sha")
-    firsts = bare.filter("sha is not null").groupBy("sha").agg(F.min("ord").alias("first"))
+    shas = bare.filter("sha is not null")
+    if known is not None:
+        shas = shas.unionByName(known.bare.select("ord", "sha").join(shas.select("sha").distinct(), "sha", "left_semi").select("ord", "sha"))
+    firsts = shas.groupBy("sha").agg(F.min("ord").alias("first"))
     bare = bare.join(firsts, "sha", "left").select("ord", (F.coalesce("first", "ord") == F.col("ord")).alias("kept"), F.when(F.col("first") < F.col("ord"), F.col("first")).alias("duplicate_of"))
     return rows.union(bare)
 
 
+def _probes(nodes: DataFrame) -> DataFrame:
+    """The hashes that nodes are compared by."""
+    return nodes.select("h").union(nodes.filter("flip is not null").select(F.col("flip").alias("h")))
+
+
+@dataclass(frozen=True)
+class Known:
+    """Images kept before: their hashes (ord, h), those without one (ord, sha), and pairs (probe, build) of a hash now and one of theirs that is near it."""
+
+    hashes: DataFrame
+    bare: DataFrame
+    near: DataFrame
+
+
+class KeptIndex:
+    """What merges have kept, at a path, so that the next images are decided against it without a look at those before.
+
+    A committed table whose every version is one merge: a row per kept image (ord, h, sha), and a row per band of its hash (band, value, h),
+    in order of band and value, so that what a few probes look for is found by the files' statistics. Hashes are lanes of one width. The cut into bands is
+    planned for a number of hashes to come (capacity).
+    """
+
+    SCHEMA = "band int, value long, ord long, h array<long>, sha string"
+
+    def __init__(self, spark: SparkSession, path: str, bits: int, threshold: int = THRESHOLD, capacity: int = 1_000_000_000):
+        self.table, self.threshold, self.plan = CommittedTable(spark, path, self.SCHEMA), threshold, plan_bands(bits, threshold, capacity)
+
+    def _known(self, rows: DataFrame, images: DataFrame) -> Known:
+        kept = rows.filter("band is null")
+        probes = _probes(images.filter("h is not null").select("h", "flip")).distinct()
+        near = met(small(banded(probes, self.plan, probe=True)), rows.filter("band is not null").select("band", "value", "h"), self.threshold)
+        near = shared_table(near)
+        hashes = kept.filter("h is not null").join(small(near.select(F.col("build").alias("h")).distinct()), "h", "left_semi").select("ord", "h")
+        return Known(hashes, kept.filter("h is null").select("ord", "sha"), near)
+
+    def extend(self, images: DataFrame) -> DataFrame:
+        """keep_in_order of images (ord, h as lanes, flip, sha) that come after all before them; what is kept joins the index, as one version.
+
+        The result is that of one run over all images. If another merge commits first, these are decided anew.
+        """
+        width, decided = self.plan.bits // 64, []
+        if not images.filter(F.size("h") != width).isEmpty() or not images.filter(F.size("flip") != width).isEmpty():
+            raise ValueError(f"hashes of another width than {self.plan.bits} bits")
+
+        def build(rows: DataFrame) -> DataFrame:
+            last, first = rows.agg(F.max("ord")).first()[0], images.agg(F.min("ord")).first()[0]
+            if last is not None and first is not None and first <= last:
+                raise ValueError(f"images from ord {first} on, but {last} is in the index")
+            decided[:] = [shared_table(keep_in_order(images, self.threshold, self._known(rows, images)))]
+            kept = images.join(decided[0].filter("kept").select("ord"), "ord", "left_semi").select("ord", "h", "sha")
+            none = [F.lit(None).cast(t).alias(c) for c, t in (("ord", "long"), ("sha", "string"))]
+            bands = banded(kept.filter("h is not null").select("h"), self.plan).select("band", "value", none[0], "h", none[1])
+            rest = kept.select(F.lit(None).cast("int").alias("band"), F.lit(None).cast("long").alias("value"), "ord", "h", "sha")
+            return rest.unionByName(bands).repartitionByRange("band", "value").sortWithinPartitions("band", "value")
+
+        self.table.append(build)
+        return decided[0]
+
+
 def eval_overlap(locked: DataFrame, train: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Locked images that are in the training set: image, kind (exact, near), match.
 
@@ -142,9 +232,9 @@ def eval_overlap(locked: DataFrame, train: DataFrame, threshold: int = THRESHOLD
     exact = locked.join(shas, "sha").select("image", F.lit("exact").alias("kind"), "match")
     rest = locked.join(shas, "sha", "left_anti").select("image", "h")
     known = train.select("h", F.col("image").alias("match")).union(train.filter("flip is not null").select("flip", "image"))
-    met = near_hashes(rest.select("h"), known.select("h"), threshold)
+    pairs = near_hashes(rest.select("h"), known.select("h"), threshold)
     firsts = known.groupBy(F.col("h").alias("build")).agg(F.min("match").alias("match"))
-    near = rest.join(met.join(firsts, "build").groupBy(F.col("probe").alias("h")).agg(F.min("match").alias("match")), "h")
+    near = rest.join(pairs.join(firsts, "build").groupBy(F.col("probe").alias("h")).agg(F.min("match").alias("match")), "h")
     return exact.union(near.select("image", F.lit("near").alias("kind"), "match"))
 
 

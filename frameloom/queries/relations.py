@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import hashes as H
@@ -80,18 +82,51 @@ def hamming_pairs(spark, sf_dir):
     return met.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), F.col("distance").cast("long").alias("distance"))
 
 
-_DEDUP = f"""WITH RECURSIVE {COARSE}, r AS (SELECT vec_id AS ord, array_to_string(bits, '')::BIT AS b, array_to_string(flip_bits, '')::BIT AS f, row_number() OVER (ORDER BY vec_id) AS n FROM hashes),
+def _dedup_sql(hashes: str, near: int) -> str:
+    """One hash after another, against all that were kept; hashes: CTEs that end in r (ord, b, f, n)."""
+    return f"""WITH RECURSIVE {hashes},
  g AS (SELECT n, ord, true AS kept, NULL::BIGINT AS duplicate_of, [{{'ord': ord, 'b': b}}] AS held FROM r WHERE n = 1 UNION ALL
   SELECT n, ord, len(near) = 0, coalesce(list_filter(near, lambda k: k.b = b)[1].ord, near[1].ord), CASE WHEN len(near) = 0 THEN list_append(held, {{'ord': ord, 'b': b}}) ELSE held END
-  FROM (SELECT r.n, r.ord, r.b, held, list_filter(held, lambda k: bit_count(xor(k.b, r.b)) < {NEAR} OR bit_count(xor(k.b, r.f)) < {NEAR}) AS near FROM g JOIN r ON r.n = g.n + 1) x)
+  FROM (SELECT r.n, r.ord, r.b, held, list_filter(held, lambda k: bit_count(xor(k.b, r.b)) < {near} OR bit_count(xor(k.b, r.f)) < {near}) AS near FROM g JOIN r ON r.n = g.n + 1) x)
 SELECT ord, kept, duplicate_of FROM g"""
 
 
+_BY_GRID = f"{COARSE}, r AS (SELECT vec_id AS ord, array_to_string(bits, '')::BIT AS b, array_to_string(flip_bits, '')::BIT AS f, row_number() OVER (ORDER BY vec_id) AS n FROM hashes)"
+_DEDUP = _dedup_sql(_BY_GRID, NEAR)
+
+
 @query(_DEDUP)
 def dedup_near(spark, sf_dir):
     return dedup.keep_in_order(_hashes(spark, sf_dir), NEAR)
 
 
+@query(_DEDUP)
+def dedup_by_index(spark, sf_dir):
+    """The same images in three merges, each decided against the index of what was kept before."""
+    rows = _hashes(spark, sf_dir).withColumns({"h": F.array("h"), "flip": F.array("flip")})
+    index, out = dedup.KeptIndex(spark, f"{dedup.shared_folder(spark)}/kept-{uuid.uuid4().hex}", 64, NEAR), None
+    last = rows.agg(F.max("ord")).first()[0] or 0
+    for i in range(3):
+        done = index.extend(rows.filter(F.col("ord").between(i * (last // 3 + 1), (i + 1) * (last // 3 + 1) - 1)))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+#: Wide hashes: a bit for each cell and level above the mean, so 256 of a grid of 64, and coarse grids differ in steps of four bits.
+_LEVELS, _NEAR_WIDE = (-0.1, 0.0, 0.05, 0.12), 21
+_WIDE = ", ".join(f"list_transform({{v}}, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform({{v}}, lambda y: y::DOUBLE)) / 64 + {t} THEN 1 ELSE 0 END)" for t in _LEVELS)
+_BY_LEVELS = f"{COARSE}, r AS (SELECT vec_id AS ord, array_to_string(flatten([{_WIDE.format(v='grid')}]), '')::BIT AS b, array_to_string(flatten([{_WIDE.format(v='mirror')}]), '')::BIT AS f, row_number() OVER (ORDER BY vec_id) AS n FROM grids)"
+
+
+@query(_dedup_sql(_BY_LEVELS, _NEAR_WIDE))
+def dedup_near_wide(spark, sf_dir):
+    """Near images by hashes of 256 bits, as four lanes."""
+    g = grids(spark, sf_dir).select("vec_id", coarse(F.col("grid")).alias("g"))
+    wide = lambda c: F.array(*[H.average_hash(c, t) for t in _LEVELS])
+    rows = g.select(F.col("vec_id").alias("ord"), wide(F.col("g")).alias("h"), wide(H.mirrored(F.col("g"))).alias("flip"), F.lit(None).cast("string").alias("sha"))
+    return dedup.keep_in_order(rows, _NEAR_WIDE)
+
+
 @query(f"""WITH {COARSE}, l AS (SELECT vec_id, bits FROM hashes WHERE vec_id % 10 = 0), t AS (SELECT vec_id, bits, flip_bits FROM hashes WHERE vec_id % 10 <> 0),
  e AS (SELECT l.vec_id AS image, min(t.vec_id) AS match FROM embeddings l JOIN embeddings t ON l.embedding = t.embedding AND l.vec_id % 10 = 0 AND t.vec_id % 10 <> 0 GROUP BY 1)
 SELECT image, 'exact' AS kind, match FROM e UNION ALL SELECT l.vec_id, 'near', min(t.vec_id) FROM l JOIN t ON {sql_distance('l.bits', 't.bits')} < {NEAR} OR {sql_distance('l.bits', 't.flip_bits')} < {NEAR} WHERE l.vec_id NOT IN (SELECT image FROM e) GROUP BY 1""")
