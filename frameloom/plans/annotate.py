@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, tile_to_full
-from ..operators.dedup import shared_table
+from ..operators.images import read_pixels, tile_places
 from ..operators.matching import suppress
 
-#: A backend gets batches of (image, content, class_ids) and yields (image, ord, class_id, conf, cx, cy, w, h). It loads its model once per call, that is per task.
+#: A backend gets batches of (image, content, class_ids), of raw pixels with (width, height, channels) too, and yields (image, ord, class_id, conf, cx, cy, w, h). It loads its model once per call, that is per task.
 Backend = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 BACKENDS: dict[str, Backend] = {}
 DETECTION = "image long, ord int, class_id int, conf double, cx double, cy double, w double, h double"
@@ -31,6 +31,20 @@ def backend(name: str) -> Callable[[Backend], Backend]:
     return add
 
 
+@backend("bright")
+def bright(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For tests: the box around the pixels above 200, as the first class asked for, as sure as its share of 8 by 8 pixels; nothing in a dark image."""
+    for frame in batches:
+        rows = []
+        for r in frame.itertuples(index=False):
+            cells = np.frombuffer(r.content, np.uint8).reshape(r.height, r.width, r.channels).max(2)
+            ys, xs = np.nonzero(cells > 200)
+            if len(ys):
+                x0, x1, y0, y1 = xs.min(), xs.max() + 1, ys.min(), ys.max() + 1
+                rows.append((r.image, 0, r.class_ids[0], min(len(ys) / 64, 1.0), (x0 + x1) / 2 / r.width, (y0 + y1) / 2 / r.height, (x1 - x0) / r.width, (y1 - y0) / r.height))
+        yield pd.DataFrame(rows, columns=["image", "ord", "class_id", "conf", "cx", "cy", "w", "h"])
+
+
 @backend("corners")
 def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For tests: a quarter of the image for each class asked for, from the top left corner round, as sure as the class id says."""
@@ -60,24 +74,62 @@ def _starts(length: Column, size: int, step: int) -> Column:
 
 def tiles(images: DataFrame, width: Column, height: Column, size: int, overlap: float = 0.0) -> DataFrame:
     """images with x0, y0, x1, y1, a row per tile."""
-    step = max(1, int(size * (1 - overlap)))
+    step = max(1, round(size * (1 - overlap)))
     rows = images.withColumns({"x0": F.explode(_starts(width, size, step)), "_w": width, "_h": height}).withColumn("y0", F.explode(_starts(F.col("_h"), size, step)))
     return rows.withColumns({"x1": F.least(F.col("x0") + size, F.col("_w")), "y1": F.least(F.col("y0") + size, F.col("_h"))}).drop("_w", "_h")
 
 
-def annotate_tiles(images: DataFrame, name: str, width: Column, height: Column, size: int, overlap: float = 0.0, threshold: float = 0.0, same: float = 0.5) -> DataFrame:
-    """Sliced inference: tiles, a backend over each, boxes of the whole image, and of those that overlap by `same` in a class the surest.
+#: Tiles that a backend gets at once.
+TILE_BATCH = 16
 
-    images: image, content, class_ids. Tiles carry their own numbers, so a backend sees them as images.
+
+def annotate_tiles(images: DataFrame, name: str, size: tuple[int, int] = (640, 640), overlap: float = 0.2, threshold: float = 0.0, same: float = 0.5, whole: bool = True) -> DataFrame:
+    """Sliced inference: a backend sees each image's tiles, cut out of its pixels, and the whole image; boxes are those of the whole, and of the ones that overlap by `same` in a class the surest.
+
+    images: image, width, height, channels, pixels, class_ids. Returns image, class_id, conf, box. An image no larger than a tile is seen once, as it is.
+    Tiles are cut inside the task that runs the backend, which gets (image, content, class_ids, width, height, channels) with a number of its own
+    as image; an image's pixels travel once. Images that can't be read have no boxes.
     """
-    cut = tiles(images, width, height, size, overlap).withColumns({"_width": width, "_height": height})
-    place = F.struct("x0", "y0", "x1", "y1")
-    numbered = cut.select("*", F.row_number().over(W.partitionBy("image").orderBy("y0", "x0")).alias("nth"), place.alias("place"))
-    keyed = shared_table(numbered.select(F.xxhash64("image", "nth").alias("tile"), "image", "content", "class_ids", "place", "_width", "_height"))
-    found = annotate(keyed.select(F.col("tile").alias("image"), "content", "class_ids"), name, threshold).withColumnRenamed("image", "tile")
-    own = tile_to_full(box("cx", "cy", "w", "h"), *[F.col(f"place.{c}") for c in ("x0", "y0", "x1", "y1")], F.col("_width"), F.col("_height"))
-    whole = found.join(keyed.select("tile", F.col("image").alias("of"), "place", "_width", "_height"), "tile").select(F.col("of").alias("image"), "class_id", "conf", F.struct("place", "ord").alias("ord"), own.alias("box"))
-    return suppress(whole, ["image", "class_id"], same).select("image", "class_id", "conf", "box")
+    if not 0.0 <= overlap < 1.0:
+        raise ValueError(f"overlap {overlap}")
+    if name not in BACKENDS:
+        raise KeyError(f"{name}: one of {sorted(BACKENDS)}")
+    run_backend, kind = BACKENDS[name], images.schema["image"].dataType.simpleString()
+    columns = ["image", "content", "class_ids", "width", "height", "channels"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: dict[int, tuple] = {}
+
+        def cut() -> Iterator[pd.DataFrame]:
+            rows, n = [], 0
+            for frame in frames:
+                for row in frame.itertuples(index=False):
+                    pixels = read_pixels(row.pixels, row.width, row.height, row.channels)
+                    if pixels is None:
+                        continue
+                    high, wide, channels = pixels.shape
+                    seen = tile_places(wide, high, size, overlap)
+                    if whole and len(seen) > 1:
+                        seen.append((0, 0, wide, high))
+                    for nth, (x0, y0, x1, y1) in enumerate(seen):
+                        places[n] = (row.image, nth, x0, y0, x1, y1, wide, high)
+                        rows.append((n, pixels[y0:y1, x0:x1].tobytes(), row.class_ids, x1 - x0, y1 - y0, channels))
+                        n += 1
+                        if len(rows) == TILE_BATCH:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+        for found in run_backend(cut()):
+            out = [(*places[r.image], r.ord, r.class_id, r.conf, r.cx, r.cy, r.w, r.h) for r in found.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["image", "nth", "x0", "y0", "x1", "y1", "_width", "_height", "ord", "class_id", "conf", "cx", "cy", "w", "h"])
+
+    schema = f"image {kind}, nth int, x0 int, y0 int, x1 int, y1 int, _width int, _height int, " + DETECTION.partition(", ")[2]
+    found = images.select("image", "width", "height", "channels", "pixels", "class_ids").mapInPandas(run, schema).filter(F.col("conf") >= threshold)
+    own = tile_to_full(box("cx", "cy", "w", "h"), *[F.col(c) for c in ("x0", "y0", "x1", "y1", "_width", "_height")])
+    full = found.select("image", "class_id", "conf", F.struct("nth", "ord").alias("ord"), own.alias("box"))
+    return suppress(full, ["image", "class_id"], same).select("image", "class_id", "conf", "box")
 
 
 def refined(found: Column, mask: Column, width: int) -> Column:

@@ -51,10 +51,12 @@ def scan_yolo_raw(spark, sf_dir):
     return labels.lines_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT p_partkey FROM part WHERE (p_partkey % 3 = 0 OR p_partkey % 7 = 0) AND p_partkey % 10 <> 0")
 def scan_json_nodup(spark, sf_dir):
-    key = F.when(F.col("p_partkey") % 3 == 0, "a").otherwise("c")
-    text = F.format_string('{"a": 1, "b": {"a": 2}, "%s": %d}', key, F.col("p_partkey"))
+    """Keys named twice at the top and three levels down; every tenth text is no JSON."""
+    k = F.col("p_partkey")
+    key, inner = F.when(k % 3 == 0, "a").otherwise("c"), F.when(k % 7 == 0, "x").otherwise("y")
+    text = F.format_string('{"a": 1, "b": {"a": [0, {"x": 1, "%s": 2}]}, "%s": %d%s', inner, key, k, F.when(k % 10 == 0, "").otherwise("}"))
     return files.repeated_keys(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).select("p_partkey")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions.headers import image_header
 from ..functions.names import IMAGE_ENDINGS, ending, file_name, stem
 from ..operators.dedup import numbered_rows, small
 
@@ -40,9 +41,9 @@ def scan_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height; null for files that can't be decoded."""
-    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(path)
-    return image.select("image.origin", F.when(F.col("image.width") > 0, F.col("image.width")).alias("width"), F.when(F.col("image.height") > 0, F.col("image.height")).alias("height"))
+    """path, kind, width, height of the image files below a folder, by their headers; nulls for files that are none."""
+    found = scan_images(spark, path, content=True)
+    return found.select("path", image_header(F.col("content")).alias("h")).select("path", "h.*")
 
 
 def read_manifests(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
@@ -52,9 +53,13 @@ def read_manifests(spark: SparkSession, path: str, schema: str, defaults: dict |
 
 
 def repeated_keys(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Rows whose JSON object names a key twice at its top level."""
-    keys = F.json_object_keys(text)
-    return documents.filter(F.size(keys) != F.size(F.array_distinct(keys)))
+    """Rows whose JSON names a key twice in one object, at any depth.
+
+    A variant refuses such objects. What is no JSON at all is refused too, and told apart by the readers that take the last of equal keys. A document
+    must fit a variant (16 MB).
+    """
+    sound = F.coalesce(F.size(F.json_object_keys(text)) >= 0, F.json_array_length(text) >= 0, F.lit(False))
+    return documents.filter(sound & F.try_parse_json(text).isNull())
 
 
 def load_json_strict(text: str) -> dict:

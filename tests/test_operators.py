@@ -208,8 +208,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.load_taxonomy(spark, "nc: 2\nnames: [a, b]").count() == 2
     with pytest.raises(ValueError):
         files.load_json_strict('{"a": {"b": 1, "b": 2}}')
-    broken = spark.createDataFrame([('{"a":1,"a":2}',), ('{"a":1}',)], "text string")
-    assert files.repeated_keys(broken).count() == 1
+    texts = ['{"a":1,"a":2}', '{"a":1}', '{"a":{"b":1,"b":2}}', '[{"a":[{"c":1,"c":1}]}]', '[{"a":1},{"a":1}]', '{"a":1,"a":', "", None, '{"a":{"a":{"a":1}}}']
+    broken = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r["text"] for r in files.repeated_keys(broken).collect()] == [texts[0], texts[2], texts[3]]
     assert sinks.as_markdown(spark.createDataFrame([(1, "x")], "a int, b string"), "T").endswith("| 1 | x |\n")
 
 
@@ -281,13 +282,6 @@ def test_an_evaluation_set_is_locked_once(spark, tmp_path):
         captures.lock_eval_set(files_, "v2", path)
 
 
-def test_tiles_are_annotated_and_put_together(spark):
-    rows = spark.createDataFrame([(7, bytearray(b""), [4])], "image long, content binary, class_ids array<int>")
-    got = annotate.annotate_tiles(rows, "corners", F.lit(200), F.lit(100), 100, same=0.9).collect()
-    assert sorted((r["image"], r["class_id"], r["box"]["cx"], r["box"]["cy"], r["box"]["w"], r["box"]["h"]) for r in got) == [(7, 4, 0.125, 0.25, 0.25, 0.5), (7, 4, 0.625, 0.25, 0.25, 0.5)]
-    assert annotate.annotate_tiles(rows, "corners", F.lit(200), F.lit(100), 100, same=0.0).count() == 1
-
-
 def test_plugins_keep_their_contract(spark):
     bad = plugins.Plugin("bad", "1", lambda f: f)
     with pytest.raises(ValueError, match="bad returns"):
