@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, columns, live, pictures, relations, scans, streams, summaries  # noqa: F401
+from . import checks, columns, live, merges, pictures, quality, relations, scans, streams, summaries  # noqa: F401
 from .base import QUERIES, SQL
 
 FLAGSHIP = "class_counts"
