@@ -91,6 +91,11 @@ def agreement(pairs: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"agreement": F.coalesce(ratio(F.col("matched"), every), F.lit(1.0)), "mean_iou": ratio(F.col("iou_sum"), F.col("matched"))}).drop("iou_sum")
 
 
+def worst_images(by_image: DataFrame, n: int = 5) -> DataFrame:
+    """The n images of lowest agreement, by name among equals."""
+    return by_image.orderBy("agreement", "image").limit(n)
+
+
 def agreement_failures(by_class: DataFrame, least: float, overrides: dict[int, float] | None = None) -> DataFrame:
     """Classes whose agreement is below their gate."""
     gate = F.lit(float(least))

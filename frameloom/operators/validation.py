@@ -20,6 +20,8 @@ VERSIONS, SPLITS = (1, 2), ("train", "val", "test")
 MODES = ("trusted_list", "trusted_list_plus_ledger", "per_slug", "per_session", "verified_absence_all")
 #: By how much a recorded total may differ from the sum of its parts.
 TOLERANCE = 1e-3
+#: Limits of a kind of configuration.
+MOST_LIMITS = 1000
 
 
 def rule(rows: DataFrame, check: str, broken: Column, subject: Column | None = None) -> DataFrame:
@@ -105,17 +107,30 @@ def session_problems(labels: DataFrame, images: DataFrame, n_classes: int, least
     )
 
 
-def setting_problems(settings: DataFrame, limits: DataFrame) -> DataFrame:
-    """Settings (key, value, as text) against limits (key, low, high, pattern; null is no limit): missing, number, range, pattern."""
-    both = limits.join(settings, "key", "left")
-    number = F.col("value").try_cast("double")
-    bounded = F.col("low").isNotNull() | F.col("high").isNotNull()
-    out = F.coalesce(number < F.col("low"), F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False))
-    there = F.col("value").isNotNull()
-    return together(
-        rule(both, "missing", ~there, F.col("key")), rule(both, "number", there & bounded & number.isNull(), F.col("key")), rule(both, "range", there & out, F.col("key")),
-        rule(both, "pattern", there & F.col("pattern").isNotNull() & ~F.coalesce(F.expr("value rlike pattern"), F.lit(True)), F.col("key")),
-    )
+def setting_problems(settings: DataFrame, limits: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """Settings (key, value, as text) against limits (key, low, high, pattern; null is no limit): missing, number, range, pattern.
+
+    configs: (config), if there are many configurations; settings have config too, each is held against all limits, and rows (config, check, subject)
+    come back. Limits are few, those of one kind of configuration.
+    """
+    if configs is None:
+        return setting_problems(settings.withColumn("config", F.lit(0)), limits, settings.sparkSession.range(1).select(F.lit(0).alias("config"))).drop("config")
+    rows = limits.limit(MOST_LIMITS + 1).collect()
+    if len(rows) > MOST_LIMITS:
+        raise ValueError(f"over {MOST_LIMITS} limits")
+    own = settings.groupBy("config").agg(F.map_from_entries(F.collect_set(F.struct("key", "value"))).alias("held"))
+    both, found = configs.select("config").join(own, "config", "left"), []
+    for r in rows:
+        value = F.try_element_at("held", F.lit(r["key"]))
+        number, there = value.try_cast("double"), value.isNotNull()
+        low, high = F.lit(r["low"]).cast("double"), F.lit(r["high"]).cast("double")
+        bounded = r["low"] is not None or r["high"] is not None
+        wrong = F.coalesce(number < low, F.lit(False)) | F.coalesce(number > high, F.lit(False))
+        broken = [("missing", ~there), ("number", there & F.lit(bounded) & number.isNull()), ("range", there & wrong)]
+        if r["pattern"] is not None:
+            broken.append(("pattern", there & ~value.rlike(r["pattern"])))
+        found += [F.when(F.coalesce(b, F.lit(True)), F.struct(F.lit(check).alias("check"), F.lit(r["key"]).alias("subject"))) for check, b in broken]
+    return both.select("config", F.explode(F.array_compact(F.array(*found))).alias("p")).select("config", "p.check", "p.subject")
 
 
 def ledger_consistency(ledger: DataFrame, provenance: DataFrame, lines: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def refined(found: Column, mask: Column, width: int) -> Column:
     return F.when(F.size(on) > 0, box((x0 + x1) / 2 / width, (y0 + y1) / 2 / high, (x1 - x0) / width, (y1 - y0) / high)).otherwise(found)
 
 
-def prompt_fingerprint(prompts: DataFrame) -> DataFrame:
-    """One row, fingerprint: sha256 over a run's prompts (class_name, prompt, threshold) as sorted lines; a configuration, so small."""
+def prompt_fingerprint(prompts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """fingerprint, per run (by) if there are several: sha256 over a run's prompts (class_name, prompt, threshold) as sorted lines; a run's configuration is small."""
     line = F.format_string("%s\t%s\t%.6f", "class_name", "prompt", F.col("threshold").cast("double"))
-    return prompts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    return prompts.groupBy(*by or []).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))

@@ -12,7 +12,7 @@ from ..operators import captures, gates, labels, matching, policies, releases, s
 from ..plans import annotate, plugins, reports
 from ..sources import files, sinks
 from ..streaming import memory
-from .base import BOXES, CLASSES, COARSE, DETECTIONS, FRAMES, IMAGES, TAXONOMY, boxes, detections, frames, grids, images, query, sql_hex, table, taxonomy, written_boxes
+from .base import BOXES, CLASSES, COARSE, DETECTIONS, FRAMES, IMAGES, boxes, detections, frames, grids, images, query, sql_hex, table, taxonomy, written_boxes
 from .columns import _GROUP
 from .relations import _BY_IOU, _HOUSE, _coarse, _hashes, _sides
 from .summaries import _BY_IMAGE, _COVER, _coverage, _coverage_images
@@ -86,11 +86,19 @@ def session_label_validate(spark, sf_dir):
     return validation.session_problems(sinks.label_texts(b).select(F.col("image").cast("string").alias("stem"), "text"), b.filter("image % 5 <> 0").select(F.col("image").cast("string").alias("stem")).distinct(), 20, 0.5)
 
 
-@query("""SELECT * FROM (VALUES ('range', 'train_ratio'), ('missing', 'seed'), ('number', 'workers'), ('pattern', 'version')) t("check", subject)""")
+@query("""WITH c AS (SELECT p_partkey AS config, p_size / 40.0::DOUBLE AS ratio, p_partkey % 5 <> 0 AS seeded, p_partkey % 7 AS w, p_partkey % 3 AS v FROM part)
+SELECT config, 'range' AS "check", 'train_ratio' AS subject FROM c WHERE ratio > 1 UNION ALL SELECT config, 'missing', 'seed' FROM c WHERE NOT seeded UNION ALL SELECT config, 'number', 'workers' FROM c WHERE w = 0
+ UNION ALL SELECT config, 'range', 'workers' FROM c WHERE w = 1 UNION ALL SELECT config, 'pattern', 'version' FROM c WHERE v = 0""")
 def config_validate(spark, sf_dir):
-    settings = spark.createDataFrame([("train_ratio", "1.2"), ("workers", "many"), ("version", "v1"), ("val_ratio", "0.1")], "key string, value string")
-    limits = spark.createDataFrame([("train_ratio", 0.0, 1.0, None), ("seed", 0.0, None, None), ("workers", 1.0, None, None), ("version", None, None, r"^v\d+\.\d+\.\d+$"), ("val_ratio", 0.0, 1.0, None)], "key string, low double, high double, pattern string")
-    return validation.setting_problems(settings, limits)
+    """A part as a configuration of four settings."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    values = F.array(
+        F.struct(F.lit("train_ratio").alias("key"), text(F.col("p_size") / 40.0).alias("value")), F.struct(F.lit("seed").alias("key"), F.when(k % 5 != 0, "42").alias("value")),
+        F.struct(F.lit("workers").alias("key"), F.when(k % 7 == 0, "many").otherwise(text(k % 7 - 1)).alias("value")), F.struct(F.lit("version").alias("key"), F.when(k % 3 == 0, "v1").otherwise(F.concat(F.lit("v1.2."), text(k))).alias("value")),
+    )
+    settings = table(spark, sf_dir, "part").select(k.alias("config"), F.explode(values).alias("s")).select("config", "s.*")
+    limits = spark.createDataFrame([("train_ratio", 0.0, 1.0, None), ("seed", 0.0, None, None), ("workers", 1.0, None, None), ("version", None, None, r"^v\d+\.\d+\.\d+$")], "key string, low double, high double, pattern string")
+    return validation.setting_problems(settings, limits, settings.select("config").distinct())
 
 
 _LEDGER = "l AS (SELECT doc_id AS image, 's' || (doc_id % 3) AS source, quality AS boxes FROM labels), p AS (SELECT doc_id AS image, 's' || (doc_id % 4 % 3) AS source FROM documents WHERE doc_id % 11 <> 0), t AS (SELECT doc_id AS image, 1 + doc_id % 2 AS lines FROM labels WHERE doc_id % 5 <> 0)"
@@ -262,10 +270,12 @@ def plugin_alerts(spark, sf_dir):
     return plugins.analyze(frames(spark, sf_dir), _PLUGINS)
 
 
-@query(f"WITH {TAXONOMY} SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS fingerprint FROM (SELECT printf('%s\t%s\t%.6f', class_name, 'a ' || class_name, (0.25 + class_id / 100.0)::DOUBLE) AS l FROM taxonomy) t")
+@query("""SELECT run, sha256(string_agg(l, chr(10) ORDER BY l)) AS fingerprint FROM (
+ SELECT p_brand AS run, printf('%s\t%s\t%.6f', p_name, 'a ' || p_type, (0.25 + p_size / 100.0)::DOUBLE) AS l FROM part) t GROUP BY 1""")
 def prompt_fingerprint(spark, sf_dir):
-    t = taxonomy(spark)
-    return annotate.prompt_fingerprint(t.select("class_name", F.concat(F.lit("a "), "class_name").alias("prompt"), (0.25 + F.col("class_id") / 100).alias("threshold")))
+    """A brand as a run, its parts as prompts."""
+    t = table(spark, sf_dir, "part").select(F.col("p_brand").alias("run"), F.col("p_name").alias("class_name"), F.concat(F.lit("a "), "p_type").alias("prompt"), (0.25 + F.col("p_size") / 100).alias("threshold"))
+    return annotate.prompt_fingerprint(t, ["run"])
 
 
 _QA = f"""qa AS (SELECT 'malformed' AS c, 'critical' AS s FROM conversations WHERE text LIKE '%  %' UNION ALL SELECT 'class_id', 'critical' FROM boxes WHERE class_id >= 22 UNION ALL SELECT 'bounds', 'warning' FROM boxes WHERE cx + w / 2 > 1 + 1e-6

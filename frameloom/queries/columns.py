@@ -10,7 +10,7 @@ from ..functions import hashes as H
 from ..functions import names as N
 from ..functions import scores as S
 from ..operators import labels as L
-from .base import BOXES, CLASSES, DETECTIONS, EVENT_TYPES, GRIDS, IMAGES, N_CLASSES, PRIORITY, boxes, detections, grids, images, query, sql_distance, sql_hex, sql_iou, table, taxonomy
+from .base import BOXES, CLASSES, DETECTIONS, EVENT_TYPES, GRIDS, IMAGES, N_CLASSES, PRIORITY, boxes, detections, grids, images, query, sql_distance, sql_hex, sql_iou, table
 
 ID = ["image", "ord"]
 
@@ -102,11 +102,13 @@ def content_digest(spark, sf_dir):
     return rows.groupBy("source").agg(H.content_digest(F.col("doc_id").cast("string"), F.col("sha")).alias("digest"), F.count("*").alias("files"))
 
 
-@query(
-    "WITH t AS (SELECT '{\"nc\":23,\"names\":[" + ",".join(f'[{i},"{n}"]' for i, n in enumerate(CLASSES)) + "]}' AS j) SELECT 'sha256:' || sha256(j) AS fingerprint FROM t"
-)
+@query("""SELECT p_brand AS export, 'sha256:' || sha256('{"nc":' || count(*) || ',"names":[' || string_agg('[' || i || ',"' || p_type || '"]', ',' ORDER BY i) || ']}') AS fingerprint
+ FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part) t GROUP BY 1""")
 def taxonomy_fp(spark, sf_dir):
-    return taxonomy(spark).agg(H.taxonomy_fingerprint(F.col("class_id"), F.col("class_name")).alias("fingerprint"))
+    """A brand as an export with a taxonomy of its own."""
+    nth = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    t = table(spark, sf_dir, "part").select(F.col("p_brand").alias("export"), nth.cast("int").alias("class_id"), F.col("p_type").alias("class_name"))
+    return t.groupBy("export").agg(H.taxonomy_fingerprint(F.col("class_id"), F.col("class_name")).alias("fingerprint"))
 
 
 @query(f"WITH {BOXES}, i AS (SELECT image, list_sort(list(DISTINCT class_id)) AS ids FROM boxes GROUP BY image) SELECT image, substr(sha256('[' || array_to_string(ids, ',') || ']'), 1, 8) AS digest, array_to_string(list_transform(range(23), lambda c: CASE WHEN list_contains(ids, c) THEN 1 ELSE 0 END), '') AS mask FROM i")

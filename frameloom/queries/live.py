@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import shared_folder
 from ..sources.commits import CommittedTable
-from ..streaming import live, memory, queues, reload, ticks
+from ..streaming import live, queues, reload, ticks
 from ..streaming.rules import Rule, rules_text
 from ..streaming.runs import arrive, arriving, run_available, use_state_store
 from .base import DAY, DETECTIONS, EVENT_TYPES, FRAMES, RULES, detections, frames, query
-from .streams import _FIRED, _HITS, _fired, _since
+from .streams import _FIRED, _HITS, _fired
 
 #: Slices in which rows arrive, and how many are there before the first run.
 SLICES, BEFORE = 4, 2

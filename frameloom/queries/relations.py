@@ -64,9 +64,13 @@ def remap_dropped(spark, sf_dir):
     return merging.dropped_counts(merging.remap(p, _remap_table(spark), ["name"]))
 
 
-@query(f"WITH {_REMAP} SELECT name, target FROM u")
+@query("""WITH b AS (SELECT p_type || '-' || p_size AS name, min(p_partkey) % 23 AS target FROM part WHERE p_partkey % 3 > 0 GROUP BY 1), a AS (SELECT p_type || '-' || p_size AS name, max(p_partkey) % 7 AS target FROM part WHERE p_partkey % 4 = 0 GROUP BY 1)
+SELECT name, coalesce(a.target, b.target) AS target FROM b FULL JOIN a USING (name)""")
 def remap_table_alias(spark, sf_dir):
-    return _remap_table(spark)
+    """Kinds of part and their targets, some of them given anew, some only there."""
+    p = table(spark, sf_dir, "part").withColumn("name", F.concat_ws("-", "p_type", "p_size"))
+    base = p.filter("p_partkey % 3 > 0").groupBy("name").agg((F.min("p_partkey") % 23).alias("target"))
+    return merging.with_aliases(base, p.filter("p_partkey % 4 = 0").groupBy("name").agg((F.max("p_partkey") % 7).alias("target")))
 
 
 def _hashes(spark, sf_dir):
@@ -286,6 +290,14 @@ def agreement(spark, sf_dir):
     return by.withColumns({c: F.round(c, 6) for c in ("agreement", "mean_iou")})
 
 
+@query(f"{_BY_IOU} SELECT image, round(sum(matched) / (sum(matched) + sum(only_a) + sum(only_b)), 6) AS agreement FROM m GROUP BY 1 ORDER BY 2, 1 LIMIT 5")
+def worst_images(spark, sf_dir):
+    """The five images on which annotators agree least: a report's limit."""
+    a, b = map(_coarse, _sides(spark, sf_dir))
+    by = matching.agreement(matching.match_by_overlap(a, b, ["image", "class_id"], 0.2), ["image"])
+    return matching.worst_images(by, 5).select("image", F.round("agreement", 6).alias("agreement"))
+
+
 _F1 = "CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END"
 
 

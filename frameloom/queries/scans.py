@@ -10,7 +10,7 @@ from ..operators import labels, merging
 from ..operators.dedup import shared_table
 from ..sources import files, sinks
 from ..streaming import live
-from .base import BOXES, FRAMES, IMAGES, TAXONOMY, boxes, frames, images, query, table
+from .base import BOXES, FRAMES, IMAGES, boxes, frames, images, query, table
 
 _COCO = "c AS (SELECT l_orderkey, l_partkey % 5 AS k, l_quantity * 10 AS x, l_discount * 4000 AS y, l_extendedprice / 200 AS w, l_tax * 2000 AS h FROM lineitem WHERE l_linenumber <> 7), e AS (SELECT *, least(greatest(x, 0), 640) AS x1, least(greatest(y, 0), 480) AS y1, least(greatest(x + w, 0), 640) AS x2, least(greatest(y + h, 0), 480) AS y2 FROM c)"
 
@@ -60,16 +60,28 @@ def scan_json_nodup(spark, sf_dir):
     return files.repeated_keys(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).select("p_partkey")
 
 
-@query(f"WITH {TAXONOMY} SELECT * FROM taxonomy")
+@query("""WITH n AS (SELECT n_regionkey AS path, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation), p AS (SELECT 100 + p_partkey AS path, p_partkey % 4 AS k, p_size FROM part)
+SELECT path, i AS class_id, n_name AS class_name, NULL AS problem FROM n UNION ALL SELECT path, 0, 'size ' || p_size, NULL FROM p WHERE k = 0 UNION ALL SELECT path, 3, 'it''s', NULL FROM p WHERE k = 0
+ UNION ALL SELECT path, NULL, NULL, 'nc is 2, names are 1' FROM p WHERE k = 1 UNION ALL SELECT path, NULL, NULL, 'nc and names are needed' FROM p WHERE k IN (2, 3)""")
 def scan_data_config(spark, sf_dir):
-    from .base import CLASSES
-
-    return files.load_taxonomy(spark, f"nc: {len(CLASSES)}\nnames: [{', '.join(CLASSES)}]")
+    """A region as a data.yaml that lists its nations, and a part as one that is a mapping, or wrong."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("- "), x["n_name"])), "\n")
+    regions = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("path")).agg(F.concat(F.lit("nc: "), F.count("*").cast("string"), F.lit("\nnames:\n"), listed).alias("text"))
+    k = F.col("p_partkey")
+    texts = [F.concat(F.lit("nc: 2\nnames: {3: \"it's\", 0: size "), F.col("p_size").cast("string"), F.lit("}\n")), F.lit("nc: 2\nnames: [a]\n"), F.lit("names: [a]\n"), F.lit("")]
+    parts = table(spark, sf_dir, "part").select((k + 100).alias("path"), F.element_at(F.array(*texts), (k % 4 + 1).cast("int")).alias("text"))
+    return files.taxonomies(regions.select(F.col("path").cast("long").alias("path"), "text").unionByName(parts))
 
 
-@query("SELECT * FROM (VALUES ('CONSENT-h01-2026-001', 'h01', '2026-01-02', 'all', false), ('CONSENT-h02-2026-001', 'h02', '', '', true)) t(consent_id, house_id, granted_on, scope, withdrawn)")
+@query("""SELECT c_nationkey AS path, 'CONSENT-h' || c_custkey || '-2026-001' AS consent_id, 'h' || c_custkey AS house_id, CASE WHEN c_custkey % 3 = 0 THEN '2026-01-02' ELSE '' END AS granted_on, CASE WHEN c_custkey % 3 = 0 THEN 'all' ELSE '' END AS scope,
+ c_custkey % 5 = 0 AS withdrawn, NULL AS problem FROM customer WHERE c_nationkey <> 7 UNION ALL SELECT DISTINCT 7, NULL, NULL, NULL, NULL, NULL, 'CONSENT-h0-2026-001: no house_id' FROM customer WHERE c_nationkey = 7""")
 def scan_consent(spark, sf_dir):
-    return files.load_consents(spark, "consents:\n  CONSENT-h02-2026-001: {house_id: h02, withdrawn: true}\n  CONSENT-h01-2026-001: {house_id: h01, granted_on: '2026-01-02', scope: all}\n")
+    """A nation as a registry of its customers' consents; one has an entry without a house."""
+    k = F.col("c_custkey").cast("string")
+    more = F.concat(F.when(F.col("c_custkey") % 3 == 0, ", granted_on: '2026-01-02', scope: all").otherwise(""), F.when(F.col("c_custkey") % 5 == 0, ", withdrawn: true").otherwise(""))
+    entry = F.concat(F.lit("  CONSENT-h"), k, F.lit("-2026-001: {house_id: h"), k, more, F.lit("}"))
+    whole = F.concat(F.lit("consents:\n"), F.when(F.col("path") == 7, "  CONSENT-h0-2026-001: {scope: all}\n").otherwise(""), F.array_join(F.collect_list(entry), "\n"))
+    return files.consents(table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("path")).agg(whole.alias("text")))
 
 
 def _archives(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -74,30 +74,71 @@ def load_json_strict(text: str) -> dict:
     return json.loads(text, object_pairs_hook=unique)
 
 
-def load_taxonomy(spark: SparkSession, text: str) -> DataFrame:
-    """(class_id, class_name) of a data.yaml, whose names are a list or a mapping; nc and names must be there and agree."""
+def _parsed(files: DataFrame, rows_of: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """Rows of files (path, text) that a parser of one small file makes; a file that it refuses is a row with its problem, and nulls."""
+    kind = files.schema["path"].dataType.simpleString()
+    names = [f.strip().partition(" ")[0] for f in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, text in zip(frame["path"], frame["text"], strict=True):
+                try:
+                    out += [(path, *r, None) for r in rows_of(text or "")]
+                except ValueError as e:
+                    out.append((path, *[None] * len(names), str(e)))
+            yield pd.DataFrame(out, columns=["path", *names, "problem"]).astype(object)
+
+    return files.select("path", "text").mapInPandas(run, f"path {kind}, {schema}, problem string")
+
+
+def _yaml(text: str) -> dict:
     import yaml
 
-    spec = yaml.safe_load(text) or {}
-    if "nc" not in spec or "names" not in spec:
+    try:
+        return yaml.safe_load(text) or {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"no YAML: {e}".splitlines()[0]) from e
+
+
+def _taxonomy_rows(text: str) -> list[tuple]:
+    spec = _yaml(text)
+    if not isinstance(spec, dict) or "nc" not in spec or "names" not in spec:
         raise ValueError("nc and names are needed")
-    names = spec["names"]
+    names = spec["names"] or []
     rows = sorted((int(k), str(v)) for k, v in (names.items() if isinstance(names, dict) else enumerate(names)))
     if len(rows) != spec["nc"]:
         raise ValueError(f"nc is {spec['nc']}, names are {len(rows)}")
-    return spark.createDataFrame(rows, "class_id int, class_name string")
+    return rows
 
 
-def load_consents(spark: SparkSession, text: str) -> DataFrame:
-    """(consent_id, house_id, granted_on, scope, withdrawn) of a registry in YAML; each entry needs a house."""
-    import yaml
-
+def _consent_rows(text: str) -> list[tuple]:
     rows = []
-    for key, entry in sorted(((yaml.safe_load(text) or {}).get("consents") or {}).items()):
+    for key, entry in sorted((_yaml(text).get("consents") or {}).items()):
         if not (entry or {}).get("house_id"):
             raise ValueError(f"{key}: no house_id")
         rows.append((key, entry["house_id"], str(entry.get("granted_on", "")), entry.get("scope", ""), bool(entry.get("withdrawn", False))))
-    return spark.createDataFrame(rows, "consent_id string, house_id string, granted_on string, scope string, withdrawn boolean")
+    return rows
+
+
+def taxonomies(files: DataFrame) -> DataFrame:
+    """path, class_id, class_name, problem of data.yaml files (path, text), whose names are a list or a mapping; nc and names must be there and agree."""
+    return _parsed(files, _taxonomy_rows, "class_id int, class_name string")
+
+
+def consents(files: DataFrame) -> DataFrame:
+    """path, consent_id, house_id, granted_on, scope, withdrawn, problem of registries in YAML (path, text); each entry needs a house."""
+    return _parsed(files, _consent_rows, "consent_id string, house_id string, granted_on string, scope string, withdrawn boolean")
+
+
+def load_taxonomy(spark: SparkSession, text: str) -> DataFrame:
+    """(class_id, class_name) of one data.yaml; what is wrong with it is an error."""
+    return spark.createDataFrame(_taxonomy_rows(text), "class_id int, class_name string")
+
+
+def load_consents(spark: SparkSession, text: str) -> DataFrame:
+    """The entries of one registry; what is wrong with it is an error."""
+    return spark.createDataFrame(_consent_rows(text), "consent_id string, house_id string, granted_on string, scope string, withdrawn boolean")
 
 
 def coco_boxes(coco: DataFrame, wanted: list[str]) -> DataFrame:

@@ -206,6 +206,11 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["stem"] for r in files.export_labels(entries).collect()] == ["i"]
     assert files.scan_images(spark, str(tmp_path / "none")).count() == 0
     assert files.load_taxonomy(spark, "nc: 2\nnames: [a, b]").count() == 2
+    several = spark.createDataFrame([(1, "nc: 1\nnames: {4: x}"), (2, "nc: [\n"), (3, None), (4, "nc: 3\nnames: [a]")], "path long, text string")
+    assert sorted(map(tuple, files.taxonomies(several).collect()))[0] == (1, 4, "x", None)
+    assert [(r["path"], r["problem"][:8]) for r in files.taxonomies(several).orderBy("path").collect() if r["problem"]] == [(2, "no YAML:"), (3, "nc and n"), (4, "nc is 3,")]
+    kept = files.consents(spark.createDataFrame([("a", "consents: {C: {house_id: h, withdrawn: true}}"), ("b", "consents: {C: {}}"), ("c", "")], "path string, text string")).orderBy("path").collect()
+    assert [tuple(r) for r in kept] == [("a", "C", "h", "", "", True, None), ("b", None, None, None, None, None, "C: no house_id")]
     with pytest.raises(ValueError):
         files.load_json_strict('{"a": {"b": 1, "b": 2}}')
     texts = ['{"a":1,"a":2}', '{"a":1}', '{"a":{"b":1,"b":2}}', '[{"a":[{"c":1,"c":1}]}]', '[{"a":1},{"a":1}]', '{"a":1,"a":', "", None, '{"a":{"a":{"a":1}}}']
