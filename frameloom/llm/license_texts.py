@@ -12,12 +12,14 @@ _ENDORSE = "Neither the name of the copyright holder nor the names of its contri
 
 
 def _gnu(name: str, version: str, title: str, dated: str) -> tuple[str, ...]:
-    """A GNU licence's title, with its date and without, and its headers."""
+    """A GNU licence's title, with its date and without, its headers, and statements by its initials."""
+    short = "".join(w[0] for w in name.replace("GNU", "").split())
     header = lambda what: f"This {what} {_FREE} {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
     return (
         f"{title} Version {version}, {dated}", f"{name}, version {version}", header("program"), header("library"),
         f"This work is licensed under the {name}, version {version}.",
         f"You should have received a copy of the {name} along with this program. Licensed under the {name}, version {version} or later.",
+        f"Licensed under the {short}v{version} or later.", f"Licensed under {short}v{version}", f"Licensed under the {short}, version {version}", f"License: {short}-{version}", f"License: {short}v{version}",
     )
 
 
@@ -65,12 +67,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         *_spdx("ISC"),
     ),
-    "LGPL-2.0": ("GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991", f"This library {_FREE} Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "LGPL-2.0": ("GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991", f"This library {_FREE} Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", *_spdx("LGPL-2.0-only", "LGPL-2.0-or-later")),
     "LGPL-2.1": (*_gnu("GNU Lesser General Public License", "2.1", "GNU LESSER GENERAL PUBLIC LICENSE", "February 1999"), *_spdx("LGPL-2.1-only", "LGPL-2.1-or-later")),
     "LGPL-3.0": (*_gnu("GNU Lesser General Public License", "3", "GNU LESSER GENERAL PUBLIC LICENSE", "29 June 2007"), *_spdx("LGPL-3.0-only", "LGPL-3.0-or-later")),
     RESERVED_NAME: (RESERVED_LINE,),
     "MIT": (
-        "Released under the MIT License.", "The MIT License (MIT)", "MIT License",
+        "Released under the MIT License.", "The MIT License (MIT)", "MIT License", "Licensed under the MIT license.", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", *_spdx("MIT"),
@@ -85,3 +87,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "The Unlicense", *_spdx("Unlicense")),
 }
+
+#: Words that name a licence: a unit must have those of a template.
+NAMES = frozenset(
+    "affero agpl agplv apache artistic attribution bsd commons creative documentation eclipse endorse gnu gpl gplv isc lesser lgpl lgplv library mit mozilla noncommercial sharealike unlicense cc nc sa".split()
+)
+#: Words that make another licence of a name: a unit that has one is none of a template without it.
+MODIFIERS = frozenset("affero lesser nc nd noderivatives noderivs noncommercial sa sharealike".split())
+#: SPDX identifiers in small letters, and our names of their licences: those of the templates, and those with a plus.
+SPDX_IDS = {i.lower(): name for name, ts in TEMPLATES.items() for i in [name, f"{name}+", *(t.rpartition(": ")[2] for t in ts if t.startswith("SPDX-"))] if name != RESERVED_NAME}

@@ -27,8 +27,10 @@ def scan(spark, files):
 def brute(text):
     """(licence, score) by plain cosines of every unit and template."""
     cued = lambda parts: [p for p in parts if re.search(licenses.CUE, p)]
+    if tags := re.findall(licenses.TAG, text):
+        return (licenses.SPDX_IDS[tags[0].strip().lower()], 1.0)
     units = cued(text.split("\n")) + [b for b in cued(re.split(licenses.BLANK, text)) if "\n" in b] + [licenses.RESERVED_LINE] * bool(re.search(licenses.RESERVED, text))
-    flat = [(name, Counter(licenses.words_of(t))) for name, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
+    flat = licenses.compared()
     n = Counter(w for _, words in flat for w in words)
     idf = lambda w: math.log((1 + len(flat)) / (1 + n[w])) + 1
     vector = lambda words: {w: (1 + math.log(k)) * idf(w) * (3 if w[0].isdigit() else 1) for w, k in words.items()}
@@ -38,8 +40,10 @@ def brute(text):
         u = vector(Counter(licenses.words_of(unit)))
         for name, words in flat:
             t = vector(words)
-            if all(w in u for w in t if w[0].isdigit()) and u:
+            if all(w in u for w in t if licenses.binding(w)) and u and not (set(u) - set(t)) & licenses.MODIFIERS:
                 score = round(sum(u.get(w, 0) * x for w, x in t.items()) / size(u) / size(t), 6)
+                if set(t) <= set(u) and re.search(licenses.STATEMENT, unit) and len(licenses.words_of(unit)) <= licenses.MOST_WORDS:
+                    score = max(score, licenses.THRESHOLD)
                 if score >= licenses.THRESHOLD:
                     best[name] = max(best[name], score)
                     met.setdefault(name, set()).add(at)
@@ -109,3 +113,35 @@ def test_every_licence_line_of_the_documents_has_a_result(spark):
     got = {r["doc_id"]: r["license"] for r in found}
     assert len(reserved) > 50 and reserved <= set(got)
     assert all(got.get(i) in names for i, names in want.items() if names) and set(got) == {i for i, names in want.items() if names} | reserved
+
+
+HEADERS = {
+    "Licensed under the Apache License, Version 1.1": None, "SPDX-License-Identifier: LGPL-2.0-only": "LGPL-2.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0": None, "CC-BY-NC-SA-4.0 license": None,
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": None, "WTFPL license version 2": None, "SPDX-License-Identifier: BSD-3-Clause-Clear": None,
+    "// SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0", "All rights reserved.\nUse of this source code is governed by an MIT-style license": "MIT",
+    "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": "GPL-2.0 WITH Linux-syscall-note", "Licensed under the MIT license. See LICENSE file in the project root for full license information.": "MIT",
+    "Licensed under GPLv3 or later": "GPL-3.0", "Licensed under GPLv4 or later": None, "License: GPLv2": "GPL-2.0", "# License: LGPL-2.1": "LGPL-2.1", "Licensed under the AGPL, version 3": "AGPL-3.0",
+    "SPDX-License-Identifier: (MIT AND ISC) OR 0BSD": None, "SPDX-License-Identifier: (MIT AND ISC) OR GPL-2.0+": "(MIT AND ISC) OR GPL-2.0", "SPDX-License-Identifier: MIT OR": None, "SPDX-License-Identifier:": None,
+    "SPDX-License-Identifier: mit": "MIT", "<!-- SPDX-License-Identifier: Apache-2.0 -->": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later OR (MIT": None, "SPDX-License-Identifier: NOASSERTION": None,
+    "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    "SPDX-License-Identifier: BSD-4-Clause": None, "SPDX-License-Identifier: CC0-1.0": "CC0-1.0", "SPDX-License-Identifier: CC-BY-4.0": "CC-BY-4.0", "SPDX-License-Identifier: CC-BY-3.0": None, "SPDX-License-Identifier: EPL-2.0": "EPL-2.0",
+    "SPDX-License-Identifier: EPL-1.0": None, "SPDX-License-Identifier: EUPL-1.2": None, "SPDX-License-Identifier: GPL-1.0-only": "GPL-1.0", "SPDX-License-Identifier: GPL-3.0": "GPL-3.0", "SPDX-License-Identifier: GPL-3.0+": "GPL-3.0",
+    "SPDX-License-Identifier: ISC": "ISC", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "SPDX-License-Identifier: LGPL-3.0-only": "LGPL-3.0", "SPDX-License-Identifier: MPL-1.0": None, "SPDX-License-Identifier: MPL-1.1": "MPL-1.1",
+    "SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "SPDX-License-Identifier: MPL-2.0-no-copyleft-exception": None, "SPDX-License-Identifier: MS-PL": None, "SPDX-License-Identifier: PostgreSQL": None, "SPDX-License-Identifier: Unlicense": "Unlicense",
+    "SPDX-License-Identifier: WTFPL": None, "SPDX-License-Identifier: X11": None, "SPDX-License-Identifier: Zlib": None, "SPDX-License-Identifier: Apache-1.1": None, "SPDX-License-Identifier: GPL-2.0 AND MIT WITH": None,
+    "This license is not compatible with the GNU General Public License": None, "See the license terms of the vendor": None, "This library is distributed under the Boost Software License 1.0": None,
+    "Licensed under the Apache License, Version 2.0 or the MIT license": "Apache-2.0", "Copyright 2024 Acme": None, "Licensed under the Academic Free License version 3.0": None, "Licensed under the Creative Commons BY-SA 4.0 license": "CC-BY-SA-4.0",
+}
+
+
+def test_headers_and_identifiers_have_their_own_licence_or_none(spark):
+    got = scan(spark, [(f"{i}/f.txt", f"words\n{t}\nwords") for i, t in enumerate(HEADERS)])
+    wrong = {t: got[f"{i}/f.txt"]["license"] for i, (t, want) in enumerate(HEADERS.items()) if got[f"{i}/f.txt"]["license"] != want}
+    assert wrong == {}
+
+
+def test_unknown_identifiers_do_not_inherit(spark):
+    mit = licenses.TEMPLATES["MIT"][3]
+    files = [("a/LICENSE", mit), ("a/x.c", "// SPDX-License-Identifier: WTFPL\nint x;"), ("a/y.c", "int y;"), ("a/z.c", "// SPDX-License-Identifier: WTFPL\n// SPDX-License-Identifier: ISC\n"), ("b/COPYING", "SPDX-License-Identifier: EUPL-1.2"), ("b/x.c", "x")]
+    got = {p: (r["license"], r["origin"]) for p, r in scan(spark, files).items()}
+    assert got == {"a/LICENSE": ("MIT", "own"), "a/x.c": (None, "unknown"), "a/y.c": ("MIT", "inherited"), "a/z.c": ("ISC", "own"), "b/COPYING": (None, "unknown"), "b/x.c": (None, None)}
