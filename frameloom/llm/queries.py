@@ -86,6 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 SQL: dict[str, str] = {
-    "op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op1_mix_sources": mixing.OP1_SQL, "op2_topk_search": topk.OP2_SQL, "op4_suffix_dedup": substrings.OP4_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op12_phrase_collocations": phrases.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL,
 }

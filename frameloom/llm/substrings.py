@@ -498,3 +498,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return texts.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The contract in DuckDB: every 50-byte string of every text, as hex digits.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT s.doc_id, i FROM s JOIN f ON f.x = s.x AND first < s.doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM c)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT d.doc_id, h, n_removed, n_spans, cuts FROM d LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list({'a': a, 'b': b} ORDER BY a) AS cuts FROM r GROUP BY 1) USING (doc_id))
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN cuts IS NULL THEN h ELSE array_to_string(list_transform(range(len(cuts) + 1), lambda k: substr(h, 2 * CASE WHEN k = 0 THEN 0 ELSE cuts[k].b END + 1, 2 * (CASE WHEN k = len(cuts) THEN len(h) // 2 ELSE cuts[k + 1].a END - CASE WHEN k = 0 THEN 0 ELSE cuts[k].b END))), '') END)) AS kept_sha256 FROM k
+"""
