@@ -432,6 +432,33 @@ def near_classes(rows):
     return reach
 
 
+def test_the_encoding_stage_on_awkward_rows(spark, awkward):
+    """A result per row, repeated rows and null ids too, equal to the library's; none of an empty table."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    got = Counter((str(r["doc_id"]), tuple(r["ids"])) for r in corpus_pipeline.encoding_stage(spark, awkward, SF).collect())
+    assert got == Counter((str(r["doc_id"]), tuple(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in awkward.collect())
+    assert corpus_pipeline.encoding_stage(spark, awkward.limit(0), SF).collect() == []
+
+
+def test_topk_on_awkward_rows(spark):
+    """Clashing columns, repeated ids and rows, components beyond 64 bits, unlike lengths, null and broken vectors, an empty table."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, -1.0]), (1, [1.0, 2.0]), (2, [2.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (None, [9.0, 9.0]), (6, [1.0, 2.0, 3.0]), (7, []), (50, [0.0, 0.5]), (51, [0.5, float("inf")])]
+    columns = "vec_id long, embedding array<double>, score string, rank string, q int, cid int, n int"
+    d = spark.createDataFrame([(*r, "x", "y", 1, 2, 3) for r in rows], columns)
+    got = sorted(tuple(r) for r in topk.top_scores(d, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    whole, want = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)], []
+    for at, (i, a) in enumerate(whole):
+        if i % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j, k) for k, (j, b) in enumerate(whole) if k != at and len(a) == len(b))
+            want += [(i, n, j, -s) for n, (s, j, _) in enumerate(scored[:5], 1)]
+    assert got == sorted(want)
+    assert topk.top_scores(d.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+    far = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_scores(far, F.col("vec_id") == 3).orderBy("rank").collect()][0] == 2
+
+
 @pytest.mark.parametrize("stage", STAGE_FUNCTIONS)
 def test_stages_on_an_empty_table(awkward, stage):
     assert STAGE_FUNCTIONS[stage](awkward.limit(0)).collect() == []
