@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import labels, merging
-from ..operators.dedup import shared_table
+from ..operators.dedup import numbered_rows, shared_table
 from ..sources import files, sinks
 from ..streaming import live
 from .base import BOXES, FRAMES, IMAGES, boxes, frames, images, query, table
@@ -85,35 +85,35 @@ def scan_consent(spark, sf_dir):
 
 
 def _archives(spark, sf_dir):
-    """Zip files of a tenth of the conversations each: names, labels and images."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("package"), F.concat_ws("_", F.lit("t"), "conv_id", "turn").alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
+    """Zip files of twenty conversations each: names, labels and images."""
+    c = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 20").alias("package"), F.concat_ws("_", F.lit("t"), "conv_id", "turn").alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
     label = c.select("package", F.concat(F.lit("d/labels/"), "stem", F.lit(".txt")).alias("name"), "text")
     image = c.select("package", F.concat(F.lit("d/images/"), "stem", F.lit(".jpg")).alias("name"), F.lit("x").alias("text"))
-    lists = spark.range(10).select(F.col("id").alias("package"), F.explode(F.array(F.struct(F.lit("obj.names").alias("name"), F.lit("cat\ndog\n").alias("text")), F.struct(F.lit("classes.txt").alias("name"), F.lit("other").alias("text")))).alias("f")).select("package", "f.*")
+    lists = c.select("package").distinct().select("package", F.explode(F.array(F.struct(F.lit("obj.names").alias("name"), F.lit("cat\ndog\n").alias("text")), F.struct(F.lit("classes.txt").alias("name"), F.lit("other").alias("text")))).alias("f")).select("package", "f.*")
     return files.archive_entries(sinks.packages(label.union(image).union(lists), "package", F.col("name")).select(F.col("package").alias("path"), "content"))
 
 
-@query("SELECT DISTINCT (conv_id % 10)::VARCHAR AS archive, 't_' || conv_id || '_' || turn AS stem, md5(coalesce(text, '')) AS md5 FROM conversations")
+@query("SELECT DISTINCT (conv_id // 20)::VARCHAR AS archive, 't_' || conv_id || '_' || turn AS stem, md5(coalesce(text, '')) AS md5 FROM conversations")
 def scan_yolo_export(spark, sf_dir):
     return files.export_labels(_archives(spark, sf_dir)).select("archive", "stem", F.md5("text").alias("md5"))
 
 
-@query("SELECT a::VARCHAR AS archive, class_id, class_name FROM range(10) r(a), (VALUES (0, 'cat'), (1, 'dog')) t(class_id, class_name)")
+@query("SELECT a::VARCHAR AS archive, class_id, class_name FROM (SELECT DISTINCT conv_id // 20 AS a FROM conversations) r, (VALUES (0, 'cat'), (1, 'dog')) t(class_id, class_name)")
 def export_names(spark, sf_dir):
     return files.export_names(_archives(spark, sf_dir))
 
 
-@query("SELECT DISTINCT (conv_id % 10)::VARCHAR AS archive, 'd/images/t_' || conv_id || '_' || turn || '.jpg' AS image, 'd/labels/t_' || conv_id || '_' || turn || '.txt' AS label FROM conversations")
+@query("SELECT DISTINCT (conv_id // 20)::VARCHAR AS archive, 'd/images/t_' || conv_id || '_' || turn || '.jpg' AS image, 'd/labels/t_' || conv_id || '_' || turn || '.txt' AS label FROM conversations")
 def archive_pairs(spark, sf_dir):
     return files.archive_pairs(_archives(spark, sf_dir))
 
 
 @query("SELECT count(*) AS entries, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM conversations")
 def scan_nested_zip(spark, sf_dir):
-    """A zip of zips: what is in the inner ones."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("package"), F.concat_ws("_", "conv_id", "turn").alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
+    """Zips of five zips of twenty conversations: what is in the inner ones."""
+    c = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 20").alias("package"), F.concat_ws("_", "conv_id", "turn").alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
     inner = sinks.packages(c, "package", F.concat("stem", F.lit(".txt")))
-    outer = inner.select((F.col("package").cast("int") % 2).alias("outer"), F.concat("package", F.lit(".zip")).alias("name"), F.col("content").alias("text"))
+    outer = inner.select(F.expr("int(package) div 5").alias("outer"), F.concat("package", F.lit(".zip")).alias("name"), F.col("content").alias("text"))
     e = files.archive_entries(sinks.packages(outer, "outer", F.col("name")).select(F.col("package").alias("path"), "content"))
     return e.filter(F.contains("entry", F.lit("!/"))).agg(F.count("*").alias("entries"), F.sum(F.length("content")).alias("bytes"))
 
@@ -173,8 +173,6 @@ def sink_overlay_copy(spark, sf_dir):
 
 @query(f"WITH {IMAGES} SELECT name, row_number() OVER (ORDER BY source NULLS FIRST, name) - 1 AS place FROM images")
 def merge_order(spark, sf_dir):
-    """Numbers with gaps rise in the order asked for; their ranks are compared."""
-    from pyspark.sql import Window as W
-
+    """Numbers with gaps rise in the order asked for; their ranks, put together from sorted ranges, are compared."""
     numbered = shared_table(merging.merge_order(images(spark, sf_dir).select("source", "name"), ["source", "name"]))
-    return numbered.select("name", (F.row_number().over(W.orderBy("ord")) - 1).cast("long").alias("place"))
+    return numbered_rows(numbered, "ord").select("name", (F.col("n") - 1).cast("long").alias("place"))
