@@ -1,12 +1,13 @@
-"""Queries of the named quality checks over a data set with faults of every kind, made from the line items."""
+"""Queries of the named quality checks, of the gates before training and builds, and of packages for review."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import qa
-from .base import query, table
+from ..plans import preflight, qa
+from ..sources import files, sinks
+from .base import BOXES, CLASSES, boxes, query, table
 
 #: An order is an image and its label file; a line item is a line, faulty by its part's key.
 _FILES = """li AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey % 23 AS p, l_suppkey % 3 AS s FROM lineitem),
@@ -49,3 +50,63 @@ def annotation_issues(spark, sf_dir):
  CASE WHEN count(i."check") = 0 THEN 'PASS' ELSE s END AS status FROM c LEFT JOIN issues i ON i."check" = k GROUP BY 1, 2""")
 def annotation_qa(spark, sf_dir):
     return qa.qa_status(_issues(spark, sf_dir))
+
+
+#: A customer as a training run and a machine.
+_FACTS = """fa AS (SELECT c_custkey AS run, c_custkey % 7 <> 0 AS loaded, c_custkey % 2 AS c2, c_custkey % 3 AS c3, c_custkey % 4 AS c4, c_custkey % 5 AS c5, c_custkey % 6 AS c6, c_custkey % 11 AS c11, c_acctbal::DOUBLE AS bal FROM customer)"""
+_TRAINING = f"""{_FACTS}, tg AS (SELECT run, unnest([{{'g': 'G1', 'v': CASE WHEN loaded THEN 'PASS' ELSE 'FAIL' END}}, {{'g': 'G2', 'v': CASE WHEN NOT loaded THEN 'SKIPPED' WHEN c3 = 0 THEN 'FAIL' ELSE 'PASS' END}},
+ {{'g': 'G3', 'v': CASE WHEN NOT loaded THEN 'SKIPPED' WHEN c11 = 0 OR c5 = 1 THEN 'FAIL' WHEN c4 = 2 THEN 'WARN' ELSE 'PASS' END}}, {{'g': 'G4', 'v': CASE WHEN NOT loaded THEN 'SKIPPED' WHEN c6 = 3 THEN 'FAIL' WHEN c5 = 2 THEN 'WARN' ELSE 'PASS' END}},
+ {{'g': 'G5', 'v': CASE WHEN c6 IN (0, 1, 2) AND c11 <> 4 THEN 'PASS' ELSE 'FAIL' END}}, {{'g': 'G6', 'v': CASE WHEN c4 = 3 THEN 'FAIL' ELSE 'PASS' END}}, {{'g': 'G7', 'v': CASE WHEN NOT loaded THEN 'SKIPPED' WHEN c11 = 5 THEN 'FAIL' ELSE 'PASS' END}},
+ {{'g': 'G8', 'v': CASE WHEN c2 = 0 OR c3 = 0 THEN 'PASS' WHEN c3 = 1 THEN 'WARN' ELSE 'FAIL' END}}, {{'g': 'G9', 'v': CASE WHEN c5 = 4 THEN 'FAIL' ELSE 'PASS' END}}]) AS x FROM fa)"""
+_BUILD = f"""{_FACTS}, bg AS (SELECT run, unnest([{{'g': 'FB1', 'v': CASE WHEN bal >= 1000 THEN 'PASS' ELSE 'FAIL' END}},
+ {{'g': 'FB2', 'v': CASE c5 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'WARN' WHEN 2 THEN 'FAIL' ELSE CASE WHEN c3 = 0 THEN 'FAIL' WHEN bal / 2 < 1000 THEN 'WARN' ELSE 'PASS' END END}}, {{'g': 'FB3', 'v': CASE WHEN c2 = 0 OR c3 = 0 THEN 'WARN' WHEN c4 = 1 THEN 'PASS' ELSE 'FAIL' END}},
+ {{'g': 'FB4', 'v': CASE WHEN c4 = 0 THEN 'PASS' ELSE 'WARN' END}}, {{'g': 'FB5', 'v': CASE WHEN c6 IN (1, 2, 4) THEN 'WARN' ELSE 'PASS' END}}, {{'g': 'FB6', 'v': CASE WHEN c3 = 2 THEN 'PASS' ELSE 'WARN' END}}]) AS x FROM fa)"""
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    flag = lambda n, *at: (k % n).isin(*at)
+    pick = lambda n, *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (k % n + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("run"), (k % 7 != 0).alias("loaded"), flag(4, 3).cast("int").alias("config_problems"), F.lit("sha256:a").alias("live_fingerprint"), F.when(flag(3, 0), "sha256:b").otherwise("sha256:a").alias("artefact_fingerprint"),
+        F.when(flag(11, 0), 0).otherwise(10).alias("images"), flag(5, 1).cast("int").alias("missing"), F.lit(0).alias("split_mismatch"), flag(4, 2).cast("int").alias("stale"), flag(6, 3).cast("int").alias("artefact_problems"),
+        flag(5, 2).cast("int").alias("unused_policies"), flag(11, 5).cast("int").alias("stale_inputs"), pick(6, "8.3.0", "8.10.2", "8.4", "8.2.9", "9.0.0", None).alias("library"), (k % 11 != 4).alias("library_fits"),
+        flag(2, 1).cast("double").alias("mixing"), pick(3, "ignore", "warn", "forbid").alias("mixing_policy"), flag(5, 4).cast("int").alias("ledger_problems"), F.col("c_acctbal").cast("double").alias("free_gb"),
+        pick(5, None, "s3://store/x", "C:\\Users\\me\\OneDrive - Org\\store", "/mnt/store", "/mnt/my-onedrives/x").alias("remote"), (k % 3 != 0).alias("remote_there"), (F.col("c_acctbal") / 2).cast("double").alias("remote_free_gb"),
+        flag(2, 1).alias("downloads"), F.when(flag(3, 0), 0).otherwise(2).alias("datasets"), flag(4, 1).alias("has_key"), flag(4, 0).alias("gpu"), pick(6, "/home/a", "/home/OneDrive/b", "/home/onedrive-x", "/home/c", "/d", "/e").alias("repo"),
+        pick(6, "/c", "/c", "/c", None, "/x/ONEDRIVE", "/onedriver").alias("cache"), pick(3, "pilot", None, "full").alias("mode"),
+    )
+
+
+@query(f"WITH {_TRAINING} SELECT run, x.g AS gate_id, x.v AS verdict FROM tg")
+def training_preflight(spark, sf_dir):
+    return preflight.training_preflight(_runs(spark, sf_dir), "run")
+
+
+@query(f"WITH {_BUILD} SELECT run, x.g AS gate_id, x.v AS verdict FROM bg")
+def build_preflight(spark, sf_dir):
+    return preflight.build_preflight(_runs(spark, sf_dir), "run", 1000.0)
+
+
+@query(f"""WITH {_TRAINING} SELECT run, count(*) FILTER (WHERE x.v <> 'SKIPPED') AS gates, CASE WHEN bool_or(x.v = 'FAIL') THEN 'FAIL' WHEN bool_or(x.v = 'WARN') THEN 'WARN' ELSE 'PASS' END AS verdict FROM tg GROUP BY 1""")
+def preflight_verdicts(spark, sf_dir):
+    return preflight.verdicts(preflight.training_preflight(_runs(spark, sf_dir), "run"), "run")
+
+
+_LINE = "printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h)"
+
+
+@query(f"""WITH {BOXES}, b AS (SELECT *, image // 400 AS batch FROM boxes), im AS (SELECT DISTINCT batch, image FROM b), bs AS (SELECT image, string_agg({_LINE} || chr(10), '' ORDER BY ord) AS t FROM b WHERE side = 'A' GROUP BY 1),
+ cd AS (SELECT image, string_agg({_LINE} || chr(10), '' ORDER BY class_id, cx, cy, w, h) AS t FROM b WHERE side = 'R' GROUP BY 1)
+SELECT batch::VARCHAR AS archive, 'obj_train_data/' || image || '.txt' AS entry, md5(coalesce(bs.t, '') || coalesce(cd.t, '')) AS md5 FROM im LEFT JOIN bs USING (image) LEFT JOIN cd USING (image)
+ UNION ALL SELECT DISTINCT batch::VARCHAR, 'obj.names', md5('{"".join(c + chr(10) for c in CLASSES)}') FROM im UNION ALL SELECT DISTINCT batch::VARCHAR, 'obj.data', md5('{sinks.DATA_TEXT.format(n=len(CLASSES))}') FROM im
+ UNION ALL SELECT batch::VARCHAR, 'train.txt', md5(string_agg('data/obj_train_data/' || image || '.jpg' || chr(10), '' ORDER BY image::VARCHAR || '.jpg')) FROM im GROUP BY 1""")
+def review_package(spark, sf_dir):
+    """Batches of four hundred orders: base labels by one annotator and candidates by another, packed and read back."""
+    b = boxes(spark, sf_dir).withColumns({"batch": F.expr("image div 400"), "name": F.concat(F.col("image").cast("string"), F.lit(".jpg"))})
+    b = qa.shared_table(b.select("batch", F.col("name").alias("image"), "ord", "side", "class_id", "box"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", sinks.label_line(F.col("class_id"), F.col("box")).alias("line")))), lambda x: x["line"])
+    base = b.filter("side = 'A'").groupBy("image").agg(F.array_join(lines, "\n \n").alias("text"))
+    texts = sinks.review_texts(b.select("batch", "image").distinct(), base, b.filter("side = 'R'"))
+    packed = sinks.review_packages(texts, list(CLASSES)).select(F.col("batch").cast("string").alias("path"), "content")
+    return files.archive_entries(packed).select("archive", "entry", F.md5("content").alias("md5"))

@@ -36,6 +36,50 @@ def packages(texts: DataFrame, package: str, entry: Column) -> DataFrame:
     return rows.groupBy("package").applyInPandas(pack, "package string, content binary")
 
 
+#: Entries of a package for review that come before its label files, and where these stand; fixed values of the format.
+DATA_TEXT, LABEL_FOLDER = "classes = {n}\ntrain = train.txt\nnames = obj.names\nbackup = backup/\n", "obj_train_data"
+FILE_MODE = 0o644 << 16
+
+
+def review_texts(images: DataFrame, base: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(batch, image, text) of a batch's images (batch, image): the lines of their base label files (image, text), blank ones left out, then their candidates (image, class_id, box) in order of class and box."""
+    order = F.struct("class_id", F.col("box.cx").alias("cx"), F.col("box.cy").alias("cy"), F.col("box.w").alias("w"), F.col("box.h").alias("h"), label_line(F.col("class_id"), F.col("box")).alias("line"))
+    found = candidates.groupBy("image").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]).alias("found"))
+    kept = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    none = F.array().cast("array<string>")
+    both = images.select("batch", "image").join(base.select("image", "text"), "image", "left").join(found, "image", "left")
+    lines = F.concat(kept, F.coalesce("found", none))
+    return both.select("batch", "image", F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("").alias("text"))
+
+
+def review_packages(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(batch, content, sha): a zip per batch of label texts (batch, image, text): the names, the data file, the list of images, then a label file an image, in order.
+
+    Equal inputs give equal bytes. A batch is what a person reviews at once, so a task holds it whole.
+    """
+    kind = texts.schema["batch"].dataType.simpleString()
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(frame["image"], frame["text"], strict=True))
+        entries = [("obj.names", "".join(f"{n}\n" for n in names)), ("obj.data", DATA_TEXT.format(n=len(names))), ("train.txt", "".join(f"data/{LABEL_FOLDER}/{i}\n" for i, _ in rows))]
+        entries += [(f"{LABEL_FOLDER}/{i.rpartition('.')[0] or i}.txt", t) for i, t in rows]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in entries:
+                info = zipfile.ZipInfo(name, ZIP_TIME)
+                info.compress_type, info.external_attr = zipfile.ZIP_DEFLATED, FILE_MODE
+                z.writestr(info, text)
+        return pd.DataFrame({"batch": [frame["batch"].iloc[0]], "content": [out.getvalue()]})
+
+    packed = texts.groupBy("batch").applyInPandas(pack, f"batch {kind}, content binary")
+    return packed.withColumn("sha", F.sha2("content", 256))
+
+
+def review_labels(names: list[str]) -> str:
+    """The label list that a review task is made with: every class a rectangle, in order of id."""
+    return json.dumps([{"name": n, "type": "rectangle", "attributes": []} for n in names])
+
+
 def write_by_split(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
 

@@ -114,3 +114,44 @@ def test_every_named_check(spark):
     assert qa.qa_exit_code(found).first()["code"] == 1 and qa.qa_exit_code(found.filter("severity = 'WARNING'")).first()["code"] == 2 and qa.qa_exit_code(found.limit(0)).first()["code"] == 0
     uneven = qa.file_issues(spark.createDataFrame(images[:1], "split string, file string, stem string, sha string, problem string"), spark.createDataFrame(labels[1:3], "split string, file string, stem string, text string"))
     assert sorted((r["split"], r["severity"]) for r in uneven.filter("check = 'inconsistent_pairs'").collect()) == [("val", "INFO")]
+
+
+def test_review_packages(spark):
+    import hashlib
+    import io
+    import zipfile
+
+    from frameloom.sources import sinks
+
+    images = spark.createDataFrame([(1, "b.jpg"), (1, "a.x.png"), (2, "c.jpg")], "batch long, image string")
+    base = spark.createDataFrame([("b.jpg", "3 0.1 0.1 0.1 0.1\r\n \n\n1 0.5 0.5 0.1 0.1"), ("z.jpg", "0 0 0 0 0")], "image string, text string")
+    found = [("b.jpg", 2, (0.5, 0.5, 0.1, 0.1)), ("b.jpg", 0, (0.9, 0.5, 0.1, 0.1)), ("b.jpg", 2, (0.25, 0.5, 0.1, 0.1)), ("a.x.png", 1, (0.5, 0.5, 0.1, 0.1))]
+    candidates = spark.createDataFrame(found, "image string, class_id int, box struct<cx: double, cy: double, w: double, h: double>")
+    packed = sinks.review_packages(sinks.review_texts(images, base, candidates), ["x", "y", "z", "w"])
+    first = {r["batch"]: bytes(r["content"]) for r in packed.collect()}
+    again = {r["batch"]: r for r in sinks.review_packages(sinks.review_texts(images.repartition(3), base, candidates.repartition(2)), ["x", "y", "z", "w"]).collect()}
+    assert all(bytes(again[b]["content"]) == c and again[b]["sha"] == hashlib.sha256(c).hexdigest() for b, c in first.items()) and len(first) == 2
+    with zipfile.ZipFile(io.BytesIO(first[1])) as z:
+        assert z.namelist() == ["obj.names", "obj.data", "train.txt", "obj_train_data/a.x.txt", "obj_train_data/b.txt"]
+        assert z.read("obj_train_data/b.txt").decode() == "3 0.1 0.1 0.1 0.1\n1 0.5 0.5 0.1 0.1\n0 0.900000 0.500000 0.100000 0.100000\n2 0.250000 0.500000 0.100000 0.100000\n2 0.500000 0.500000 0.100000 0.100000\n"
+        assert z.read("train.txt") == b"data/obj_train_data/a.x.png\ndata/obj_train_data/b.jpg\n" and z.read("obj.names") == b"x\ny\nz\nw\n"
+        assert all(i.date_time == (1980, 1, 1, 0, 0, 0) and i.external_attr >> 16 == 0o644 for i in z.infolist())
+    with zipfile.ZipFile(io.BytesIO(first[2])) as z:
+        assert z.read("obj_train_data/c.txt") == b""
+
+
+def test_gates_on_unknown_facts(spark):
+    from frameloom.plans import preflight
+
+    training = "run long, loaded boolean, config_problems int, artefact_fingerprint string, live_fingerprint string, images int, missing int, split_mismatch int, stale int, artefact_problems int, unused_policies int, stale_inputs int, library string, library_fits boolean, mixing double, mixing_policy string, ledger_problems int"
+    rows = [(1, *[None] * 16), (2, True, 0, "a", "a", 1, 0, 0, 0, 0, 0, 0, "8.3.1", True, 0.0, "forbid", 0), (3, True, *[None] * 15)]
+    gates = preflight.training_preflight(spark.createDataFrame(rows, training), "run")
+    got = {(r["run"], r["gate_id"]): r["verdict"] for r in gates.collect()}
+    assert [got[1, f"G{i}"] for i in range(1, 10)] == ["FAIL", "SKIPPED", "SKIPPED", "SKIPPED", "FAIL", "FAIL", "SKIPPED", "FAIL", "FAIL"]
+    assert {got[2, f"G{i}"] for i in range(1, 10)} == {"PASS"} and {got[3, f"G{i}"] for i in range(2, 10)} == {"FAIL"} and got[3, "G1"] == "PASS"
+    assert {r["run"]: (r["gates"], r["verdict"]) for r in preflight.verdicts(gates, "run").collect()} == {1: (5, "FAIL"), 2: (9, "PASS"), 3: (9, "FAIL")}
+    machine = "run long, free_gb double, remote string, remote_there boolean, remote_free_gb double, downloads boolean, datasets int, has_key boolean, gpu boolean, repo string, cache string, mode string"
+    found = preflight.build_preflight(spark.createDataFrame([(1, *[None] * 11), (2, 99.0, "/r", True, 99.0, True, 1, True, True, "/a/onedriver", "/b", "full"), (3, 1.0, "/OneDrive", True, 99.0, True, 1, None, False, "x\\onedrive-y\\z", None, "")], machine), "run", 50.0)
+    got = {(r["run"], r["gate_id"]): r["verdict"] for r in found.collect()}
+    assert [got[1, f"FB{i}"] for i in range(1, 7)] == ["FAIL", "FAIL", "WARN", "WARN", "PASS", "WARN"] and {got[2, f"FB{i}"] for i in range(1, 7)} == {"PASS"}
+    assert [got[3, f"FB{i}"] for i in range(1, 7)] == ["FAIL", "FAIL", "FAIL", "WARN", "WARN", "WARN"]
