@@ -72,6 +72,19 @@ def release_manifest(images: DataFrame, boxes: DataFrame, gates: DataFrame, vers
     return n.select(F.lit(version).alias("version"), *n.columns)
 
 
+def verify_releases(requested: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Whether releases that were made still stand. requested: release, lock_sha (of the lock file now); manifests: release (where it lies), version, gates (as name=verdict, joined by commas), lock_sha.
+
+    Returns release, problem (missing; version, where it names another; failed_gates, which is tampered with or broken; null for none), failed (the gates' names, in
+    order), and lock: same or differs, which is no problem, for a manifest is made before the lock that holds it.
+    """
+    both = requested.select("release", F.col("lock_sha").alias("_now")).join(manifests.select("release", "version", "gates", "lock_sha"), "release", "left")
+    failed = F.array_sort(F.transform(F.filter(F.split(F.coalesce("gates", F.lit("")), ","), lambda g: g.endswith("=FAIL")), lambda g: F.substring_index(g, "=", 1)))
+    problem = F.when(F.col("version").isNull(), "missing").when(F.col("version") != F.col("release"), "version").when(F.size(failed) > 0, "failed_gates")
+    lock = F.when(F.col("_now").isNotNull() & F.col("lock_sha").isNotNull(), F.when(F.col("_now") == F.col("lock_sha"), "same").otherwise("differs"))
+    return both.select("release", problem.alias("problem"), failed.alias("failed"), lock.alias("lock"))
+
+
 def training_gates(figures: DataFrame, mixing_policy: str = "forbid") -> DataFrame:
     """The gates before training that look at tables: taxonomy, coverage, consistency, freshness, mixing augmentations, ledger.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import preflight, qa
+from ..operators import releases
+from ..plans import annotate, preflight, qa
 from ..sources import files, sinks
 from .base import BOXES, CLASSES, boxes, query, table
 
@@ -110,3 +111,27 @@ def review_package(spark, sf_dir):
     texts = sinks.review_texts(b.select("batch", "image").distinct(), base, b.filter("side = 'R'"))
     packed = sinks.review_packages(texts, list(CLASSES)).select(F.col("batch").cast("string").alias("path"), "content")
     return files.archive_entries(packed).select("archive", "entry", F.md5("content").alias("md5"))
+
+
+@query("""WITH s AS (SELECT 'v' || s_suppkey AS release, s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT release, CASE WHEN k % 5 = 0 THEN 'missing' WHEN k % 7 = 0 THEN 'version' WHEN n % 4 = 0 THEN 'failed_gates' END AS problem, CASE WHEN k % 5 <> 0 AND n % 4 = 0 THEN CASE WHEN n % 8 = 0 THEN 'RG10,RG2' ELSE 'RG2' END ELSE '' END AS failed,
+ CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 'same' ELSE 'differs' END AS lock FROM s""")
+def release_verify(spark, sf_dir):
+    """A supplier as a release; some were never made, some name another version, some record failed gates."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    name = F.concat(F.lit("v"), k.cast("string")).alias("release")
+    s = table(spark, sf_dir, "supplier")
+    gates = F.concat_ws(",", F.lit("RG1=PASS"), F.concat(F.lit("RG2="), F.when(n % 4 == 0, "FAIL").otherwise("WARN")), F.concat(F.lit("RG10="), F.when(n % 8 == 0, "FAIL").otherwise("PASS")))
+    made = s.filter("s_suppkey % 5 <> 0").select(name, F.concat(F.lit("v"), F.when(k % 7 == 0, k + 1).otherwise(k).cast("string")).alias("version"), gates.alias("gates"), F.when(k % 3 == 0, F.lit("now")).otherwise("then").alias("lock_sha"))
+    return releases.verify_releases(s.select(name, F.lit("now").alias("lock_sha")), made).withColumn("failed", F.array_join("failed", ","))
+
+
+@query("""WITH f AS (SELECT p_partkey AS image, n::INT AS ord, (p_partkey % 5 + n)::INT AS class_id, 1 / (1 + (p_partkey % 5 + n) % 10)::DOUBLE AS conf FROM part, range(2) t(n))
+SELECT 'recorded' AS side, image, ord, class_id, conf / 2 AS conf FROM f WHERE image % 40 = 0 AND image % 30 <> 0 UNION ALL SELECT 'fresh', image, ord, class_id, conf FROM f WHERE image % 40 = 0 OR image % 30 = 0""")
+def rerun_diff(spark, sf_dir):
+    """A backend run again over its images: detections that the record has otherwise, or has lost."""
+    k = F.col("p_partkey")
+    images = table(spark, sf_dir, "part").select(k.alias("image"), F.lit(None).cast("binary").alias("content"), F.array((k % 5).cast("int"), (k % 5 + 1).cast("int")).alias("class_ids"))
+    fresh = annotate.annotate(images, "corners")
+    recorded = qa.shared_table(fresh.filter("image % 30 <> 0").withColumn("conf", F.when(F.col("image") % 40 == 0, F.col("conf") / 2).otherwise(F.col("conf"))))
+    return annotate.rerun_differences(recorded, fresh).select("side", "image", "ord", "class_id", "conf")
