@@ -77,7 +77,8 @@ def numbered_rows(rows: DataFrame, *by) -> DataFrame:
 
 
 def hamming_pairs(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of distinct hashes (column h)."""
+    """Pairs (a, b, distance), a < b, of distinct hashes (column h), which are made once."""
+    hashes = shared_table(hashes.select("h").distinct())
     return near_hashes(hashes, hashes, threshold).filter("probe < build").select(F.col("probe").alias("a"), F.col("build").alias("b"), "distance")
 
 
@@ -226,14 +227,15 @@ def eval_overlap(locked: DataFrame, train: DataFrame, threshold: int = THRESHOLD
     """Locked images that are in the training set: image, kind (exact, near), match.
 
     Both sides: image, sha, h, and flip on the training side. By content first; of the others the first training image (by name) whose hash or
-    mirror hash is near.
+    mirror hash is near. Both sides are written first, for they are read several times.
     """
+    locked, train = shared_table(locked.select("image", "sha", "h")), shared_table(train.select("image", "sha", "h", "flip"))
     shas = train.groupBy("sha").agg(F.min("image").alias("match"))
     exact = locked.join(shas, "sha").select("image", F.lit("exact").alias("kind"), "match")
     rest = locked.join(shas, "sha", "left_anti").select("image", "h")
-    known = train.select("h", F.col("image").alias("match")).union(train.filter("flip is not null").select("flip", "image"))
+    known = shared_table(train.select("h", F.col("image").alias("match")).union(train.filter("flip is not null").select("flip", "image")).groupBy("h").agg(F.min("match").alias("match")))
     pairs = near_hashes(rest.select("h"), known.select("h"), threshold)
-    firsts = known.groupBy(F.col("h").alias("build")).agg(F.min("match").alias("match"))
+    firsts = known.withColumnRenamed("h", "build")
     near = rest.join(pairs.join(firsts, "build").groupBy(F.col("probe").alias("h")).agg(F.min("match").alias("match")), "h")
     return exact.union(near.select("image", F.lit("near").alias("kind"), "match"))
 
