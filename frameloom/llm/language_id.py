@@ -4,6 +4,9 @@ Each word has features: the word itself (a lexicon entry), its first and last by
 into one table of weights per language. Learned transitions tie neighbouring words, so that forward-backward labels every
 word of a text, of mixed languages too; a document's language is the one with the largest share of its words.
 
+Documents are in one language each, so moves between languages are learned from spliced texts: runs of words of the sampled texts, of other languages in
+turn, in random order and length, a fixed share of the sample.
+
 The field is fitted on the driver from a bounded sample of whole texts: PER_LANGUAGE documents of each language, those of the lowest
 hash of their id, and SAMPLE_ROWS in all (beyond that languages share evenly, one row each of up to SAMPLE_ROWS languages). The
 corpus is then labelled whole, in one pass without a shuffle.
@@ -35,6 +38,8 @@ TABLE_BITS = 16
 EPOCHS, RATE, RIDGE = 25, 0.15, 1e-4
 #: Fitting ends early where an epoch improves the mean log posterior of the words' languages by less.
 LEAST_GAIN = 5e-4
+#: Spliced texts: their words, as a share of the sample's, the runs of a text, and the words of a run.
+SPLICED, RUNS, RUN_WORDS = 0.25, 6, (5, 30)
 CHUNK = 64
 BATCH_CHARS = 1 << 20
 UND = "und"
@@ -183,6 +188,25 @@ def _exp(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30))
 
 
+def spliced(texts: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Texts (words, languages) put together from runs of the given ones, which are in one language each; the same for the same texts."""
+    rng = np.random.default_rng(7)
+    by = [[t for t in texts if t[1][0] == k] for k in range(n)]
+    there, left, out = [k for k in range(n) if by[k]], SPLICED * sum(len(x) for x, _ in texts), []
+    while left > 0 and len(there) > 1:
+        words, languages, last = [], [], -1
+        for _ in range(RUNS):
+            last = int(rng.choice([k for k in there if k != last]))
+            x, y = by[last][int(rng.integers(len(by[last])))]
+            size = min(int(rng.integers(RUN_WORDS[0], RUN_WORDS[1] + 1)), len(x))
+            at = int(rng.integers(len(x) - size + 1))
+            words.append(x[at : at + size])
+            languages.append(y[at : at + size])
+        out.append((np.concatenate(words), np.concatenate(languages)))
+        left -= len(out[-1][0])
+    return out
+
+
 def fit(rows: list[tuple[str, str]]) -> Field | None:
     """Rows of (text, language): maximum conditional likelihood with a ridge, by Adam over the whole sample."""
     languages = tuple(sorted({lang for _, lang in rows}))
@@ -194,11 +218,15 @@ def fit(rows: list[tuple[str, str]]) -> Field | None:
     weights, moves = np.zeros((1 << TABLE_BITS, n)), np.eye(n)
     if not kept or n == 1:
         return Field(languages, weights.astype(np.float32), moves)
-    tokens, sizes = np.concatenate([x for x, _ in kept]), np.array([len(x) for x, _ in kept])
-    gold = np.repeat([y for _, y in kept], sizes)
+    texts = [(x, np.full(len(x), y)) for x, y in kept]
+    texts += spliced(texts, n)
+    tokens, sizes, gold = np.concatenate([x for x, _ in texts]), np.array([len(x) for x, _ in texts]), np.concatenate([y for _, y in texts])
     slots, values, first = features = word_features(words.words)
     owner = np.repeat(np.arange(len(words.words)), np.diff(np.r_[first, len(slots)]))
-    stays = np.diag(np.bincount(gold, minlength=n) - np.bincount([y for _, y in kept], minlength=n)).astype(float)
+    inside = np.ones(len(gold), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    at = np.flatnonzero(inside)
+    taken = np.bincount(gold[at] * n + gold[at + 1], minlength=n * n).reshape(n, n).astype(float)
     total, params, before = len(tokens), [weights, moves], -np.inf
     one, two = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for epoch in range(1, EPOCHS + 1):
@@ -211,7 +239,7 @@ def fit(rows: list[tuple[str, str]]) -> Field | None:
         by_word = np.stack([np.bincount(tokens, post[:, k], len(words.words)) for k in range(n)], 1)
         by_word[0] = 0
         grad = np.stack([np.bincount(slots, by_word[owner, k] * values, 1 << TABLE_BITS) for k in range(n)], 1) / total + RIDGE * weights
-        for i, g in enumerate((grad, (expected - stays) / total + RIDGE * moves)):
+        for i, g in enumerate((grad, (expected - taken) / total + RIDGE * moves)):
             one[i] = 0.9 * one[i] + 0.1 * g
             two[i] = 0.99 * two[i] + 0.01 * g * g
             params[i] -= RATE * (one[i] / (1 - 0.9**epoch)) / (np.sqrt(two[i] / (1 - 0.99**epoch)) + 1e-8)

@@ -278,6 +278,31 @@ def test_op9_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got) > 100
 
 
+def test_op9_learns_moves_from_spliced_texts():
+    """Spliced texts are runs of other languages in turn, a share of all words; words beside a switch are labelled nearly as well as others."""
+    rows = [(t, lang) for i, t, lang in duckdb.sql("select doc_id, text, lang from '/root/testdata/sf0.01/documents.parquet' where lang is not null and text is not null order by 1").fetchall()]
+    texts = [(np.arange(20 * k, 20 * k + 20), np.full(20, k % 3)) for k in range(60)]
+    made = language_id.spliced(texts, 3)
+    assert sum(len(x) for x, _ in made) >= language_id.SPLICED * 1200 and all((x // 20 % 3 == y).all() for x, y in made)
+    assert all(np.unique(y).size > 1 for _, y in made) and language_id.spliced(texts[::3], 3) == []
+    field, rng, held = language_id.fit(rows[:600]), random.Random(3), defaultdict(list)
+    for t, lang in rows[600:]:
+        if len(w := t.lower().split()) > 20:
+            held[lang].append(w)
+    right = near = 0
+    for _ in range(60):
+        words, gold, last = [], [], None
+        for _ in range(5):
+            last = rng.choice([x for x in held if x != last])
+            w, n = rng.choice(held[last]), rng.randint(4, 15)
+            at = rng.randrange(len(w) - n + 1)
+            words, gold = words + w[at : at + n], gold + [last] * n
+        for i, (_, lang, _) in enumerate(language_id.label_words(field, " ".join(words))):
+            if any(0 <= j < len(gold) and gold[j] != gold[i] for j in (i - 1, i + 1)):
+                near, right = near + 1, right + (lang == gold[i])
+    assert right / near > 0.93 and near > 400
+
+
 def test_op9_labels_the_words_of_code_switched_text(spark):
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     field = language_id.fit(language_id.fit_sample(d))
