@@ -129,7 +129,9 @@ def _own(files: DataFrame, threshold: float) -> DataFrame:
     found = F.transform(F.regexp_extract_all(F.lower("line"), F.lit(WORDS), F.lit(0)), lambda w: F.regexp_replace(w, ZEROS, ""))
     one = files.select("file", F.posexplode("units").alias("unit", "line")).withColumn("words", found)
     states = F.col("line").rlike(STATEMENT) & (F.size("words") <= MOST_WORDS)
-    words = one.select("file", "unit", states.alias("states"), F.explode("words").alias("word"))
+    #: Before the words are parted, for it is a line's and not a word's.
+    one = one.select("file", "unit", states.alias("states"), "words")
+    words = one.select("file", "unit", "states", F.explode("words").alias("word"))
     counted = words.groupBy("file", "unit", "word").agg(F.count("*").alias("n"), F.first("states").alias("states"))
     number, must, other_kind = F.col("word").rlike("^[0-9]"), F.col("word").rlike("^[0-9]") | F.col("word").isin(*NAMES), F.col("word").isin(*MODIFIERS)
     weight = (1 + F.log("n")) * F.coalesce("idf", F.lit(other)) * F.when(number, VERSION_WEIGHT).otherwise(1)
