@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,16 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._frameloom_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are done with, between the steps of a long operator.
+
+    Spark deletes them once the driver's JVM finds that nothing refers to their plans; with room on its heap it may not look for half an hour,
+    and the files of all steps so far would stay on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard_all(spark: SparkSession) -> None:
     """Delete every table that this process wrote to the shared folder: for an application that has consumed its results."""
     for path in list(_WRITTEN):

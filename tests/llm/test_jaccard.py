@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from frameloom.llm import exact_dedup, jaccard, simhash
@@ -39,12 +40,10 @@ def brute(rows):
     return {i for i in sets if find(i) == i}, len(pairs)
 
 
-@pytest.mark.parametrize("many", [True, False])
-def test_every_pair_at_four_fifths_is_linked(spark, monkeypatch, many):
-    """Up to one word in fifteen of base texts, and one more, is another: shares on both sides of 0.8; chains; with and without frequent shingles known."""
-    if not many:
-        monkeypatch.setattr(jaccard, "FREQUENT", 1)
-    rng = random.Random(8)
+@pytest.mark.parametrize("seed", [8, 9])
+def test_every_pair_at_four_fifths_is_linked(spark, seed):
+    """Up to one word in fifteen of base texts, and one more, is another: shares on both sides of 0.8; chains."""
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     rows, line = [], " ".join(word() for _ in range(12))
     for _ in range(40):
@@ -82,3 +81,32 @@ def test_rows_that_repeat_an_id_have_each_their_own_fate(spark):
     got = jaccard.drop_near_copies(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, node int, least int, row int"))
     assert got.columns == ["doc_id", "text", "node", "least", "row"]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, (rows[0], *rows[2:5], *rows[6:])))
+
+
+def test_keys_and_sketches_meet_at_four_fifths():
+    """Sets at 0.8 share a key and have like sketches, whatever their size; sets at 0.3 hardly ever do."""
+    rng = np.random.default_rng(1)
+    unlike = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+    for size in (5, 20, 100, 3000):
+        whole, alone = rng.integers(-(1 << 62), 1 << 62, (2, 60, size))
+        for a, b in zip(whole, alone, strict=True):
+            (ka, sa), (kb, sb) = jaccard.band_keys(np.unique(a)), jaccard.band_keys(np.unique(np.concatenate([a[: size - size // 9], b[: size // 9]])))
+            assert set(ka) & set(kb) and unlike(sa, sb) <= jaccard.UNLIKE
+    far = [(jaccard.band_keys(np.unique(a)), jaccard.band_keys(np.unique(np.concatenate([a[:1380], b[1380:]])))) for a, b in zip(whole, alone, strict=True)]
+    assert sum(bool(set(a[0]) & set(b[0])) for a, b in far) < 12 and all(unlike(a[1], b[1]) > jaccard.UNLIKE for a, b in far)
+    assert all(len(x) == 0 for x in jaccard.band_keys(np.empty(0, np.int64)))
+
+
+def test_a_large_group_whose_copies_only_resemble_their_base(spark):
+    """Copies with own edits are below 0.8 to each other; the base alone links them."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        text = list(base)
+        for k in rng.sample(range(300), 6):
+            text[k] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    keep, pairs = brute(rows)
+    got = {r["doc_id"] for r in jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == keep and len(keep) < 10
