@@ -20,6 +20,7 @@ from .streams import _FIRED, _HITS, _fired
 
 #: Slices in which rows arrive, and how many are there before the first run.
 SLICES, BEFORE = 4, 2
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def _in_slices(spark, rows: DataFrame, by: str, key: str, run, schema: str, files: int = 5) -> CommittedTable:
@@ -31,11 +32,17 @@ def _in_slices(spark, rows: DataFrame, by: str, key: str, run, schema: str, file
     if low is None:
         return out
     width = (high - low) // SLICES + 1
-    for i in range(SLICES):
-        own = rows.filter((F.col(by) >= low + i * width) & (F.col(by) < low + (i + 1) * width))
-        arrive(own, f"{root}/in", key)
-        if i + 1 in (BEFORE, SLICES):
-            run(arriving(spark, f"{root}/in", rows.schema, files), out.sink, f"{root}/checkpoint")
+    #: A stream's state has as many partitions as its first run shuffles to, and each is a Python worker a batch: no more than twice the cores, here.
+    held = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(min(int(held), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        for i in range(SLICES):
+            own = rows.filter((F.col(by) >= low + i * width) & (F.col(by) < low + (i + 1) * width))
+            arrive(own, f"{root}/in", key)
+            if i + 1 in (BEFORE, SLICES):
+                run(arriving(spark, f"{root}/in", rows.schema, files), out.sink, f"{root}/checkpoint")
+    finally:
+        spark.conf.set(PARTITIONS, held)
     return out
 
 
