@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,16 +11,25 @@ from pyspark.sql import functions as F
 UNLIKE = 1 << 32
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def average_hash(grid: Column, above: float = 0.0) -> Column:
     """64 cells, row by row, as a long: a bit is set where a cell is above the mean (by so much); the first cell is the highest bit."""
-    mean = F.aggregate(grid, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(grid)
-    mean = mean + above if above else mean
-    return F.aggregate(grid, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x.cast("double") > mean).cast("long")))
+
+    def bits(g: Column) -> Column:
+        mean = F.aggregate(g, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(g)
+        mean = mean + above if above else mean
+        return once(mean, lambda m: F.aggregate(g, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x.cast("double") > m).cast("long"))))
+
+    return once(grid, bits)
 
 
 def mirrored(grid: Column, width: int = 8) -> Column:
     """The grid with each of its rows reversed."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(grid) / width).cast("int") - 1), lambda r: F.reverse(F.slice(grid, r * width + 1, width))))
+    return once(grid, lambda g: F.flatten(F.transform(F.sequence(F.lit(0), (F.size(g) / width).cast("int") - 1), lambda r: F.reverse(F.slice(g, r * width + 1, width)))))
 
 
 def hamming(a: Column, b: Column) -> Column:

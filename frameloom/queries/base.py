@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions.hashes import once
 from ..operators.dedup import shared_table
 from ..streaming.rules import Rule
 
@@ -135,7 +136,7 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coarse(grid):
     """The grid with each two by two pixels as the first of them, so that images are near now and then."""
     at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.floor(i / 16) * 16 + F.floor(i % 8 / 2) * 2)
-    return F.transform(at, lambda i: F.element_at(grid, (i + 1).cast("int")))
+    return once(grid, lambda g: F.transform(at, lambda i: F.element_at(g, (i + 1).cast("int"))))
 
 
 _BITS = "list_transform({v}, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform({v}, lambda y: y::DOUBLE)) / 64 THEN 1 ELSE 0 END)"

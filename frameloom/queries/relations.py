@@ -74,8 +74,9 @@ def remap_table_alias(spark, sf_dir):
 
 
 def _hashes(spark, sf_dir):
+    """Written to the shared folder, since the queries read them several times: each hash is made once."""
     g = F.col("grid")
-    return grids(spark, sf_dir).withColumn("grid", coarse(g)).select(F.col("vec_id").alias("ord"), H.average_hash(g).alias("h"), H.average_hash(H.mirrored(g)).alias("flip"), F.lit(None).cast("string").alias("sha"))
+    return dedup.shared_table(grids(spark, sf_dir).withColumn("grid", coarse(g)).select(F.col("vec_id").alias("ord"), H.average_hash(g).alias("h"), H.average_hash(H.mirrored(g)).alias("flip"), F.lit(None).cast("string").alias("sha")))
 
 
 @query(f"WITH {COARSE}, d AS (SELECT DISTINCT bits FROM hashes) SELECT least(a.vec_id, b.vec_id) AS a_id, greatest(a.vec_id, b.vec_id) AS b_id, {sql_distance('a.bits', 'b.bits')}::BIGINT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE {sql_distance('a.bits', 'b.bits')} BETWEEN 1 AND {NEAR - 1}")
