@@ -129,7 +129,7 @@ def dedup_near_wide(spark, sf_dir):
     g = grids(spark, sf_dir).select("vec_id", coarse(F.col("grid")).alias("g"))
     wide = lambda c: F.array(*[H.average_hash(c, t) for t in _LEVELS])
     rows = g.select(F.col("vec_id").alias("ord"), wide(F.col("g")).alias("h"), wide(H.mirrored(F.col("g"))).alias("flip"), F.lit(None).cast("string").alias("sha"))
-    return dedup.keep_in_order(rows, _NEAR_WIDE)
+    return dedup.keep_in_order(dedup.shared_table(rows), _NEAR_WIDE)
 
 
 @query(f"""WITH {COARSE}, l AS (SELECT vec_id, bits FROM hashes WHERE vec_id % 10 = 0), t AS (SELECT vec_id, bits, flip_bits FROM hashes WHERE vec_id % 10 <> 0),
