@@ -95,3 +95,10 @@ def parse_line(line: Column) -> Column:
     for n in numbers:
         finite = finite & n.isNotNull() & ~F.isnan(n) & (F.abs(n) < 1e308)
     return F.when((F.size(parts) == 5) & finite, F.struct(at(1, "int").alias("class_id"), box(*numbers).alias("box")))
+
+
+def rounded(value: Column, places: int) -> Column:
+    """To so many places by the double itself, halves away from zero; F.round goes by its shortest decimal digits, which a half may only seem to be."""
+    scaled = F.abs(value) * float(10**places)
+    down = F.floor(scaled)
+    return F.signum(value) * (down + (scaled - down >= 0.5).cast("int")) / float(10**places)

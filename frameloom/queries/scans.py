@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import boxes as B
 from ..operators import labels, merging
 from ..operators.dedup import numbered_rows, shared_table
 from ..sources import files, sinks
@@ -25,7 +26,7 @@ def scan_coco_json(spark, sf_dir):
     cats = F.array(*[F.struct(F.lit(k).cast("long").alias("id"), F.lit(f"c{k}").alias("name")) for k in range(5)])
     docs = li.groupBy("doc").agg(F.collect_list(note).alias("annotations"), F.collect_set(image).alias("images")).withColumn("categories", cats)
     b = F.col("box")
-    return files.coco_boxes(docs, ["c1", "c3"]).select("file_name", "class_name", *[F.round(b[c], 9).alias(c) for c in ("cx", "cy", "w", "h")])
+    return files.coco_boxes(docs, ["c1", "c3"]).select("file_name", "class_name", *[B.rounded(b[c], 9).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("WITH r AS (SELECT l_orderkey AS image, l_partkey % 23 AS k, l_discount * 5 AS x0, l_discount * 5 + l_tax * 3 AS x1, 0.1::DOUBLE AS y0, l_quantity / 51 AS y1 FROM lineitem) SELECT image, 'n' || k AS class_name, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy FROM r WHERE k < 9 AND x1 > x0 AND y1 > y0")

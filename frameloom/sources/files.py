@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions.headers import image_header
 from ..functions.names import IMAGE_ENDINGS, ending, file_name, stem
-from ..operators.dedup import numbered_rows, small
+from ..operators.dedup import numbered_rows, shared_table, small
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
@@ -142,8 +142,11 @@ def load_consents(spark: SparkSession, text: str) -> DataFrame:
 
 
 def coco_boxes(coco: DataFrame, wanted: list[str]) -> DataFrame:
-    """(file_name, class_name, box) of index documents with arrays images, annotations, categories; crowds and other classes are left out."""
-    doc = coco.withColumn("_doc", F.monotonically_increasing_id())
+    """(file_name, class_name, box) of index documents with arrays images, annotations, categories; crowds and other classes are left out.
+
+    The documents are written with their numbers first: three readings of them, each numbered anew, need not agree.
+    """
+    doc = shared_table(coco.withColumn("_doc", F.monotonically_increasing_id()))
     cats = doc.select("_doc", F.explode("categories").alias("c")).select("_doc", F.col("c.id").alias("category_id"), F.col("c.name").alias("class_name"))
     images = doc.select("_doc", F.explode("images").alias("i")).select("_doc", F.col("i.id").alias("image_id"), "i.file_name", F.col("i.width").cast("double").alias("W"), F.col("i.height").cast("double").alias("H"))
     notes = doc.select("_doc", F.explode("annotations").alias("a")).select("_doc", "a.image_id", "a.category_id", "a.bbox", "a.iscrowd").filter("coalesce(iscrowd, 0) = 0")

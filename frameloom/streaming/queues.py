@@ -1,7 +1,8 @@
 """A camera's bounded queue of alerts, with puts and takes in between, over a table and over a stream.
 
 A put enters a full queue only in place of an alert of lower severity; of the lowest the oldest goes. A take gets the alert of highest severity,
-the oldest of equals, or nothing. Rows: camera, at (the order within the camera), kind (put or take), frame_no, rule_id, severity.
+the oldest of equals, or nothing. Rows: camera, at (the order within the camera), kind (put or take), frame_no, rule_id, severity. Rows without a camera
+belong to no queue and are left out.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ class Queue:
 
 
 def _rows(events: DataFrame) -> DataFrame:
-    return events.select("camera", "at", "kind", "frame_no", "rule_id", F.col("severity").cast("int").alias("severity"))
+    return events.filter("camera is not null").select("camera", "at", "kind", "frame_no", "rule_id", F.col("severity").cast("int").alias("severity"))
 
 
 def taken(events: DataFrame, size: int = SIZE) -> DataFrame:
