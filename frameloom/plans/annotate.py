@@ -81,6 +81,8 @@ def tiles(images: DataFrame, width: Column, height: Column, size: int, overlap:
 
 #: Tiles that a backend gets at once.
 TILE_BATCH = 16
+#: Boxes of tiles that a task sends on at once.
+BOX_BATCH = 2_000
 
 
 def annotate_tiles(images: DataFrame, name: str, size: tuple[int, int] = (640, 640), overlap: float = 0.2, threshold: float = 0.0, same: float = 0.5, whole: bool = True) -> DataFrame:
@@ -121,9 +123,14 @@ def annotate_tiles(images: DataFrame, name: str, size: tuple[int, int] = (640, 6
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
+        seen_as = ["image", "nth", "x0", "y0", "x1", "y1", "_width", "_height", "ord", "class_id", "conf", "cx", "cy", "w", "h"]
+        own, out = ["image", "ord", "class_id", "conf", "cx", "cy", "w", "h"], []
         for found in run_backend(cut()):
-            out = [(*places[r.image], r.ord, r.class_id, r.conf, r.cx, r.cy, r.w, r.h) for r in found.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=["image", "nth", "x0", "y0", "x1", "y1", "_width", "_height", "ord", "class_id", "conf", "cx", "cy", "w", "h"])
+            out += [(*places[i], *rest) for i, *rest in zip(*[found[c] for c in own], strict=True)]
+            if len(out) >= BOX_BATCH:
+                yield pd.DataFrame(out, columns=seen_as)
+                out = []
+        yield pd.DataFrame(out, columns=seen_as)
 
     schema = f"image {kind}, nth int, x0 int, y0 int, x1 int, y1 int, _width int, _height int, " + DETECTION.partition(", ")[2]
     found = images.select("image", "width", "height", "channels", "pixels", "class_ids").mapInPandas(run, schema).filter(F.col("conf") >= threshold)

@@ -11,6 +11,8 @@ from ..operators import images as I
 from ..plans import annotate
 from .base import query, table
 
+#: Images of sliced inference that one task cuts.
+IMAGES_A_TASK = 5_000
 #: An embedding as an image of 12 to 20 by 10 to 16 pixels, grey or in colours.
 _PICTURES = """img AS (SELECT vec_id, 12 + vec_id % 9 AS w, 10 + vec_id % 7 AS h, vec_id % 2 AS coloured, embedding AS e FROM embeddings),
  raw AS (SELECT vec_id, w, h, coloured, x, y, least(greatest(floor(128 + 300 * e[(y * w + x) % 64 + 1]::DOUBLE), 0), 255)::BIGINT AS p FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM img))),
@@ -104,11 +106,13 @@ def image_headers(spark, sf_dir):
  FROM part WHERE p_partkey % 5 <> 0""")
 def sliced_inference(spark, sf_dir):
     """A part as a dark image of 100 by 80 with a bright square, cut into tiles of 40: the backend, which looks at pixels, finds each square once; every fifth image has none."""
-    k = F.col("p_partkey")
+    k, keys = F.col("p_partkey"), table(spark, sf_dir, "part").select("p_partkey")
+    #: The keys are dealt out before the pixels are made: a key is a few bytes in one file, an image thousands.
+    keys = keys.repartition(keys.count() // IMAGES_A_TASK + 1, "p_partkey")
     x0, y0 = k * 7 % 92, k * 13 % 72
     before, row = y0 * 100 + x0, F.concat(F.repeat(F.lit("FF"), 8), F.repeat(F.lit("14"), 92))
     lit = F.concat(F.repeat(F.lit("14"), before.cast("int")), F.repeat(row, 7), F.repeat(F.lit("FF"), 8))
     pixels = F.unhex(F.when(k % 5 == 0, F.repeat(F.lit("14"), 8000)).otherwise(F.rpad(lit, 16000, "14")))
-    images = table(spark, sf_dir, "part").select(k.alias("image"), F.lit(100).alias("width"), F.lit(80).alias("height"), F.lit(1).alias("channels"), pixels.alias("pixels"), F.array((k % 23).cast("int")).alias("class_ids"))
+    images = keys.select(k.alias("image"), F.lit(100).alias("width"), F.lit(80).alias("height"), F.lit(1).alias("channels"), pixels.alias("pixels"), F.array((k % 23).cast("int")).alias("class_ids"))
     found = annotate.annotate_tiles(images, "bright", (40, 40), 0.25, threshold=0.999)
     return found.select("image", "class_id", "conf", *[F.round(f"box.{c}", 8).alias(c) for c in ("cx", "cy", "w", "h")])
