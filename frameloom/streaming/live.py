@@ -1,4 +1,4 @@
-"""The same memory, rules and cooldowns on a stream: a stateful operator keyed by camera, and its sinks."""
+"""The same memory, rules and cooldowns on a stream: a stateful operator keyed by buckets of cameras, and its sinks."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from .buckets import BucketProcessor, by_key, in_buckets
 from .memory import MOVE, WINDOW
 from .rules import Rule, holds, parsed_rules
 
@@ -20,8 +20,8 @@ ALERTS = StructType(
 _ENTRY = StructType([StructField("first_frame", LongType()), StructField("last_frame", LongType()), StructField("n", LongType()), StructField("avg_conf", DoubleType())])
 
 
-class CameraRules(StatefulProcessor):
-    """State of a camera: frames so far, an entry per class (never expiring), and when each rule last fired. Bounded by classes and rules.
+class CameraRules(BucketProcessor):
+    """State of a camera: frames so far, an entry per class (never expiring), and when each rule last fired. Bounded by classes and rules; cameras share a bucket's value.
 
     Without rules of its own, each frame brings those in force, as its column `rules`. When a rule last fired is kept by its id, so an edited rule goes
     on with its clock, and one that is gone for a while comes back with it.
@@ -30,83 +30,68 @@ class CameraRules(StatefulProcessor):
     def __init__(self, rules: Sequence[Rule] | None, fps: float = 15.0, window: int = WINDOW):
         self.rules, self.fps, self.window = rules if rules is None else list(rules), fps, window
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", StructType([StructField("n", LongType())]))
-        self.memory = handle.getMapState("memory", StructType([StructField("class_name", StringType())]), _ENTRY)
-        self.fired = handle.getMapState("fired", StructType([StructField("rule_id", StringType())]), StructType([StructField("us", LongType())]))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = list(rows)
-        frames = pd.concat(parts).sort_values(["ts", "frame_id"], kind="stable") if parts else pd.DataFrame()
-        frame_no = self.count.get()[0] if self.count.exists() else 0
-        seen = {k[0]: list(v) for k, v in self.memory.iterator()}
-        fired = {k[0]: v[0] for k, v in self.fired.iterator()}
-        touched, out = set(), []
-        brought = [None] * len(frames) if self.rules is not None or not len(frames) else frames["rules"]
-        for ts, names, confs, text in zip(frames["ts"], frames["classes"], frames["confs"], brought, strict=True) if len(frames) else ():
-            frame_no += 1
-            for name, conf in zip(names, confs, strict=True):
-                entry = seen.setdefault(name, [frame_no, frame_no, 0, float(conf)])
-                if entry[2]:
-                    entry[3] = entry[3] * (1 - MOVE) + float(conf) * MOVE
-                entry[1], entry[2] = frame_no, entry[2] + 1
-                touched.add(name)
-            since, us = {n: frame_no - e[1] for n, e in seen.items()}, pd.Timestamp(ts).value // 1000
-            for i, rule in enumerate(parsed_rules(text) if self.rules is None else self.rules):
-                if us - fired.get(rule.rule_id, -(1 << 62)) < rule.cooldown * 1_000_000 or not holds(rule.condition, set(names), since, self.fps, self.window):
-                    continue
-                fired[rule.rule_id] = us
-                out.append((key[0], frame_no, ts, i, rule.rule_id, rule.level))
-        self.count.update((frame_no,))
-        for name in touched:
-            self.memory.updateValue((name,), tuple(seen[name]))
-        for rule_id, us in fired.items():
-            self.fired.updateValue((rule_id,), (us,))
+        held, out = self.load(), []
+        brought = () if self.rules is not None else ("rules",)
+        for camera, frames in by_key(rows, ("camera",), ("us", "frame_id"), ("ts", "classes", "confs", *brought)).items():
+            frames.sort(key=lambda r: r[:2])
+            frame_no, seen, fired = held.get(camera, (0, {}, {}))
+            for us, _, ts, names, confs, *text in frames:
+                frame_no += 1
+                for name, conf in zip(names, confs, strict=True):
+                    entry = seen.setdefault(name, [frame_no, frame_no, 0, float(conf)])
+                    if entry[2]:
+                        entry[3] = entry[3] * (1 - MOVE) + float(conf) * MOVE
+                    entry[1], entry[2] = frame_no, entry[2] + 1
+                since, now = {n: frame_no - e[1] for n, e in seen.items()}, set(names)
+                for i, rule in enumerate(parsed_rules(text[0]) if self.rules is None else self.rules):
+                    if us - fired.get(rule.rule_id, -(1 << 62)) < rule.cooldown * 1_000_000 or not holds(rule.condition, now, since, self.fps, self.window):
+                        continue
+                    fired[rule.rule_id] = us
+                    out.append((camera, frame_no, ts, i, rule.rule_id, rule.level))
+            held[camera] = (frame_no, seen, fired)
+        self.save(held)
         yield pd.DataFrame(out, columns=[f.name for f in ALERTS.fields])
 
-    def close(self) -> None:
-        pass
-
 
 def live_alerts(frames: DataFrame, rules: Sequence[Rule] | None, fps: float = 15.0, window: int = WINDOW) -> DataFrame:
-    """Alerts of a stream of frames (camera, frame_id, ts, classes, confs). Frames of a micro-batch are taken in order of (ts, frame_id).
+    """Alerts of a stream of frames (camera, frame_id, ts, classes, confs). Frames of a micro-batch are taken in order of (ts, frame_id); those without a camera are left out.
 
     rules: None if the frames bring them (reload.with_rules).
 
     Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
     """
-    return frames.groupBy("camera").transformWithStateInPandas(statefulProcessor=CameraRules(rules, fps, window), outputStructType=ALERTS, outputMode="Append", timeMode="None")
+    rows = frames.filter("camera is not null").withColumn("us", F.unix_micros("ts"))
+    return in_buckets(rows, "camera").transformWithStateInPandas(statefulProcessor=CameraRules(rules, fps, window), outputStructType=ALERTS, outputMode="Append", timeMode="None")
 
 
-class MemoryProcessor(StatefulProcessor):
+class MemoryProcessor(BucketProcessor):
     """State of a class before a camera: its memory entry, which is sent whenever it changes."""
 
     def __init__(self, move: float = MOVE):
         self.move = move
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", _ENTRY)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entry = list(self.entry.get()) if self.entry.exists() else None
-        found = sorted(x for part in rows for x in part[["frame_no", "ord", "conf"]].itertuples(index=False, name=None))
-        for frame_no, _, conf in found:
-            if entry is None:
-                entry = [int(frame_no), int(frame_no), 1, float(conf)]
-            else:
-                entry = [entry[0], int(frame_no), entry[2] + 1, entry[3] * (1 - self.move) + float(conf) * self.move]
-        self.entry.update(tuple(entry))
-        yield pd.DataFrame([(*key, *entry)], columns=["camera", "class_name", *(f.name for f in _ENTRY.fields)])
-
-    def close(self) -> None:
-        pass
+        held, out = self.load(), []
+        for name, found in by_key(rows, ("camera", "class_name"), ("frame_no", "ord"), ("conf",)).items():
+            entry = held.get(name)
+            for frame_no, _, conf in sorted(found):
+                if entry is None:
+                    entry = (frame_no, frame_no, 1, float(conf))
+                else:
+                    entry = (entry[0], frame_no, entry[2] + 1, entry[3] * (1 - self.move) + float(conf) * self.move)
+            held[name] = entry
+            out.append((*name, *entry))
+        self.save(held)
+        sent = pd.DataFrame(out, columns=["camera", "class_name", *(f.name for f in _ENTRY.fields)])
+        yield sent.astype({"camera": "Int64"})
 
 
 def live_entries(detections: DataFrame, move: float = MOVE) -> DataFrame:
     """memory.entries over a stream of detections (camera, frame_no, ord, class_name, conf): each batch sends the entries that it changed. Needs the RocksDB state store."""
     rows = detections.select(F.col("camera").cast("long").alias("camera"), "class_name", "frame_no", "ord", F.col("conf").cast("double").alias("conf"))
     schema = "camera long, class_name string, first_frame long, last_frame long, n long, avg_conf double"
-    return rows.groupBy("camera", "class_name").transformWithStateInPandas(statefulProcessor=MemoryProcessor(move), outputStructType=schema, outputMode="Update", timeMode="None")
+    return in_buckets(rows, "camera", "class_name").transformWithStateInPandas(statefulProcessor=MemoryProcessor(move), outputStructType=schema, outputMode="Update", timeMode="None")
 
 
 def watermarked(frames: DataFrame, late: str = "10 minutes") -> DataFrame:

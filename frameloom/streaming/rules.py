@@ -62,6 +62,7 @@ def _term(text: str) -> tuple[str, tuple]:
     return "never", ()
 
 
+@lru_cache(maxsize=1024)
 def terms(condition: str) -> list[list[tuple[str, tuple]]]:
     """The condition as a conjunction of disjunctions of (kind, arguments)."""
     _, named, rest = condition.partition(f"{LIST_WORD}([")
