@@ -13,15 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+
+from .buckets import BucketProcessor, by_key, in_buckets
 
 #: tick: the end of the interval, in milliseconds. frames, detections: since the start. lately: frames of the interval.
 TICKS = "camera long, tick_ms long, frames long, detections long, lately long"
 
 
-def _long(*names: str) -> StructType:
-    return StructType([StructField(n, LongType()) for n in names])
+_COLUMNS = ["camera", "tick_ms", "frames", "detections", "lately"]
 
 
 def ticks(frames: DataFrame, every_ms: int, until_ms: int) -> DataFrame:
@@ -38,56 +37,57 @@ def ticks(frames: DataFrame, every_ms: int, until_ms: int) -> DataFrame:
     return both.select("camera", (F.col("no") * every_ms).alias("tick_ms"), F.sum("lately").over(upto).alias("frames"), F.sum("seen").over(upto).alias("detections"), "lately")
 
 
-class TickProcessor(StatefulProcessor):
-    """State of a camera: counters up to its last tick, the tick that is next, and counters of the intervals that have not ended, as many as the watermark's delay spans."""
+class TickProcessor(BucketProcessor):
+    """State of a camera: counters up to its last tick, the tick that is next, whether one was, and counters of the intervals that have not ended, as many as the watermark's delay spans.
+
+    A bucket has one timer that counts, for the earliest next tick of its cameras (held under None); one that was overtaken finds nothing to do.
+    """
 
     def __init__(self, every_ms: int):
         self.every = every_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.total = handle.getValueState("total", _long("frames", "detections", "next", "begun"))
-        self.open = handle.getMapState("open", _long("tick"), _long("frames", "detections"))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        met: dict[int, list[int]] = {}
-        for part in rows:
-            for ms, n in zip(part["ms"].tolist(), part["n"].tolist(), strict=True):
+        held = self.load()
+        due = held.pop(None, None)
+        earliest = due
+        for camera, frames in by_key(rows, ("camera",), ("ms", "n"), ()).items():
+            met: dict[int, list[int]] = {}
+            for ms, n in frames:
                 one = met.setdefault((ms // self.every + 1) * self.every, [0, 0])
                 one[0], one[1] = one[0] + 1, one[1] + n
-        for tick, (frames, n) in met.items():
-            held = self.open.getValue((tick,)) if self.open.containsKey((tick,)) else (0, 0)
-            self.open.updateValue((tick,), (held[0] + frames, held[1] + n))
-        if met:
-            first, total = min(met), self.total.get() if self.total.exists() else None
-            if total is None or (not total[3] and first < total[2]):
-                if total is not None:
-                    self.handle.deleteTimer(total[2])
-                self.handle.registerTimer(first)
-                self.total.update((0, 0, first, 0))
-        yield pd.DataFrame(columns=["camera", "tick_ms", "frames", "detections", "lately"], dtype="int64")
+            first = min(met)
+            one = held.setdefault(camera, [0, 0, first, False, {}])
+            if not one[3] and first < one[2]:
+                one[2] = first
+            for tick, (frames_met, n) in met.items():
+                before = one[4].get(tick, (0, 0))
+                one[4][tick] = (before[0] + frames_met, before[1] + n)
+            earliest = one[2] if earliest is None else min(earliest, one[2])
+        if earliest != due:
+            self.handle.registerTimer(earliest)
+        self.save(held | {None: earliest})
+        yield pd.DataFrame(columns=_COLUMNS, dtype="int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frames, detections, tick, _ = self.total.get()
-        out = []
-        while tick <= timerValues.getCurrentWatermarkInMs():
-            lately, seen = 0, 0
-            if self.open.containsKey((tick,)):
-                lately, seen = self.open.getValue((tick,))
-                self.open.removeKey((tick,))
-            frames, detections = frames + lately, detections + seen
-            out.append((key[0], tick, frames, detections, lately))
-            tick += self.every
-        self.total.update((frames, detections, tick, 1))
-        self.handle.registerTimer(tick)
-        yield pd.DataFrame(out, columns=["camera", "tick_ms", "frames", "detections", "lately"])
-
-    def close(self) -> None:
-        pass
+        held, now, out = self.load(), timerValues.getCurrentWatermarkInMs(), []
+        if held.pop(None) <= now:
+            for camera, one in held.items():
+                frames, detections, tick = one[:3]
+                while tick <= now:
+                    lately, seen = one[4].pop(tick, (0, 0))
+                    frames, detections = frames + lately, detections + seen
+                    out.append((camera, tick, frames, detections, lately))
+                    tick += self.every
+                    one[3] = True
+                one[:3] = frames, detections, tick
+            earliest = min(one[2] for one in held.values())
+            self.handle.registerTimer(earliest)
+            self.save(held | {None: earliest})
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 def live_ticks(frames: DataFrame, every_ms: int, late: str = "10 minutes") -> DataFrame:
     """ticks over a stream of frames, as far as its watermark comes; frames later than that are dropped. Needs the RocksDB state store."""
     rows = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     rows = rows.select(F.col("camera").cast("long").alias("camera"), "ts", F.unix_millis("ts").alias("ms"), F.size("classes").cast("long").alias("n"))
-    return rows.groupBy("camera").transformWithStateInPandas(statefulProcessor=TickProcessor(every_ms), outputStructType=TICKS, outputMode="Append", timeMode="EventTime")
+    return in_buckets(rows.filter("camera is not null"), "camera").transformWithStateInPandas(statefulProcessor=TickProcessor(every_ms), outputStructType=TICKS, outputMode="Append", timeMode="EventTime")
