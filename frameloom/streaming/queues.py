@@ -12,15 +12,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from .buckets import BucketProcessor, by_key, in_buckets
 from .memory import scanned
 
 SIZE = 10
 #: One row per take; of an empty queue with nulls. waiting: alerts left.
 TAKEN = "camera long, at long, frame_no long, rule_id string, severity int, waiting int"
-_ALERT = StructType([StructField("nth", LongType()), StructField("severity", IntegerType()), StructField("frame_no", LongType()), StructField("rule_id", StringType())])
 
 
 class Queue:
@@ -66,30 +64,21 @@ def taken(events: DataFrame, size: int = SIZE) -> DataFrame:
     return scanned(rows, ["camera"], ["at"], schema, lambda: Queue(size), lambda q, row: q.act(*row), lambda q: ())
 
 
-class QueueProcessor(StatefulProcessor):
+class QueueProcessor(BucketProcessor):
     """The same as a stateful operator: at most `size` alerts of state a camera."""
 
     def __init__(self, size: int = SIZE):
         self.size = size
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", _ALERT)
-        self.nth = handle.getValueState("nth", StructType([StructField("nth", LongType())]))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = [x for part in rows for x in part[["at", "kind", "frame_no", "rule_id", "severity"]].itertuples(index=False, name=None)]
-        queue = Queue(self.size, self.nth.get()[0] if self.nth.exists() else 0, [tuple(x) for x in self.held.get()] if self.held.exists() else [])
-        out = [(key[0], *x) for row in sorted(found, key=lambda r: r[0]) for x in queue.act(*row)]
-        self.nth.update((queue.nth,))
-        if queue.held:
-            self.held.put(queue.held)
-        else:
-            self.held.clear()
+        held, out = self.load(), []
+        for camera, found in by_key(rows, ("camera",), ("at",), ("kind", "frame_no", "rule_id", "severity")).items():
+            queue = Queue(self.size, *held.get(camera, ()))
+            out += [(camera, *x) for row in sorted(found, key=lambda r: r[0]) for x in queue.act(*row)]
+            held[camera] = (queue.nth, queue.held)
+        self.save(held)
         yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=t) for i, (c, t) in enumerate(_DTYPES.items())})
 
-    def close(self) -> None:
-        pass
-
 
 #: Columns of TAKEN with types that hold nulls.
 _DTYPES = {"camera": "Int64", "at": "Int64", "frame_no": "Int64", "rule_id": "object", "severity": "Int32", "waiting": "Int32"}
@@ -98,4 +87,4 @@ _DTYPES = {"camera": "Int64", "at": "Int64", "frame_no": "Int64", "rule_id": "ob
 def live_taken(events: DataFrame, size: int = SIZE) -> DataFrame:
     """taken over a stream; a batch's events of a camera are acted on in order of `at`. Needs the RocksDB state store."""
     rows = _rows(events).fillna(-1, ["frame_no", "severity"]).withColumn("camera", F.col("camera").cast("long"))
-    return rows.groupBy("camera").transformWithStateInPandas(statefulProcessor=QueueProcessor(size), outputStructType=TAKEN, outputMode="Append", timeMode="None")
+    return in_buckets(rows, "camera").transformWithStateInPandas(statefulProcessor=QueueProcessor(size), outputStructType=TAKEN, outputMode="Append", timeMode="None")
