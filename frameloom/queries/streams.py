@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.boxes import rounded
 from ..streaming import memory
 from .base import DETECTIONS, EVENT_TYPES, FRAMES, RULES, detections, frames, query
 
@@ -26,7 +27,7 @@ def frames_since(spark, sf_dir):
 @query(f"""WITH {DETECTIONS} SELECT camera, class_name, min(frame_no) AS first_frame, max(frame_no) AS last_frame, count(*) AS n,
  round(list_reduce(list(conf ORDER BY frame_no, ord), lambda a, x: a * 0.9::DOUBLE + x * 0.1::DOUBLE), 8) AS avg_conf FROM detections GROUP BY 1, 2""")
 def memory_entry(spark, sf_dir):
-    return memory.entries(detections(spark, sf_dir)).withColumn("avg_conf", F.round("avg_conf", 8))
+    return memory.entries(detections(spark, sf_dir)).withColumn("avg_conf", rounded(F.col("avg_conf"), 8))
 
 
 def _since(c: str) -> str:
