@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashes import once
+
 EDGE = 1e-6
 BOX = "struct<cx: double, cy: double, w: double, h: double>"
 
@@ -88,13 +90,16 @@ def label_line(class_id: Column, b: Column) -> Column:
 
 def parse_line(line: Column) -> Column:
     """struct<class_id, box> of a label line; null unless it is five fields, an integer and four finite numbers."""
-    parts = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-    at = lambda k, kind: F.try_element_at(parts, F.lit(k)).try_cast(kind)
-    numbers = [at(k, "double") for k in (2, 3, 4, 5)]
-    finite = at(1, "int").isNotNull()
-    for n in numbers:
-        finite = finite & n.isNotNull() & ~F.isnan(n) & (F.abs(n) < 1e308)
-    return F.when((F.size(parts) == 5) & finite, F.struct(at(1, "int").alias("class_id"), box(*numbers).alias("box")))
+
+    def read(parts: Column) -> Column:
+        at = lambda k, kind: F.try_element_at(parts, F.lit(k)).try_cast(kind)
+        numbers = [at(k, "double") for k in (2, 3, 4, 5)]
+        finite = at(1, "int").isNotNull()
+        for n in numbers:
+            finite = finite & n.isNotNull() & ~F.isnan(n) & (F.abs(n) < 1e308)
+        return F.when((F.size(parts) == 5) & finite, F.struct(at(1, "int").alias("class_id"), box(*numbers).alias("box")))
+
+    return once(F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "), read)
 
 
 def rounded(value: Column, places: int) -> Column:
