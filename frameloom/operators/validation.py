@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions.hashes import taxonomy_fingerprint
+from .dedup import shared_table
 from .labels import duplicate_lines, lines_of
 
 #: Versions of the completeness artefact that are read, its modes, and splits.
@@ -94,9 +95,11 @@ def session_problems(labels: DataFrame, images: DataFrame, n_classes: int, least
 
     no_image; malformed, a box rule's name or duplicate, with stem:line; labelled, if too few of the images have a label.
     """
-    own = labels.join(images.select("stem").distinct(), "stem", "left_semi")
-    lines = lines_of(own.select("stem", "text"))
-    read = lines.withColumn("_a", B.parse_line(F.col("raw")))
+    # written, since each check reads them: the texts are made and their lines parsed once
+    labels, images = shared_table(labels.select("stem", "text")), shared_table(images.select("stem").distinct())
+    own = labels.join(images, "stem", "left_semi")
+    read = shared_table(lines_of(own).withColumn("_a", B.parse_line(F.col("raw"))))
+    lines = read.drop("_a")
     at = F.concat_ws(":", "stem", F.col("line_num").cast("string"))
     broken = read.filter("_a is not null").select(at.alias("subject"), F.explode(B.problems(F.col("_a.class_id"), F.col("_a.box"), n_classes)).alias("check"))
     again = duplicate_lines(lines, "stem", "line_num", "raw")
