@@ -33,7 +33,7 @@ def imbalance(spark, sf_dir):
 @query(f"WITH {BOXES}, {TAXONOMY} SELECT 'empty' AS kind, class_id FROM taxonomy WHERE class_id NOT IN (SELECT class_id FROM boxes WHERE class_id < 20) UNION ALL SELECT DISTINCT 'unknown', class_id + 4 FROM boxes WHERE class_id + 4 NOT IN (SELECT class_id FROM taxonomy)")
 def empty_missing(spark, sf_dir):
     b, t = boxes(spark, sf_dir), taxonomy(spark).select("class_id")
-    empty = t.join(b.filter("class_id < 20").select("class_id"), "class_id", "left_anti").select(F.lit("empty").alias("kind"), "class_id")
+    empty = t.join(b.filter("class_id < 20").select("class_id").distinct(), "class_id", "left_anti").select(F.lit("empty").alias("kind"), "class_id")
     return empty.union(b.select((F.col("class_id") + 4).alias("class_id")).distinct().join(t, "class_id", "left_anti").select(F.lit("unknown"), "class_id"))
 
 
