@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -18,6 +18,23 @@ from ..functions.names import IMAGE_ENDINGS, ending, file_name, stem
 from ..operators.dedup import numbered_rows, shared_table, small
 
 
+#: A reader in Python hands its rows on in batches that end at so many rows or bytes: a batch a row is slow, one of all rows is unbounded.
+OUT_ROWS, OUT_BYTES = 4_096, 4 << 20
+
+
+def _batches(rows: Iterable[tuple], names: list[str], dtype=None) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded size, each handed on as soon as it is full."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if len(out) >= OUT_ROWS or held >= OUT_BYTES:
+            yield pd.DataFrame(out, columns=names, dtype=dtype)
+            out, held = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=names, dtype=dtype)
+
+
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -207,11 +224,14 @@ def archive_entries(archives: DataFrame, depth: int = 2) -> DataFrame:
         except zipfile.BadZipFile:
             return
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"], strict=True):
                 for entry, content in walk(bytes(data), "", depth):
-                    yield pd.DataFrame({"archive": [path], "entry": [entry], "content": [content]})
+                    yield path, entry, content
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _batches(rows(frames), ["archive", "entry", "content"])
 
     return archives.select("path", "content").mapInPandas(run, "archive string, entry string, content binary")
 
