@@ -6,8 +6,10 @@ import io
 import json
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,11 @@ OUT_ROWS, OUT_BYTES = 4_096, 4 << 20
 
 
 def _batches(rows: Iterable[tuple], names: list[str], dtype=None) -> Iterator[pd.DataFrame]:
-    """Rows as frames of bounded size, each handed on as soon as it is full."""
+    """Rows as frames of bounded size, each handed on as soon as it is full; bytes are those of the last column."""
     out, held = [], 0
     for row in rows:
         out.append(row)
-        held += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        held += len(row[-1] or "")
         if len(out) >= OUT_ROWS or held >= OUT_BYTES:
             yield pd.DataFrame(out, columns=names, dtype=dtype)
             out, held = [], 0
@@ -179,33 +181,43 @@ def open_images_boxes(rows: DataFrame, names: DataFrame) -> DataFrame:
     return found.filter((x1 > x0) & (y1 > y0)).select(F.col("ImageID").alias("image"), "class_name", B.box((x0 + x1) / 2, (y0 + y1) / 2, x1 - x0, y1 - y0).alias("box"))
 
 
+def _lines(text: str, piece: int = 1 << 20) -> Iterator[str]:
+    """text.splitlines(), of a piece that ends with a line at a time."""
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at + piece) + 1 or len(text)
+        yield from text[at:end].splitlines()
+        at = end
+
+
 def block_boxes(files: DataFrame, text: str = "text", least: float = 8.0) -> DataFrame:
     """(name, x, y, w, h) of files of blocks: a name, a count, then so many lines (one even for none).
 
     A box flagged invalid (eighth field) or under `least` pixels is left out, and so are blocks whose count can't be read. The grammar has state, so a file is read in
-    Python, one at a time.
+    Python, one at a time, and a piece at a time: beside the batch that Spark hands over, a task holds a file's text and OUT_ROWS boxes.
     """
 
-    def parse(lines: list[str]) -> Iterator[tuple]:
-        at = 0
-        while at < len(lines):
-            name, at = lines[at].strip(), at + 1
-            if not name or at >= len(lines) or not lines[at].strip().isdigit():
+    def parse(lines: Iterator[str]) -> Iterator[tuple]:
+        line = next(lines, None)
+        while line is not None:
+            name, line = line.strip(), next(lines, None)
+            if not name or line is None or not line.strip().isdigit():
                 continue
-            count, at = int(lines[at]), at + 1
-            for line in lines[at : at + count]:
-                parts = line.split()
-                x, y, w, h = map(float, parts[:4])
-                if w >= least and h >= least and not (len(parts) > 7 and int(parts[7])):
-                    yield name, x, y, w, h
-            at += max(count, 1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for t in frame["t"]:
-                yield pd.DataFrame(list(parse((t or "").splitlines())), columns=["name", "x", "y", "w", "h"])
-
-    return files.select(F.col(text).alias("t")).mapInPandas(run, "name string, x double, y double, w double, h double")
+            count = int(line)
+            for box in islice(lines, max(count, 1)):
+                if count:
+                    parts = box.split()
+                    x, y, w, h = map(float, parts[:4])
+                    if w >= least and h >= least and not (len(parts) > 7 and int(parts[7])):
+                        yield name, x, y, w, h
+            line = next(lines, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for t in batch.column(0) for row in parse(_lines(t.as_py() or "")))
+        while found := list(islice(rows, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["name", "x", "y", "w", "h"])
+
+    return files.select(F.col(text).alias("t")).mapInArrow(run, "name string, x double, y double, w double, h double")
 
 
 def archive_entries(archives: DataFrame, depth: int = 2) -> DataFrame:
