@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import islice
 
 import pandas as pd
@@ -98,28 +99,100 @@ def _parsed(files: DataFrame, rows_of: Callable[[str], list[tuple]], schema: str
     kind = files.schema["path"].dataType.simpleString()
     names = [f.strip().partition(" ")[0] for f in schema.split(",")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
-            out = []
             for path, text in zip(frame["path"], frame["text"], strict=True):
                 try:
-                    out += [(path, *r, None) for r in rows_of(text or "")]
+                    yield from [(path, *r, None) for r in rows_of(text or "")]
                 except ValueError as e:
-                    out.append((path, *[None] * len(names), str(e)))
-            yield pd.DataFrame(out, columns=["path", *names, "problem"]).astype(object)
+                    yield path, *[None] * len(names), str(e)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _batches(rows(frames), ["path", *names, "problem"], object)
 
     return files.select("path", "text").mapInPandas(run, f"path {kind}, {schema}, problem string")
 
 
+@cache
+def _loader() -> type:
+    """A safe loader over libyaml's parser, where there is one, whose nodes can be composed one by one."""
+    import yaml
+
+    if not yaml.__with_libyaml__:
+        return yaml.SafeLoader
+
+    class Loader(yaml.composer.Composer, yaml.CSafeLoader):
+        def __init__(self, text: str):
+            yaml.CSafeLoader.__init__(self, text)
+            yaml.composer.Composer.__init__(self)
+
+    return Loader
+
+
 def _yaml(text: str) -> dict:
     import yaml
 
     try:
-        return yaml.safe_load(text) or {}
+        return yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}
     except yaml.YAMLError as e:
         raise ValueError(f"no YAML: {e}".splitlines()[0]) from e
 
 
+def _entries(text: str, key: str) -> Iterator[tuple]:
+    """What _yaml(text)[key].items() has, an entry at a time, so that a long document's nodes are never held together; of equal keys all come, the last one counts.
+
+    Documents of another form than a plain mapping with one plain mapping under key (merged keys, anchors on either, aliases in their place) are read whole.
+    """
+    import yaml
+    from yaml.events import MappingEndEvent, MappingStartEvent, StreamEndEvent
+
+    load, found = _loader()(text), 0
+
+    def plain_mapping() -> bool:
+        return load.check_event(MappingStartEvent) and load.peek_event().anchor is None and load.peek_event().tag is None
+
+    def key_of() -> object:
+        node = load.compose_node(None, None)
+        if node.tag == "tag:yaml.org,2002:merge":
+            raise _Whole
+        name = load.construct_document(node)
+        if not isinstance(name, str):
+            raise _Whole
+        return name
+
+    try:
+        load.get_event()  # of the stream
+        if load.check_event(StreamEndEvent):
+            return
+        load.get_event()  # of the document
+        if not plain_mapping():
+            raise _Whole
+        load.get_event()
+        while not load.check_event(MappingEndEvent):
+            if key_of() != key:
+                load.construct_document(load.compose_node(None, None))
+                continue
+            found += 1
+            if found > 1 or not plain_mapping():
+                raise _Whole
+            load.get_event()
+            while not load.check_event(MappingEndEvent):
+                yield key_of(), load.construct_document(load.compose_node(None, None))
+            load.get_event()
+        load.get_event()
+        load.get_event()  # of the document's end
+        if not load.check_event(StreamEndEvent):
+            raise _Whole
+    except yaml.YAMLError as e:
+        raise ValueError(f"no YAML: {e}".splitlines()[0]) from e
+    finally:
+        load.dispose()
+
+
+class _Whole(Exception):
+    """A document that has to be read whole."""
+
+
 def _taxonomy_rows(text: str) -> list[tuple]:
     spec = _yaml(text)
     if not isinstance(spec, dict) or "nc" not in spec or "names" not in spec:
@@ -132,12 +205,19 @@ def _taxonomy_rows(text: str) -> list[tuple]:
 
 
 def _consent_rows(text: str) -> list[tuple]:
-    rows = []
-    for key, entry in sorted((_yaml(text).get("consents") or {}).items()):
+    def row(key: str, entry: dict | None) -> tuple | None:
         if not (entry or {}).get("house_id"):
+            return None
+        return key, entry["house_id"], str(entry.get("granted_on", "")), entry.get("scope", ""), bool(entry.get("withdrawn", False))
+
+    try:
+        rows = {k: row(k, entry) for k, entry in _entries(text, "consents")}
+    except _Whole:
+        rows = {k: row(k, entry) for k, entry in (_yaml(text).get("consents") or {}).items()}
+    for key in sorted(rows):
+        if rows[key] is None:
             raise ValueError(f"{key}: no house_id")
-        rows.append((key, entry["house_id"], str(entry.get("granted_on", "")), entry.get("scope", ""), bool(entry.get("withdrawn", False))))
-    return rows
+    return [rows[key] for key in sorted(rows)]
 
 
 def taxonomies(files: DataFrame) -> DataFrame:
