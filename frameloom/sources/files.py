@@ -110,7 +110,8 @@ def _parsed(files: DataFrame, rows_of: Callable[[str], list[tuple]], schema: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _batches(rows(frames), ["path", *names, "problem"], object)
 
-    return files.select("path", "text").mapInPandas(run, f"path {kind}, {schema}, problem string")
+    dealt = files.select("path", "text").repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "path")
+    return dealt.mapInPandas(run, f"path {kind}, {schema}, problem string")
 
 
 @cache
