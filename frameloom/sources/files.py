@@ -317,16 +317,19 @@ def archive_entries(archives: DataFrame, depth: int = 2) -> DataFrame:
         except zipfile.BadZipFile:
             return
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                for entry, content in walk(bytes(data), "", depth):
-                    yield path, entry, content
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                archive = path.as_py()
+                for entry, content in walk(data.as_py() or b"", "", depth):
+                    yield archive, entry, content
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _batches(rows(frames), ["archive", "entry", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _batches(rows(batches), ["archive", "entry", "content"]):
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
 
-    return archives.select("path", "content").mapInPandas(run, "archive string, entry string, content binary")
+    out = pa.schema([("archive", pa.string()), ("entry", pa.string()), ("content", pa.binary())])
+    return archives.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, "archive string, entry string, content binary")
 
 
 #: Files of an export that list its class names, the first of these that is there, and those that are no labels.
