@@ -21,6 +21,16 @@ RANK = {"INFO": 0, "WARNING": 1, "CRITICAL": 2}
 LEAKS = (("train", "val"), ("train", "test"), ("val", "test"))
 
 
+#: Lines that one task puts in order to find those that stood in their file before.
+TASK_LINES = 1_000_000
+
+
+def _dealt(lines: DataFrame, *by: str) -> DataFrame:
+    """A written table dealt out by its own counted size, so that a task's share does not grow with the table; as many parts as any shuffle has, at least."""
+    held = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(max(held, lines.count() // TASK_LINES + 1), *by)
+
+
 def _issue(rows: DataFrame, check: str, line: Column | None = None) -> DataFrame:
     """(check, severity, split, file, line) of rows (split, file)."""
     return rows.select(F.lit(check).alias("check"), F.lit(CHECKS[check]).alias("severity"), "split", "file", (F.lit(None) if line is None else line).cast("long").alias("line"))
@@ -50,7 +60,7 @@ def line_issues(labels: DataFrame, names: DataFrame, n_classes: int) -> DataFram
     each = known.select("split", "file", "line_num", F.explode(found).alias("check"))
     out = each.select("check", _severity(F.col("check")).alias("severity"), "split", "file", F.col("line_num").cast("long").alias("line"))
     first = F.min("line_num").over(W.partitionBy("split", "file", "raw"))
-    again = lines.withColumn("_first", first).filter(F.col("line_num") > F.col("_first"))
+    again = _dealt(lines, "split", "file", "raw").withColumn("_first", first).filter(F.col("line_num") > F.col("_first"))
     return out.unionByName(_issue(again, "duplicate_annotations", F.col("line_num")))
 
 
@@ -63,7 +73,7 @@ def file_issues(images: DataFrame, labels: DataFrame) -> DataFrame:
 
     Splits with files of either kind are looked at. Of equal images in a split the first name is no issue; content in two splits is one, at the first name in the first of both.
     """
-    stems = lambda df: df.select("split", "stem").distinct()
+    stems = lambda df: df.select("split", "stem")  # noqa: E731; not made distinct: an anti join needs none, and a map task would hold all its names
     counts = images.groupBy("split").agg(F.count("*").alias("a")).join(labels.groupBy("split").agg(F.count("*").alias("b")), "split", "full_outer")
     uneven = counts.filter(F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0))).withColumn("file", F.lit(None).cast("string"))
     firsts = images.filter("sha is not null").groupBy("split", "sha").agg(F.min("file").alias("first"), F.count("*").alias("n"))
