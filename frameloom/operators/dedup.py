@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.commits import CommittedTable
-from .near import banded, met, near_hashes, plan_bands
+from .near import FIRST, banded, met, near_hashes, plan_bands
 
 THRESHOLD = 5
 
@@ -183,7 +183,7 @@ class KeptIndex:
 
     A committed table whose every version is one merge: a row per kept image (ord, h, sha), and a row per band of its hash (band, value, h),
     in order of band and value, so that what a few probes look for is found by the files' statistics. Hashes are lanes of one width. The cut into bands is
-    planned for a number of hashes to come (capacity).
+    planned for a number of hashes to come (capacity); an index of another cut is refused.
     """
 
     SCHEMA = "band int, value long, ord long, h array<long>, sha string"
@@ -194,7 +194,7 @@ class KeptIndex:
     def _known(self, rows: DataFrame, images: DataFrame) -> Known:
         kept = rows.filter("band is null")
         probes = _probes(images.filter("h is not null").select("h", "flip")).distinct()
-        near = met(small(banded(probes, self.plan, probe=True)), rows.filter("band is not null").select("band", "value", "h"), self.threshold)
+        near = met(small(banded(probes, self.plan, probe=True)), rows.filter("band is not null").select("band", "value", "h"), self.threshold, width=self.plan.bits // 64)
         near = shared_table(near)
         hashes = kept.filter("h is not null").join(small(near.select(F.col("build").alias("h")).distinct()), "h", "left_semi").select("ord", "h")
         return Known(hashes, kept.filter("h is null").select("ord", "sha"), near)
@@ -209,7 +209,10 @@ class KeptIndex:
             raise ValueError(f"hashes of another width than {self.plan.bits} bits")
 
         def build(rows: DataFrame) -> DataFrame:
-            last, first = rows.agg(F.max("ord")).first()[0], images.agg(F.min("ord")).first()[0]
+            last, *cut = rows.agg(F.max("ord"), F.min("band"), F.max("band")).first()
+            first = images.agg(F.min("ord")).first()[0]
+            if cut[0] is not None and cut != [FIRST, FIRST + self.plan.count - 1]:
+                raise ValueError("the index was cut into other bands; make it anew")
             if last is not None and first is not None and first <= last:
                 raise ValueError(f"images from ord {first} on, but {last} is in the index")
             decided[:] = [shared_table(keep_in_order(images, self.threshold, self._known(rows, images)))]

@@ -4,6 +4,9 @@ A hash is a long of 64 bits, or an array of longs (lanes, the lowest first). Has
 d / m bits of some band (rounded down). So with few wide bands, each hash is looked up under its bands' values and those one or two bits off;
 with many narrow ones under the values alone. Wide bands cost more lookups and meet fewer strangers: of n random hashes n / 2 ** width a
 lookup. `plan_bands` counts both, and takes the cheapest for the n at hand. All ways find the same pairs.
+
+Neighbouring cells of a picture are alike, and so are the bits of its hash: a band of neighbours has few values, and whatever shares one meets. So a
+band takes every so many-th bit, from all over the hash.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from ..functions.hashes import hamming_lanes
 
 #: Bits of a band's value, which is a long that stays positive.
 WIDEST = 62
+#: Number of the first band. It names this way to cut: bands of neighbouring bits, as before, were numbered from 0.
+FIRST = 1000
 
 
 @dataclass(frozen=True)
@@ -53,13 +58,10 @@ def lanes(h: Column, kind: str) -> Column:
     return F.array(h) if kind == "bigint" else h
 
 
-def _value(h: Column, start: int, width: int) -> Column:
-    """Bits start to start + width of lanes."""
-    at, off = divmod(start, 64)
-    low = F.shiftrightunsigned(F.get(h, F.lit(at)), off)
-    if off + width > 64:
-        low = low.bitwiseOR(F.shiftleft(F.get(h, F.lit(at + 1)), 64 - off))
-    return low.bitwiseAND(F.lit((1 << width) - 1))
+def _value(plan: Bands, band: int) -> str:
+    """A band's bits of the lanes h, packed: those at band, band + count, band + 2 * count and so on."""
+    at = [band + k * plan.count for k in range(plan.width)]
+    return " | ".join(f"shiftleft(shiftrightunsigned(get(h, {p // 64}), {p % 64}) & 1L, {k})" for k, p in enumerate(at)) or "get(h, 0) & 0L"
 
 
 def _errors(plan: Bands) -> Column:
@@ -73,7 +75,7 @@ def _errors(plan: Bands) -> Column:
 
 def banded(hashes: DataFrame, plan: Bands, probe: bool = False) -> DataFrame:
     """(band, value, h) of hashes (h, lanes): a row per band, or per lookup of each."""
-    cuts = [F.struct(F.lit(i).alias("band"), _value(F.col("h"), i * plan.bits // plan.count, plan.width).alias("value")) for i in range(plan.count)]
+    cuts = [F.struct(F.lit(FIRST + i).alias("band"), F.expr(_value(plan, i)).alias("value")) for i in range(plan.count)]
     rows = hashes.select("h", F.explode(F.array(*cuts)).alias("b")).select(F.col("b.band").alias("band"), F.col("b.value").alias("value"), "h")
     if not probe or not plan.errors:
         return rows
@@ -86,10 +88,15 @@ def _widths(*hashes: DataFrame) -> dict[int, int]:
     return dict(both.groupBy("n").count().collect())
 
 
-def met(probe: DataFrame, build: DataFrame, threshold: int) -> DataFrame:
-    """(probe, build, distance) of rows (band, value, h) that meet in a band and are near; the bits are counted inside the join."""
+def _distance(a: Column, b: Column, n: int) -> Column:
+    """Differing bits of two hashes of n lanes."""
+    return reduce(Column.__add__, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(n)]).cast("long")
+
+
+def met(probe: DataFrame, build: DataFrame, threshold: int, width: int | None = None) -> DataFrame:
+    """(probe, build, distance) of rows (band, value, h) that meet in a band and are near; the bits are counted inside the join. width: lanes of all of them, if known."""
     p, b = probe.withColumnRenamed("h", "probe"), build.withColumnRenamed("h", "build")
-    distance = hamming_lanes(F.col("probe"), F.col("build"))
+    distance = _distance(F.col("probe"), F.col("build"), width) if width else hamming_lanes(F.col("probe"), F.col("build"))
     found = p.join(b, (p["band"] == b["band"]) & (p["value"] == b["value"]) & (distance < threshold))
     return found.select("probe", "build", distance.alias("distance")).distinct()
 
@@ -102,7 +109,7 @@ def near_hashes(probe: DataFrame, build: DataFrame, threshold: int) -> DataFrame
     for n, count in sorted(({1: build.count()} if kind == "bigint" else _widths(a, b)).items()):
         plan = plan_bands(64 * n, threshold, count)
         own = [df if kind == "bigint" else df.filter(F.size("h") == n) for df in (a, b)]
-        found = met(banded(own[0], plan, probe=True), banded(own[1], plan), threshold)
+        found = met(banded(own[0], plan, probe=True), banded(own[1], plan), threshold, n)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = a.select(F.col("h").alias("probe"), F.col("h").alias("build"), F.lit(0).cast("long").alias("distance")).limit(0)
