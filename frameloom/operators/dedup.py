@@ -150,8 +150,9 @@ def keep_in_order(images: DataFrame, threshold: int = THRESHOLD, known: DataFram
     standing = edges.filter("before").unionByName(edges.filter("not before").join(state.filter("kept").select(F.col("ord").alias("earlier")), "earlier", "left_semi").select(edges.columns))
     of = standing.groupBy("later").agg(first.alias("of"))
     decided = state.join(of, state["ord"] == of["later"], "left").select(F.col("ord").alias("node"), F.col("kept").alias("node_kept"), F.col("of.earlier").alias("node_of"))
-    rows = hashed.join(nodes.withColumnRenamed("ord", "node").withColumnsRenamed({"h": "nh", "flip": "nf"}), F.col("h").eqNullSafe(F.col("nh")) & F.col("flip").eqNullSafe(F.col("nf")))
-    rows = rows.join(decided, "node").select(
+    #: Images are joined once, and last, so that adaptive execution can split what many copies share.
+    decided = nodes.withColumnsRenamed({"ord": "node", "h": "nh", "flip": "nf"}).join(decided, "node")
+    rows = hashed.join(decided, F.col("h").eqNullSafe(F.col("nh")) & F.col("flip").eqNullSafe(F.col("nf"))).select(
         "ord", ((F.col("ord") == F.col("node")) & F.col("node_kept")).alias("kept"),
         F.when(F.col("ord") == F.col("node"), F.col("node_of")).when(F.col("node_kept"), F.col("node")).otherwise(F.col("node_of")).alias("duplicate_of"),
     )
@@ -183,18 +184,25 @@ class KeptIndex:
 
     A committed table whose every version is one merge: a row per kept image (ord, h, sha), and a row per band of its hash (band, value, h),
     in order of band and value, so that what a few probes look for is found by the files' statistics. Hashes are lanes of one width. The cut into bands is
-    planned for a number of hashes to come (capacity); an index of another cut is refused.
+    planned for a number of hashes to come (capacity); an index of another cut is refused. Where the lookups of the next images outnumber the kept hashes
+    (both counted), these are read and cut anew, for as many as there are; the pairs are the same.
     """
 
     SCHEMA = "band int, value long, ord long, h array<long>, sha string"
+    #: Kept hashes that are read at the cost of a lookup.
+    PER_LOOKUP = 1
 
     def __init__(self, spark: SparkSession, path: str, bits: int, threshold: int = THRESHOLD, capacity: int = 1_000_000_000):
         self.table, self.threshold, self.plan = CommittedTable(spark, path, self.SCHEMA), threshold, plan_bands(bits, threshold, capacity)
 
     def _known(self, rows: DataFrame, images: DataFrame) -> Known:
         kept = rows.filter("band is null")
-        probes = _probes(images.filter("h is not null").select("h", "flip")).distinct()
-        near = met(small(banded(probes, self.plan, probe=True)), rows.filter("band is not null").select("band", "value", "h"), self.threshold, width=self.plan.bits // 64)
+        probes = shared_table(_probes(images.filter("h is not null").select("h", "flip")).distinct())
+        lookups, hashes = probes.count() * self.plan.lookups, kept.filter("h is not null").select("h")
+        if lookups > BROADCAST_ROWS and lookups * self.PER_LOOKUP > hashes.count():
+            near = near_hashes(probes, hashes, self.threshold)
+        else:
+            near = met(small(banded(probes, self.plan, probe=True)), rows.filter("band is not null").select("band", "value", "h"), self.threshold, width=self.plan.bits // 64)
         near = shared_table(near)
         hashes = kept.filter("h is not null").join(small(near.select(F.col("build").alias("h")).distinct()), "h", "left_semi").select("ord", "h")
         return Known(hashes, kept.filter("h is null").select("ord", "sha"), near)

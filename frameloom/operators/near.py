@@ -94,8 +94,12 @@ def _distance(a: Column, b: Column, n: int) -> Column:
 
 
 def met(probe: DataFrame, build: DataFrame, threshold: int, width: int | None = None) -> DataFrame:
-    """(probe, build, distance) of rows (band, value, h) that meet in a band and are near; the bits are counted inside the join. width: lanes of all of them, if known."""
-    p, b = probe.withColumnRenamed("h", "probe"), build.withColumnRenamed("h", "build")
+    """(probe, build, distance) of rows (band, value, h) that meet in a band and are near; the bits are counted inside the join. width: lanes of all of them, if known.
+
+    Spark takes exploded rows for as few as they were made of, and would broadcast lookups a thousand times their estimate. So both sides are sorted, unless the
+    caller has counted the probes and marked them.
+    """
+    p, b = probe.withColumnRenamed("h", "probe"), build.withColumnRenamed("h", "build").hint("merge")
     distance = _distance(F.col("probe"), F.col("build"), width) if width else hamming_lanes(F.col("probe"), F.col("build"))
     found = p.join(b, (p["band"] == b["band"]) & (p["value"] == b["value"]) & (distance < threshold))
     return found.select("probe", "build", distance.alias("distance")).distinct()
